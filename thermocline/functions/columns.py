@@ -19,6 +19,10 @@ UNITS = {
 # ----------------------------------------------------------------------------------------------------------
 
 
+def n_rows() -> Column:
+    return F.count(F.lit(1))
+
+
 def nan_to_null(value: Column) -> Column:
     """Spark sorts NaN above every number and lets it poison averages; a missing value is null here."""
     return F.when(~F.isnan(value), value)

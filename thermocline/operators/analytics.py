@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import labels
-from ..functions.columns import month_of
+from ..functions.columns import month_of, n_rows
 from .quantiles import BUILT_IN_LIMIT, quantiles
 
-N = F.count(F.lit(1))
 QUALITY_SHARE = 95.0  # fixed value reported with the system totals
 NOT_PARAMETERS = ("latitude", "longitude", "depth", "profile_id", "float_id")
 SUMMARY_COLUMNS = ("temperature", "salinity", "depth", "oxygen", "ph")
@@ -33,7 +32,7 @@ def avg_by_depth(m: DataFrame, top: int = 100) -> DataFrame:
     both = F.col("temperature").isNotNull() & F.col("salinity").isNotNull()
     return (
         m.filter(both).groupBy("depth")
-        .agg(avg("temperature"), avg("salinity"), N.alias("measurement_count"))
+        .agg(avg("temperature"), avg("salinity"), n_rows().alias("measurement_count"))
         .orderBy("depth").limit(top)
     )
 
@@ -41,7 +40,7 @@ def avg_by_depth(m: DataFrame, top: int = 100) -> DataFrame:
 def dataset_comparison(m: DataFrame, by: str = "dataset_type") -> DataFrame:
     return (
         m.groupBy(by)
-        .agg(N.alias("observation_count"), avg("temperature"), avg("salinity"),
+        .agg(n_rows().alias("observation_count"), avg("temperature"), avg("salinity"),
              F.min("time").alias("start_date"), F.max("time").alias("end_date"))
         .orderBy(F.desc("observation_count"), by)
     )
@@ -53,7 +52,7 @@ def regional_comparison(m: DataFrame) -> DataFrame:
         .groupBy(labels.basin(F.col("lat"), F.col("lon")).alias("region"))
         .agg(
             *(F.round(F.avg(c), 2).alias(f"avg_{c}") for c in ("temperature", "salinity", "oxygen")),
-            N.alias("measurement_count"),
+            n_rows().alias("measurement_count"),
             F.round(F.min("depth"), 0).alias("min_depth_m"),
             F.round(F.max("depth"), 0).alias("max_depth_m"),
         )
@@ -65,7 +64,7 @@ def depth_ranges(m: DataFrame) -> DataFrame:
     return (
         m.filter(F.col("temperature").isNotNull())
         .groupBy(labels.depth_band(F.col("depth")).alias("depth_range"))
-        .agg(avg("temperature"), avg("salinity"), avg("oxygen"), N.alias("measurement_count"),
+        .agg(avg("temperature"), avg("salinity"), avg("oxygen"), n_rows().alias("measurement_count"),
              F.min("depth").alias("_d"))
         .orderBy("_d").drop("_d")
     )
@@ -75,7 +74,7 @@ def temporal_trends(m: DataFrame, top: int = 100) -> DataFrame:
     return (
         m.filter(F.col("temperature").isNotNull())
         .groupBy(month_of(F.col("time")).alias("month"))
-        .agg(avg("temperature"), avg("salinity"), N.alias("measurement_count"))
+        .agg(avg("temperature"), avg("salinity"), n_rows().alias("measurement_count"))
         .orderBy("month").limit(top)
     )
 
@@ -84,7 +83,7 @@ def bgc_zones(m: DataFrame) -> DataFrame:
     return (
         m.filter(F.col("oxygen").isNotNull() & F.col("ph").isNotNull())
         .groupBy(labels.ocean_zone(F.col("depth")).alias("ocean_zone"))
-        .agg(avg("oxygen"), avg("ph"), avg("chlorophyll"), N.alias("measurement_count"), F.min("depth").alias("_d"))
+        .agg(avg("oxygen"), avg("ph"), avg("chlorophyll"), n_rows().alias("measurement_count"), F.min("depth").alias("_d"))
         .orderBy("_d").drop("_d")
     )
 
@@ -121,7 +120,7 @@ def float_card(floats: DataFrame, profiles: DataFrame, m: DataFrame, float_id=No
         own = F.col("float_id") == float_id
         floats, profiles = floats.filter(own), profiles.filter(own)
     per_profile = m.groupBy("profile_id").agg(
-        N.alias("n"), F.min("depth").alias("lo"), F.max("depth").alias("hi"),
+        n_rows().alias("n"), F.min("depth").alias("lo"), F.max("depth").alias("hi"),
         F.sum("temperature").alias("ts"), F.count("temperature").alias("tn"),
         F.sum("salinity").alias("ss"), F.count("salinity").alias("sn"),
     )
@@ -130,7 +129,7 @@ def float_card(floats: DataFrame, profiles: DataFrame, m: DataFrame, float_id=No
         .join(per_profile, "profile_id", "left")
         .groupBy("float_id")
         .agg(
-            N.alias("total_profiles"),
+            n_rows().alias("total_profiles"),
             F.min("profile_date").alias("first_profile"), F.max("profile_date").alias("last_profile"),
             F.coalesce(F.sum("n"), F.lit(0)).alias("total_measurements"),
             F.min("lo").alias("min_depth"), F.max("hi").alias("max_depth"),
@@ -154,12 +153,12 @@ def dataset_summary(df: DataFrame) -> DataFrame:
         return [F.min(column).alias(lo), F.max(column).alias(hi), (F.max(column) - F.min(column)).alias(width)]
 
     zero, nothing = F.lit(0).cast("bigint"), F.lit(None).cast("double")
-    good = F.count_if(F.col("quality_flag").isin(1, 2)) * 100.0 / N if have("quality_flag") else nothing
+    good = F.count_if(F.col("quality_flag").isin(1, 2)) * 100.0 / n_rows() if have("quality_flag") else nothing
     date = F.col("date") if have("date") else F.lit(None).cast("timestamp_ntz")
     return df.agg(
         (F.countDistinct("float_id") if have("float_id") else zero).alias("total_floats"),
-        (F.countDistinct("profile_id") if have("profile_id") else N).alias("total_profiles"),
-        N.alias("total_measurements"),
+        (F.countDistinct("profile_id") if have("profile_id") else n_rows()).alias("total_profiles"),
+        n_rows().alias("total_measurements"),
         F.min(date).alias("start"),
         F.max(date).alias("end"),
         F.datediff(F.max(date), F.min(date)).alias("span_days"),
@@ -213,7 +212,7 @@ def data_summary(df: DataFrame, columns=SUMMARY_COLUMNS) -> DataFrame:
 
 def flag_distribution(df: DataFrame) -> DataFrame:
     """Rows per quality flag with its label."""
-    counts = df.groupBy("quality_flag").agg(N.alias("flag_count"))
+    counts = df.groupBy("quality_flag").agg(n_rows().alias("flag_count"))
     known = labels.flag_table(df.sparkSession)  # ten fixed rows
     return (
         counts.join(F.broadcast(known), "quality_flag", "left")
@@ -226,7 +225,7 @@ def result_summary(df: DataFrame) -> DataFrame:
     """Rows, columns, nulls, and mean / min / max / count of the first five numeric columns."""
     numeric = numeric_columns(df)[:5]
     wide = df.agg(
-        N.alias("total_rows"),
+        n_rows().alias("total_rows"),
         F.coalesce(F.bool_or(F.greatest(*(F.col(c).isNull().cast("int") for c in df.columns), F.lit(0)) == 1),
                    F.lit(False)).alias("has_nulls"),
         *(
@@ -259,19 +258,19 @@ def profile_sigma_band(m: DataFrame, by: str = "float_id", columns=("temperature
 
 
 def selection_metrics(m: DataFrame) -> DataFrame:
-    return m.agg(N.alias("row_count"), F.countDistinct("float_id").alias("float_count"),
+    return m.agg(n_rows().alias("row_count"), F.countDistinct("float_id").alias("float_count"),
                  F.max("depth").alias("max_depth"))
 
 
 def key_audit(floats: DataFrame, profiles: DataFrame, m: DataFrame) -> DataFrame:
     """Duplicate keys and children without a parent, one row per rule."""
     def duplicates(df: DataFrame, key: str, rule: str) -> DataFrame:
-        repeated = df.groupBy(key).agg(N.alias("n")).filter("n > 1")
-        return repeated.agg(F.lit(rule).alias("rule"), N.alias("violations"))
+        repeated = df.groupBy(key).agg(n_rows().alias("n")).filter("n > 1")
+        return repeated.agg(F.lit(rule).alias("rule"), n_rows().alias("violations"))
 
     def orphans(child: DataFrame, parent: DataFrame, key: str, rule: str) -> DataFrame:
         # one row per distinct key crosses the network, not one per child
-        lost = child.groupBy(key).agg(N.alias("n")).join(parent.select(key), key, "left_anti")
+        lost = child.groupBy(key).agg(n_rows().alias("n")).join(parent.select(key), key, "left_anti")
         return lost.agg(F.lit(rule).alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
 
     parts = (

@@ -10,7 +10,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .analytics import N, numeric_columns
+from ..functions.columns import n_rows
+from .analytics import numeric_columns
 from .quantiles import BUILT_IN_LIMIT, quantiles
 
 PLACES = ("latitude", "longitude", "depth")
@@ -18,7 +19,7 @@ CHECKED = ("temperature", "salinity", "depth")
 
 
 def _flag_share(flags: tuple[int, ...]) -> Column:
-    return F.count_if(F.col("quality_flag").isin(*flags)) * 100.0 / N
+    return F.count_if(F.col("quality_flag").isin(*flags)) * 100.0 / n_rows()
 
 
 def _score(good: Column) -> Column:
@@ -32,13 +33,13 @@ def quality_score(df: DataFrame, by=()) -> DataFrame:
     if "quality_flag" not in df.columns:
         nothing = F.lit(None).cast("double")
         return df.groupBy(*by).agg(
-            N.alias("total_records"), nothing.alias("good_data_percentage"), nothing.alias("bad_data_percentage")
+            n_rows().alias("total_records"), nothing.alias("good_data_percentage"), nothing.alias("bad_data_percentage")
         ).withColumn("overall_score", F.lit(0))
     shares = df.groupBy(*by).agg(
-        N.alias("total_records"),
-        F.when(N > 0, F.try_divide(F.count_if(F.col("quality_flag").isin(1, 2)) * 100.0, N)).alias(
+        n_rows().alias("total_records"),
+        F.when(n_rows() > 0, F.try_divide(F.count_if(F.col("quality_flag").isin(1, 2)) * 100.0, n_rows())).alias(
             "good_data_percentage"),
-        F.when(N > 0, F.try_divide(F.count_if(F.col("quality_flag").isin(3, 4)) * 100.0, N)).alias(
+        F.when(n_rows() > 0, F.try_divide(F.count_if(F.col("quality_flag").isin(3, 4)) * 100.0, n_rows())).alias(
             "bad_data_percentage"),
     )
     score = F.when(F.col("total_records") == 0, 0).otherwise(_score(F.col("good_data_percentage")))
@@ -48,7 +49,7 @@ def quality_score(df: DataFrame, by=()) -> DataFrame:
 def missing_by_column(df: DataFrame, columns=None) -> DataFrame:
     """Missing count and percentage per numeric column, in one pass."""
     columns = list(columns or numeric_columns(df))
-    wide = df.agg(N.alias("n"), *(F.count(c).alias(c) for c in columns))
+    wide = df.agg(n_rows().alias("n"), *(F.count(c).alias(c) for c in columns))
     cells = F.array(
         *(F.struct(F.lit(c).alias("column"), (F.col("n") - F.col(c)).alias("missing_count")) for c in columns)
     )
@@ -108,7 +109,7 @@ def quality_issues(df: DataFrame) -> DataFrame:
         return F.lit(kind).alias("kind"), F.format_string(pattern, share).alias("message")
 
     if "quality_flag" in df.columns:
-        flags = df.agg(_flag_share((4,)).alias("bad"), _flag_share((9,)).alias("gone"), N.alias("n")).filter("n > 0")
+        flags = df.agg(_flag_share((4,)).alias("bad"), _flag_share((9,)).alias("gone"), n_rows().alias("n")).filter("n > 0")
         add(flags.filter("bad > 10").select(*text("issue", "High percentage of bad data: %.1f%%", F.col("bad"))))
         add(flags.filter("gone > 20").select(
             *text("issue", "High percentage of missing values: %.1f%%", F.col("gone"))))
@@ -122,10 +123,10 @@ def quality_issues(df: DataFrame) -> DataFrame:
     score = quality_score(df).filter((F.col("overall_score") < 3) & (F.col("total_records") > 0))
     poor = score.select(F.lit("recommendation").alias("kind"),
                         F.lit("Consider filtering out bad quality data before analysis").alias("message"))
-    empty = df.agg(N.alias("n")).filter("n = 0").select(
+    empty = df.agg(n_rows().alias("n")).filter("n = 0").select(
         F.lit("issue").alias("kind"), F.lit("No data available for quality assessment").alias("message"))
     add(empty)
-    fine = rows.agg(N.alias("n")).filter("n = 0").select(
+    fine = rows.agg(n_rows().alias("n")).filter("n = 0").select(
         F.lit("recommendation").alias("kind"), F.lit("Data quality appears good for analysis").alias("message"))
     return rows.unionByName(poor).unionByName(fine)
 
@@ -138,7 +139,7 @@ def table_quality(df: DataFrame, built_in_limit: int = BUILT_IN_LIMIT) -> DataFr
     known = [c for c in checked if c in fences]
     filled = sum((F.count(c) for c in columns[1:]), F.count(columns[0]))
     wide = df.agg(
-        N.alias("total_records"),
+        n_rows().alias("total_records"),
         filled.alias("_filled"),
         *(
             F.count_if((F.col(c) < fences[c]["lower_bound"]) | (F.col(c) > fences[c]["upper_bound"])).alias(f"_{c}")
@@ -190,7 +191,7 @@ def extra_checks(df: DataFrame, as_of: dt.datetime) -> DataFrame:
 
 def completeness(df: DataFrame) -> DataFrame:
     """Share of filled cells per column of any type, in percent."""
-    wide = df.agg(N.alias("n"), *(F.count(c).alias(f"_{c}") for c in df.columns)).filter("n > 0")
+    wide = df.agg(n_rows().alias("n"), *(F.count(c).alias(f"_{c}") for c in df.columns)).filter("n > 0")
     cells = F.array(*(
         F.struct(F.lit(c).alias("column"), (F.col(f"_{c}") * 100.0 / F.col("n")).alias("complete_percentage"))
         for c in df.columns
@@ -207,7 +208,7 @@ def quality_report(df: DataFrame, described=("temperature", "salinity", "depth",
             F.struct(F.lit(k).alias("measure"), v.cast("double").alias("value")) for k, v in measures.items()))
         return frame.select(F.lit(section).alias("section"), name.alias("name"), F.inline(cells))
 
-    size = rows(df.agg(N.alias("n")), "dataset", F.lit("all"),
+    size = rows(df.agg(n_rows().alias("n")), "dataset", F.lit("all"),
                 {"records": F.col("n"), "columns": F.lit(len(df.columns))})
     filled = rows(completeness(df), "completeness", F.col("column"),
                   {"complete_percentage": F.col("complete_percentage"),
