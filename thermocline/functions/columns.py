@@ -37,13 +37,37 @@ def safe_timestamp(value: Column) -> Column:
     return value.try_cast("timestamp_ntz")
 
 
+def _fixed(value: Column, digits: int) -> Column:
+    """``value`` moved onto the decimal that C and Python formatting would print with so many digits.
+
+    Java rounds the shortest decimal text of a double half up; C and Python round its exact binary value.  The two
+    differ only near a tie, where the sign of the exact distance to the tie decides (the product is split into two
+    exact halves to get it).
+    """
+    scale = float(10**digits)
+    size = F.abs(value)
+    below = F.floor(size * scale).cast("double")
+    near = F.abs(size * scale - below - 0.5) < 1e-6
+    big = size * 134217729.0
+    high = big - (big - size)
+    low = size - high
+    apart = (high * (2 * scale) - (below * 2 + 1)) + low * (2 * scale)
+    up = F.when(apart > 0, 1.0).when(apart < 0, 0.0).otherwise(below % 2)
+    return F.when(near, F.signum(value) * (below + up) / scale).otherwise(value)
+
+
+def fixed_text(value: Column, digits: int, width: int = 0) -> Column:
+    """``%.<digits>f`` with C rounding, padded on the left to ``width``."""
+    return F.format_string(f"%{width or ''}.{digits}f", _fixed(value, digits))
+
+
 def scientific(value: Column, digits: int = 2) -> Column:
     """``%.2e`` below 0.01 and from 1000 up in magnitude, ``%.2f`` between, ``N/A`` for null."""
     far = (F.abs(value) < 0.01) | (F.abs(value) >= 1000)
     return (
         F.when(value.isNull(), "N/A")
         .when(far, F.format_string(f"%.{digits}e", value))
-        .otherwise(F.format_string(f"%.{digits}f", value))
+        .otherwise(fixed_text(value, digits))
     )
 
 
@@ -52,11 +76,11 @@ def with_unit(value: Column, parameter: str) -> Column:
     name = parameter.lower()
     unit = UNITS.get(name, "")
     if name == "ph":
-        text = F.format_string("%.2f", value)
+        text = fixed_text(value, 2)
     elif name in ("depth", "pressure"):
-        text = F.format_string(f"%.0f {unit}", value)
+        text = F.concat(fixed_text(value, 0), F.lit(f" {unit}"))
     else:
-        text = F.format_string(f"%.2f {unit}", value)
+        text = F.concat(fixed_text(value, 2), F.lit(f" {unit}"))
     return F.when(value.isNull(), "N/A").otherwise(text)
 
 

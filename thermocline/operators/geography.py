@@ -48,11 +48,12 @@ def density_grid(df: DataFrame, cell: float = 1.0) -> DataFrame:
     return df.filter(valid_place(F.col("lat"), F.col("lon"))).groupBy(lat, lon).agg(n_rows().alias("density"))
 
 
-def _around(cx: Column, cy: Column) -> Column:
-    """The 5 x 5 cells around a cell."""
-    return F.array(*(
-        F.struct((cx + dx).alias("cx"), (cy + dy).alias("cy")) for dx in range(-2, 3) for dy in range(-2, 3)
-    ))
+def _around() -> Column:
+    """The 5 x 5 cells around the cell (cx, cy)."""
+    return F.expr(
+        "inline(flatten(transform(sequence(cx - 2, cx + 2), x -> "
+        "transform(sequence(cy - 2, cy + 2), y -> struct(x AS cx, y AS cy)))))"
+    )
 
 
 def _apart(a_lat: str, a_lon: str, b_lat: str, b_lon: str) -> Column:
@@ -76,7 +77,7 @@ def _leaders(spots: DataFrame, threshold: float, side: float) -> DataFrame:
         if first.isEmpty():
             return chosen
         # a neighbour cell matters only if its rectangle comes within the threshold of the candidate
-        reach = first.select("ord", "lat", "lon", F.inline(_around(F.col("cx"), F.col("cy"))))
+        reach = first.select("ord", "lat", "lon", _around())
         gap_lat = F.greatest(F.col("cy") * side - F.col("lat"), F.col("lat") - (F.col("cy") + 1) * side, F.lit(0.0))
         gap_lon = F.greatest(F.col("cx") * side - F.col("lon"), F.col("lon") - (F.col("cx") + 1) * side, F.lit(0.0))
         near = reach.filter(F.sqrt(gap_lat * gap_lat + gap_lon * gap_lon) <= threshold * (1 + 1e-9))
@@ -85,7 +86,7 @@ def _leaders(spots: DataFrame, threshold: float, side: float) -> DataFrame:
         found = staged(first.join(blocked, "ord", "left_anti"))
         chosen = found if chosen is None else chosen.unionByName(found)
         cover = found.select(F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"),
-                             F.inline(_around(F.col("cx"), F.col("cy"))))
+                             _around())
         a, b = undecided.alias("a"), cover.alias("b")
         same = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
         undecided = staged(
@@ -113,7 +114,7 @@ def cluster_floats(points: DataFrame, threshold: float = 2.0, key: str = "float_
     if centres is None:
         centres = spots.select("cx", "cy", "ord", "lat", "lon")
     cover = centres.select("ord", F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"),
-                           F.inline(_around(F.col("cx"), F.col("cy"))))
+                           _around())
     near = _apart("lat", "lon", "l_lat", "l_lon") <= threshold
     members = (
         spots.select("lat", "lon", "weight", "cx", "cy").join(cover, ["cx", "cy"]).filter(near)

@@ -130,9 +130,9 @@ def latest_positions(df: DataFrame, tie_key: str) -> DataFrame:
 
     Null times never win unless a float has nothing else.  One aggregation, no sort.
     """
-    for name in ("wmo_id", "cycle_number", "profile_date"):
+    for name, kind in (("wmo_id", "bigint"), ("cycle_number", "int"), ("profile_date", "timestamp_ntz")):
         if name not in df.columns:
-            df = df.withColumn(name, F.lit(None))
+            df = df.withColumn(name, F.lit(None).cast(kind))
     rest = [c for c in df.columns if c != "float_id"]
     newest = F.max_by(F.struct(*rest), F.struct(F.col("time"), F.col(tie_key)))
     found = df.groupBy("float_id").agg(newest.alias("_row")).select("float_id", "_row.*")

@@ -10,7 +10,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import n_rows
+from ..functions.columns import fixed_text, n_rows
 from .analytics import numeric_columns
 from .quantiles import BUILT_IN_LIMIT, quantiles
 
@@ -22,6 +22,12 @@ def _flag_share(flags: tuple[int, ...]) -> Column:
     return F.count_if(F.col("quality_flag").isin(*flags)) * 100.0 / n_rows()
 
 
+def _percent(title, share: Column) -> Column:
+    """``title: 12.3%``"""
+    start = F.lit(title) if isinstance(title, str) else title
+    return F.concat(start, F.lit(": "), fixed_text(share, 1), F.lit("%"))
+
+
 def _score(good: Column) -> Column:
     return (
         F.when(good >= 90, 5).when(good >= 80, 4).when(good >= 70, 3).when(good >= 60, 2).otherwise(1)
@@ -105,21 +111,21 @@ def quality_issues(df: DataFrame) -> DataFrame:
         nonlocal rows
         rows = frame if rows is None else rows.unionByName(frame)
 
-    def text(kind: str, pattern: str, share: Column) -> tuple[Column, Column]:
-        return F.lit(kind).alias("kind"), F.format_string(pattern, share).alias("message")
+    def issue(title: str, share: Column) -> tuple[Column, Column]:
+        return F.lit("issue").alias("kind"), _percent(title, share).alias("message")
 
     if "quality_flag" in df.columns:
         flags = df.agg(_flag_share((4,)).alias("bad"), _flag_share((9,)).alias("gone"), n_rows().alias("n")).filter("n > 0")
-        add(flags.filter("bad > 10").select(*text("issue", "High percentage of bad data: %.1f%%", F.col("bad"))))
+        add(flags.filter("bad > 10").select(*issue("High percentage of bad data", F.col("bad"))))
         add(flags.filter("gone > 20").select(
-            *text("issue", "High percentage of missing values: %.1f%%", F.col("gone"))))
+            *issue("High percentage of missing values", F.col("gone"))))
     columns = numeric_columns(df)
     missing = missing_by_column(df, columns).filter("missing_percentage > 50")
-    add(missing.select(F.lit("issue").alias("kind"), F.format_string(
-        "High missing data in %s: %.1f%%", F.col("column"), F.col("missing_percentage")).alias("message")))
+    add(missing.select(F.lit("issue").alias("kind"), _percent(
+        F.concat(F.lit("High missing data in "), "column"), F.col("missing_percentage")).alias("message")))
     outliers = iqr_outliers(df, columns).filter("outlier_percentage > 5")
-    add(outliers.select(F.lit("issue").alias("kind"), F.format_string(
-        "High outlier percentage in %s: %.1f%%", F.col("column"), F.col("outlier_percentage")).alias("message")))
+    add(outliers.select(F.lit("issue").alias("kind"), _percent(
+        F.concat(F.lit("High outlier percentage in "), "column"), F.col("outlier_percentage")).alias("message")))
     score = quality_score(df).filter((F.col("overall_score") < 3) & (F.col("total_records") > 0))
     poor = score.select(F.lit("recommendation").alias("kind"),
                         F.lit("Consider filtering out bad quality data before analysis").alias("message"))
@@ -150,8 +156,8 @@ def table_quality(df: DataFrame, built_in_limit: int = BUILT_IN_LIMIT) -> DataFr
     wide = wide.withColumn("missing_percentage", F.try_divide((cells - F.col("_filled")) * 100.0, cells))
     gaps = F.col("missing_percentage")
     issues = F.array_compact(F.array(
-        F.when(gaps > 50, F.format_string("High missing data: %.1f%%", gaps))
-        .when(gaps > 20, F.format_string("Moderate missing data: %.1f%%", gaps)),
+        F.when(gaps > 50, _percent("High missing data", gaps))
+        .when(gaps > 20, _percent("Moderate missing data", gaps)),
         *(
             F.when(F.col(f"_{c}") > F.col("total_records") * 0.05,
                    F.format_string(f"Potential outliers in {c}: %d values", F.col(f"_{c}")))

@@ -361,7 +361,7 @@ def thin_lines(df: DataFrame, x: str, y: str, group: str | None = None, max_poin
     rows = df.select(*dict.fromkeys([*by, key, x, y]))
     thinned = every_nth(rows, [key], max_points, by)
     ends = [
-        f(key, F.struct(F.when(F.col(c).isNotNull(), F.col(c)), F.col(key))).alias(f"{f.__name__}_{c}")
+        f(key, F.when(F.col(c).isNotNull(), F.struct(F.col(c), F.col(key)))).alias(f"{f.__name__}_{c}")
         for c in (x, y) for f in (F.min_by, F.max_by)
     ]
     sizes = rows.groupBy(*by).agg(n_rows().alias("_n"), F.array_distinct(F.array(*ends)).alias("_k"))

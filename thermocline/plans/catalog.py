@@ -1,6 +1,6 @@
 """All registered queries; importing the modules fills the registry."""
 
-from . import filtering, questions, templates  # noqa: F401
+from . import filtering, ordering, questions, samples, tables, templates  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -7,7 +7,7 @@ import datetime as dt
 from ..operators import analytics as a
 from ..operators import quality as k
 from ..operators import questions as q
-from ..sources.binding import view
+from ..sources.binding import event_log, view
 from .registry import query
 from .templates import BAND_SQL, ZONE_SQL
 
@@ -157,6 +157,15 @@ _over("temperature_outliers", q.outlying_rows, "WITH fences AS (" + _fence_sql([
 SELECT r.* FROM readings r, fences WHERE temperature < lower_bound OR temperature > upper_bound""", "readings",
       "depth pressure temperature salinity oxygen ph chlorophyll")
 
+@query("outlying_rows", sql="""
+WITH b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
+SELECT event_id, ts, user_id AS service, event_type, value FROM events, b
+WHERE value < q1 - 1.5e0 * (q3 - q1) OR value > q3 + 1.5e0 * (q3 - q1)""")
+def outlying_rows(spark, folder):
+    """The same operator on a column that has a long tail."""
+    return q.outlying_rows(event_log(spark, folder), "value")
+
+
 @query("equator_month_profiles", views="casts", sql="""
 SELECT profile_id, float_id, profile_date, profile_lat, profile_lon FROM casts
 WHERE CAST(profile_date AS DATE) BETWEEN DATE '1998-03-01' AND DATE '1998-03-31' AND profile_lat BETWEEN -5 AND 5""",
@@ -207,12 +216,12 @@ c AS (SELECT count(*) AS n,
   count(*) FILTER (WHERE salinity < s1 - 1.5e0 * (s3 - s1) OR salinity > s3 + 1.5e0 * (s3 - s1)) AS s,
   count(*) FILTER (WHERE depth < d1 - 1.5e0 * (d3 - d1) OR depth > d3 + 1.5e0 * (d3 - d1)) AS d
   FROM readings, b),
-i AS (SELECT *, list_filter([
+i AS (SELECT *, [x FOR x IN [
   CASE WHEN gaps > 50 THEN printf('High missing data: %.1f%%', gaps)
        WHEN gaps > 20 THEN printf('Moderate missing data: %.1f%%', gaps) END,
   CASE WHEN t > n * 0.05e0 THEN printf('Potential outliers in temperature: %d values', t) END,
   CASE WHEN s > n * 0.05e0 THEN printf('Potential outliers in salinity: %d values', s) END,
-  CASE WHEN d > n * 0.05e0 THEN printf('Potential outliers in depth: %d values', d) END], x -> x IS NOT NULL) AS l
+  CASE WHEN d > n * 0.05e0 THEN printf('Potential outliers in depth: %d values', d) END] IF x IS NOT NULL] AS l
   FROM c),
 r AS (SELECT *, greatest(0e0, 1e0 - gaps / 100 - len(l) * 0.1e0) AS score FROM i)
 SELECT CASE WHEN score >= 0.95e0 THEN 'excellent' WHEN score >= 0.85e0 THEN 'good' WHEN score >= 0.70e0 THEN 'fair'

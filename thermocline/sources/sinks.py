@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+from ..functions.columns import fixed_text
 from ..operators.quality import quality_report
 
 # --- fixed values -----------------------------------------------------------------------------------------
@@ -54,12 +55,12 @@ def ascii_lines(m: DataFrame, ids: DataFrame | None = None, tie_key: str = "id")
     """Fixed-width data lines, with the time and depth they are ordered by."""
     rows = m if ids is None else m.join(ids.select("id").distinct(), "id", "left_semi")
 
-    def number(c: str, pattern: str):
-        return F.coalesce(F.when(F.col(c).isNotNull(), F.format_string(pattern, F.col(c))), F.lit(MISSING))
+    def number(c: str, digits: int):
+        return F.coalesce(F.when(F.col(c).isNotNull(), fixed_text(F.col(c), digits, 8)), F.lit(MISSING))
 
     line = F.concat_ws(
-        " ", F.date_format("time", "yyyy-MM-dd HH:mm:ss"), number("lat", "%8.3f"), number("lon", "%8.3f"),
-        number("depth", "%8.1f"), number("temperature", "%8.3f"), number("salinity", "%8.3f"),
+        " ", F.date_format("time", "yyyy-MM-dd HH:mm:ss"), number("lat", 3), number("lon", 3),
+        number("depth", 1), number("temperature", 3), number("salinity", 3),
     )
     return rows.select("time", "depth", tie_key, line.alias("value"))
 

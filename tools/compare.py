@@ -11,6 +11,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
@@ -27,7 +28,7 @@ def same(left, right) -> str | None:
     names = sorted(left.columns)
 
     def cell(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
         return repr(float(v)) if hasattr(v, "__float__") and not isinstance(v, str) else str(v)
 
