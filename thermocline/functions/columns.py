@@ -37,28 +37,33 @@ def safe_timestamp(value: Column) -> Column:
     return value.try_cast("timestamp_ntz")
 
 
-def _fixed(value: Column, digits: int) -> Column:
-    """``value`` moved onto the decimal that C and Python formatting would print with so many digits.
+def fixed_text(value: Column, digits: int, width: int = 0) -> Column:
+    """``%.<digits>f`` as C and Python print it, padded on the left to ``width``.
 
     Java rounds the shortest decimal text of a double half up; C and Python round its exact binary value.  The two
-    differ only near a tie, where the sign of the exact distance to the tie decides (the product is split into two
-    exact halves to get it).
+    differ near a tie, where the sign of the exact distance to the tie decides: the number is split into two halves
+    whose products are exact.  The text is put together from integers, which is also several times faster than the
+    built-in formatter; that one is left for numbers of sixteen digits and more.
     """
     scale = float(10**digits)
-    size = F.abs(value)
-    below = F.floor(size * scale).cast("double")
-    near = F.abs(size * scale - below - 0.5) < 1e-6
+    size = F.abs(F.coalesce(value, F.lit(0.0)))
+    product = F.least(size * scale, F.lit(4e15))
+    odd = F.rint(product - 0.5) * 2.0 + 1.0
     big = size * 134217729.0
     high = big - (big - size)
-    low = size - high
-    apart = (high * (2 * scale) - (below * 2 + 1)) + low * (2 * scale)
-    up = F.when(apart > 0, 1.0).when(apart < 0, 0.0).otherwise(below % 2)
-    return F.when(near, F.signum(value) * (below + up) / scale).otherwise(value)
-
-
-def fixed_text(value: Column, digits: int, width: int = 0) -> Column:
-    """``%.<digits>f`` with C rounding, padded on the left to ``width``."""
-    return F.format_string(f"%{width or ''}.{digits}f", _fixed(value, digits))
+    apart = F.signum(high * (2.0 * scale) - odd + (size - high) * (2.0 * scale))
+    tie = F.abs(product * 2.0 - odd) < 1e-6 + product * 1e-15
+    units = F.when(tie, F.rint((odd + apart * 0.5) / 2.0)).otherwise(F.rint(product)).cast("bigint")
+    small = size * scale < 4e15
+    sign = F.when(small & (value < 0), "-").when(small & (value >= 0), "")
+    if digits:
+        parts = [F.floor(units / int(scale)).cast("string"), F.lit("."),
+                 F.lpad((units % int(scale)).cast("string"), digits, "0")]
+    else:
+        parts = [units.cast("string")]
+    slow = F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
+    text = F.coalesce(F.concat(sign, *parts), slow)
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), " ") if width else text
 
 
 def scientific(value: Column, digits: int = 2) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.columns import fixed_text, n_rows
 
 TOP = 20
 QUERY_LIMIT = 1000
+UNROLLED = 128
 ABSENT = "not available"
 
 
@@ -103,8 +105,13 @@ def write_documents(documents: DataFrame, path: str, mode: str = "overwrite") ->
 def squared_distance(column: Column, vector: list[float]) -> Column:
     """Squared Euclidean distance to a literal vector, one generated expression without lambdas.
 
-    Terms are added in pairs, so the expression tree is as deep as the logarithm of the length.
+    Terms are added in pairs, so the expression tree is as deep as the logarithm of the length.  A vector too long
+    for one generated method goes through a lambda instead.
     """
+    if len(vector) > UNROLLED:
+        gaps = F.zip_with(column, F.array(*(F.lit(float(x)) for x in vector)),
+                          lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
+        return F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x)
     terms = []
     for i, x in enumerate(vector):
         gap = F.get(column, i).cast("double") - F.lit(float(x))
@@ -122,24 +129,63 @@ def vector_topk(documents: DataFrame, vector: list[float], k: int = TOP, key: st
     return near.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))  # k rows
 
 
+def _nearest_of_partition(asked: list[tuple], k: int, query_type):
+    """A task's k nearest documents of every query, from column batches of (key, vector)."""
+    import numpy as np
+    import pyarrow as pa
+
+    wanted = np.array([vector for _, vector in asked], dtype="float64")
+
+    def run(batches):
+        best: list = [None] * len(asked)
+        for batch in batches:
+            keys, vectors = batch.column(0), batch.column(1)
+            if not len(keys):
+                continue
+            rows = np.asarray(vectors.flatten(), dtype="float64").reshape(len(keys), -1)
+            for i, query in enumerate(wanted):
+                gap = rows - query
+                distance = np.einsum("ij,ij->i", gap, gap)
+                near = pa.table({"key": keys, "distance": pa.array(distance)})
+                if len(near) > k:
+                    near = near.filter(pa.array(distance <= np.partition(distance, k - 1)[k - 1]))
+                if best[i] is not None:
+                    near = pa.concat_tables([best[i], near])
+                best[i] = near.sort_by([("distance", "ascending"), ("key", "ascending")]).slice(0, k)
+        for (name, _), near in zip(asked, best):
+            if near is not None:
+                near = near.combine_chunks()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(near), type=query_type), *(near[c].combine_chunks() if near[c].num_chunks != 1
+                                                     else near[c].chunk(0) for c in ("key", "distance"))],
+                    names=["query", "key", "distance"])
+
+    return run
+
+
 def vector_topk_batch(documents: DataFrame, queries: DataFrame, k: int = TOP, key: str = "vec_id",
                       embedding: str = "embedding", query_key: str = "query_id") -> DataFrame:
     """The k nearest documents of every query vector.
 
-    The query vectors are few and are checked to be; they travel as literals.  Each task holds k rows per query
-    before anything is shuffled, because the rank filter is applied on both sides of the exchange.
+    The query vectors are few and are checked to be; they travel with the task.  A task compares its column batches
+    with all of them at once and hands on k rows per query, so the shuffle carries k rows per task and query.
     """
     asked = queries.select(query_key, "vector").limit(QUERY_LIMIT + 1).collect()  # bound: QUERY_LIMIT rows
     if len(asked) > QUERY_LIMIT:
         raise ValueError(f"more than {QUERY_LIMIT} query vectors; split the batch")
-    pairs = F.array(*(
-        F.struct(F.lit(q[query_key]).alias(query_key),
-                 squared_distance(F.col(embedding), q["vector"]).alias("distance"))
-        for q in asked
-    ))
-    scored = documents.select(key, F.inline(pairs))
-    spot = F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key))
-    return scored.withColumn("rank", spot).filter(F.col("rank") <= k)
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in ((query_key, queries), (key, documents))}
+    schema = f"query {kinds[query_key]}, key {kinds[key]}, distance double"
+    if not asked:
+        near = documents.sparkSession.createDataFrame([], schema)
+    else:
+        whole = F.size(embedding) == len(asked[0]["vector"])
+        near = documents.filter(whole).select(key, embedding).mapInArrow(
+            _nearest_of_partition(
+                [(q[query_key], list(q["vector"])) for q in asked], k, to_arrow_type(queries.schema[query_key].dataType)),
+            schema)
+    spot = F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))
+    best = near.withColumn("rank", spot).filter(F.col("rank") <= k)
+    return best.withColumnsRenamed({"query": query_key, "key": key})
 
 
 def hit_statistics(hits: DataFrame) -> DataFrame:

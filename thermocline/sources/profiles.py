@@ -99,11 +99,12 @@ def profile_level_counts(profiles: DataFrame, key: str = "profile_id") -> DataFr
 def float_dimension(profiles: DataFrame, as_of: dt.date) -> DataFrame:
     """One row per float: the first profile of the last file gives date and place.
 
-    ``profiles`` has float_id, wmo_id, file_seq, profile_seq, time, lat, lon.  A missing time becomes ``as_of``.
+    ``profiles`` has float_id, wmo_id, file_seq (of any type that can be ordered), profile_seq, time, lat, lon.  A
+    missing time becomes ``as_of``.
     """
     day = F.coalesce(F.to_date("time"), F.lit(as_of.isoformat()).cast("date"))
     row = F.struct("wmo_id", day.alias("day"), "lat", "lon")
-    first = F.min_by(row, F.struct(-F.col("file_seq"), F.col("profile_seq")))
+    first = F.max_by(row, F.struct(F.col("file_seq"), -F.col("profile_seq")))
     return profiles.groupBy("float_id").agg(first.alias("r")).select(
         "float_id", "r.wmo_id", F.col("r.day").alias("deployment_date"), F.col("r.lat").alias("deployment_lat"),
         F.col("r.lon").alias("deployment_lon"), F.lit("ACTIVE").alias("status"), F.col("r.day").alias("last_contact"),
@@ -129,3 +130,28 @@ def bgc_presence(df: DataFrame) -> DataFrame:
     if not {"oxygen", "ph", "chlorophyll", "nitrate"} <= set(df.columns):
         return df.agg(n_rows().alias("n")).select(F.lit(False).alias("has_bgc"))
     return df.agg(F.coalesce(F.bool_or(F.col("oxygen").isNotNull()), F.lit(False)).alias("has_bgc"))
+
+
+def profile_tables(raw: DataFrame, as_of: dt.date, first_id: int = 1) -> dict[str, DataFrame]:
+    """floats, profiles, measurements and rejects from rows that hold one profile each.
+
+    ``raw`` has file_seq, profile_seq, platform, cycle, juld, latitude, longitude and the level arrays.  Profile ids
+    run on from ``first_id`` in file and profile order.
+    """
+    from ..operators.order import with_rank
+
+    named = with_platform(raw).withColumnsRenamed({"juld": "time", "latitude": "lat", "longitude": "lon"})
+    ranked = with_rank(named, ["file_seq", "profile_seq"], "_n")
+    numbered = ranked.withColumn("profile_id", F.col("_n") + first_id)
+    levels = profile_level_counts(numbered)
+    cycle = F.coalesce(F.col("cycle"), F.col("profile_seq")).cast("int")
+    profiles = numbered.select(
+        "profile_id", "float_id", cycle.alias("cycle_number"), F.col("time").alias("profile_date"),
+        F.col("lat").alias("profile_lat"), F.col("lon").alias("profile_lon"),
+    ).join(levels, "profile_id")
+    return {
+        "floats": float_dimension(numbered, as_of),
+        "profiles": profiles,
+        "measurements": explode_profiles(numbered),
+        "rejects": rejected(numbered.withColumn("path", F.col("file_seq").cast("string"))),
+    }

@@ -8,7 +8,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,18 +51,15 @@ def within_limit(df: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
     return df
 
 
-def ascii_lines(m: DataFrame, ids: DataFrame | None = None, tie_key: str = "id") -> DataFrame:
-    """Fixed-width data lines, with the time and depth they are ordered by."""
-    rows = m if ids is None else m.join(ids.select("id").distinct(), "id", "left_semi")
-
-    def number(c: str, digits: int):
-        return F.coalesce(F.when(F.col(c).isNotNull(), fixed_text(F.col(c), digits, 8)), F.lit(MISSING))
+def ascii_line() -> Column:
+    """One fixed-width data line."""
+    def number(c: str, digits: int) -> Column:
+        return F.coalesce(fixed_text(F.col(c), digits, 8), F.lit(MISSING))
 
-    line = F.concat_ws(
-        " ", F.date_format("time", "yyyy-MM-dd HH:mm:ss"), number("lat", 3), number("lon", 3),
-        number("depth", 1), number("temperature", 3), number("salinity", 3),
+    return F.concat_ws(
+        " ", F.date_format("time", "yyyy-MM-dd HH:mm:ss"), number("lat", 3), number("lon", 3), number("depth", 1),
+        number("temperature", 3), number("salinity", 3),
     )
-    return rows.select("time", "depth", tie_key, line.alias("value"))
 
 
 def ascii_header(count: int, as_of: dt.datetime) -> list[str]:
@@ -78,15 +75,20 @@ def ascii_header(count: int, as_of: dt.datetime) -> list[str]:
 
 def export_ascii(m: DataFrame, ids: DataFrame | None = None, as_of: dt.datetime | None = None,
                  tie_key: str = "id") -> DataFrame:
-    """All lines of the text export in order: six comment lines, then the data."""
-    lines = ascii_lines(m, ids, tie_key)
-    count = (ids if ids is not None else lines).count()
-    head = m.sparkSession.createDataFrame(
-        list(enumerate(ascii_header(count, as_of or dt.datetime.now(dt.UTC)))), "line int, value string"
-    )
-    nothing = {n: F.lit(None).cast(lines.schema[n].dataType) for n in ("time", "depth", tie_key)}
-    both = head.withColumns(nothing).unionByName(lines.withColumn("line", F.lit(len(ascii_header(0, dt.datetime.min)))))
-    return both.orderBy("line", "time", "depth", tie_key).select("value")
+    """All lines of the text export in order: six comment lines, then the data.
+
+    Lines are written out after the sort, so the sort moves numbers instead of text.
+    """
+    rows = m if ids is None else m.join(ids.select("id").distinct(), "id", "left_semi")
+    rows = rows.select(tie_key, *CSV_COLUMNS)
+    count = (ids if ids is not None else rows).count()
+    header = ascii_header(count, as_of or dt.datetime.now(dt.UTC))
+    head = m.sparkSession.createDataFrame(list(enumerate(header)), "line int, comment string")
+    for field in rows.schema.fields:
+        head = head.withColumn(field.name, F.lit(None).cast(field.dataType))
+    both = head.unionByName(rows.withColumn("line", F.lit(len(header))), allowMissingColumns=True)
+    ordered = both.orderBy("line", "time", "depth", tie_key)
+    return ordered.select(F.when(F.col("line") < len(header), F.col("comment")).otherwise(ascii_line()).alias("value"))
 
 
 def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
