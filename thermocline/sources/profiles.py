@@ -72,7 +72,11 @@ def explode_profiles(profiles: DataFrame, carried=("profile_id", "float_id", "ti
         return empty.select("*", *(F.lit(None).cast("double").alias(n)
                                    for n in ("depth", *LEVEL_VARIABLES, *NEVER_MEASURED)))
     kept = {name: column for name, column in sources.items() if column is not None}
-    zipped = F.arrays_zip(*(F.col(column).alias(name) for name, column in kept.items()))
+    # a profile without one of the variables has no array for it; an empty one keeps the levels of the others
+    zipped = F.arrays_zip(*(
+        F.coalesce(F.col(column), F.array().cast(profiles.schema[column].dataType)).alias(name)
+        for name, column in kept.items()
+    ))
     rows = profiles.select(*carried, F.posexplode(zipped).alias("level", "_v"))
 
     def value(name: str) -> Column:

@@ -12,15 +12,20 @@ from pyspark.sql import functions as F
 from ..functions.columns import n_rows, safe_divide
 
 
+def _timed(events: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Watermarks want a timestamp with zone; a zone-less one is read in the session's."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
 def deduplicated(events: DataFrame, key: str = "event_id", ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Events without repeats of the same key within the watermark."""
-    return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    return _timed(events, ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def daily_counts(events: DataFrame, ts: str = "ts", delay: str = "1 day", width: str = "1 day") -> DataFrame:
     """Rows per day, emitted once a day can no longer change."""
     return (
-        events.withWatermark(ts, delay).groupBy(F.window(ts, width))
+        _timed(events, ts, delay).groupBy(F.window(ts, width))
         .agg(n_rows().alias("count")).select(F.col("window.start").alias("date"), "count")
     )
 
@@ -34,7 +39,7 @@ def recent_metrics(events: DataFrame, hit: Column, size: Column, ts: str = "ts",
                    width: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
     """Average time, hit rate, volume and newest value of every five minutes, each minute."""
     return (
-        events.withWatermark(ts, delay).groupBy(F.window(ts, width, slide))
+        _timed(events, ts, delay).groupBy(F.window(ts, width, slide))
         .agg(
             n_rows().alias("operations"), F.avg("value").alias("avg_time"),
             safe_divide(F.count_if(hit) * 100.0, n_rows()).alias("cache_hit_rate"), F.sum(size).alias("volume"),
