@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import left_closed_bin, n_rows, right_closed_bin, seconds
+from ..session import staged
 from .analytics import numeric_columns
 from .order import every_nth, head_rows
 
@@ -95,11 +96,12 @@ def smallest(df: DataFrame, quota, bucket: Column, order, by=()) -> DataFrame:
         c = row["_cut"]
         cut = marked.withColumn("_cut", F.struct(F.lit(c["_b"]).alias("_b"), F.lit(c["need"]).alias("need"),
                                                  F.lit(c["whole"]).alias("whole")))
-    inside = (F.col("_b") < F.col("_cut._b")) | ((F.col("_b") == F.col("_cut._b")) & F.col("_cut.whole"))
-    on_border = (F.col("_b") == F.col("_cut._b")) & ~F.col("_cut.whole")
+    # What lies beyond the border is dropped in the scan.  The rest is numbered bucket by bucket, which only matters
+    # in the border bucket; buckets are small and spread over all tasks.
+    rest = cut.filter(F.col("_b") <= F.col("_cut._b"))
     spot = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
-    chosen = cut.filter(on_border).withColumn("_r", spot).filter(F.col("_r") <= F.col("_cut.need")).drop("_r")
-    return cut.filter(inside).unionByName(chosen).drop("_b", "_cut")
+    keep = (F.col("_b") < F.col("_cut._b")) | F.col("_cut.whole") | (F.col("_r") <= F.col("_cut.need"))
+    return rest.withColumn("_r", spot).filter(keep).drop("_b", "_cut", "_r")
 
 
 def take_by_hash(df: DataFrame, n: int, key: str, by=(), seed: int = SEED) -> DataFrame:
@@ -189,18 +191,20 @@ def sample_importance(df: DataFrame, c: SamplingConfig) -> DataFrame:
     column = c.importance_column
     if column is None or column not in df.columns:
         return sample_random(df, c)
+    # one over a typical weight: it only spreads the buckets evenly
     if column in numeric_columns(df):
-        mean = df.select(F.avg(column)).first()[0]
+        mean, deviation = df.select(F.avg(column), F.stddev_samp(column)).first()
+        if mean is None:
+            return df.limit(0)
         weighted = df.withColumn("_w", F.abs(F.col(column) - F.lit(mean)))
+        typical = 1.0 / deviation if deviation else 1.0
     else:
-        counts = df.groupBy(column).agg(n_rows().alias("_f"))
+        counts = staged(df.groupBy(column).agg(n_rows().alias("_f")))
+        typical = counts.select(F.try_divide(F.sum(F.col("_f") * F.col("_f")), F.sum("_f"))).first()[0] or 1.0
         weighted = df.join(counts, column).withColumn("_w", 1.0 / F.col("_f")).drop("_f").select(*df.columns, "_w")
     scored = weighted.filter(F.col("_w") > 0).withColumn("_e", -F.log(hash_unit(c.key, c.seed)) / F.col("_w"))
-    middle = scored.select(F.percentile_approx("_e", 0.5, 1000)).first()[0]
-    if middle is None:
-        return df.limit(0)
-    spread = F.floor(F.col("_e") / (F.col("_e") + F.lit(middle or 1.0)) * 65535).cast("int")
-    return smallest(scored, c.target_size, spread, ["_e", c.key]).drop("_w", "_e")
+    bucket = F.floor(F.col("_e") / (F.col("_e") + F.lit(float(typical))) * 65535).cast("int")
+    return smallest(scored, c.target_size, bucket, ["_e", c.key]).drop("_w", "_e")
 
 
 STRATEGIES = {
