@@ -83,12 +83,17 @@ def test_seeded_files(spark):
 def test_normalise(spark):
     df = spark.createDataFrame([("1.5", "x", "2024-01-02", NAN)], "lat string, lon string, time string, depth double")
     r = files.normalise_columns(df).first()
-    assert (r["latitude"], r["longitude"], r["date"], r["depth"]) == (1.5, None, dt.datetime(2024, 1, 2), None) or (
-        r["lat"], r["lon"], r["depth"]) == (1.5, None, None)
+    assert (r["lat"], r["latitude"], r["longitude"], r["depth"]) == (1.5, 1.5, None, None)
+    assert r["date"] == r["time"] == dt.datetime(2024, 1, 2)
     kept = spark.createDataFrame([(1.0, 2.0)], "lat double, latitude double")
     assert files.normalise_columns(kept).first()["latitude"] == 2.0
 
 
+def test_read_bounded(spark):
+    got = files.read_bounded(spark.range(50).withColumn("lat", F.lit("1")), ["id"], 3).collect()
+    assert [(r["id"], r["lat"]) for r in got] == [(0, 1.0), (1, 1.0), (2, 1.0)]
+
+
 def test_schema_listing(spark):
     got = files.schema_listing({"b": spark.range(1), "a": spark.createDataFrame([], "x string, y double")}).collect()
     assert [(r["table_name"], r["column_name"], r["ordinal"]) for r in got] == [("a", "x", 1), ("a", "y", 2), ("b", "id", 1)]

@@ -75,6 +75,8 @@ def test_bracketed_quantiles(spark, case):
     for row in quantiles(df, ["v"], probs, names, by=["g"], built_in_limit=0, accuracy=200).collect():
         want = np.quantile(v[np.arange(len(v)) % 2 == row["g"]], probs)
         assert [row[n] for n in names] == pytest.approx(list(want))
+    narrowed = quantiles(df, ["v"], probs, names, built_in_limit=0, accuracy=50, inside_limit=20).first()
+    assert [narrowed[n] for n in names] == pytest.approx(list(np.quantile(v, probs)))
 
 
 def test_missing(spark):

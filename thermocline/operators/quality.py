@@ -16,10 +16,7 @@ from .quantiles import BUILT_IN_LIMIT, quantiles
 
 PLACES = ("latitude", "longitude", "depth")
 CHECKED = ("temperature", "salinity", "depth")
-
-
-def _flag_share(flags: tuple[int, ...]) -> Column:
-    return F.count_if(F.col("quality_flag").isin(*flags)) * 100.0 / n_rows()
+SCORES, LOWEST_SCORE = ((90, 5), (80, 4), (70, 3), (60, 2)), 1  # least share of good flags, score
 
 
 def _percent(title, share: Column) -> Column:
@@ -29,9 +26,10 @@ def _percent(title, share: Column) -> Column:
 
 
 def _score(good: Column) -> Column:
-    return (
-        F.when(good >= 90, 5).when(good >= 80, 4).when(good >= 70, 3).when(good >= 60, 2).otherwise(1)
-    )
+    chain = F
+    for least, score in SCORES:
+        chain = chain.when(good >= least, score)
+    return chain.otherwise(LOWEST_SCORE)
 
 
 def quality_score(df: DataFrame, by=()) -> DataFrame:
@@ -104,37 +102,41 @@ def iqr_outliers(df: DataFrame, columns=None, built_in_limit: int = BUILT_IN_LIM
 
 
 def quality_issues(df: DataFrame) -> DataFrame:
-    """Issue and recommendation rows of the whole assessment (flags, missing values, outliers)."""
-    rows = None
+    """Issue and recommendation rows of the whole assessment (flags, missing values, outliers).
 
-    def add(frame: DataFrame) -> None:
-        nonlocal rows
-        rows = frame if rows is None else rows.unionByName(frame)
-
-    def issue(title: str, share: Column) -> tuple[Column, Column]:
-        return F.lit("issue").alias("kind"), _percent(title, share).alias("message")
-
-    if "quality_flag" in df.columns:
-        flags = df.agg(_flag_share((4,)).alias("bad"), _flag_share((9,)).alias("gone"), n_rows().alias("n")).filter("n > 0")
-        add(flags.filter("bad > 10").select(*issue("High percentage of bad data", F.col("bad"))))
-        add(flags.filter("gone > 20").select(
-            *issue("High percentage of missing values", F.col("gone"))))
+    One pass counts flags and missing values, the outlier check takes its own two.  What reaches the driver is one
+    number per column and flag; the messages are made from those.
+    """
     columns = numeric_columns(df)
-    missing = missing_by_column(df, columns).filter("missing_percentage > 50")
-    add(missing.select(F.lit("issue").alias("kind"), _percent(
-        F.concat(F.lit("High missing data in "), "column"), F.col("missing_percentage")).alias("message")))
-    outliers = iqr_outliers(df, columns).filter("outlier_percentage > 5")
-    add(outliers.select(F.lit("issue").alias("kind"), _percent(
-        F.concat(F.lit("High outlier percentage in "), "column"), F.col("outlier_percentage")).alias("message")))
-    score = quality_score(df).filter((F.col("overall_score") < 3) & (F.col("total_records") > 0))
-    poor = score.select(F.lit("recommendation").alias("kind"),
-                        F.lit("Consider filtering out bad quality data before analysis").alias("message"))
-    empty = df.agg(n_rows().alias("n")).filter("n = 0").select(
-        F.lit("issue").alias("kind"), F.lit("No data available for quality assessment").alias("message"))
-    add(empty)
-    fine = rows.agg(n_rows().alias("n")).filter("n = 0").select(
-        F.lit("recommendation").alias("kind"), F.lit("Data quality appears good for analysis").alias("message"))
-    return rows.unionByName(poor).unionByName(fine)
+    flagged = "quality_flag" in df.columns
+    counts = [F.count(c).alias(f"_{c}") for c in columns]
+    if flagged:
+        counts += [F.count_if(F.col("quality_flag").isin(*flags)).alias(name)
+                   for name, flags in (("good", (1, 2)), ("bad", (4,)), ("gone", (9,)))]
+    row = df.agg(n_rows().alias("n"), *counts).first()
+    total, issues, advice = row["n"], [], []
+    score = 0
+    if total == 0:
+        issues.append("No data available for quality assessment")
+    else:
+        share = lambda count: count / total * 100
+        if flagged:
+            score = next((s for least, s in SCORES if share(row["good"]) >= least), LOWEST_SCORE)
+            if row["bad"] > total * 0.1:
+                issues.append(f"High percentage of bad data: {share(row['bad']):.1f}%")
+            if row["gone"] > total * 0.2:
+                issues.append(f"High percentage of missing values: {share(row['gone']):.1f}%")
+        for c in columns:
+            if share(total - row[f"_{c}"]) > 50:
+                issues.append(f"High missing data in {c}: {share(total - row[f'_{c}']):.1f}%")
+        for r in iqr_outliers(df, columns).filter("outlier_percentage > 5").collect():  # a row per column
+            issues.append(f"High outlier percentage in {r['column']}: {r['outlier_percentage']:.1f}%")
+        if score < 3:
+            advice.append("Consider filtering out bad quality data before analysis")
+        if not issues:
+            advice.append("Data quality appears good for analysis")
+    rows = [("issue", text) for text in issues] + [("recommendation", text) for text in advice]
+    return df.sparkSession.createDataFrame(rows, "kind string, message string")
 
 
 def table_quality(df: DataFrame, built_in_limit: int = BUILT_IN_LIMIT) -> DataFrame:

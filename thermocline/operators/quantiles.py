@@ -2,7 +2,8 @@
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one place.  Up to a row limit that is
 the fastest way.  Beyond it, a quantile sketch with a guaranteed rank error gives a narrow bracket around each
-quantile; rows below the bracket are only counted, and only the few values inside it are ordered.
+quantile; rows below the bracket are only counted.  Brackets are narrowed until few rows are left inside, and only
+those are ordered.  A value that repeats very often is one counted row.
 """
 
 from __future__ import annotations
@@ -10,7 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUILT_IN_LIMIT = 20_000_000
+from ..session import staged
+
+BUILT_IN_LIMIT = 2_000_000  # rows; the built-in function holds the distinct values of a group in one task
+INSIDE_LIMIT = 2_000_000  # rows a bracket may hold before it is narrowed further
+SMALL_TABLE = 10_000  # bracket rows that may be broadcast
+GRID = 200
 
 
 def _long(df: DataFrame, columns, by) -> DataFrame:
@@ -26,7 +32,7 @@ def _built_in(df: DataFrame, columns, probs, by) -> DataFrame:
     return wide.select(*by, F.inline(cells)).filter(F.col("_q").isNotNull())
 
 
-def _bracketed(df: DataFrame, columns, probs, by, accuracy: int) -> DataFrame:
+def _bracketed(df: DataFrame, columns, probs, by, accuracy: int, inside_limit: int) -> DataFrame:
     keys = [*by, "parameter"]
     values = _long(df, columns, by)
     slack = 2.0 / accuracy
@@ -49,13 +55,31 @@ def _bracketed(df: DataFrame, columns, probs, by, accuracy: int) -> DataFrame:
             for i, p in enumerate(probs)
         )
     )
-    brackets = sketch.select(*keys, F.inline(ends))
-    # every (value, bracket) pair is at most k per value, and is reduced to a count before the shuffle:
-    # one counter for everything below the bracket, one per distinct value inside it
+    brackets = staged(sketch.select(*keys, F.inline(ends)))  # one row per group, column and probability
+    while True:
+        few = brackets.count() <= SMALL_TABLE
+        near = values.join(F.broadcast(brackets) if few else brackets, keys).filter(F.col("value") <= F.col("hi"))
+        inside = F.count_if(F.col("value") >= F.col("lo"))
+        sized = staged(near.groupBy(*keys, "i", "at", "lo", "hi").agg(
+            inside.alias("inside"), F.count_if(F.col("value") < F.col("lo")).alias("below"),
+            F.percentile_approx(F.when(F.col("value") >= F.col("lo"), F.col("value")),
+                                F.array(*(F.lit(g / GRID) for g in range(GRID + 1))), 20 * GRID).alias("grid")))
+        wide = (F.col("inside") > inside_limit) & (F.col("lo") < F.col("hi"))
+        narrower = sized.withColumn("share", (F.col("at") - F.col("below")) / F.col("inside") * GRID)
+        low = F.greatest(F.floor("share").cast("int") - 1, F.lit(0))
+        high = F.least(F.ceil("share").cast("int") + 2, F.lit(GRID))
+        moved = narrower.select(
+            *keys, "i", "at",
+            F.when(wide & (low > 0), F.get("grid", low)).otherwise(F.col("lo")).alias("lo"),
+            F.when(wide & (high < GRID), F.get("grid", high)).otherwise(F.col("hi")).alias("hi"), "lo", "hi",
+        ).toDF(*keys, "i", "at", "lo", "hi", "lo0", "hi0")
+        if moved.filter("lo > lo0 OR hi < hi0").isEmpty():
+            break
+        brackets = staged(moved.drop("lo0", "hi0"))
+    # every (value, bracket) pair is reduced to a count before the shuffle: one counter for everything below the
+    # bracket, one per distinct value inside it
     placed = (
-        values.join(brackets, keys)
-        .filter(F.col("value") <= F.col("hi"))
-        .withColumn("inside", F.when(F.col("value") >= F.col("lo"), F.col("value")))
+        near.withColumn("inside", F.when(F.col("value") >= F.col("lo"), F.col("value")))
         .groupBy(*keys, "i", "at", "inside")
         .agg(F.count(F.lit(1)).alias("c"))
     )
@@ -78,9 +102,10 @@ def _bracketed(df: DataFrame, columns, probs, by, accuracy: int) -> DataFrame:
 
 
 def quantiles(df: DataFrame, columns, probs, names, by=(), built_in_limit: int = BUILT_IN_LIMIT,
-              accuracy: int = 20_000) -> DataFrame:
+              accuracy: int = 20_000, inside_limit: int = INSIDE_LIMIT) -> DataFrame:
     """One row per group and column (``parameter``) with one output column per probability."""
     columns, by = list(columns), list(by)
     small = built_in_limit > 0 and df.count() <= built_in_limit
-    found = _built_in(df, columns, probs, by) if small else _bracketed(df, columns, probs, by, accuracy)
+    found = _built_in(df, columns, probs, by) if small else _bracketed(
+        df, columns, probs, by, accuracy, inside_limit)
     return found.select(*by, "parameter", *(F.col("_q")[i].alias(name) for i, name in enumerate(names)))

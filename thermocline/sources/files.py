@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import nan_to_null, safe_float, safe_timestamp
-from ..functions.columns import month_of
+from ..functions.columns import month_of, nan_to_null, safe_float, safe_timestamp
+from ..operators.order import head_rows
 
-FILE_LIMIT, SEED = 250, 42
+FILE_LIMIT, COLLECTION_LIMIT, SEED = 250, 5000, 42
 NUMERIC = ("lat", "lon", "latitude", "longitude", "depth", "temperature", "salinity", "oxygen", "ph", "chlorophyll",
            "pressure")
 
@@ -94,11 +94,17 @@ def normalise_columns(df: DataFrame) -> DataFrame:
     return named.withColumns(fixed) if fixed else named
 
 
+def read_bounded(df: DataFrame, order, limit: int = COLLECTION_LIMIT) -> DataFrame:
+    """The first rows of a stored collection with normalised columns."""
+    return normalise_columns(head_rows(df, order, limit))
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", by_month: str | None = None,
                 sort: tuple[str, ...] = ()) -> None:
     """A table laid out by month, sorted inside its files so that readers can skip row groups.
 
-    Rows are spread by month and by a hash, so a month that holds most rows is written by many tasks.
+    Rows are range-partitioned by month and a hash: tasks get equal shares, small months share a task, and a month
+    that holds most rows is written by many.
     """
     if by_month is None:
         rows = df.sortWithinPartitions(*sort) if sort else df
@@ -106,8 +112,7 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", by_month: str
         return
     monthly = df.withColumn("month", F.date_format(month_of(F.col(by_month)), "yyyy-MM"))
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(16))
-    rows = monthly.repartition(spread, F.col("month"), salt).sortWithinPartitions("month", *sort)
+    rows = monthly.repartitionByRange(spread, "month", F.xxhash64(*df.columns)).sortWithinPartitions("month", *sort)
     rows.write.mode(mode).partitionBy("month").parquet(path)
 
 
