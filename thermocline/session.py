@@ -16,17 +16,24 @@ SETTINGS = {
     "spark.ui.enabled": "false",
 }
 
+# Settings a running session can still take, each with Spark's own default.
+#
 # The JVM does not compile methods of more than 8000 bytecodes.  A fused stage above that runs interpreted, several
 # times slower than its operators one by one, so such stages are better not fused (a four-fold gain on text columns).
-METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
-SETTINGS[METHOD_LIMIT[0]] = METHOD_LIMIT[1]
+#
+# Splitting a hot join key is worth another shuffle when an aggregate follows on the same key.
+RUNTIME = {
+    "spark.sql.codegen.hugeMethodLimit": ("65535", "8000"),
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": ("false", "true"),
+}
+SETTINGS.update({name: value for name, (_, value) in RUNTIME.items()})
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Set the method limit in a session this library did not build, unless somebody chose another value."""
-    name, value = METHOD_LIMIT
-    if spark.conf.get(name) == "65535":  # Spark's own default
-        spark.conf.set(name, value)
+    """Apply the runtime settings to a session this library did not build, leaving values somebody chose."""
+    for name, (default, value) in RUNTIME.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, value)
     return spark
 
 
