@@ -16,7 +16,8 @@ _LAT = "CAST((o_custkey * 37) % 121 - 70 AS DOUBLE) + CAST(o_orderkey % 10 AS DO
 _LON = "CAST((o_custkey * 53) % 361 - 180 AS DOUBLE) + CAST(o_orderkey % 10 AS DOUBLE) / 10e0"
 
 _READINGS = """
-       concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
+       concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                 CAST(round(l_extendedprice * 100) AS BIGINT)) AS id,
        l_orderkey AS profile_id,
        l_quantity * 40 AS depth,
        l_quantity * 40 * 1.025e0 AS pressure,
