@@ -285,22 +285,23 @@ def sample_quality(df: DataFrame, sampled: DataFrame, columns=None) -> DataFrame
     if not columns:
         return sampled.agg(F.when(n_rows() == 0, 0.0).otherwise(0.5).alias("quality_score"))
 
-    def facts(frame: DataFrame, tag: str) -> DataFrame:
-        return frame.agg(n_rows().alias(f"{tag}n"), *(
+    def facts(frame: DataFrame) -> DataFrame:
+        return frame.agg(n_rows().alias("n"), *(
             F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s"),
-                     (F.max(c) - F.min(c)).cast("double").alias("r")).alias(f"{tag}{i}")
-            for i, c in enumerate(columns)))
+                     (F.max(c) - F.min(c)).cast("double").alias("r")).alias(f"c{i}")
+            for i, c in enumerate(columns))).select(F.struct("*").alias("facts"))
 
-    both = df.sparkSession.sql("SELECT * FROM {a}, {b}", a=facts(df, "a"), b=facts(sampled, "b"))  # one row each
+    both = df.sparkSession.sql("SELECT (SELECT facts FROM {a}) AS a, (SELECT facts FROM {b}) AS b",
+                               a=facts(df), b=facts(sampled))
     tiny, scores = F.lit(1e-10), []
     for i in range(len(columns)):
-        a, b = F.col(f"a{i}"), F.col(f"b{i}")
+        a, b = F.col(f"a.c{i}"), F.col(f"b.c{i}")
         mean = 1.0 - F.abs(a["m"] - b["m"]) / (F.abs(a["m"]) + tiny)
         spread = 1.0 - F.abs(a["s"] - b["s"]) / (F.abs(a["s"]) + tiny)
         reach = F.least(a["r"], b["r"]) / (F.greatest(a["r"], b["r"]) + tiny)
         scores.append(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (mean + spread + reach) / 3)))
     total = sum(scores[1:], scores[0]) / float(len(scores))
-    return both.select(F.when(F.col("bn") == 0, 0.0).otherwise(total).alias("quality_score"))
+    return both.select(F.when(F.col("b.n") == 0, 0.0).otherwise(total).alias("quality_score"))
 
 
 def sample_report(df: DataFrame, sampled: DataFrame, c: SamplingConfig) -> DataFrame:
