@@ -45,4 +45,4 @@ def test_entry(spark):
     entry = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(entry)
     assert entry.entry(spark).count() == 50
-    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(SQL)
+    assert set(entry.queries()) >= set(QUERIES) and set(entry.oracle_sql()) >= set(SQL)
