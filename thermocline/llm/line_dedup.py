@@ -9,6 +9,7 @@ from ..session import durable
 from .common import table, text_key
 
 SHORTEST_NEAR = 20  # characters; shorter lines are compared for equality only
+SECTIONS = 8
 BROADCAST_LINES = 500_000  # pairs of hashes: about 30 MB as a hash table
 BLANK = " \t\r\x0b\x0c"
 
@@ -29,40 +30,52 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")})
 
 
-def _halves(line: Column) -> Column:
-    """Hashes of the halves that two lines one edit apart must share.
+def _sections(line: Column, m: int) -> Column:
+    """What stays of a line around each of ``m`` sections: array of (key, longer, start, stop).
 
-    Cut the shorter one in the middle: the edit touches one side only, so the lines agree in their first or in their last
-    ``half`` characters.  A line may be the shorter or the longer one, hence the second ``half``.
+    Cut the shorter of two lines one edit apart into ``m`` sections: the edit touches one of them only, so the lines agree
+    before it, counted from the start, and after it, counted from the end.  A line may be the shorter one or as long as
+    its partner (longer false), or have one character more (longer true).  The section is line[start:stop].
     """
-    n = F.length(line)
-    keys = [F.xxhash64(F.lit(side), half, F.left(line, half) if side == "first" else F.right(line, half))
-            for half in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")) for side in ("first", "last")]
-    return F.when(n >= SHORTEST_NEAR - 1, F.array_distinct(F.array(*keys)))
+    size = F.length(line)
+
+    def around(longer: bool, k: int) -> Column:
+        n = size - 1 if longer else size
+        start, after = F.floor(n * k / m).cast("int"), n - F.floor(n * (k + 1) / m).cast("int")
+        key = F.xxhash64(F.lit(k), n, F.left(line, start), F.right(line, after))
+        return F.struct(key.alias("key"), F.lit(longer).alias("longer"), start.alias("start"), (size - after).alias("stop"))
+
+    return F.array(*[around(longer, k) for longer in (False, True) for k in range(m)])
 
 
 def distinct_lines(named: DataFrame) -> DataFrame:
     """One row per different line: (h1, h2, first = (doc_id, text_hash, line_no) of its earliest place, places, halves)."""
-    rows = named.select("h1", "h2", F.struct("doc_id", "text_hash", "line_no").alias("at"), _halves(F.col("line")).alias("halves"))
+    halves = F.when(F.length("line") >= SHORTEST_NEAR - 1, F.transform(_sections(F.col("line"), 2), lambda s: s["key"]))
+    rows = named.select("h1", "h2", F.struct("doc_id", "text_hash", "line_no").alias("at"), halves.alias("halves"))
     return rows.groupBy("h1", "h2", "halves").agg(F.min("at").alias("first"), F.count("*").alias("places"))
 
 
-def _variants(line: Column) -> Column:
-    """The line itself (place -1) and the line without each of its characters, as (place, hash)."""
-    whole = F.array(F.struct(F.lit(-1).alias("place"), F.xxhash64(line).alias("variant")))
-    n = F.length(line)
+def _variants(key: Column, part: Column, longer: Column) -> Column:
+    """The section without each of its characters and, unless it is the longer one, as it is: array of (place, hash).
+
+    The place is the lost character's, -1 for a whole section and -2 for any cut of a longer one.
+    """
+    n = F.length(part)
+    whole = F.when(longer, F.lit(None)).otherwise(F.struct(F.lit(-1).alias("place"), F.xxhash64(key, part).alias("hash")))
     cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
-        (i - 1).alias("place"), F.xxhash64(F.concat(F.left(line, i - 1), F.right(line, n - i))).alias("variant")))
-    return F.concat(whole, cut)
+        F.when(longer, F.lit(-2)).otherwise(i - 1).alias("place"),
+        F.xxhash64(key, F.concat(F.left(part, i - 1), F.substr(part, i + 1))).alias("hash")))
+    return F.array_compact(F.concat(F.array(whole), F.when(n > 0, cut).otherwise(F.slice(cut, 1, 0))))
 
 
 def near_lines(named: DataFrame, distinct: DataFrame, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """Lines with an earlier line one edit away: (h1, h2), each once.
 
-    Only lines that share a half with another line can have a partner; they alone emit variants.  Lines that agree
-    after losing the character at the same place differ in that character; a line equal to another one's variant is that
-    line shortened.  So each line meets the earliest line of its variant, never all of them, and no pair is lost: whoever
-    has an earlier partner has the earliest one as a candidate.  Candidates are verified on their texts.
+    Only lines that agree with another one outside of a half, and then outside of a section, can have a partner; they alone
+    emit the deletion variants of that section.  Lines with the same variant that lost the character at the same place
+    differ in that character; a line equal to another one's variant is that line shortened.  So each line meets the
+    earliest line of its variant, never all of them, and no pair is lost: whoever has an earlier partner has the
+    earliest one as a candidate.  Candidates are verified on their texts.
     """
     keyed = distinct.filter(F.col("halves").isNotNull()).select("h1", "h2", "first", F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").count().filter("count > 1").select("half")
@@ -72,22 +85,26 @@ def near_lines(named: DataFrame, distinct: DataFrame, broadcast_lines: int = BRO
     picked = named.join(F.broadcast(left) if small else left, ["h1", "h2"]).filter(at == F.col("first"))
     texts = durable(picked.select("h1", "h2", "line", "first").distinct())
 
-    rows = texts.select("h1", "h2", "first", F.explode(_variants(F.col("line"))).alias("v"))
-    rows = rows.select("h1", "h2", "first", "v.place", "v.variant")
+    parts = texts.select("h1", "h2", "first", "line", F.explode(_sections(F.col("line"), SECTIONS)).alias("s")).select(
+        "h1", "h2", "first", "s.key", "s.longer",
+        F.substring(F.col("line"), F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")).alias("part"))
+    agree = parts.groupBy("key").count().filter("count > 1").select("key")
+    parts = durable(parts.join(agree, "key", "left_semi"))
+    rows = parts.select("h1", "h2", "first", F.explode(_variants(F.col("key"), F.col("part"), F.col("longer"))).alias("v"))
+    rows = rows.select("h1", "h2", "first", "v.place", F.col("v.hash").alias("variant"))
     me = F.struct("first", "h1", "h2")
-    same_cut, same_text = Window.partitionBy("variant", "place"), Window.partitionBy("variant")
-    cut = F.col("place") >= 0
-    met = rows.select("*", F.min(F.when(cut, me)).over(same_cut).alias("swapped")).select(
-        "*", F.max(F.when(~cut, me)).over(same_text).alias("shorter"), F.min(F.when(cut, me)).over(same_text).alias("longer"))
-    other = F.explode(F.array_compact(F.array(F.when(cut, F.col("swapped")), F.when(cut, F.col("shorter")),
-                                              F.when(~cut, F.col("longer")))))
+    same_text, same_cut = Window.partitionBy("variant"), Window.partitionBy("variant", "place")
+    swap = F.col("place") >= 0
+    met = rows.select("*", F.min(F.when(F.col("place") == -1, me)).over(same_text).alias("shorter"),
+                      F.min(F.when(F.col("place") == -2, me)).over(same_text).alias("longer"))
+    met = met.select("*", F.min(F.when(swap, me)).over(same_cut).alias("swapped"))
+    other = F.when(swap, F.col("swapped")).when(F.col("place") == -1, F.col("longer")).otherwise(F.col("shorter"))
     pairs = met.select("h1", "h2", "first", other.alias("o")).filter(F.col("o.first") < F.col("first"))
     pairs = pairs.select("h1", "h2", F.col("o.h1").alias("g1"), F.col("o.h2").alias("g2")).distinct()
     mine = texts.select("h1", "h2", "line")
     theirs = texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("earlier"))
     both = pairs.join(mine, ["h1", "h2"]).join(theirs, ["g1", "g2"])
-    long_enough = F.least(F.length("line"), F.length("earlier")) >= SHORTEST_NEAR - 1
-    long_enough &= F.greatest(F.length("line"), F.length("earlier")) >= SHORTEST_NEAR
+    long_enough = F.greatest(F.length("line"), F.length("earlier")) >= SHORTEST_NEAR
     return both.filter(long_enough & (F.levenshtein("line", "earlier", 1) == 1)).select("h1", "h2").distinct()
 
 
