@@ -203,9 +203,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     One scan, no shuffle; the model is a few kilobytes.  Null texts are empty, empty texts get the leak.
     """
-    spans = "array<struct<number:int,start:int,stop:int,score:double>>"
-    names = docs.columns
-    read = docs.select(F.struct(*names).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("tox_text"))
+    others = [c for c in docs.columns if c != "text"]
+    read = docs.select(F.struct(*others).alias("row"), "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _Lookup({f: i for i, f in enumerate(model.weights)})
@@ -213,13 +212,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         kind = pa.list_(pa.struct([("number", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
         keys = ("number", "start", "stop", "score")
         for batch in batches:
-            found = [_scored(t, model, weights, lookup, plain) for t in batch.column("tox_text").to_pylist()]
+            found = [_scored(t or "", model, weights, lookup, plain) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                batch.column("row"), pa.array([s for s, _ in found], pa.float64()),
-                pa.array([[dict(zip(keys, h)) for h in hits] for _, hits in found], kind)], ["row", "tox_score", "tox_sentences"])
+                batch.column("row"), batch.column("text"), pa.array([s for s, _ in found], pa.float64()),
+                pa.array([[dict(zip(keys, h)) for h in hits] for _, hits in found], kind)],
+                ["row", "text", "tox_score", "tox_sentences"])
 
-    schema = f"row {read.schema['row'].dataType.simpleString()}, tox_score double, tox_sentences {spans}"
-    return read.mapInArrow(apply, schema).select("row.*", "tox_score", "tox_sentences")
+    spans = "array<struct<number:int,start:int,stop:int,score:double>>"
+    schema = f"row {read.schema['row'].dataType.simpleString()}, text string, tox_score double, tox_sentences {spans}"
+    scored = read.mapInArrow(apply, schema)
+    return scored.select(*["text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns],
+                         "tox_score", "tox_sentences")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
