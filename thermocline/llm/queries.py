@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import OP1_SQL, op1_decontamination
+from .embedding_dedup import op6_embedding_dedup
+from .language_model import op5_lm_scoring
 from .licenses import OP10_SQL, op10_licenses
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .near_dedup import op2_near_dedup
@@ -16,7 +18,7 @@ from .toxicity import op9_toxicity
 from .token_counts import op7_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_decontamination, op2_near_dedup, op3_mixing, op4_secret_scan, op7_token_counts, op8_line_dedup, op9_toxicity,
+    op1_decontamination, op2_near_dedup, op3_mixing, op4_secret_scan, op5_lm_scoring, op6_embedding_dedup, op7_token_counts, op8_line_dedup, op9_toxicity,
     op10_licenses)}
 
 SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_mixing": OP3_SQL, "op4_secret_scan": OP4_SQL, "op8_line_dedup": OP8_SQL,
