@@ -48,10 +48,17 @@ def _sections(line: Column, m: int) -> Column:
     return F.array(*[around(longer, k) for longer in (False, True) for k in range(m)])
 
 
+def _halves(line: Column) -> Column:
+    """``_sections`` for two sections, reduced to the part that stays: the first or the last half, for both lengths."""
+    n = F.length(line)
+    keys = [F.xxhash64(F.lit(side), half, F.left(line, half) if side == "first" else F.right(line, half))
+            for half in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")) for side in ("first", "last")]
+    return F.when(n >= SHORTEST_NEAR - 1, F.array_distinct(F.array(*keys)))
+
+
 def distinct_lines(named: DataFrame) -> DataFrame:
     """One row per different line: (h1, h2, first = (doc_id, text_hash, line_no) of its earliest place, places, halves)."""
-    halves = F.when(F.length("line") >= SHORTEST_NEAR - 1, F.transform(_sections(F.col("line"), 2), lambda s: s["key"]))
-    rows = named.select("h1", "h2", F.struct("doc_id", "text_hash", "line_no").alias("at"), halves.alias("halves"))
+    rows = named.select("h1", "h2", F.struct("doc_id", "text_hash", "line_no").alias("at"), _halves(F.col("line")).alias("halves"))
     return rows.groupBy("h1", "h2", "halves").agg(F.min("at").alias("first"), F.count("*").alias("places"))
 
 
