@@ -18,17 +18,19 @@ from .common import remainder, table, text_key
 
 FOLDS = 10
 SMOOTHING = 0.1
-VOCABULARY = 1_600  # words with an output of their own, the end of a text among them
+VOCABULARY = 1_024  # words with an output of their own, the end of a text among them
 HOT_WORDS = 200_000  # words whose counts travel to the tasks; the rest meet theirs in a join
-HIDDEN = 16
-WINDOW = 16  # steps of truncated backpropagation
-LANES = 256  # texts processed side by side
+HIDDEN = 12
+WINDOW_TOKENS = 16_384  # a window has about as many tokens, and so more steps when few lanes are left,
+SHORTEST, LONGEST = 16, 64  # but in training, where it also truncates backpropagation, between so many steps
+LANES = 512  # texts processed side by side
 GROUP_TOKENS = 3_000_000  # tokens gathered before they are laid out in lanes
 ROUNDS = 2  # averagings in the one pass over the training texts
 RATE = 0.08
 FLUSH = 200_000  # different words a task counts before it hands them on
 BLOCK = 8_192  # parameters averaged by one group
 SEED = 5
+STEEPEST = np.float32(60)  # no logit is above it; shares are normalised, so sums stay finite without looking for the largest
 END = ""  # stands for the end of a text; no word is empty
 
 
@@ -103,6 +105,15 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-x))
 
 
+def _softmax(logits, rows, picked):
+    """Log probability of one entry per row, and the sums; ``logits`` become their exponentials."""
+    np.minimum(logits, STEEPEST, out=logits)
+    chosen = logits[rows, picked]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], np.float32)
+    return chosen - np.log(total), total
+
+
 class Network:
     """Gated recurrent units over word inputs; class of the next word, then the word within its class.
 
@@ -121,8 +132,9 @@ class Network:
         share = np.zeros(v.classes * size)
         share[:v.outputs] = v.counts[:v.outputs] + SMOOTHING
         share = share.reshape(v.classes, size)
-        within = np.where(share > 0, np.log(np.maximum(share, 1e-30)), -60.0)
-        of_class = np.log(np.maximum(np.append(share.sum(axis=1), v.rare_total), SMOOTHING))
+        sums = np.append(share.sum(axis=1), v.rare_total)
+        within = np.log(np.maximum(share, 1e-26) / np.maximum(sums[:-1, None], SMOOTHING))
+        of_class = np.log(np.maximum(sums, SMOOTHING) / sums.sum())
         draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         return cls(v.outputs, v.classes, {
             "table": draw(v.outputs + 1, 3 * hidden), "gates": draw(hidden, 2 * hidden), "new": draw(hidden, hidden),
@@ -133,12 +145,12 @@ class Network:
         """Hidden states (steps, lanes, hidden) after reading ``inputs``; ``fresh`` marks the first word of a text."""
         p, n = self.p, h.shape[1]
         states = np.empty((*inputs.shape, n), np.float32)
+        rows, going = p["table"][inputs], (~fresh).astype(np.float32)[:, :, None]
         for t in range(len(inputs)):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            x = p["table"][inputs[t]]
-            gates = _sigmoid(x[:, :2 * n] + h @ p["gates"])
+            h = h * going[t]
+            gates = _sigmoid(rows[t, :, :2 * n] + h @ p["gates"])
             past = h @ p["new"]
-            new = np.tanh(x[:, 2 * n:] + gates[:, n:] * past)
+            new = np.tanh(rows[t, :, 2 * n:] + gates[:, n:] * past)
             if keep is not None:
                 keep.append((h, gates, past, new))
             h = new + gates[:, :n] * (h - new)
@@ -153,16 +165,13 @@ class Network:
         p, classes = self.p, np.minimum(targets // self.size, self.classes)
         classes = np.where(targets >= self.outputs, self.classes, classes)
         rows = np.arange(len(targets))
-        logits = states @ p["class_w"] + p["class_b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
-        found = logits[rows, classes] - np.log(total)
+        e = states @ p["class_w"] + p["class_b"]
+        found, total = _softmax(e, rows, classes)
         back = None
         if grad is not None:
             e /= total[:, None]
             e[rows, classes] -= 1
-            grad["class_w"], grad["class_b"], back = states.T @ e, e.sum(axis=0), e @ p["class_w"].T
+            grad["class_w"], grad["class_b"], back = states.T @ e, np.ones(len(e), np.float32) @ e, e @ p["class_w"].T
             grad["word_w"], grad["word_b"] = np.zeros_like(p["word_w"]), np.zeros_like(p["word_b"])
         order = np.argsort(classes, kind="stable")
         ends = np.searchsorted(classes[order], np.arange(self.classes + 1))
@@ -171,15 +180,13 @@ class Network:
             if not len(here):
                 continue
             s, inside, k = states[here], targets[here] - c * self.size, np.arange(len(here))
-            logits = s @ p["word_w"][c] + p["word_b"][c]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1)
-            found[here] += logits[k, inside] - np.log(total)
+            e = s @ p["word_w"][c] + p["word_b"][c]
+            log, total = _softmax(e, k, inside)
+            found[here] += log
             if grad is not None:
                 e /= total[:, None]
                 e[k, inside] -= 1
-                grad["word_w"][c], grad["word_b"][c] = s.T @ e, e.sum(axis=0)
+                grad["word_w"][c], grad["word_b"][c] = s.T @ e, np.ones(len(e), np.float32) @ e
                 back[here] += e @ p["word_w"][c].T
         return found, back
 
@@ -195,7 +202,7 @@ class Network:
         outer = outer.reshape(states.shape)
         d_gates, d_new = np.zeros_like(p["gates"]), np.zeros_like(p["new"])
         d_rows = np.empty((*inputs.shape, 3 * n), np.float32)
-        later = np.zeros_like(h)
+        later, going = np.zeros_like(h), (~fresh).astype(np.float32)[:, :, None]
         for t in range(len(inputs) - 1, -1, -1):
             before, gates, past, new = kept[t]
             z, r = gates[:, :n], gates[:, n:]
@@ -206,8 +213,7 @@ class Network:
             d_rows[t, :, :2 * n], d_rows[t, :, 2 * n:] = d_gate, d_tanh
             d_gates += before.T @ d_gate
             d_new += before.T @ d_past
-            later = d * z + d_gate @ p["gates"].T + d_past @ p["new"].T
-            later = np.where(fresh[t][:, None], np.float32(0), later)
+            later = (d * z + d_gate @ p["gates"].T + d_past @ p["new"].T) * going[t]
         grad["gates"], grad["new"] = d_gates, d_new
         for k in grad:
             grad[k] = grad[k] / max(len(flat), 1)
@@ -228,32 +234,36 @@ def lanes(lengths: list[int], width: int = LANES) -> list[list[int]]:
     return sorted(dealt, key=lambda lane: -sum(lengths[i] for i in lane))
 
 
-def windows(texts: list[np.ndarray], steps: int = WINDOW):
-    """(inputs, fresh, targets, real, owner) of consecutive windows over the lanes.
+def windows(texts: list[np.ndarray], longest: int | None = None):
+    """(inputs, fresh, targets, real, owner) of consecutive windows over the lanes, each (steps, lanes).
 
     ``texts`` are word numbers ending with the end, 0, which is also what the first word follows.  Lanes that have run
     out leave; what is left of a window is marked as not real.
     """
-    dealt = lanes([len(t) for t in texts])
-    rows = [np.concatenate([texts[i] for i in lane]) for lane in dealt if lane]
-    owners = [np.repeat(np.array(lane), [len(texts[i]) for i in lane]) for lane in dealt if lane]
-    longest = len(rows[0]) if rows else 0
-    for start in range(0, longest, steps):
-        live = [k for k in range(len(rows)) if len(rows[k]) > start]
-        shape = (min(steps, longest - start), len(live))
-        targets, owner, real = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, bool)
-        inputs, fresh = np.zeros(shape, np.int64), np.zeros(shape, bool)
-        for c, k in enumerate(live):
-            part, own = rows[k][start:start + steps], owners[k][start:start + steps]
-            n = len(part)
-            targets[:n, c], owner[:n, c], real[:n, c] = part, own, True
-            inputs[1:n, c] = part[:-1]
-            inputs[0, c] = rows[k][start - 1] if start else 0
-            first = np.empty(n, bool)
-            first[1:] = own[1:] != own[:-1]
-            first[0] = start == 0 or owners[k][start - 1] != own[0]
-            fresh[:n, c] = first
-        yield np.where(fresh, 0, inputs), fresh, targets, real, owner
+    dealt = [lane for lane in lanes([len(t) for t in texts]) if lane]
+    if not dealt:
+        return
+    sizes = np.array([sum(len(texts[i]) for i in lane) for lane in dealt])
+    steps = int(sizes[0])
+    targets = np.zeros((len(dealt), steps), np.int32)
+    owner = np.full((len(dealt), steps), -1, np.int32)
+    for k, lane in enumerate(dealt):
+        targets[k, :sizes[k]] = np.concatenate([texts[i] for i in lane])
+        owner[k, :sizes[k]] = np.repeat(lane, [len(texts[i]) for i in lane])
+    targets, owner = np.ascontiguousarray(targets.T), np.ascontiguousarray(owner.T)
+    start = 0
+    while start < steps:
+        live = int((sizes > start).sum())
+        stop = min(steps, start + min(max(WINDOW_TOKENS // live, SHORTEST), longest or steps))
+        here, own = targets[start:stop, :live], owner[start:stop, :live]
+        before = np.zeros_like(here)
+        before[1:] = here[:-1]
+        fresh = np.ones(here.shape, bool)
+        fresh[1:] = own[1:] != own[:-1]
+        if start:
+            before[0], fresh[0] = targets[start - 1, :live], own[0] != owner[start - 1, :live]
+        yield np.where(fresh, 0, before), fresh, here, own >= 0, own
+        start = stop
 
 
 def _groups(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], unknown: int):
@@ -262,7 +272,7 @@ def _groups(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], unknown
     for batch in batches:
         for i, text in enumerate(batch.column("text").to_pylist()):
             words = tokens(text)
-            ids = np.array([number.get(w, unknown) for w in words] + [0], dtype=np.int64)
+            ids = np.array([number.get(w, unknown) for w in words] + [0], dtype=np.int32)
             gathered.append((batch, i))
             texts.append((ids, words))
             size += len(ids)
@@ -276,7 +286,7 @@ def _groups(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], unknown
 def fit(net: Network, texts: list[np.ndarray], memory: dict[str, np.ndarray], rate: float = RATE) -> int:
     """One pass of truncated backpropagation over the texts, in place; ``memory`` holds squared gradients (Adagrad)."""
     h, seen = None, 0
-    for inputs, fresh, targets, real, _ in windows(texts):
+    for inputs, fresh, targets, real, _ in windows(texts, LONGEST):
         lanes_here = inputs.shape[1]
         h = np.zeros((lanes_here, net.p["new"].shape[0]), np.float32) if h is None else h[:lanes_here]
         grad, used, d_rows, h = net.gradients(inputs, fresh, targets, real, h)
