@@ -28,6 +28,16 @@ def words(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
+# The same for texts as UTF-8 bytes: letters in lower case, ASCII that separates words as a blank, the rest as it is.
+_WORD_TABLE = bytes(b if b > 127 or chr(b).isalnum() else 32
+                    for b in bytes(range(256)).translate(bytes.maketrans(UPPER.encode(), LOWER.encode())))
+
+
+def word_bytes(text: str) -> list[bytes]:
+    """The words of ``words`` for use inside tasks."""
+    return text.encode("utf-8", "replace").translate(_WORD_TABLE).split()
+
+
 def text_key(text: Column) -> Column:
     """Tells rows apart that repeat an id with another text."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

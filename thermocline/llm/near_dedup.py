@@ -6,17 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import components, table, words
+from .common import components, table, word_bytes
 
 SHINGLE = 5  # words
 SIMILARITY = 0.8  # probability Jaccard of shingle counts
 BANDS, ROWS = 24, 5  # a pair at 0.8 is missed with probability (1 - 0.8**5)**24 < 1e-4
 BATCH_ELEMENTS, BATCH_DOCUMENTS = 400_000, 2_000
 BROADCAST_IDS = 500_000
+REMEMBERED = 300_000  # words whose hash a task remembers before it starts afresh
 ROUNDING = 1e-9
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -72,8 +74,30 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
     return (values[a:b] for a, b in zip(offsets[:-1], offsets[1:]))
 
 
+class _WordHashes:
+    """64-bit hashes of the words of a text, remembered for the words met so far."""
+
+    def __init__(self):
+        self.met = {}
+
+    def __call__(self, text: str) -> np.ndarray:
+        met, found = self.met, word_bytes(text)
+        if len(met) > REMEMBERED:
+            met.clear()
+        for word in found:
+            if word not in met:
+                met[word] = xxhash.xxh64_intdigest(word)
+        return np.fromiter(map(met.__getitem__, found), np.uint64, len(found))
+
+
+def _identity(hashes: np.ndarray) -> tuple[int, int]:
+    """Two hashes that together stand for a sequence of words."""
+    whole = xxhash.xxh3_128_digest(hashes.tobytes())
+    return int.from_bytes(whole[:8], "big", signed=True), int.from_bytes(whole[8:], "big", signed=True)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Band hashes of each document from its word hashes."""
+    """(doc_id, h1, h2, bands): identity of the words and band hashes of each text that has words."""
     def bands(sets) -> np.ndarray:
         owner = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
         found = signatures(np.concatenate([e for e, _ in sets]), np.concatenate([c for _, c in sets]).astype(float), owner,
@@ -83,21 +107,29 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = _mixed(out * _ODD + found[:, :, r])
         return out.view(np.int64)
 
+    def rows(ids, names, sets) -> pa.RecordBatch:
+        flat = pa.array(bands(sets).ravel())
+        offsets = pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([a for a, _ in names], pa.int64()),
+                                           pa.array([b for _, b in names], pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
+                                          ["doc_id", "h1", "h2", "bands"])
+
+    hashes_of = _WordHashes()
+    ids, names, sets, size = [], [], [], 0
     for batch in batches:
-        done, waiting, size = [], [], 0
-        for hashes in _lists(batch.column("hashes")):
-            waiting.append(shingles(hashes.view(np.uint64)))
-            size += len(waiting[-1][0])
-            if size >= BATCH_ELEMENTS or len(waiting) >= BATCH_DOCUMENTS:
-                done.append(bands(waiting))
-                waiting, size = [], 0
-        if waiting:
-            done.append(bands(waiting))
-        if done:
-            flat = pa.array(np.concatenate(done).ravel())
-            offsets = pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2),
-                                              pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "h1", "h2", "bands"])
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            hashes = hashes_of(text)
+            if not len(hashes):
+                continue
+            ids.append(doc_id)
+            names.append(_identity(hashes))
+            sets.append(shingles(hashes))
+            size += len(sets[-1][0])
+            if size >= BATCH_ELEMENTS or len(sets) >= BATCH_DOCUMENTS:
+                yield rows(ids, names, sets)
+                ids, names, sets, size = [], [], [], 0
+    if sets:
+        yield rows(ids, names, sets)
 
 
 def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
@@ -116,69 +148,127 @@ def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> fl
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distances of pairs of sets; a set whose counts are all 1 comes without them."""
+    def weights(elements, counts):
+        return counts if len(counts) else np.ones(len(elements))
+
     for batch in batches:
-        sets = zip(*(_lists(batch.column(c)) for c in ("a_set", "a_count", "b_set", "b_count")))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([1.0 - similarity(*s) for s in sets], pa.float64())],
-                                         ["a", "b", "distance"])
+        found = [1.0 - similarity(a, weights(a, x), b, weights(b, y))
+                 for a, x, b, y in zip(*(_lists(batch.column(c)) for c in ("a_set", "a_count", "b_set", "b_count")))]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "distance"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, h1, h2, set, count) of each text; ``count`` is empty if every run of words occurs once."""
+    hashes_of = _WordHashes()
     for batch in batches:
-        found = [shingles(h.view(np.uint64)) for h in _lists(batch.column("hashes"))]
-        offsets = pa.array(np.cumsum([0, *(len(e) for e, _ in found)]), pa.int32())
-        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        elements, counts = (np.concatenate(x) for x in zip(*(found or [empty])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(elements.view(np.int64))),
-                                          pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32)))],
-                                         ["id", "set", "count"])
+        rows = []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            hashes = hashes_of(text)
+            if len(hashes):
+                elements, counts = shingles(hashes)
+                rows.append((doc_id, *_identity(hashes), elements.view(np.int64), counts if counts.max() > 1 else counts[:0]))
+        columns = list(zip(*rows)) if rows else [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "h1", "h2", "set", "count"])
+
+
+def shares(sets: DataFrame) -> DataFrame:
+    """(id, weight, shared, even): the set's weight, the part of it on elements that other sets have as well, and whether
+    all counts are 1."""
+    even = F.size("count") == 0
+    elements = sets.select("id", even.alias("even"), F.explode(F.when(even, F.transform("set", lambda e: F.struct(
+        e.alias("element"), F.lit(1).alias("n")))).otherwise(F.arrays_zip(F.col("set").alias("element"), F.col("count").alias("n")))).alias("e"))
+    elements = elements.select("id", "even", "e.element", "e.n")
+    several = elements.groupBy("element").count().filter("count > 1").select("element", F.lit(True).alias("several"))
+    return elements.join(several, "element", "left").groupBy("id").agg(
+        F.sum("n").cast("double").alias("weight"), F.sum(F.when(F.col("several"), F.col("n")).otherwise(0)).cast("double").alias("shared"),
+        F.first("even").alias("even"))
+
+
+def _may_link(threshold: float) -> Column:
+    """Whether sets a and b can have that similarity, by the parts of them that other sets share.
+
+    What a pair has in common is at most the smaller shared part; for sets without repetitions the similarity is the
+    plain Jaccard, common over joint size, and else it is at most the common share of each set.
+    """
+    common = F.least("a_shared", "b_shared")
+    plain = common >= (threshold - ROUNDING) * (F.col("a_weight") + F.col("b_weight") - common)
+    share = F.least(F.col("a_shared") / F.col("a_weight"), F.col("b_shared") / F.col("b_weight")) >= threshold - ROUNDING
+    return share & (plain | ~F.col("a_even") | ~F.col("b_even"))
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, hashes): word hashes and two hashes of the whole word sequence; texts without words are left out."""
-    read = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"),
-                                                    F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
-    read = read.filter(F.size("hashes") > 0)
-    return read.select("doc_id", F.xxhash64("hashes").alias("h1"), F.xxhash64(F.lit(7), "hashes").alias("h2"), "hashes")
+def _pivots(members: DataFrame, number: int) -> DataFrame:
+    """``number`` members of each bucket, those first that are in small components and have most in common with others;
+    the limit applies before rows are shuffled."""
+    order = Window.partitionBy("bucket").orderBy("size", F.col("central").desc(), "id")
+    return members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= number).drop("place")
 
 
-def _pivots(members: DataFrame, number: int) -> DataFrame:
-    """The first ``number`` members of each bucket; the limit applies before rows are shuffled."""
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-    return members.withColumn("place", place).filter(F.col("place") <= number).select("bucket", F.col("id").alias("pivot"))
+def _open(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component."""
+    several = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    return members.join(several.select("bucket"), "bucket", "left_semi")
 
 
 def links(members: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) such that members of a bucket that are linked by chains of links in it are so here too.
-
-    ``members``: (bucket, id).  Not all pairs of a bucket are formed.  Every round compares all members of a bucket with a
-    few pivots.  The distance 1 - similarity obeys the triangle inequality (it is the probability of two hash values
-    being different), so a member close to a pivot cannot be linked to one that is farther from it by more than the link
-    distance: if that holds for all members the pivot is not linked to, the member is settled, since the others are in
-    its class anyway.  The pivots of a bucket double from round to round, so rounds grow with the logarithm of its size.
+    """Verified links (a, b); what chains of links inside buckets connect is connected here too.
+
+    ``members``: (bucket, id); ``sets``: (id, set, count).  Not all pairs of a bucket are formed.  Every round compares
+    the members of a bucket with a few pivots, in the first round the one with most bucket mates, then from the smallest
+    components and four times as many each time.  Left out are only pairs that cannot matter:
+    - both are in one component already; a bucket with a single component is done;
+    - their parts shared with any other set are too small (``_may_link``);
+    - the distance 1 - similarity is the probability of two hash values being different, so it obeys the triangle
+      inequality: a member of a pivot's class that is farther than the link distance from every member outside of it, by
+      their distances to the pivot, is settled.
     """
     reach = 1.0 - threshold + ROUNDING
-    known, number = None, 1
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("mates"))
+    central = members.join(sizes, "bucket").groupBy("id").agg(F.sum("mates").cast("double").alias("central"))
+    members = durable(members.join(central, "id").select("bucket", "id", F.col("id").alias("component"), F.lit(1).cast("long").alias("size"),
+                                                         "central"))
+    known, parts, number = None, None, 1
+    left, right = sets.toDF("a", "a_set", "a_count"), sets.toDF("b", "b_set", "b_count")
     while True:
-        met = members.join(_pivots(members, number), "bucket").filter("id <> pivot")
+        pivots = durable(_pivots(members, number))
+        one = pivots.select("bucket", F.col("id").alias("pivot"), F.col("component").alias("pivot_component"))
+        met = members.join(one, "bucket").filter("component <> pivot_component")
         met = met.select("bucket", "id", "pivot", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
         new = met.select("a", "b").distinct()
-        if known is not None:
+        if parts is not None:
+            of = lambda x: parts.select(*[F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in parts.columns])
+            new = new.join(of("a"), "a").join(of("b"), "b").filter(_may_link(threshold)).select("a", "b")
             new = new.join(known, ["a", "b"], "left_anti")
-        left, right = sets.toDF("a", "a_set", "a_count"), sets.toDF("b", "b_set", "b_count")
         compared = new.join(left, "a").join(right, "b").select("a", "b", "a_set", "a_count", "b_set", "b_count")
-        fresh = compared.mapInArrow(_compare, "a long, b long, distance double")
-        known = durable(fresh if known is None else known.union(fresh))
-        found = met.join(known, ["a", "b"]).select("bucket", "id", "pivot", "distance")
-        outside = found.filter(F.col("distance") > reach).groupBy("bucket", "pivot").agg(F.min("distance").alias("nearest"))
-        settled = found.filter(F.col("distance") <= reach).join(outside, ["bucket", "pivot"], "left").filter(
-            F.col("nearest").isNull() | (F.col("nearest") - F.col("distance") > reach)).select("bucket", "id")
-        pivots = _pivots(members, number).withColumnRenamed("pivot", "id")
-        rest = members.join(settled.union(pivots).distinct(), ["bucket", "id"], "left_anti")
-        several = rest.groupBy("bucket").count().filter("count > 1").select("bucket")
-        members = durable(rest.join(several, "bucket", "left_semi"))
+        fresh = durable(compared.mapInArrow(_compare, "a long, b long, distance double"))
+        known = fresh if known is None else durable(known.union(fresh))
+        linked = known.filter(F.col("distance") <= reach).select("a", "b")
+
+        found = components(members.select("id"), linked, "id")
+        sized = found.groupBy("component").agg(F.count("*").alias("size"))
+        found = found.join(sized, "component")
+        now = _open(members.drop("component", "size").join(found, "id"))
+        now = durable(now.select("bucket", "id", "component", "size", "central"))
+        # Distances to the pivots that are still among different components; a pair left out is beyond the reach of any.
+        at = now.join(pivots.select("bucket", F.col("id").alias("pivot")), "bucket").select(
+            "bucket", "id", "component", "pivot", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+        at = at.join(known, ["a", "b"]).join(found.select(F.col("id").alias("pivot"), F.col("component").alias("of")), "pivot")
+        counts = at.groupBy("bucket", "pivot").agg(F.min(F.when(F.col("component") != F.col("of"), F.col("distance"))).alias("nearest"),
+                                                   F.count_if(F.col("component") != F.col("of")).alias("outside"))
+        apart = now.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        total = apart.groupBy("bucket").agg(F.sum("n").alias("all"))
+        mine = apart.select("bucket", F.col("component").alias("of"), F.col("n").alias("own"))
+        settled = at.filter((F.col("distance") <= reach) & (F.col("component") == F.col("of"))).join(counts, ["bucket", "pivot"]).join(
+            total, "bucket").join(mine, ["bucket", "of"]).filter(
+            (F.col("outside") == F.col("all") - F.col("own")) & (F.col("nearest") - F.col("distance") > reach)).select("bucket", "id")
+        done = settled.union(pivots.select("bucket", "id")).distinct()
+        members = durable(_open(now.join(done, ["bucket", "id"], "left_anti")))
         if members.isEmpty():
-            return known.filter(F.col("distance") <= reach).select("a", "b")
-        number *= 2
+            return linked
+        if parts is None:
+            parts = durable(shares(sets.join(members.select("id").distinct(), "id", "left_semi")))
+        number *= 4
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -186,23 +276,25 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
 
     Two documents are linked at a probability Jaccard of ``threshold`` or more between the counts of their runs of five
     words; a class is what links connect.  ``copies`` is the number of rows with the same words.  Documents without
-    words and null ids are in no class with others (class_id is doc_id, copies 1).  Rows that repeat an id share its class.
+    words and null ids are left out.  Rows that repeat an id share its class.
 
     Equal texts are folded first, by a hash of their words; signatures, buckets and links concern different texts only.
     """
-    keyed = durable(_hashed(docs).mapInArrow(_sign, "doc_id long, h1 long, h2 long, bands array<long>"))
+    read = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = durable(read.mapInArrow(_sign, "doc_id long, h1 long, h2 long, bands array<long>"))
     texts = durable(keyed.groupBy("h1", "h2", "bands").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
     members = texts.select(F.explode("bands").alias("bucket"), "id").distinct()
     several = members.groupBy("bucket").count().filter("count > 1").select("bucket")
     members = durable(members.join(several, "bucket", "left_semi"))
-    wanted = durable(members.select("id").distinct().join(texts, "id").select(F.col("id").alias("doc_id"), "h1", "h2"))
+    wanted = durable(members.select("id").distinct().join(texts, "id").select("id", "h1", "h2"))
     small = wanted.count() <= BROADCAST_IDS
-    same = ["doc_id", "h1", "h2"]
-    chosen = _hashed(docs).join(F.broadcast(wanted) if small else wanted, same).select("doc_id", "hashes")
-    sets = durable(chosen.mapInArrow(_sets, "id long, set array<long>, count array<int>").dropDuplicates(["id"]))
+    ids = wanted.select(F.col("id").alias("doc_id")).distinct()
+    chosen = read.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    sets = chosen.mapInArrow(_sets, "id long, h1 long, h2 long, set array<long>, count array<int>")
+    sets = durable(sets.join(wanted, ["id", "h1", "h2"], "left_semi").select("id", "set", "count").dropDuplicates(["id"]))
     found = components(texts.select("id"), links(members, sets, threshold), "id")
     named = texts.join(found, "id").select("h1", "h2", "component", "copies")
-    return keyed.select(*same).join(named, ["h1", "h2"]).select("doc_id", F.col("component").alias("class_id"), "copies")
+    return keyed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", F.col("component").alias("class_id"), "copies")
 
 
 def dedup(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
