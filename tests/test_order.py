@@ -51,8 +51,7 @@ def test_pages(spark):
     assert [r["id"] for r in o.page_after(df, "id", 9, 3).collect()] == [10, 11, 12]
 
 
-def test_pages_and_heads_beyond_memory(spark, monkeypatch):
-    monkeypatch.setattr(o, "IN_MEMORY_TOP", 5)
+def test_pages_and_heads(spark):
     df = spark.range(100)
     assert sorted(r["id"] for r in o.page_of_rows(df, ["id"], 3, 10).collect()) == list(range(30, 40))
     assert sorted(r["id"] for r in o.head_rows(df, ["id"], 8).collect()) == list(range(8))

@@ -89,11 +89,6 @@ def test_normalise(spark):
     assert files.normalise_columns(kept).first()["latitude"] == 2.0
 
 
-def test_read_bounded(spark):
-    got = files.read_bounded(spark.range(50).withColumn("lat", F.lit("1")), ["id"], 3).collect()
-    assert [(r["id"], r["lat"]) for r in got] == [(0, 1.0), (1, 1.0), (2, 1.0)]
-
-
 def test_schema_listing(spark):
     got = files.schema_listing({"b": spark.range(1), "a": spark.createDataFrame([], "x string, y double")}).collect()
     assert [(r["table_name"], r["column_name"], r["ordinal"]) for r in got] == [("a", "x", 1), ("a", "y", 2), ("b", "id", 1)]

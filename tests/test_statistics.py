@@ -72,10 +72,10 @@ def test_bracketed_quantiles(spark, case):
     df = spark.createDataFrame(pd.DataFrame({"g": np.arange(len(v)) % 2, "v": v}))
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
     names = [f"p{i}" for i in range(len(probs))]
-    for row in quantiles(df, ["v"], probs, names, by=["g"], built_in_limit=0, accuracy=200).collect():
+    for row in quantiles(df, ["v"], probs, names, by=["g"], accuracy=200).collect():
         want = np.quantile(v[np.arange(len(v)) % 2 == row["g"]], probs)
         assert [row[n] for n in names] == pytest.approx(list(want))
-    narrowed = quantiles(df, ["v"], probs, names, built_in_limit=0, accuracy=50, inside_limit=20).first()
+    narrowed = quantiles(df, ["v"], probs, names, accuracy=50, inside=20).first()
     assert [narrowed[n] for n in names] == pytest.approx(list(np.quantile(v, probs)))
 
 
@@ -88,12 +88,11 @@ def test_missing(spark):
     assert {r["column"]: r["complete_percentage"] for r in k.completeness(df).collect()}["salinity"] == 60.0
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_outliers(spark, limit):
+def test_outliers(spark):
     r = np.random.default_rng(1)
     pdf = pd.DataFrame({"temperature": np.r_[r.normal(15, 1, 95), 50, -10, 100, -50, 200], "salinity": r.normal(35, 1, 100),
                         "depth": np.r_[np.zeros(99), 10000]})
-    got = {x["column"]: x for x in k.iqr_outliers(spark.createDataFrame(pdf), built_in_limit=limit).collect()}
+    got = {x["column"]: x for x in k.iqr_outliers(spark.createDataFrame(pdf)).collect()}
     assert "depth" not in got
     q1, q3 = pdf.temperature.quantile([.25, .75])
     out = ((pdf.temperature < q1 - 1.5 * (q3 - q1)) | (pdf.temperature > q3 + 1.5 * (q3 - q1))).sum()
@@ -147,6 +146,14 @@ def test_flag_distribution_and_result_summary(spark):
     assert [(x["column"], x["mean"], x["count"], x["has_nulls"]) for x in r] == [("a", 2.0, 2, True), ("b", None, 0, True)]
 
 
+def test_nothing_is_cut_by_default(spark):
+    months = spark.range(150).select(F.add_months(F.lit("2000-01-15"), F.col("id").cast("int")).cast("timestamp").alias("time"),
+                                     F.col("id").cast("double").alias("depth"), F.lit(1.0).alias("temperature"), F.lit(2.0).alias("salinity"))
+    assert a.temporal_trends(months).count() == a.avg_by_depth(months).count() == 150 and a.temporal_trends(months, 3).count() == 3
+    wide = spark.range(2).select(*(F.col("id").alias(f"c{i}") for i in range(7)))
+    assert a.result_summary(wide).count() == 7
+
+
 def test_parameter_columns(spark, table):
     assert a.parameter_columns(spark.createDataFrame(table)) == ["temperature", "salinity", "pressure", "quality_flag"]
 

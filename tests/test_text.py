@@ -48,7 +48,7 @@ def test_sql_guard(spark, filter_rows):
     got = ro.sql_guard(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
     assert [g["allowed"] for g in got] == [True, True, False, False, False]
     wide = spark.range(1500)
-    assert ro.run_sql(spark, "SELECT id FROM wide", {"wide": wide}).count() == 1000
+    assert ro.run_sql(spark, "SELECT id FROM wide", {"wide": wide}).count() == 1500
     assert ro.run_sql(spark, "SELECT id FROM wide LIMIT 1200", {"wide": wide}).count() == 1200
     with pytest.raises(ValueError):
         ro.run_sql(spark, "drop table wide", {"wide": wide})
@@ -133,6 +133,25 @@ def test_nearest(spark, length):
     assert r.vector_topk_batch(docs, asked.limit(0)).count() == 0
 
 
+def test_incomplete_vectors_are_never_neighbours(spark):
+    nan = float("nan")
+    docs = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [0.5]), (5, [0.0, None]), (6, [nan, 0.0])],
+                                 "vec_id long, embedding array<double>")
+    assert [h["vec_id"] for h in r.vector_topk(docs, [0.0, 0.0], 2).orderBy("rank").collect()] == [1, 2]
+    asked = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.4]), (3, None), (4, [None, 1.0])], "query_id long, vector array<double>")
+    got = sorted((h["query_id"], h["rank"], h["vec_id"]) for h in r.vector_topk_batch(docs, asked, 2).collect())
+    assert got == [(1, 1, 1), (1, 2, 2), (2, 1, 4)]
+    assert {(h["vec_id"], h["reason"]) for h in r.rejected_vectors(docs, 2).collect()} == {
+        (3, "no vector"), (4, "wrong length"), (5, "missing component"), (6, "missing component")}
+
+
+def test_many_query_vectors(spark):
+    docs = spark.range(60).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("embedding"))
+    asked = spark.range(1500).select(F.col("id").alias("query_id"), F.array((F.col("id") % 60).cast("double")).alias("vector"))
+    best = r.vector_topk_batch(docs, asked, 1, block=400)
+    assert best.count() == 1500 and best.filter("vec_id <> query_id % 60").count() == 0
+
+
 def test_hits(spark):
     hits = spark.createDataFrame(
         [(1, "7", "2024-01-01", 1.0, 2.0, 10.4, 15.0, None, None), (2, None, None, None, 2.0, None, 17.0, None, 3.0)],
@@ -169,9 +188,6 @@ def test_other_exports(filter_rows, spark, tmp_path):
     x.export_columnar(filter_rows, str(tmp_path / "col"))
     back = spark.read.parquet(str(tmp_path / "col"))
     assert back.schema["temperature"].metadata["units"] == "degree_Celsius" and back.schema["salinity"].metadata["valid_max"] == 50.0
-    with pytest.raises(ValueError):
-        x.within_limit(filter_rows, 4)
-    assert x.within_limit(filter_rows, 5) is filter_rows
     wide = filter_rows.withColumn("extra", F.lit(1))
     assert x.export_selection(wide).columns == list(x.ESSENTIAL) and x.export_selection(filter_rows) is filter_rows
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import labels
 from ..functions.columns import month_of, n_rows
-from .quantiles import BUILT_IN_LIMIT, quantiles
+from .quantiles import quantiles
 
 QUALITY_SHARE = 95.0  # fixed value reported with the system totals
 NOT_PARAMETERS = ("latitude", "longitude", "depth", "profile_id", "float_id")
@@ -28,13 +28,15 @@ def avg(name: str) -> Column:
     return F.avg(name).alias(f"avg_{name}")
 
 
-def avg_by_depth(m: DataFrame, top: int = 100) -> DataFrame:
+def _first(df: DataFrame, top: int | None) -> DataFrame:
+    return df if top is None else df.limit(top)
+
+
+def avg_by_depth(m: DataFrame, top: int | None = None) -> DataFrame:
+    """Averages per depth, the shallowest first; ``top`` keeps the first so many."""
     both = F.col("temperature").isNotNull() & F.col("salinity").isNotNull()
-    return (
-        m.filter(both).groupBy("depth")
-        .agg(avg("temperature"), avg("salinity"), n_rows().alias("measurement_count"))
-        .orderBy("depth").limit(top)
-    )
+    rows = m.filter(both).groupBy("depth").agg(avg("temperature"), avg("salinity"), n_rows().alias("measurement_count"))
+    return _first(rows.orderBy("depth"), top)
 
 
 def dataset_comparison(m: DataFrame, by: str = "dataset_type") -> DataFrame:
@@ -70,13 +72,11 @@ def depth_ranges(m: DataFrame) -> DataFrame:
     )
 
 
-def temporal_trends(m: DataFrame, top: int = 100) -> DataFrame:
-    return (
-        m.filter(F.col("temperature").isNotNull())
-        .groupBy(month_of(F.col("time")).alias("month"))
-        .agg(avg("temperature"), avg("salinity"), n_rows().alias("measurement_count"))
-        .orderBy("month").limit(top)
-    )
+def temporal_trends(m: DataFrame, top: int | None = None) -> DataFrame:
+    """Averages per month, the earliest first; ``top`` keeps the first so many."""
+    rows = m.filter(F.col("temperature").isNotNull()).groupBy(month_of(F.col("time")).alias("month")).agg(
+        avg("temperature"), avg("salinity"), n_rows().alias("measurement_count"))
+    return _first(rows.orderBy("month"), top)
 
 
 def bgc_zones(m: DataFrame) -> DataFrame:
@@ -185,10 +185,10 @@ def _moments(df: DataFrame, columns, by=()) -> DataFrame:
     return wide.select(*by, F.inline(cells)).select(*by, "parameter", "s.*").filter(F.col("count") > 0)
 
 
-def parameter_statistics(df: DataFrame, columns=None, built_in_limit: int = BUILT_IN_LIMIT) -> DataFrame:
+def parameter_statistics(df: DataFrame, columns=None) -> DataFrame:
     """count, mean, median, std, min, max, quartiles, range and variation of each column that has a value."""
     columns = [c for c in (columns or parameter_columns(df)) if c in df.columns]
-    q = quantiles(df, columns, (0.25, 0.5, 0.75), ("q25", "median", "q75"), built_in_limit=built_in_limit)
+    q = quantiles(df, columns, (0.25, 0.5, 0.75), ("q25", "median", "q75"))
     variation = F.when(F.col("mean") != 0, F.col("std") / F.col("mean")).otherwise(0.0)
     return _moments(df, columns).join(q, "parameter").select(
         "parameter", "count", "mean", "median", "std", "min", "max", "q25", "q75",
@@ -222,8 +222,8 @@ def flag_distribution(df: DataFrame) -> DataFrame:
 
 
 def result_summary(df: DataFrame) -> DataFrame:
-    """Rows, columns, nulls, and mean / min / max / count of the first five numeric columns."""
-    numeric = numeric_columns(df)[:5]
+    """Rows, columns, nulls, and mean / min / max / count of every numeric column."""
+    numeric = numeric_columns(df)
     wide = df.agg(
         n_rows().alias("total_rows"),
         F.coalesce(F.bool_or(F.greatest(*(F.col(c).isNull().cast("int") for c in df.columns), F.lit(0)) == 1),

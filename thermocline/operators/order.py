@@ -12,7 +12,6 @@ from ..functions.predicates import valid_place
 from ..session import durable
 
 _BITS = 33  # monotonically_increasing_id: partition number above, position in the partition below
-IN_MEMORY_TOP = 100_000
 
 
 def with_rank(df: DataFrame, order, name: str = "rank") -> DataFrame:
@@ -22,14 +21,13 @@ def with_rank(df: DataFrame, order, name: str = "rank") -> DataFrame:
     the same partitions, and numbered inside each partition; the start of each partition is a running sum over
     one count per partition.  Ties in a hot value are split as long as ``order`` is unique.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spot = F.monotonically_increasing_id()
     placed = durable(
-        df.repartitionByRange(parts, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_spot", spot)
     ).withColumn("_part", F.shiftright("_spot", _BITS))
-    counts = placed.groupBy("_part").count()  # at most `parts` rows from here on
+    counts = placed.groupBy("_part").count()  # a row per range from here on
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     inside = F.col("_spot").bitwiseAND(F.lit((1 << _BITS) - 1))
@@ -53,10 +51,8 @@ def with_group_rank(df: DataFrame, group, order, name: str = "rank") -> DataFram
 
 
 def head_rows(df: DataFrame, order, n: int) -> DataFrame:
-    """The first n rows: a top-k while that fits in memory, positions beyond."""
-    if n <= IN_MEMORY_TOP:
-        return df.orderBy(*order).limit(n)
-    return with_rank(df, order, "_r").filter(F.col("_r") < n).drop("_r")
+    """The first n rows: every task keeps n of them."""
+    return df.orderBy(*order).limit(n)
 
 
 def page_of_rows(df: DataFrame, order, page: int, size: int, total: int | None = None) -> DataFrame:
@@ -65,11 +61,8 @@ def page_of_rows(df: DataFrame, order, page: int, size: int, total: int | None =
     ``has_more`` follows the total when it is known, otherwise whether the page is full.
     """
     offset = page * size
-    if offset + size <= IN_MEMORY_TOP:
-        rows = df.orderBy(*order).offset(offset).limit(size)
-    else:
-        rows = with_rank(df, order, "_r").filter(F.col("_r").between(offset, offset + size - 1)).drop("_r")
-    filled = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))  # one page only
+    rows = df.orderBy(*order).offset(offset).limit(size)
+    filled = rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("_n"))))  # one row
     more = (F.lit(offset) + F.col("_n") < total) if total is not None else (F.col("_n") == size)
     return filled.withColumn("has_more", more).drop("_n")
 
@@ -151,10 +144,10 @@ def float_trajectory(df: DataFrame, order, columns=("time", "lat", "lon")) -> Da
     return points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
-def trajectories(points: DataFrame, float_ids=None, first_floats: int | None = 10, seen: str = "time") -> DataFrame:
+def trajectories(points: DataFrame, float_ids=None, first_floats: int | None = None, seen: str = "time") -> DataFrame:
     """Points of the floats that have at least two, before and after the coordinate check.
 
-    ``first_floats`` keeps the first so many distinct floats (``None`` keeps all).
+    ``first_floats`` keeps the first so many distinct floats.
     """
     if float_ids is not None:
         points = points.filter(F.col("float_id").isin(list(float_ids)))

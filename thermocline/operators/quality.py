@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import fixed_text, n_rows
 from .analytics import numeric_columns
-from .quantiles import BUILT_IN_LIMIT, quantiles
+from .quantiles import quantiles
 
 PLACES = ("latitude", "longitude", "depth")
 CHECKED = ("temperature", "salinity", "depth")
@@ -62,20 +62,20 @@ def missing_by_column(df: DataFrame, columns=None) -> DataFrame:
     )
 
 
-def iqr_fences(df: DataFrame, columns, built_in_limit: int = BUILT_IN_LIMIT) -> DataFrame:
+def iqr_fences(df: DataFrame, columns) -> DataFrame:
     """Lower and upper bound per column: quartiles widened by one and a half quartile ranges."""
-    q = quantiles(df, columns, (0.25, 0.75), ("q1", "q3"), built_in_limit=built_in_limit)
+    q = quantiles(df, columns, (0.25, 0.75), ("q1", "q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return q.select("parameter", (F.col("q1") - reach).alias("lower_bound"), (F.col("q3") + reach).alias("upper_bound"))
 
 
-def iqr_outliers(df: DataFrame, columns=None, built_in_limit: int = BUILT_IN_LIMIT) -> DataFrame:
+def iqr_outliers(df: DataFrame, columns=None) -> DataFrame:
     """Values outside the fences per numeric column (places left out), as count and share of the non-null ones.
 
     The fences, two numbers per column, are read first; the count is then one pass of conditional sums.
     """
     columns = [c for c in (columns or numeric_columns(df)) if c not in PLACES]
-    fences = {r["parameter"]: r for r in iqr_fences(df, columns, built_in_limit).collect()}  # a row per column
+    fences = {r["parameter"]: r for r in iqr_fences(df, columns).collect()}  # a row per column
     known = [c for c in columns if c in fences]
     if not known:
         return df.sparkSession.createDataFrame(
@@ -139,11 +139,11 @@ def quality_issues(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "kind string, message string")
 
 
-def table_quality(df: DataFrame, built_in_limit: int = BUILT_IN_LIMIT) -> DataFrame:
+def table_quality(df: DataFrame) -> DataFrame:
     """One row: missing share of all cells, issues found, score 0..1 and status."""
     columns = df.columns
     checked = [c for c in CHECKED if c in columns]
-    fences = {r["parameter"]: r for r in iqr_fences(df, checked, built_in_limit).collect()} if checked else {}
+    fences = {r["parameter"]: r for r in iqr_fences(df, checked).collect()} if checked else {}
     known = [c for c in checked if c in fences]
     filled = sum((F.count(c) for c in columns[1:]), F.count(columns[0]))
     wide = df.agg(

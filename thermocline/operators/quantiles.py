@@ -1,9 +1,8 @@
 """Exact quantiles (linear interpolation) that do not pull a column into one task.
 
-The built-in exact ``percentile`` keeps every distinct value of a group in one place.  Up to a row limit that is
-the fastest way.  Beyond it, a quantile sketch with a guaranteed rank error gives a narrow bracket around each
-quantile; rows below the bracket are only counted.  Brackets are narrowed until few rows are left inside, and only
-those are ordered.  A value that repeats very often is one counted row.
+A quantile sketch with a guaranteed rank error gives a narrow bracket around each quantile; rows below the bracket are
+only counted.  Brackets are narrowed until few rows are left inside, and only those are ordered.  A value that
+repeats very often is one counted row.
 """
 
 from __future__ import annotations
@@ -13,9 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
-BUILT_IN_LIMIT = 2_000_000  # rows; the built-in function holds the distinct values of a group in one task
-INSIDE_LIMIT = 2_000_000  # rows a bracket may hold before it is narrowed further
-SMALL_TABLE = 10_000  # bracket rows that may be broadcast
+INSIDE = 2_000_000  # rows a bracket may hold before it is narrowed further
 GRID = 200
 
 
@@ -25,14 +22,7 @@ def _long(df: DataFrame, columns, by) -> DataFrame:
     return df.select(*by, F.inline(cells)).filter(F.col("value").isNotNull())
 
 
-def _built_in(df: DataFrame, columns, probs, by) -> DataFrame:
-    listed = F.array(*map(F.lit, probs))
-    wide = df.groupBy(*by).agg(*(F.percentile(F.col(c).cast("double"), listed).alias(c) for c in columns))
-    cells = F.array(*(F.struct(F.lit(c).alias("parameter"), F.col(c).alias("_q")) for c in columns))
-    return wide.select(*by, F.inline(cells)).filter(F.col("_q").isNotNull())
-
-
-def _bracketed(df: DataFrame, columns, probs, by, accuracy: int, inside_limit: int) -> DataFrame:
+def _bracketed(df: DataFrame, columns, probs, by, accuracy: int, most_inside: int) -> DataFrame:
     keys = [*by, "parameter"]
     values = _long(df, columns, by)
     slack = 2.0 / accuracy
@@ -57,14 +47,13 @@ def _bracketed(df: DataFrame, columns, probs, by, accuracy: int, inside_limit: i
     )
     brackets = staged(sketch.select(*keys, F.inline(ends)))  # one row per group, column and probability
     while True:
-        few = brackets.count() <= SMALL_TABLE
-        near = values.join(F.broadcast(brackets) if few else brackets, keys).filter(F.col("value") <= F.col("hi"))
+        near = values.join(brackets, keys).filter(F.col("value") <= F.col("hi"))
         inside = F.count_if(F.col("value") >= F.col("lo"))
         sized = staged(near.groupBy(*keys, "i", "at", "lo", "hi").agg(
             inside.alias("inside"), F.count_if(F.col("value") < F.col("lo")).alias("below"),
             F.percentile_approx(F.when(F.col("value") >= F.col("lo"), F.col("value")),
                                 F.array(*(F.lit(g / GRID) for g in range(GRID + 1))), 20 * GRID).alias("grid")))
-        wide = (F.col("inside") > inside_limit) & (F.col("lo") < F.col("hi"))
+        wide = (F.col("inside") > most_inside) & (F.col("lo") < F.col("hi"))
         narrower = sized.withColumn("share", (F.col("at") - F.col("below")) / F.col("inside") * GRID)
         low = F.greatest(F.floor("share").cast("int") - 1, F.lit(0))
         high = F.least(F.ceil("share").cast("int") + 2, F.lit(GRID))
@@ -101,11 +90,7 @@ def _bracketed(df: DataFrame, columns, probs, by, accuracy: int, inside_limit: i
     )
 
 
-def quantiles(df: DataFrame, columns, probs, names, by=(), built_in_limit: int = BUILT_IN_LIMIT,
-              accuracy: int = 20_000, inside_limit: int = INSIDE_LIMIT) -> DataFrame:
+def quantiles(df: DataFrame, columns, probs, names, by=(), accuracy: int = 20_000, inside: int = INSIDE) -> DataFrame:
     """One row per group and column (``parameter``) with one output column per probability."""
-    columns, by = list(columns), list(by)
-    small = built_in_limit > 0 and df.count() <= built_in_limit
-    found = _built_in(df, columns, probs, by) if small else _bracketed(
-        df, columns, probs, by, accuracy, inside_limit)
+    found = _bracketed(df, list(columns), probs, list(by), accuracy, inside)
     return found.select(*by, "parameter", *(F.col("_q")[i].alias(name) for i, name in enumerate(names)))

@@ -9,8 +9,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.columns import fixed_text, n_rows
 
 TOP = 20
-QUERY_LIMIT = 1000
-UNROLLED = 128
+BLOCK = 1000  # query vectors compared in one pass over the documents
 ABSENT = "not available"
 
 
@@ -102,30 +101,36 @@ def write_documents(documents: DataFrame, path: str, mode: str = "overwrite") ->
     documents.write.mode(mode).parquet(path)
 
 
-def squared_distance(column: Column, vector: list[float]) -> Column:
-    """Squared Euclidean distance to a literal vector, one generated expression without lambdas.
+def usable_vectors(documents: DataFrame, size: int | None = None, embedding: str = "embedding") -> DataFrame:
+    """Rows whose vector has no missing component and, if given, that many components."""
+    whole = F.col(embedding).isNotNull() & ~F.exists(embedding, lambda x: x.isNull() | F.isnan(x.cast("double")))
+    return documents.filter(whole if size is None else whole & (F.size(embedding) == size))
+
+
+def rejected_vectors(documents: DataFrame, size: int, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """Keys of the documents that a search with vectors of ``size`` components leaves out, and why."""
+    reason = (F.when(F.col(embedding).isNull(), "no vector")
+              .when(F.size(embedding) != size, "wrong length")
+              .when(F.exists(embedding, lambda x: x.isNull() | F.isnan(x.cast("double"))), "missing component"))
+    return documents.select(key, F.size(embedding).alias("components"), reason.alias("reason")).filter(F.col("reason").isNotNull())
 
-    Terms are added in pairs, so the expression tree is as deep as the logarithm of the length.  A vector too long
-    for one generated method goes through a lambda instead.
-    """
-    if len(vector) > UNROLLED:
-        gaps = F.zip_with(column, F.array(*(F.lit(float(x)) for x in vector)),
-                          lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
-        return F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x)
-    terms = []
-    for i, x in enumerate(vector):
-        gap = F.get(column, i).cast("double") - F.lit(float(x))
-        terms.append(gap * gap)
-    while len(terms) > 1:
-        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + ([terms[-1]] if len(terms) % 2 else [])
-    return terms[0]
+
+def squared_distance(column: Column, vector: list[float]) -> Column:
+    """Squared Euclidean distance to a literal vector."""
+    gaps = F.zip_with(column, F.array(*(F.lit(float(x)) for x in vector)),
+                      lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
+    return F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x)
 
 
 def vector_topk(documents: DataFrame, vector: list[float], k: int = TOP, key: str = "vec_id",
                 embedding: str = "embedding") -> DataFrame:
-    """The k nearest documents of one vector with their rank; every task keeps k rows."""
+    """The k nearest documents of one vector with their rank; every task keeps k rows.
+
+    Documents without a complete vector of that length are left out; ``rejected_vectors`` lists them.
+    """
+    whole = usable_vectors(documents, len(vector), embedding)
     distance = squared_distance(F.col(embedding), vector)
-    near = documents.withColumn("distance", distance).drop(embedding).orderBy("distance", key).limit(k)
+    near = whole.withColumn("distance", distance).drop(embedding).orderBy("distance", key).limit(k)
     return near.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))  # k rows
 
 
@@ -134,24 +139,29 @@ def _nearest_of_partition(asked: list[tuple], k: int, query_type):
     import numpy as np
     import pyarrow as pa
 
-    wanted = np.array([vector for _, vector in asked], dtype="float64")
+    by_size: dict[int, list] = {}
+    for i, (_, vector) in enumerate(asked):
+        by_size.setdefault(len(vector), []).append((i, np.array(vector, dtype="float64")))
 
     def run(batches):
         best: list = [None] * len(asked)
         for batch in batches:
-            keys, vectors = batch.column(0), batch.column(1)
-            if not len(keys):
-                continue
-            rows = np.asarray(vectors.flatten(), dtype="float64").reshape(len(keys), -1)
-            for i, query in enumerate(wanted):
-                gap = rows - query
-                distance = np.einsum("ij,ij->i", gap, gap)
-                near = pa.table({"key": keys, "distance": pa.array(distance)})
-                if len(near) > k:
-                    near = near.filter(pa.array(distance <= np.partition(distance, k - 1)[k - 1]))
-                if best[i] is not None:
-                    near = pa.concat_tables([best[i], near])
-                best[i] = near.sort_by([("distance", "ascending"), ("key", "ascending")]).slice(0, k)
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            for size, queries in by_size.items():
+                mine = np.flatnonzero(sizes == size)
+                if not len(mine):
+                    continue
+                part = batch.take(pa.array(mine))
+                keys, rows = part.column(0), np.asarray(part.column(1).flatten(), dtype="float64").reshape(len(mine), -1)
+                for i, query in queries:
+                    gap = rows - query
+                    distance = np.einsum("ij,ij->i", gap, gap)
+                    near = pa.table({"key": keys, "distance": pa.array(distance)})
+                    if len(near) > k:
+                        near = near.filter(pa.array(distance <= np.partition(distance, k - 1)[k - 1]))
+                    if best[i] is not None:
+                        near = pa.concat_tables([best[i], near])
+                    best[i] = near.sort_by([("distance", "ascending"), ("key", "ascending")]).slice(0, k)
         for (name, _), near in zip(asked, best):
             if near is not None:
                 near = near.combine_chunks()
@@ -164,25 +174,26 @@ def _nearest_of_partition(asked: list[tuple], k: int, query_type):
 
 
 def vector_topk_batch(documents: DataFrame, queries: DataFrame, k: int = TOP, key: str = "vec_id",
-                      embedding: str = "embedding", query_key: str = "query_id") -> DataFrame:
+                      embedding: str = "embedding", query_key: str = "query_id", block: int = BLOCK) -> DataFrame:
     """The k nearest documents of every query vector.
 
-    The query vectors are few and are checked to be; they travel with the task.  A task compares its column batches
-    with all of them at once and hands on k rows per query, so the shuffle carries k rows per task and query.
+    The queries are dealt by a hash of their key into blocks of about ``block`` vectors.  A block travels with the tasks
+    of one pass over the documents: a task compares its column batches with all of it and hands on k rows per query,
+    so the shuffle carries k rows per task and query.  A query meets the documents with a complete vector of its own
+    length; a query whose vector is missing or incomplete has no neighbours.
     """
-    asked = queries.select(query_key, "vector").limit(QUERY_LIMIT + 1).collect()  # bound: QUERY_LIMIT rows
-    if len(asked) > QUERY_LIMIT:
-        raise ValueError(f"more than {QUERY_LIMIT} query vectors; split the batch")
     kinds = {c: df.schema[c].dataType.simpleString() for c, df in ((query_key, queries), (key, documents))}
     schema = f"query {kinds[query_key]}, key {kinds[key]}, distance double"
-    if not asked:
-        near = documents.sparkSession.createDataFrame([], schema)
-    else:
-        whole = F.size(embedding) == len(asked[0]["vector"])
-        near = documents.filter(whole).select(key, embedding).mapInArrow(
-            _nearest_of_partition(
-                [(q[query_key], list(q["vector"])) for q in asked], k, to_arrow_type(queries.schema[query_key].dataType)),
-            schema)
+    query_type = to_arrow_type(queries.schema[query_key].dataType)
+    wanted = usable_vectors(queries, None, "vector").select(query_key, "vector")
+    whole = usable_vectors(documents, None, embedding).select(key, embedding)
+    blocks = -(-wanted.count() // block)
+    near = documents.sparkSession.createDataFrame([], schema)
+    for number in range(blocks):
+        asked = wanted.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == number).collect()  # about ``block`` rows
+        if asked:
+            near = near.union(whole.mapInArrow(
+                _nearest_of_partition([(q[query_key], list(q["vector"])) for q in asked], k, query_type), schema))
     spot = F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))
     best = near.withColumn("rank", spot).filter(F.col("rank") <= k)
     return best.withColumnsRenamed({"query": query_key, "key": key})

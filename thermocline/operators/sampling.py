@@ -218,10 +218,10 @@ STRATEGIES = {
 }
 
 
-def extreme_keys(df: DataFrame, c: SamplingConfig, columns=None) -> list:
-    """Keys of the least and greatest row of each numeric column, at most max(2, target // 10); one aggregation.
+def extreme_keys(df: DataFrame, c: SamplingConfig, columns=None, most: int | None = None) -> list:
+    """Keys of the least and greatest row of each numeric column; one aggregation.
 
-    Among equal values the smallest key wins.
+    Among equal values the smallest key wins.  ``most`` keeps the first so many, in column order.
     """
     columns = list(columns or numeric_columns(df))
     if not columns:
@@ -235,7 +235,7 @@ def extreme_keys(df: DataFrame, c: SamplingConfig, columns=None) -> list:
         ends.append(F.min_by(key, F.when(there, F.struct(-value, key))).alias(f"hi{i}"))
     row = df.agg(*ends).first()
     kept = list(dict.fromkeys(k for k in row if k is not None))
-    return kept[: max(2, int(c.target_size * 0.1))]
+    return kept if most is None else kept[:most]
 
 
 def preserve_extremes(df: DataFrame, c: SamplingConfig, columns=None) -> DataFrame:

@@ -206,6 +206,36 @@ def vector_topk_batch(spark, folder):
     return _batch(spark, folder)
 
 
+# Every tenth vector is missing and every tenth is cut short: neither may be found, nor hide what can be.
+FAULTY_SQL = "SELECT vec_id, CASE vec_id % 10 WHEN 3 THEN NULL WHEN 4 THEN embedding[1:5] ELSE embedding END AS embedding FROM embeddings"
+
+
+def _faulty(spark, folder):
+    return table(spark, folder, "embeddings").select("vec_id", F.when(F.col("vec_id") % 10 == 3, None).when(
+        F.col("vec_id") % 10 == 4, F.slice("embedding", 1, 5)).otherwise(F.col("embedding")).alias("embedding"))
+
+
+@query("vector_topk_faulty", sql=f"""
+WITH e AS ({FAULTY_SQL}), q AS (SELECT vec_id AS query_id, embedding AS v FROM e WHERE vec_id % 100 = 0)
+SELECT query_id, vec_id, d AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INT) AS rank
+FROM (SELECT query_id, vec_id, {_distance_sql('embedding', 'v')} AS d FROM e, q WHERE len(embedding) = len(v))
+QUALIFY rank <= 20""", doubles="distance")
+def vector_topk_faulty(spark, folder):
+    """Nearest to every hundredth vector among vectors some of which are missing or cut short."""
+    vectors = _faulty(spark, folder)
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return r.vector_topk_batch(vectors, asked)
+
+
+@query("vector_rejects", sql=f"""
+SELECT vec_id, CAST(coalesce(len(embedding), -1) AS INT) AS components,
+       CASE WHEN embedding IS NULL THEN 'no vector' ELSE 'wrong length' END AS reason
+FROM ({FAULTY_SQL}) WHERE embedding IS NULL OR len(embedding) <> 64""")
+def vector_rejects(spark, folder):
+    """Vectors that a search with 64 components leaves out."""
+    return r.rejected_vectors(_faulty(spark, folder), 64).withColumn("components", F.coalesce("components", F.lit(-1)))
+
+
 HIT_SQL = """SELECT h.rank, m.* FROM hits h JOIN (
   SELECT p.profile_id AS vec, p.float_id, strftime(p.profile_date, '%Y-%m-%d') AS date, p.profile_lat AS latitude,
          p.profile_lon AS longitude, max(r.depth) AS depth, arg_min(temperature, id) AS temperature,

@@ -40,10 +40,9 @@ def float_trajectory(spark, folder):
     return o.float_trajectory(view(spark, folder, "measurements"), ["time", "id"], ("time", "lat", "lon", "temperature"))
 
 
-@query("trajectories", views="casts", sql=f"""WITH {POINTS},
-firsts AS (SELECT float_id FROM casts GROUP BY float_id ORDER BY min(profile_date), float_id LIMIT 10)
+@query("trajectories", views="casts", sql=f"""WITH {POINTS}
 SELECT pts.*, n_points FROM pts JOIN (SELECT float_id, count(*) AS n_points FROM pts GROUP BY float_id
-  HAVING count(*) >= 2) n ON pts.float_id = n.float_id WHERE pts.float_id IN (SELECT float_id FROM firsts)""",
+  HAVING count(*) >= 2) n ON pts.float_id = n.float_id""",
        doubles="lat lon")
 def trajectories(spark, folder):
     return o.trajectories(_points(spark, folder))
@@ -55,7 +54,7 @@ SELECT float_id, arg_min(lat, k) AS start_lat, arg_min(lon, k) AS start_lon, arg
 FROM (SELECT *, row_number() OVER (PARTITION BY float_id ORDER BY time, profile_id) AS k FROM pts)
 GROUP BY float_id HAVING count(*) >= 2""", doubles="start_lat start_lon end_lat end_lon")
 def trajectory_endpoints(spark, folder):
-    return o.trajectory_endpoints(o.trajectories(_points(spark, folder), first_floats=None), ["time", "profile_id"])
+    return o.trajectory_endpoints(o.trajectories(_points(spark, folder)), ["time", "profile_id"])
 
 
 @query("depth_ordered", views="measurements", sql="SELECT float_id, depth, id, temperature FROM measurements",

@@ -108,13 +108,6 @@ def drop_incomplete(spark, folder):
     return g.drop_incomplete(view(spark, folder, "measurements"))
 
 
-@query("capped_rows", views="readings", sql="SELECT id, depth, temperature, salinity FROM readings ORDER BY id LIMIT 30000",
-       doubles="depth temperature salinity")
-def capped_rows(spark, folder):
-    rows = view(spark, folder, "readings").select("id", "depth", "temperature", "salinity")
-    return g.capped_rows(rows, ["id"], g.DOCUMENT_LIMIT)
-
-
 VIRTUAL_FLOATS = """
 vf AS (SELECT lat, lon, row_number() OVER (ORDER BY lat, lon) AS n, min(time) AS a, max(time) AS b
        FROM measurements GROUP BY lat, lon)"""

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import month_of, nan_to_null, safe_float, safe_timestamp
-from ..operators.order import head_rows
 
-FILE_LIMIT, COLLECTION_LIMIT, SEED = 250, 5000, 42
+SEED = 42
 NUMERIC = ("lat", "lon", "latitude", "longitude", "depth", "temperature", "salinity", "oxygen", "ph", "chlorophyll",
            "pressure")
 
@@ -62,7 +61,7 @@ def snapshot_listing(spark: SparkSession, folder: str, pattern: str = "*_Sprof.n
     return files.orderBy("path")
 
 
-def seeded_files(files: DataFrame, limit: int = FILE_LIMIT, seed: int = SEED) -> DataFrame:
+def seeded_files(files: DataFrame, limit: int, seed: int = SEED) -> DataFrame:
     """A repeatable choice of ``limit`` files; 0 means all."""
     if not limit:
         return files
@@ -94,11 +93,6 @@ def normalise_columns(df: DataFrame) -> DataFrame:
     return named.withColumns(fixed) if fixed else named
 
 
-def read_bounded(df: DataFrame, order, limit: int = COLLECTION_LIMIT) -> DataFrame:
-    """The first rows of a stored collection with normalised columns."""
-    return normalise_columns(head_rows(df, order, limit))
-
-
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", by_month: str | None = None,
                 sort: tuple[str, ...] = ()) -> None:
     """A table laid out by month, sorted inside its files so that readers can skip row groups.

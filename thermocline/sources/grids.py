@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import n_rows, nan_to_null
-from ..operators.order import head_rows, with_rank
+from ..operators.order import with_rank
 from .profiles import FLOAT_PREFIX
 
 # --- fixed values -----------------------------------------------------------------------------------------
@@ -20,7 +20,6 @@ VARIABLES = {
     "NITRATE": "nitrate",
 }
 TIME_STEPS, EAST, NORTH = 60, (50.0, 120.0), (-30.0, 30.0)
-ROW_LIMIT, FLOAT_LIMIT, DOCUMENT_LIMIT = 100_000, 1000, 30_000
 PRESSURE_PER_METRE = 1.025
 FIRST_WMO = 5_900_000
 CHEMISTRY = ("oxygen", "ph", "chlorophyll", "nitrate")
@@ -72,15 +71,10 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
     return df.na.drop("any")
 
 
-def capped_rows(df: DataFrame, order, limit: int = ROW_LIMIT) -> DataFrame:
-    """The first rows in the given order, as many as the loader takes."""
-    return head_rows(df, order, limit)
-
-
-def virtual_floats(df: DataFrame, limit: int | None = FLOAT_LIMIT) -> DataFrame:
+def virtual_floats(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Each distinct place, in latitude and longitude order, is a float.
 
-    The rows are aggregated to places first; only those are numbered.
+    The rows are aggregated to places first; only those are numbered.  ``limit`` keeps the first so many.
     """
     places = df.groupBy("lat", "lon").agg(F.min("time").alias("_a"), F.max("time").alias("_b"))
     ranked = with_rank(places, ["lat", "lon"], "_n").withColumn("_n", F.col("_n") + 1)

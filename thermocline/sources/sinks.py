@@ -18,7 +18,6 @@ from ..operators.quality import quality_report
 # --- fixed values -----------------------------------------------------------------------------------------
 CSV_COLUMNS = ("time", "lat", "lon", "depth", "temperature", "salinity")
 ESSENTIAL = ("id", "float_id", "time", "lat", "lon", "depth", "temperature", "salinity")
-ROW_LIMIT = 100_000
 MISSING = "     NaN"
 ATTRIBUTES = {
     "temperature": {
@@ -44,13 +43,6 @@ def export_selection(df: DataFrame) -> DataFrame:
     return df.select(*(c for c in ESSENTIAL if c in df.columns)) if len(df.columns) > 10 else df
 
 
-def within_limit(df: DataFrame, limit: int = ROW_LIMIT) -> DataFrame:
-    """The table, or an error when it is larger than an export may be."""
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} rows to export")
-    return df
-
-
 def ascii_line() -> Column:
     """One fixed-width data line."""
     def number(c: str, digits: int) -> Column:
