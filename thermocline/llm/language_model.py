@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import durable
 from .common import remainder, table, text_key
@@ -24,7 +25,7 @@ HIDDEN = 12
 WINDOW_TOKENS = 16_384  # a window has about as many tokens, and so more steps when few lanes are left,
 SHORTEST, LONGEST = 16, 64  # but in training, where it also truncates backpropagation, between so many steps
 LANES = 512  # texts processed side by side
-GROUP_TOKENS = 3_000_000  # tokens gathered before they are laid out in lanes
+GROUP_TOKENS = 1_500_000  # tokens gathered before they are laid out in lanes
 ROUNDS = 2  # averagings in the one pass over the training texts
 RATE = 0.08
 FLUSH = 200_000  # different words a task counts before it hands them on
@@ -266,21 +267,28 @@ def windows(texts: list[np.ndarray], longest: int | None = None):
         start = stop
 
 
-def _groups(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], unknown: int):
-    """Texts as word numbers, gathered batch by batch up to GROUP_TOKENS: (rows of the batches, texts, their words)."""
-    gathered, texts, size = [], [], 0
+def _groups(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], unknown: int, columns: tuple[str, ...] = ()):
+    """Texts as word numbers, gathered over batches up to GROUP_TOKENS: (rows, texts).
+
+    With ``columns`` a row holds their values and the counts of the text's words without a number.
+    """
+    rows, texts, size, get = [], [], 0, number.get
     for batch in batches:
-        for i, text in enumerate(batch.column("text").to_pylist()):
+        values = zip(*(batch.column(c).to_pylist() for c in columns)) if columns else iter(lambda: (), None)
+        for text, row in zip(batch.column("text").to_pylist(), values):
             words = tokens(text)
-            ids = np.array([number.get(w, unknown) for w in words] + [0], dtype=np.int32)
-            gathered.append((batch, i))
-            texts.append((ids, words))
+            ids = [get(w, unknown) for w in words]
+            if columns:
+                tail = Counter(w for w, i in zip(words, ids) if i == unknown)
+                rows.append((*row, [(w.decode("utf-8", "replace"), n) for w, n in tail.items()]))
+            ids.append(0)
+            texts.append(np.array(ids, dtype=np.int32))
             size += len(ids)
             if size >= GROUP_TOKENS:
-                yield gathered, texts
-                gathered, texts, size = [], [], 0
+                yield rows, texts
+                rows, texts, size = [], [], 0
     if texts:
-        yield gathered, texts
+        yield rows, texts
 
 
 def fit(net: Network, texts: list[np.ndarray], memory: dict[str, np.ndarray], rate: float = RATE) -> int:
@@ -316,7 +324,7 @@ def train(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
             copy = Network(state.outputs, state.classes, {k: a.copy() for k, a in state.p.items()})
             memory, seen = {k: np.zeros_like(a) for k, a in copy.p.items()}, 0
             for _, texts_here in _groups(batches, number, state.outputs):
-                seen += fit(copy, [ids for ids, _ in texts_here], memory)
+                seen += fit(copy, texts_here, memory)
             if seen:
                 flat = np.concatenate([copy.p[k].ravel() for k in names])
                 blocks = [flat[i:i + BLOCK] for i in range(0, len(flat), BLOCK)]
@@ -363,22 +371,18 @@ def text_log10(net: Network, v: Vocabulary, texts: list[np.ndarray]) -> np.ndarr
     return found / math.log(10)
 
 
-def _score(net: Network, v: Vocabulary):
+def _score(net: Network, v: Vocabulary, doc_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {w: i for i, w in enumerate(v.words)}
         logs = np.append(np.log10(v.counts + SMOOTHING), 0.0)
         unknown = len(v.words)
-        for gathered, texts in _groups(batches, number, unknown):
-            ids = [t for t, _ in texts]
-            tails = [Counter(w.decode("utf-8", "replace") for w, i in zip(words, t) if i == unknown) for t, words in texts]
-            pick = lambda name: pa.array([b.column(name)[i].as_py() for b, i in gathered])
-            kind = gathered[0][0].schema
-            known = [int((v.counts[t[t < unknown]] > 0).sum()) for t in ids]
+        for rows, texts in _groups(batches, number, unknown, ("doc_id", "text_hash")):
+            doc_ids, hashes, tails = zip(*rows)
             yield pa.RecordBatch.from_arrays([
-                pick("doc_id").cast(kind.field("doc_id").type), pick("text_hash").cast(pa.int64()),
-                pa.array([len(t) for t in ids], pa.int64()), pa.array(known, pa.int64()),
-                pa.array([float(logs[t].sum()) for t in ids]), pa.array(text_log10(net, v, ids)),
-                pa.array([list(c.items()) for c in tails], pa.map_(pa.string(), pa.int64()))],
+                pa.array(doc_ids, doc_type), pa.array(hashes, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([int((v.counts[t[t < unknown]] > 0).sum()) for t in texts], pa.int64()),
+                pa.array([float(logs[t].sum()) for t in texts]), pa.array(text_log10(net, v, texts)),
+                pa.array(tails, pa.map_(pa.string(), pa.int64()))],
                 ["doc_id", "text_hash", "n_tokens", "hot_known", "hot_base", "hot_score", "tail"])
 
     return run
@@ -397,7 +401,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     net = train(training, v)
     read = docs.select("doc_id", text_key(F.col("text")).alias("text_hash"), "text")
     kind = read.schema["doc_id"].dataType.simpleString()
-    parts = durable(read.mapInArrow(_score(net, v), f"doc_id {kind}, text_hash long, n_tokens long, hot_known long, hot_base double, "
+    parts = durable(read.mapInArrow(_score(net, v, to_arrow_type(read.schema["doc_id"].dataType)), f"doc_id {kind}, text_hash long, n_tokens long, hot_known long, hot_base double, "
                                                     "hot_score double, tail map<string,long>").dropDuplicates(["doc_id", "text_hash"]))
     tails = parts.select("doc_id", "text_hash", F.explode("tail").alias("word", "n")).join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
