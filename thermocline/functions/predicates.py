@@ -52,8 +52,12 @@ def months_and_years(ts: Column, months, years) -> Column:
 
 
 def time_of_day(ts: Column, start: dt.time, end: dt.time, zone: str = "UTC") -> Column:
-    """Clock time in ``zone`` between both ends; a range that ends before it starts runs over midnight."""
-    local = F.convert_timezone(F.lit("UTC"), F.lit(TIME_ZONES.get(zone, zone)), ts)
+    """Clock time in ``zone`` between both ends; a range that ends before it starts runs over midnight.
+
+    "Local" is the session's zone.
+    """
+    target = F.current_timezone() if zone == "Local" else F.lit(TIME_ZONES.get(zone, zone))
+    local = F.convert_timezone(F.lit("UTC"), target, ts)
     clock = F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
     a = start.hour * 3600 + start.minute * 60 + start.second
     b = end.hour * 3600 + end.minute * 60 + end.second

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import n_rows, safe_divide
@@ -137,6 +137,12 @@ def feedback_summary(log: DataFrame, as_of: dt.datetime, is_rating: Column) -> D
                    F.avg(F.when(is_rating, F.col("value"))).alias("avg_rating"))
 
 
+def last_feedback(log: DataFrame, n: int = 5) -> DataFrame:
+    """The newest n feedback entries with their place, 1 the newest."""
+    rows = log.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("ts"), F.desc("event_id"))))  # n rows
+
+
 def error_category(component: Column, error_type: Column) -> Column:
     """By component, then by kind of error, else system."""
     chain = F

@@ -101,6 +101,14 @@ def feedback_summary(spark, folder):
     return e.feedback_summary(log, e.latest_time(log), F.col("event_type") == "purchase")
 
 
+@query("last_feedback", sql=f"""WITH {LOG}
+SELECT event_id, ts, service, event_type, value, CAST(row_number() OVER (ORDER BY ts DESC, event_id DESC) AS INT) AS place
+FROM lg QUALIFY place <= 5""", doubles="value", dates="ts")
+def last_feedback(spark, folder):
+    """The newest five entries of the whole log."""
+    return e.last_feedback(event_log(spark, folder))
+
+
 COMPONENTS = ("api_client", "data_fetcher", "map_visualization", "statistics_manager", "data_manager", "chat_interface",
               "other")
 ERRORS = ("ConnectionError", "ValueError", "MemoryError", "KeyError", "TimeoutError")

@@ -12,7 +12,11 @@ from .registry import query
 from .templates import BAND_SQL, ZONE_SQL
 
 AS_OF = dt.datetime(2001, 8, 1)
-CHECKED = ("temperature", "salinity", "oxygen", "ph", "chlorophyll", "pressure")
+READING_COLUMNS = ("id", "profile_id", "depth", "pressure", "temperature", "salinity", "oxygen", "ph", "chlorophyll", "quality_flag",
+                   "dataset_type")
+MEASUREMENT_COLUMNS = (*READING_COLUMNS, "float_id", "time", "lat", "lon")
+WORDS = ("id", "dataset_type", "time")  # columns that are not numbers
+CHECKED = tuple(c for c in READING_COLUMNS if c not in WORDS)
 
 
 def _over(name: str, operator, sql: str, views: str = "measurements", doubles: str = ""):
@@ -133,7 +137,7 @@ FROM (SELECT count(*) AS total_records,
              count(*) FILTER (WHERE quality_flag IN (1, 2)) * 100e0 / count(*) AS good,
              count(*) FILTER (WHERE quality_flag IN (3, 4)) * 100e0 / count(*) AS bad FROM readings)""",
       "readings", "good_data_percentage bad_data_percentage")
-_over("missing_by_column", lambda m: k.missing_by_column(m, CHECKED), "\nUNION ALL\n".join(
+_over("missing_by_column", k.missing_by_column, "\nUNION ALL\n".join(
     f"""SELECT '{c}' AS "column", count(*) - count({c}) AS missing_count,
        (count(*) - count({c})) * 100e0 / count(*) AS missing_percentage FROM readings""" for c in CHECKED),
       "readings", "missing_percentage")
@@ -183,16 +187,14 @@ def recent_region_bgc(spark, folder):
     return q.recent_region_bgc(view(spark, folder, "measurements"), "Arabian Sea", AS_OF)
 
 
-QUALITY_COLUMNS = ("id", "time", "depth", "temperature", "salinity", "oxygen", "ph", "chlorophyll", "quality_flag")
-
-
 @query("quality_issues", views="readings", sql="WITH fences AS (" + _fence_sql(CHECKED) + """),
 s AS (SELECT count(*) AS n, count(*) FILTER (WHERE quality_flag = 4) * 100e0 / count(*) AS bad,
              count(*) FILTER (WHERE quality_flag IN (1, 2)) * 100e0 / count(*) AS good,
-             (count(*) - count(oxygen)) * 100e0 / count(*) AS gaps FROM readings),
+             """ + ", ".join(f"(count(*) - count({c})) * 100e0 / count(*) AS gaps_{c}" for c in CHECKED) + """ FROM readings),
 issues AS (
-  SELECT 'issue' AS kind, printf('High percentage of bad data: %.1f%%', bad) AS message FROM s WHERE bad > 10
-  UNION ALL SELECT 'issue', printf('High missing data in oxygen: %.1f%%', gaps) FROM s WHERE gaps > 50"""
+  SELECT 'issue' AS kind, printf('High percentage of bad data: %.1f%%', bad) AS message FROM s WHERE bad > 10"""
+       + "".join(f"""
+  UNION ALL SELECT 'issue', printf('High missing data in {c}: %.1f%%', gaps_{c}) FROM s WHERE gaps_{c} > 50""" for c in CHECKED)
        + "".join(f"""
   UNION ALL SELECT 'issue', printf('High outlier percentage in {c}: %.1f%%', share) FROM (
     SELECT count(*) FILTER (WHERE {c} < lower_bound OR {c} > upper_bound) * 100e0 / count({c}) AS share
@@ -202,16 +204,16 @@ UNION ALL SELECT 'recommendation', 'Consider filtering out bad quality data befo
 UNION ALL SELECT 'recommendation', 'Data quality appears good for analysis' FROM (SELECT count(*) AS c FROM issues)
 WHERE c = 0""")
 def quality_issues(spark, folder):
-    return k.quality_issues(view(spark, folder, "readings").select("quality_flag", *CHECKED))
+    return k.quality_issues(view(spark, folder, "readings"))
 
 
-@query("table_quality", views="readings", sql="""
+@query("table_quality", views="readings", sql=f"""
 WITH b AS (SELECT quantile_cont(temperature, 0.25) AS t1, quantile_cont(temperature, 0.75) AS t3,
                   quantile_cont(salinity, 0.25) AS s1, quantile_cont(salinity, 0.75) AS s3,
                   quantile_cont(depth, 0.25) AS d1, quantile_cont(depth, 0.75) AS d3 FROM readings),
 c AS (SELECT count(*) AS n,
-  (5 * count(*) - count(id) - count(depth) - count(temperature) - count(salinity) - count(oxygen)) * 100e0
-    / (5 * count(*)) AS gaps,
+  ({len(READING_COLUMNS)} * count(*) - {" - ".join(f"count({c})" for c in READING_COLUMNS)}) * 100e0
+    / ({len(READING_COLUMNS)} * count(*)) AS gaps,
   count(*) FILTER (WHERE temperature < t1 - 1.5e0 * (t3 - t1) OR temperature > t3 + 1.5e0 * (t3 - t1)) AS t,
   count(*) FILTER (WHERE salinity < s1 - 1.5e0 * (s3 - s1) OR salinity > s3 + 1.5e0 * (s3 - s1)) AS s,
   count(*) FILTER (WHERE depth < d1 - 1.5e0 * (d3 - d1) OR depth > d3 + 1.5e0 * (d3 - d1)) AS d
@@ -228,7 +230,7 @@ SELECT CASE WHEN score >= 0.95e0 THEN 'excellent' WHEN score >= 0.85e0 THEN 'goo
        ELSE 'poor' END AS status, score, gaps AS missing_percentage, n AS total_records,
        array_to_string(l, '; ') AS issues FROM r""", doubles="score missing_percentage")
 def table_quality(spark, folder):
-    return k.table_quality(view(spark, folder, "readings").select("id", "depth", "temperature", "salinity", "oxygen"))
+    return k.table_quality(view(spark, folder, "readings"))
 
 
 @query("extra_checks", views="measurements", sql="""
@@ -242,26 +244,26 @@ def extra_checks(spark, folder):
 
 @query("completeness", views="measurements", sql="\nUNION ALL\n".join(
        f"""SELECT '{c}' AS "column", count({c}) * 100e0 / count(*) AS complete_percentage,
-       100e0 - count({c}) * 100e0 / count(*) AS missing_percentage FROM measurements""" for c in QUALITY_COLUMNS),
+       100e0 - count({c}) * 100e0 / count(*) AS missing_percentage FROM measurements""" for c in MEASUREMENT_COLUMNS),
        doubles="complete_percentage missing_percentage")
 def completeness(spark, folder):
-    return k.completeness(view(spark, folder, "measurements").select(*QUALITY_COLUMNS))
+    return k.completeness(view(spark, folder, "measurements"))
 
 
-REPORTED = ("id", "time", "lat", "lon", "depth", "temperature", "salinity")
+REPORTED = tuple(c for c in MEASUREMENT_COLUMNS if c not in WORDS)
 
 
 @query("quality_report", views="measurements", sql="""
 SELECT 'dataset' AS section, 'all' AS name, 'records' AS measure, CAST(count(*) AS DOUBLE) AS value FROM measurements
-UNION ALL SELECT 'dataset', 'all', 'columns', 7""" + "".join(f"""
+UNION ALL SELECT 'dataset', 'all', 'columns', """ + str(len(MEASUREMENT_COLUMNS)) + "".join(f"""
 UNION ALL SELECT 'completeness', '{c}', 'complete_percentage', count({c}) * 100e0 / count(*) FROM measurements
 UNION ALL SELECT 'completeness', '{c}', 'missing_percentage', 100e0 - count({c}) * 100e0 / count(*) FROM measurements"""
-       for c in REPORTED) + "".join(f"""
+       for c in MEASUREMENT_COLUMNS) + "".join(f"""
 UNION ALL SELECT 'statistics', '{c}', 'min', min({c}) FROM measurements
 UNION ALL SELECT 'statistics', '{c}', 'max', max({c}) FROM measurements
-UNION ALL SELECT 'statistics', '{c}', 'mean', avg({c}) FROM measurements""" for c in REPORTED[2:]), doubles="value")
+UNION ALL SELECT 'statistics', '{c}', 'mean', avg({c}) FROM measurements""" for c in REPORTED), doubles="value")
 def quality_report(spark, folder):
-    return k.quality_report(view(spark, folder, "measurements").select(*REPORTED))
+    return k.quality_report(view(spark, folder, "measurements"), REPORTED)
 
 
 @query("key_audit", views="float_cards casts readings", sql="""

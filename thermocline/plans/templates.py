@@ -218,15 +218,18 @@ def flag_distribution(spark, folder):
     return a.flag_distribution(view(spark, folder, "readings"))
 
 
+NUMBERS = ("profile_id", "depth", "pressure", "temperature", "salinity", "oxygen", "ph", "chlorophyll", "quality_flag", "float_id",
+           "lat", "lon")
+HAS_NULLS = "count(*) > least(" + ", ".join(f"count({c})" for c in (*NUMBERS, "id", "dataset_type", "time")) + ")"
+
+
 @query("result_summary", views="measurements", sql="\nUNION ALL\n".join(
-       f"""SELECT count(*) AS total_rows, 6 AS total_columns, 5 AS numeric_columns, count(*) > count(temperature)
+       f"""SELECT count(*) AS total_rows, 15 AS total_columns, 12 AS numeric_columns, {HAS_NULLS}
        AS has_nulls, '{c}' AS "column", avg({c}) AS mean, CAST(min({c}) AS DOUBLE) AS "min",
        CAST(max({c}) AS DOUBLE) AS "max", count({c}) AS "count" FROM measurements"""
-       for c in ("profile_id", "depth", "temperature", "salinity", "float_id")), doubles="mean min max")
+       for c in NUMBERS), doubles="mean min max")
 def result_summary(spark, folder):
-    rows = view(spark, folder, "measurements").select("profile_id", "depth", "temperature", "salinity", "float_id",
-                                                      "time")
-    return a.result_summary(rows)
+    return a.result_summary(view(spark, folder, "measurements"))
 
 
 @query("profile_sigma_band", views="measurements", sql="""
