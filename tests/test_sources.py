@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,15 @@ def test_index_and_listing(spark, tmp_path):
         files.snapshot_listing(spark, str(tmp_path / "snap"), "*.zip")
 
 
+def test_staged_copies_are_removed(spark):
+    from thermocline.session import release, shared_folder, staged
+
+    folder = f"{shared_folder(spark)}/staged"
+    assert staged(spark.range(10)).count() == 10 and os.listdir(folder.removeprefix("file:"))
+    release(spark)
+    assert not os.path.exists(folder.removeprefix("file:")) or not os.listdir(folder.removeprefix("file:"))
+
+
 def test_seeded_files(spark):
     many = spark.range(500).select(F.format_string("f%03d.nc", "id").alias("path"))
     pick = lambda df, n: sorted(r["path"] for r in files.seeded_files(df, n).collect())

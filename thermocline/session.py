@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -16,25 +17,13 @@ SETTINGS = {
     "spark.ui.enabled": "false",
 }
 
-# Settings a running session can still take, each with Spark's own default.
-#
 # The JVM does not compile methods of more than 8000 bytecodes.  A fused stage above that runs interpreted, several
 # times slower than its operators one by one, so such stages are better not fused (a four-fold gain on text columns).
-#
+SETTINGS["spark.sql.codegen.hugeMethodLimit"] = "8000"
 # Splitting a hot join key is worth another shuffle when an aggregate follows on the same key.
-RUNTIME = {
-    "spark.sql.codegen.hugeMethodLimit": ("65535", "8000"),
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": ("false", "true"),
-}
-SETTINGS.update({name: value for name, (_, value) in RUNTIME.items()})
-
+SETTINGS["spark.sql.adaptive.forceOptimizeSkewedJoin"] = "true"
 
-def tuned(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session this library did not build, leaving values somebody chose."""
-    for name, (default, value) in RUNTIME.items():
-        if spark.conf.get(name, default) == default:
-            spark.conf.set(name, value)
-    return spark
+_STAGED: dict[str, list[str]] = {}  # folders to remove, by application
 
 
 def build_session(app: str = "thermocline", master: str | None = None, **extra: str) -> SparkSession:
@@ -50,7 +39,8 @@ def build_session(app: str = "thermocline", master: str | None = None, **extra:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of this machine.
+    A local session without the setting gets a temporary folder of this machine, which ``release`` removes; a cluster
+    without it is refused.
     """
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -58,6 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="thermocline-")
+        _STAGED.setdefault(context.applicationId, []).append(folder)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -67,7 +58,8 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 
     Needed where two passes must see the very same rows in the very same partitions; the written copy
-    survives the loss of executors, which a cached one does not.
+    survives the loss of executors, which a cached one does not.  With the library's settings Spark removes it when
+    nothing refers to it any more.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -77,8 +69,28 @@ def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     For operators that pass over a joined view several times: the join runs once, later passes read only the
-    columns they need, and the optimizer knows the size of what it reads.
+    columns they need, and the optimizer knows the size of what it reads.  ``release`` removes the copy.
     """
-    path = f"{shared_folder(df.sparkSession)}/staged/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what ``staged`` wrote in this application; results that still read it must have been consumed.
+
+    Called at the end of the program; a long-lived session calls it between jobs.
+    """
+    jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _STAGED.pop(spark.sparkContext.applicationId, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(settings).delete(where, True)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _STAGED:
+        release(spark)
