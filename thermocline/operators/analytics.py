@@ -28,6 +28,33 @@ def avg(name: str) -> Column:
     return F.avg(name).alias(f"avg_{name}")
 
 
+def partial_sums(m: DataFrame, columns, casts: DataFrame | None = None, by=()) -> DataFrame:
+    """Rows with n, sum_* and count_* of the columns and min_depth, max_depth, beside place, time and ``by``.
+
+    With ``casts`` the rows of ``m`` are readings without place and time: they are summed per profile (and ``by``) before
+    they meet the profiles, so one row per profile is joined instead of every reading.  Without, every row stands for
+    itself.
+    """
+    depth = [F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth")]
+    if casts is None:
+        return m.select("*", F.lit(1).alias("n"), F.col("depth").alias("min_depth"), F.col("depth").alias("max_depth"),
+                        *(F.col(c).alias(f"sum_{c}") for c in columns),
+                        *(F.col(c).isNotNull().cast("long").alias(f"count_{c}") for c in columns))
+    sums = m.groupBy("profile_id", *by).agg(n_rows().alias("n"), *depth, *(F.sum(c).alias(f"sum_{c}") for c in columns),
+                                            *(F.count(c).alias(f"count_{c}") for c in columns))
+    places = casts.select("profile_id", "float_id", F.col("profile_date").alias("time"), F.col("profile_lat").alias("lat"),
+                          F.col("profile_lon").alias("lon"))
+    return sums.join(places, "profile_id")
+
+
+def mean_of(c: str) -> Column:
+    return F.try_divide(F.sum(f"sum_{c}"), F.sum(f"count_{c}")).alias(f"avg_{c}")
+
+
+def total_rows() -> Column:
+    return F.sum("n").cast("long").alias("measurement_count")
+
+
 def _first(df: DataFrame, top: int | None) -> DataFrame:
     return df if top is None else df.limit(top)
 
@@ -39,24 +66,25 @@ def avg_by_depth(m: DataFrame, top: int | None = None) -> DataFrame:
     return _first(rows.orderBy("depth"), top)
 
 
-def dataset_comparison(m: DataFrame, by: str = "dataset_type") -> DataFrame:
+def dataset_comparison(m: DataFrame, casts: DataFrame | None = None, by: str = "dataset_type") -> DataFrame:
     return (
-        m.groupBy(by)
-        .agg(n_rows().alias("observation_count"), avg("temperature"), avg("salinity"),
+        partial_sums(m, ("temperature", "salinity"), casts, (by,)).groupBy(by)
+        .agg(F.sum("n").cast("long").alias("observation_count"), mean_of("temperature"), mean_of("salinity"),
              F.min("time").alias("start_date"), F.max("time").alias("end_date"))
         .orderBy(F.desc("observation_count"), by)
     )
 
 
-def regional_comparison(m: DataFrame) -> DataFrame:
+def regional_comparison(m: DataFrame, casts: DataFrame | None = None) -> DataFrame:
+    columns = ("temperature", "salinity", "oxygen")
     return (
-        m.filter(F.col("temperature").isNotNull())
+        partial_sums(m.filter(F.col("temperature").isNotNull()), columns, casts)
         .groupBy(labels.basin(F.col("lat"), F.col("lon")).alias("region"))
         .agg(
-            *(F.round(F.avg(c), 2).alias(f"avg_{c}") for c in ("temperature", "salinity", "oxygen")),
-            n_rows().alias("measurement_count"),
-            F.round(F.min("depth"), 0).alias("min_depth_m"),
-            F.round(F.max("depth"), 0).alias("max_depth_m"),
+            *(F.round(mean_of(c), 2).alias(f"avg_{c}") for c in columns),
+            total_rows(),
+            F.round(F.min("min_depth"), 0).alias("min_depth_m"),
+            F.round(F.max("max_depth"), 0).alias("max_depth_m"),
         )
         .orderBy(F.desc("measurement_count"), "region")
     )
@@ -72,10 +100,10 @@ def depth_ranges(m: DataFrame) -> DataFrame:
     )
 
 
-def temporal_trends(m: DataFrame, top: int | None = None) -> DataFrame:
+def temporal_trends(m: DataFrame, top: int | None = None, casts: DataFrame | None = None) -> DataFrame:
     """Averages per month, the earliest first; ``top`` keeps the first so many."""
-    rows = m.filter(F.col("temperature").isNotNull()).groupBy(month_of(F.col("time")).alias("month")).agg(
-        avg("temperature"), avg("salinity"), n_rows().alias("measurement_count"))
+    sums = partial_sums(m.filter(F.col("temperature").isNotNull()), ("temperature", "salinity"), casts)
+    rows = sums.groupBy(month_of(F.col("time")).alias("month")).agg(mean_of("temperature"), mean_of("salinity"), total_rows())
     return _first(rows.orderBy("month"), top)
 
 
@@ -257,9 +285,9 @@ def profile_sigma_band(m: DataFrame, by: str = "float_id", columns=("temperature
     return stats
 
 
-def selection_metrics(m: DataFrame) -> DataFrame:
-    return m.agg(n_rows().alias("row_count"), F.countDistinct("float_id").alias("float_count"),
-                 F.max("depth").alias("max_depth"))
+def selection_metrics(m: DataFrame, casts: DataFrame | None = None) -> DataFrame:
+    return partial_sums(m, (), casts).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("row_count"),
+                                          F.countDistinct("float_id").alias("float_count"), F.max("max_depth").alias("max_depth"))
 
 
 def key_audit(floats: DataFrame, profiles: DataFrame, m: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions import predicates as p
 from ..functions.columns import month_of, n_rows
-from .analytics import avg
+from .analytics import avg, mean_of, partial_sums, total_rows
 from .quality import iqr_fences
 from .quantiles import quantiles
 
@@ -22,28 +22,30 @@ def deepest_per_float(m: DataFrame) -> DataFrame:
     return deepest.select("float_id", "r.*")
 
 
-def hemisphere_comparison(m: DataFrame) -> DataFrame:
+# The next four take measurements, or readings and their profiles: then readings are summed per profile first.
+AVERAGED = ("temperature", "salinity")
+
+
+def hemisphere_comparison(m: DataFrame, casts: DataFrame | None = None) -> DataFrame:
     side = F.when(F.col("lat") >= 0, "Northern").otherwise("Southern")
-    return m.filter(F.col("lat").isNotNull()).groupBy(side.alias("hemisphere")).agg(
-        avg("salinity"), avg("temperature"), n_rows().alias("measurement_count")
-    )
+    return partial_sums(m, AVERAGED, casts).filter(F.col("lat").isNotNull()).groupBy(side.alias("hemisphere")).agg(
+        mean_of("salinity"), mean_of("temperature"), total_rows())
 
 
-def latitude_bands(m: DataFrame, width: int = 10) -> DataFrame:
+def latitude_bands(m: DataFrame, casts: DataFrame | None = None, width: int = 10) -> DataFrame:
     band = (F.floor(F.col("lat") / width) * width).cast("int")
-    return m.filter(F.col("lat").isNotNull()).groupBy(band.alias("band_south")).agg(
-        avg("temperature"), avg("salinity"), n_rows().alias("measurement_count")
-    )
+    return partial_sums(m, AVERAGED, casts).filter(F.col("lat").isNotNull()).groupBy(band.alias("band_south")).agg(
+        mean_of("temperature"), mean_of("salinity"), total_rows())
 
 
-def count_by_month(m: DataFrame) -> DataFrame:
-    return m.groupBy(month_of(F.col("time")).alias("month")).agg(n_rows().alias("measurement_count"))
+def count_by_month(m: DataFrame, casts: DataFrame | None = None) -> DataFrame:
+    return partial_sums(m, (), casts).groupBy(month_of(F.col("time")).alias("month")).agg(total_rows())
 
 
-def seasonal_variation(m: DataFrame) -> DataFrame:
-    return m.groupBy(F.quarter("time").alias("quarter"), F.month("time").alias("month_of_year")).agg(
-        avg("temperature"), avg("salinity"), n_rows().alias("measurement_count")
-    )
+def seasonal_variation(m: DataFrame, casts: DataFrame | None = None) -> DataFrame:
+    return partial_sums(m, AVERAGED, casts).groupBy(
+        F.quarter("time").alias("quarter"), F.month("time").alias("month_of_year")).agg(
+        mean_of("temperature"), mean_of("salinity"), total_rows())
 
 
 def deployments_over_time(profiles: DataFrame) -> DataFrame:
@@ -167,7 +169,7 @@ def high_chlorophyll_cells(m: DataFrame, cell: float = 1.0, top: int = 20) -> Da
     )
 
 
-def region_coverage(m: DataFrame, cell: float = 5.0) -> DataFrame:
+def region_coverage(m: DataFrame, casts: DataFrame | None = None, cell: float = 5.0) -> DataFrame:
     """Per named region: grid cells with data, all cells, and the share covered.
 
     Rows shrink to one per occupied cell and region before cells are counted.
@@ -175,7 +177,8 @@ def region_coverage(m: DataFrame, cell: float = 5.0) -> DataFrame:
     from .filters import in_named_regions
 
     lat, lon = (F.floor(F.col(c) / cell).alias(f"{c}_cell") for c in ("lat", "lon"))
-    tagged = in_named_regions(m.select("lat", "lon")).groupBy("region", lat, lon).agg(n_rows().alias("n"))
+    placed = partial_sums(m, (), casts).select("lat", "lon", "n")
+    tagged = in_named_regions(placed).groupBy("region", lat, lon).agg(F.sum("n").cast("long").alias("n"))
     sizes = [
         (name, int((n // cell) - (s // cell) + 1) * int((e // cell) - (w // cell) + 1))
         for name, (n, s, e, w) in labels.REGIONS.items()

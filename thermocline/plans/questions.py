@@ -19,12 +19,12 @@ WORDS = ("id", "dataset_type", "time")  # columns that are not numbers
 CHECKED = tuple(c for c in READING_COLUMNS if c not in WORDS)
 
 
-def _over(name: str, operator, sql: str, views: str = "measurements", doubles: str = ""):
-    """Register an operator that takes exactly the listed views, in that order."""
+def _over(name: str, operator, sql: str, views: str = "measurements", doubles: str = "", takes: str | None = None):
+    """Register an operator that takes exactly the listed views, in that order; the SQL uses ``views``."""
 
     @query(name, views=views, sql=sql, doubles=doubles)
     def build(spark, folder):
-        return operator(*(view(spark, folder, v) for v in views.split()))
+        return operator(*(view(spark, folder, v) for v in (takes or views).split()))
 
 
 _over("deepest_per_float", q.deepest_per_float, """
@@ -34,18 +34,18 @@ QUALIFY row_number() OVER (PARTITION BY float_id ORDER BY depth DESC, id) = 1"""
 _over("hemisphere_comparison", q.hemisphere_comparison, """
 SELECT CASE WHEN lat >= 0 THEN 'Northern' ELSE 'Southern' END AS hemisphere, avg(salinity) AS avg_salinity,
        avg(temperature) AS avg_temperature, count(*) AS measurement_count FROM measurements GROUP BY 1""",
-      doubles="avg_salinity avg_temperature")
+      doubles="avg_salinity avg_temperature", takes="readings casts")
 _over("latitude_bands", q.latitude_bands, """
 SELECT CAST(floor(lat / 10e0) * 10 AS INT) AS band_south, avg(temperature) AS avg_temperature,
        avg(salinity) AS avg_salinity, count(*) AS measurement_count FROM measurements GROUP BY 1""",
-      doubles="avg_temperature avg_salinity")
+      doubles="avg_temperature avg_salinity", takes="readings casts")
 _over("count_by_month", q.count_by_month, """
 SELECT CAST(date_trunc('month', time) AS TIMESTAMP) AS month, count(*) AS measurement_count FROM measurements
-GROUP BY 1""")
+GROUP BY 1""", takes="readings casts")
 _over("seasonal_variation", q.seasonal_variation, """
 SELECT quarter(time) AS quarter, month(time) AS month_of_year, avg(temperature) AS avg_temperature,
        avg(salinity) AS avg_salinity, count(*) AS measurement_count FROM measurements GROUP BY 1, 2""",
-      doubles="avg_temperature avg_salinity")
+      doubles="avg_temperature avg_salinity", takes="readings casts")
 _over("deployments_over_time", q.deployments_over_time, """
 SELECT CAST(date_trunc('month', first_profile) AS TIMESTAMP) AS month, count(*) AS deployments
 FROM (SELECT float_id, min(profile_date) AS first_profile FROM casts GROUP BY float_id) GROUP BY 1""", "casts")
@@ -116,7 +116,7 @@ SELECT region, count(DISTINCT (floor(lat / 5), floor(lon / 5))) AS occupied_cell
          / ((floor(any_value(north) / 5e0) - floor(any_value(south) / 5e0) + 1)
             * (floor(any_value(east) / 5e0) - floor(any_value(west) / 5e0) + 1)) AS coverage
 FROM measurements JOIN r ON lat BETWEEN south AND north AND lon BETWEEN west AND east GROUP BY region""",
-      doubles="coverage")
+      doubles="coverage", takes="readings casts")
 _over("salinity_depth_ranges", q.salinity_depth_ranges, f"""
 SELECT {BAND_SQL} AS depth_range, avg(salinity) AS avg_salinity, min(salinity) AS min_salinity,
        max(salinity) AS max_salinity, count(*) AS measurement_count

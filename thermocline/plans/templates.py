@@ -108,7 +108,7 @@ SELECT dataset_type, count(*) AS observation_count, avg(temperature) AS avg_temp
        avg(salinity) AS avg_salinity, min(time) AS start_date, max(time) AS end_date
 FROM measurements GROUP BY dataset_type""", doubles="avg_temperature avg_salinity")
 def dataset_comparison(spark, folder):
-    return a.dataset_comparison(view(spark, folder, "measurements"))
+    return a.dataset_comparison(view(spark, folder, "readings"), view(spark, folder, "casts"))
 
 
 @query("regional_comparison", views="measurements", sql=f"""
@@ -118,7 +118,7 @@ SELECT {BASIN_SQL} AS region, round(avg(temperature), 2) AS avg_temperature, rou
 FROM measurements WHERE temperature IS NOT NULL GROUP BY 1""",
        doubles="avg_temperature avg_salinity avg_oxygen min_depth_m max_depth_m")
 def regional_comparison(spark, folder):
-    return a.regional_comparison(view(spark, folder, "measurements"))
+    return a.regional_comparison(view(spark, folder, "readings"), view(spark, folder, "casts"))
 
 
 @query("depth_ranges", views="readings", sql=f"""
@@ -135,7 +135,7 @@ SELECT CAST(date_trunc('month', time) AS TIMESTAMP) AS month, avg(temperature) A
 FROM measurements WHERE temperature IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 100""",
        doubles="avg_temperature avg_salinity")
 def temporal_trends(spark, folder):
-    return a.temporal_trends(view(spark, folder, "measurements"))
+    return a.temporal_trends(view(spark, folder, "readings"), casts=view(spark, folder, "casts"))
 
 
 @query("bgc_zones", views="readings", sql=f"""
@@ -247,4 +247,4 @@ def profile_sigma_band(spark, folder):
 SELECT count(*) AS row_count, count(DISTINCT float_id) AS float_count, max(depth) AS max_depth FROM measurements""",
        doubles="max_depth")
 def selection_metrics(spark, folder):
-    return a.selection_metrics(view(spark, folder, "measurements"))
+    return a.selection_metrics(view(spark, folder, "readings"), view(spark, folder, "casts"))
