@@ -9,7 +9,7 @@ from thermocline.sources.binding import BASE_TABLES
 from tools.compare import same
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-WITHOUT_SQL = {"cluster_floats"}
+WITHOUT_SQL = set()
 COMPARED = (
     "float_summary regional_comparison profiles_by_ids system_statistics float_card filter_named_region filter_circle "
     "filter_funnel float_profiles deepest_per_float region_coverage iqr_outliers key_audit explode_profiles "

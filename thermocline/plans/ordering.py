@@ -114,13 +114,34 @@ def region_outlines(spark, folder):
     return g.region_outlines(view(spark, folder, "measurements"))
 
 
-@query("cluster_floats")
+REACH = 5.0  # degrees; gives clusters as well as single floats at every scale
+
+
+# The SQL walks through the floats one by one and carries the list of leaders along.
+@query("cluster_floats", views="casts", sql=f"""
+WITH RECURSIVE pts AS (
+  SELECT float_id, lat, lon, row_number() OVER (ORDER BY float_id) AS i FROM (
+    SELECT float_id, profile_lat AS lat, profile_lon AS lon FROM casts
+    QUALIFY row_number() OVER (PARTITION BY float_id ORDER BY profile_date DESC, profile_id DESC) = 1)),
+walk(i, leaders) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, lat DOUBLE, lon DOUBLE)[])
+  UNION ALL
+  SELECT p.i, CASE WHEN len(list_filter(leaders, lambda l: sqrt((l.lat - p.lat) * (l.lat - p.lat) + (l.lon - p.lon) * (l.lon - p.lon)) <= {REACH})) > 0
+                   THEN leaders ELSE list_append(leaders, {{'id': p.float_id, 'lat': p.lat, 'lon': p.lon}}) END
+  FROM walk w JOIN pts p ON p.i = w.i + 1),
+leads AS (SELECT unnest(leaders, recursive := true) FROM (SELECT leaders FROM walk ORDER BY i DESC LIMIT 1)),
+sized AS (SELECT l.id AS leader, avg(p.lat) AS lat, avg(p.lon) AS lon, count(*) AS cluster_size,
+                 row_number() OVER (ORDER BY l.id) - 1 AS position
+  FROM leads l JOIN pts p ON sqrt((l.lat - p.lat) * (l.lat - p.lat) + (l.lon - p.lon) * (l.lon - p.lon)) <= {REACH} GROUP BY l.id)
+SELECT CASE WHEN cluster_size > 1 THEN 'Cluster_' || position ELSE CAST(leader AS VARCHAR) END AS float_id, leader, lat, lon, cluster_size,
+       CAST(CASE WHEN cluster_size > 1 THEN least(cluster_size * {g.MARKER_STEP} + {g.MARKER_BASE}, {g.MARKER_LIMIT}) ELSE {g.SINGLE_MARKER} END AS INT) AS marker_size
+FROM sized""", doubles="lat lon")
 def cluster_floats(spark, folder):
-    """Latest position of every float, clustered.  Greedy order has no SQL form; the tests compare it with the loop."""
+    """Latest position of every float, clustered in the order of their ids."""
     rows = view(spark, folder, "casts").select(
         "float_id", F.col("profile_id").alias("id"), F.col("profile_date").alias("time"),
         F.col("profile_lat").alias("lat"), F.col("profile_lon").alias("lon"))
-    return g.cluster_floats(o.latest_positions(rows, "id").select("float_id", "lat", "lon"))
+    return g.cluster_floats(o.latest_positions(rows, "id").select("float_id", "lat", "lon"), REACH)
 
 
 @query("density_grid", views="casts", sql="""

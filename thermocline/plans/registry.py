@@ -27,6 +27,8 @@ def with_views(views: str, text: str) -> str:
         return text.strip()
     listed = ",\n".join(f"{v} AS ({view_sql(v)})" for v in views.split())
     text = text.strip()
+    if text.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {listed},\n{text[15:]}"
     return f"WITH {listed},\n{text[5:]}" if text.startswith("WITH ") else f"WITH {listed}\n{text}"
 
 
