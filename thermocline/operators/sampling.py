@@ -73,10 +73,13 @@ def hash_unit(key: str, seed: int = SEED) -> Column:
 def smallest(df: DataFrame, quota, bucket: Column, order, by=()) -> DataFrame:
     """The ``quota`` rows with the smallest ``order`` of every group, exactly.
 
-    ``bucket`` must rise with ``order``.  Its histogram (groups x at most 65,536 buckets) is all that is shuffled
-    besides the rows of the border bucket.  ``by`` is a bin number, so there are few groups.
+    Without groups every task keeps its ``quota`` first rows, in one scan.  With groups ``bucket``, which must rise with
+    ``order``, gives a histogram (groups x at most 65,536 buckets), and rows beyond the border bucket are dropped in the
+    scan.  ``by`` is a bin number, so there are few groups.
     """
     by = list(by)
+    if not by:
+        return df.orderBy(*order).limit(quota)
     marked = df.withColumn("_b", bucket)
     histogram = marked.groupBy(*by, "_b").agg(n_rows().alias("_c"))
     rising = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -87,17 +90,9 @@ def smallest(df: DataFrame, quota, bucket: Column, order, by=()) -> DataFrame:
         .agg(F.max_by(F.struct("_b", (F.lit(quota) - (F.col("_upto") - F.col("_c"))).alias("need"),
                                (F.col("_upto") <= F.lit(quota)).alias("whole")), "_b").alias("_cut"))
     )
-    if by:
-        cut = marked.join(F.broadcast(border), by)  # bound: one row per bin
-    else:
-        row = border.first()
-        if row is None:
-            return df.limit(0)
-        c = row["_cut"]
-        cut = marked.withColumn("_cut", F.struct(F.lit(c["_b"]).alias("_b"), F.lit(c["need"]).alias("need"),
-                                                 F.lit(c["whole"]).alias("whole")))
-    # What lies beyond the border is dropped in the scan.  The rest is numbered bucket by bucket, which only matters
-    # in the border bucket; buckets are small and spread over all tasks.
+    cut = marked.join(F.broadcast(border), by)  # bound: one row per bin
+    # The rest is numbered bucket by bucket, which only matters in the border bucket; buckets are small and spread over
+    # all tasks.
     rest = cut.filter(F.col("_b") <= F.col("_cut._b"))
     spot = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
     keep = (F.col("_b") < F.col("_cut._b")) | F.col("_cut.whole") | (F.col("_r") <= F.col("_cut.need"))
