@@ -15,7 +15,7 @@ from .common import components, table, word_bytes
 
 SHINGLE = 5  # words
 SIMILARITY = 0.8  # probability Jaccard of shingle counts
-BANDS, ROWS = 24, 5  # a pair at 0.8 is missed with probability (1 - 0.8**5)**24 < 1e-4
+BANDS, ROWS = 32, 7  # a pair at 0.8 is missed with probability (1 - 0.8**7)**32 < 1e-3, one at 0.85 with 2e-5
 BATCH_ELEMENTS, BATCH_DOCUMENTS = 400_000, 2_000
 BROADCAST_IDS = 500_000
 REMEMBERED = 300_000  # words whose hash a task remembers before it starts afresh
@@ -192,17 +192,9 @@ def _may_link(threshold: float) -> Column:
     What a pair has in common is at most the smaller shared part; for sets without repetitions the similarity is the
     plain Jaccard, common over joint size, and else it is at most the common share of each set.
     """
-    common = F.least("a_shared", "b_shared")
-    plain = common >= (threshold - ROUNDING) * (F.col("a_weight") + F.col("b_weight") - common)
-    share = F.least(F.col("a_shared") / F.col("a_weight"), F.col("b_shared") / F.col("b_weight")) >= threshold - ROUNDING
-    return share & (plain | ~F.col("a_even") | ~F.col("b_even"))
-
-
-def _pivots(members: DataFrame, number: int) -> DataFrame:
-    """``number`` members of each bucket, those first that are in small components and have most in common with others;
-    the limit applies before rows are shuffled."""
-    order = Window.partitionBy("bucket").orderBy("size", F.col("central").desc(), "id")
-    return members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= number).drop("place")
+    common = F.least("a.shared", "b.shared")
+    plain = common >= (threshold - ROUNDING) * (F.col("a.weight") + F.col("b.weight") - common)
+    return plain | ~F.col("a.even") | ~F.col("b.even")
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -211,64 +203,56 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(several.select("bucket"), "bucket", "left_semi")
 
 
+def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, distance) of each pair (a, b)."""
+    left, right = sets.toDF("a", "a_set", "a_count"), sets.toDF("b", "b_set", "b_count")
+    compared = pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "a_count", "b_set", "b_count")
+    return durable(compared.mapInArrow(_compare, "a long, b long, distance double"))
+
+
 def links(members: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b); what chains of links inside buckets connect is connected here too.
 
-    ``members``: (bucket, id); ``sets``: (id, set, count).  Not all pairs of a bucket are formed.  Every round compares
-    the members of a bucket with a few pivots, in the first round the one with most bucket mates, then from the smallest
-    components and four times as many each time.  Left out are only pairs that cannot matter:
-    - both are in one component already; a bucket with a single component is done;
-    - their parts shared with any other set are too small (``_may_link``);
-    - the distance 1 - similarity is the probability of two hash values being different, so it obeys the triangle
-      inequality: a member of a pivot's class that is farther than the link distance from every member outside of it, by
-      their distances to the pivot, is settled.
+    ``members``: (bucket, id); ``sets``: (id, set, count).  First every bucket is compared with its member that has most
+    bucket mates, as a rule the original of a group of copies.  What that leaves apart is compared afterwards, each pair
+    in the first bucket both are in, except for pairs that cannot matter:
+    - both are in one component already, or neither is outside of the bucket's largest component;
+    - one of them, or the pair, has too little in common with any other set (``_may_link``);
+    - their distances to the bucket's first member differ by more than the link distance: 1 - similarity is the
+      probability of two hash values being different, so it obeys the triangle inequality.
     """
     reach = 1.0 - threshold + ROUNDING
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("mates"))
-    central = members.join(sizes, "bucket").groupBy("id").agg(F.sum("mates").cast("double").alias("central"))
-    members = durable(members.join(central, "id").select("bucket", "id", F.col("id").alias("component"), F.lit(1).cast("long").alias("size"),
-                                                         "central"))
-    known, parts, number = None, None, 1
-    left, right = sets.toDF("a", "a_set", "a_count"), sets.toDF("b", "b_set", "b_count")
-    while True:
-        pivots = durable(_pivots(members, number))
-        one = pivots.select("bucket", F.col("id").alias("pivot"), F.col("component").alias("pivot_component"))
-        met = members.join(one, "bucket").filter("component <> pivot_component")
-        met = met.select("bucket", "id", "pivot", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        new = met.select("a", "b").distinct()
-        if parts is not None:
-            of = lambda x: parts.select(*[F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in parts.columns])
-            new = new.join(of("a"), "a").join(of("b"), "b").filter(_may_link(threshold)).select("a", "b")
-            new = new.join(known, ["a", "b"], "left_anti")
-        compared = new.join(left, "a").join(right, "b").select("a", "b", "a_set", "a_count", "b_set", "b_count")
-        fresh = durable(compared.mapInArrow(_compare, "a long, b long, distance double"))
-        known = fresh if known is None else durable(known.union(fresh))
-        linked = known.filter(F.col("distance") <= reach).select("a", "b")
-
-        found = components(members.select("id"), linked, "id")
-        sized = found.groupBy("component").agg(F.count("*").alias("size"))
-        found = found.join(sized, "component")
-        now = _open(members.drop("component", "size").join(found, "id"))
-        now = durable(now.select("bucket", "id", "component", "size", "central"))
-        # Distances to the pivots that are still among different components; a pair left out is beyond the reach of any.
-        at = now.join(pivots.select("bucket", F.col("id").alias("pivot")), "bucket").select(
-            "bucket", "id", "component", "pivot", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        at = at.join(known, ["a", "b"]).join(found.select(F.col("id").alias("pivot"), F.col("component").alias("of")), "pivot")
-        counts = at.groupBy("bucket", "pivot").agg(F.min(F.when(F.col("component") != F.col("of"), F.col("distance"))).alias("nearest"),
-                                                   F.count_if(F.col("component") != F.col("of")).alias("outside"))
-        apart = now.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        total = apart.groupBy("bucket").agg(F.sum("n").alias("all"))
-        mine = apart.select("bucket", F.col("component").alias("of"), F.col("n").alias("own"))
-        settled = at.filter((F.col("distance") <= reach) & (F.col("component") == F.col("of"))).join(counts, ["bucket", "pivot"]).join(
-            total, "bucket").join(mine, ["bucket", "of"]).filter(
-            (F.col("outside") == F.col("all") - F.col("own")) & (F.col("nearest") - F.col("distance") > reach)).select("bucket", "id")
-        done = settled.union(pivots.select("bucket", "id")).distinct()
-        members = durable(_open(now.join(done, ["bucket", "id"], "left_anti")))
-        if members.isEmpty():
-            return linked
-        if parts is None:
-            parts = durable(shares(sets.join(members.select("id").distinct(), "id", "left_semi")))
-        number *= 4
+    mates = members.groupBy("bucket").agg(F.count("*").alias("mates"))
+    central = members.join(mates, "bucket").groupBy("id").agg(F.sum("mates").alias("central"))
+    order = Window.partitionBy("bucket").orderBy(F.col("central").desc(), "id")
+    first = members.join(central, "id").withColumn("place", F.row_number().over(order)).filter("place = 1")
+    met = durable(members.join(first.select("bucket", F.col("id").alias("pivot")), "bucket").select(
+        "bucket", "id", "pivot", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
+    known = _distances(met.filter("a <> b").select("a", "b").distinct(), sets)
+    linked = known.filter(F.col("distance") <= reach).select("a", "b")
+
+    found = components(members.select("id"), linked, "id")
+    found = found.join(found.groupBy("component").agg(F.count("*").alias("size")), "component")
+    placed = met.join(known, ["a", "b"], "left").select("bucket", "id", F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    apart = durable(_open(placed.join(found, "id")))
+    if apart.isEmpty():
+        return linked
+    parts = shares(sets.join(apart.select("id").distinct(), "id", "left_semi"))
+    able = parts.filter(F.col("shared") >= (threshold - ROUNDING) * F.col("weight"))
+    apart = durable(_open(apart.join(able, "id")))
+    lists = apart.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))  # at most BANDS each
+    largest = apart.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("largest"))
+    full = durable(apart.join(lists, "id").join(largest.select("bucket", "largest.component").withColumnRenamed(
+        "component", "largest"), "bucket"))
+    a, b = full.filter("component <> largest").alias("a"), full.alias("b")
+    once = (F.col("b.component") == F.col("b.largest")) | (F.col("a.id") < F.col("b.id"))
+    near = F.abs(F.col("a.distance") - F.col("b.distance")) <= reach
+    here = F.array_min(F.array_intersect("a.buckets", "b.buckets")) == F.col("a.bucket")
+    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component"))
+                   & once & near & _may_link(threshold) & here)
+    pairs = pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    more = _distances(pairs.join(known, ["a", "b"], "left_anti"), sets)
+    return durable(linked.union(more.filter(F.col("distance") <= reach).select("a", "b")))
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
