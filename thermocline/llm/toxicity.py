@@ -87,22 +87,15 @@ class _Lookup:
         return sorted(here)
 
 
-def fit(bags: list[tuple[int, list[list[int]]]], n_features: int, steps: int = 300, rate: float = 0.15,
-        ridge: float = 2e-4) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and leak from (label, sentences as lists of feature numbers), by full-batch gradient steps.
+def fit(y: np.ndarray, doc_of: np.ndarray, sent_of: np.ndarray, feature_of: np.ndarray, n_features: int, steps: int = 300,
+        rate: float = 0.15, ridge: float = 2e-4) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and leak by full-batch gradient steps.
 
-    A document is clean only if none of its sentences is toxic and the leak does not strike:
-    P(label 1) = 1 - (1 - leak) * prod(1 - p(sentence)).
+    ``y`` are the labels of the documents, ``doc_of`` the document of each sentence; every feature of a sentence is one
+    entry of ``sent_of`` and ``feature_of``.  A document is clean only if none of its sentences is toxic and the leak does
+    not strike: P(label 1) = 1 - (1 - leak) * prod(1 - p(sentence)).
     """
-    y = np.array([label for label, _ in bags], dtype=float)
-    doc_of, sent_of, feature_of, n_sent = [], [], [], 0
-    for d, (_, sentences) in enumerate(bags):
-        for s in sentences:
-            doc_of.append(d)
-            sent_of += [n_sent] * len(s)
-            feature_of += s
-            n_sent += 1
-    doc_of, sent_of, feature_of = (np.array(x, dtype=np.int64) for x in (doc_of, sent_of, feature_of))
+    n_sent = len(doc_of)
     theta = np.concatenate([np.zeros(n_features), [-6.0, math.log(max(y.mean(), 1e-4)) - 2.0]])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
@@ -172,10 +165,14 @@ def train(docs: DataFrame, labels: DataFrame, features: int = FEATURES, document
     share = min(1.0, documents / totals["n"])
     drawn = rows.filter(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     found = drawn.select("toxic", "text").mapInArrow(extract, "toxic int, bag array<array<int>>").toArrow()
-    bags = list(zip(found.column("toxic").to_pylist(), found.column("bag").to_pylist()))
-    if len({label for label, _ in bags}) < 2:
+    y = found.column("toxic").to_numpy().astype(float)
+    if len(np.unique(y)) < 2:
         return Model(leak=totals["pos"] / totals["n"])
-    weights, bias, leak = fit(bags, len(chosen))
+    bags = found.column("bag").combine_chunks()
+    sentences = bags.flatten()
+    per_doc, per_sentence = (np.diff(x.offsets.to_numpy()) for x in (bags, sentences))
+    weights, bias, leak = fit(y, np.repeat(np.arange(len(y)), per_doc), np.repeat(np.arange(len(sentences)), per_sentence),
+                              sentences.flatten().to_numpy(), len(chosen))
     return Model({w: float(weights[i]) for w, i in number.items()}, bias, leak)
 
 
