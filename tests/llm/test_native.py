@@ -86,7 +86,7 @@ def test_targets_stop_and_share_again(spark):
 
 
 def secret(n, seed):
-    return "".join(random.Random(seed).choice(secret_scan.LETTERS) for _ in range(n))
+    return "".join(random.Random(seed).choices(secret_scan.LETTERS, k=n))
 
 
 def test_secrets(spark, monkeypatch, odd_docs):

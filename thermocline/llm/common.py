@@ -9,6 +9,7 @@ from ..session import durable
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_WORDS_AS_WRITTEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # for texts whose A-Z are still there
 BETWEEN_TOKENS = r"[\x20\x09-\x0D]+"
 TOKEN = r"[^\x20\x09-\x0D]+"
 

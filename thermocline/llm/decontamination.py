@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BETWEEN_WORDS, table, text_key, words
+from .common import BETWEEN_WORDS_AS_WRITTEN, table, text_key, words
 
 WINDOW = 10
 BROADCAST_WINDOWS = 500_000  # windows of ten short words: about 100 MB as a hash table
@@ -97,8 +97,8 @@ def covered(spans: Column) -> Column:
 
 def without_spans(text: Column, spans: Column) -> Column:
     """The text without the words of the spans and without the separators that follow them."""
-    parts = F.split(text, BETWEEN_WORDS)
-    gaps = F.concat(F.regexp_extract_all(text, F.lit(BETWEEN_WORDS), F.lit(0)), F.array(F.lit("")))
+    parts = F.split(text, BETWEEN_WORDS_AS_WRITTEN)
+    gaps = F.concat(F.regexp_extract_all(text, F.lit(BETWEEN_WORDS_AS_WRITTEN), F.lit(0)), F.array(F.lit("")))
     skipped = F.when(F.element_at(parts, 1) == "", F.lit(1)).otherwise(F.lit(0))
     whole = F.zip_with(parts, gaps, lambda p, g: F.concat(p, g))
 
