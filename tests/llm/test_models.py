@@ -109,7 +109,11 @@ def test_links_keep_chains_between_members_of_one_bucket(spark):
     sets = {i: Counter(abs(hash(w)) % 2**40 for w in ws) for i, ws in rows}
     frame = spark.createDataFrame([(i, *(x.tolist() for x in weighted(c))) for i, c in sets.items()], "id long, set array<long>, count array<int>")
     members = spark.createDataFrame([(1, i) for i in sets], "bucket long, id long")
-    found = near_dedup.links(members, frame)
+    drawn = near_dedup.sketches(near_dedup.signatures(
+        np.concatenate([near_dedup._mixed(weighted(c)[0].astype(np.uint64)) for c in sets.values()]),
+        np.concatenate([weighted(c)[1] for c in sets.values()]).astype(float), np.repeat(np.arange(24), [len(c) for c in sets.values()]),
+        24, near_dedup.BANDS * near_dedup.ROWS))
+    found = near_dedup.links(members, frame, spark.createDataFrame([(i, drawn[i].tolist()) for i in sets], "id long, sketch array<long>"))
     got = {r["id"]: r["component"] for r in components(members.select("id"), found, "id").collect()}
     low = {i: i for i in sets}
     for a in sets:

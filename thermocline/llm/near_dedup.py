@@ -20,6 +20,8 @@ BATCH_ELEMENTS, BATCH_DOCUMENTS = 400_000, 2_000
 BROADCAST_IDS = 500_000
 REMEMBERED = 300_000  # words whose hash a task remembers before it starts afresh
 ROUNDING = 1e-9
+SKETCH_BITS = 4  # of each register, kept to estimate the similarity of a pair before its sets are fetched
+LATITUDE = 4.5  # standard deviations a pair at the threshold may fall short of its expected agreement: P = 3e-6
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 0xD1342543DE82EF95
@@ -68,6 +70,30 @@ def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, n:
     return kept.reshape(n, registers)
 
 
+def sketches(registers: np.ndarray) -> np.ndarray:
+    """The lowest SKETCH_BITS of a hash of each register, one bit of all registers after the other, packed into numbers."""
+    low = _mixed(registers)
+    planes = [np.packbits((low >> np.uint64(k)) & np.uint64(1) != 0, axis=1) for k in range(SKETCH_BITS)]
+    spare = -planes[0].shape[1] % 8
+    planes = [np.ascontiguousarray(np.pad(p, ((0, 0), (0, spare)))).view(np.int64) for p in planes]
+    return np.ascontiguousarray(np.concatenate(planes, axis=1))
+
+
+def _alike(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two sketches agree as often as those of a pair at the threshold do, less a wide margin."""
+    registers = BANDS * ROWS
+    words = -(-registers // 64)
+    differ = None
+    for w in range(words):
+        mask = None
+        for k in range(SKETCH_BITS):
+            one = F.get(a, F.lit(k * words + w)).bitwiseXOR(F.get(b, F.lit(k * words + w)))
+            mask = one if mask is None else mask.bitwiseOR(one)
+        differ = F.bit_count(mask) if differ is None else differ + F.bit_count(mask)
+    chance = (1.0 - threshold) * (1.0 - 2.0**-SKETCH_BITS)
+    return differ <= registers * chance + LATITUDE * (registers * chance * (1 - chance)) ** 0.5
+
+
 def _lists(column: pa.Array) -> Iterator[np.ndarray]:
     """The rows of a list column without nulls as arrays on the column's own memory."""
     offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
@@ -98,21 +124,23 @@ def _identity(hashes: np.ndarray) -> tuple[int, int]:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, h1, h2, bands): identity of the words and band hashes of each text that has words."""
-    def bands(sets) -> np.ndarray:
+    def bands(sets) -> tuple[np.ndarray, np.ndarray]:
         owner = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
         found = signatures(np.concatenate([e for e, _ in sets]), np.concatenate([c for _, c in sets]).astype(float), owner,
-                           len(sets), BANDS * ROWS).reshape(len(sets), BANDS, ROWS)
+                           len(sets), BANDS * ROWS)
+        drawn = sketches(found)
+        found = found.reshape(len(sets), BANDS, ROWS)
         out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sets), 1))
         for r in range(ROWS):
             out = _mixed(out * _ODD + found[:, :, r])
-        return out.view(np.int64)
+        return out.view(np.int64), drawn
 
     def rows(ids, names, sets) -> pa.RecordBatch:
-        flat = pa.array(bands(sets).ravel())
-        offsets = pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32))
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+                 for x in bands(sets)]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([a for a, _ in names], pa.int64()),
-                                           pa.array([b for _, b in names], pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-                                          ["doc_id", "h1", "h2", "bands"])
+                                           pa.array([b for _, b in names], pa.int64()), *lists],
+                                          ["doc_id", "h1", "h2", "bands", "sketch"])
 
     hashes_of = _WordHashes()
     ids, names, sets, size = [], [], [], 0
@@ -210,14 +238,15 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return durable(compared.mapInArrow(_compare, "a long, b long, distance double"))
 
 
-def links(members: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def links(members: DataFrame, sets: DataFrame, drawn: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b); what chains of links inside buckets connect is connected here too.
 
-    ``members``: (bucket, id); ``sets``: (id, set, count).  First every bucket is compared with its member that has most
+    ``members``: (bucket, id); ``sets``: (id, set, count); ``drawn``: (id, sketch).  First every bucket is compared with its member that has most
     bucket mates, as a rule the original of a group of copies.  What that leaves apart is compared afterwards, each pair
     in the first bucket both are in, except for pairs that cannot matter:
     - both are in one component already, or neither is outside of the bucket's largest component;
     - one of them, or the pair, has too little in common with any other set (``_may_link``);
+    - their signatures agree far too rarely (``_alike``);
     - their distances to the bucket's first member differ by more than the link distance: 1 - similarity is the
       probability of two hash values being different, so it obeys the triangle inequality.
     """
@@ -242,14 +271,14 @@ def links(members: DataFrame, sets: DataFrame, threshold: float = SIMILARITY) ->
     apart = durable(_open(apart.join(able, "id")))
     lists = apart.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))  # at most BANDS each
     largest = apart.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("largest"))
-    full = durable(apart.join(lists, "id").join(largest.select("bucket", "largest.component").withColumnRenamed(
+    full = durable(apart.join(lists, "id").join(drawn, "id").join(largest.select("bucket", "largest.component").withColumnRenamed(
         "component", "largest"), "bucket"))
     a, b = full.filter("component <> largest").alias("a"), full.alias("b")
     once = (F.col("b.component") == F.col("b.largest")) | (F.col("a.id") < F.col("b.id"))
     near = F.abs(F.col("a.distance") - F.col("b.distance")) <= reach
     here = F.array_min(F.array_intersect("a.buckets", "b.buckets")) == F.col("a.bucket")
     pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component"))
-                   & once & near & _may_link(threshold) & here)
+                   & once & near & _may_link(threshold) & _alike(F.col("a.sketch"), F.col("b.sketch"), threshold) & here)
     pairs = pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
     more = _distances(pairs.join(known, ["a", "b"], "left_anti"), sets)
     return durable(linked.union(more.filter(F.col("distance") <= reach).select("a", "b")))
@@ -265,8 +294,8 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     Equal texts are folded first, by a hash of their words; signatures, buckets and links concern different texts only.
     """
     read = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = durable(read.mapInArrow(_sign, "doc_id long, h1 long, h2 long, bands array<long>"))
-    texts = durable(keyed.groupBy("h1", "h2", "bands").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
+    keyed = durable(read.mapInArrow(_sign, "doc_id long, h1 long, h2 long, bands array<long>, sketch array<long>"))
+    texts = durable(keyed.groupBy("h1", "h2", "bands", "sketch").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
     members = texts.select(F.explode("bands").alias("bucket"), "id").distinct()
     several = members.groupBy("bucket").count().filter("count > 1").select("bucket")
     members = durable(members.join(several, "bucket", "left_semi"))
@@ -276,7 +305,8 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     chosen = read.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     sets = chosen.mapInArrow(_sets, "id long, h1 long, h2 long, set array<long>, count array<int>")
     sets = durable(sets.join(wanted, ["id", "h1", "h2"], "left_semi").select("id", "set", "count").dropDuplicates(["id"]))
-    found = components(texts.select("id"), links(members, sets, threshold), "id")
+    drawn = texts.join(wanted, ["id", "h1", "h2"], "left_semi").select("id", "sketch").dropDuplicates(["id"])
+    found = components(texts.select("id"), links(members, sets, drawn, threshold), "id")
     named = texts.join(found, "id").select("h1", "h2", "component", "copies")
     return keyed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", F.col("component").alias("class_id"), "copies")
 
