@@ -17,6 +17,7 @@ READING_COLUMNS = ("id", "profile_id", "depth", "pressure", "temperature", "sali
 MEASUREMENT_COLUMNS = (*READING_COLUMNS, "float_id", "time", "lat", "lon")
 WORDS = ("id", "dataset_type", "time")  # columns that are not numbers
 CHECKED = tuple(c for c in READING_COLUMNS if c not in WORDS)
+FENCED = tuple(c for c in CHECKED if c != "depth")  # places have no outliers
 
 
 def _over(name: str, operator, sql: str, views: str = "measurements", doubles: str = "", takes: str | None = None):
@@ -150,12 +151,12 @@ def _fence_sql(columns) -> str:
 FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM readings)""" for c in columns)
 
 
-_over("iqr_outliers", lambda m: k.iqr_outliers(m, CHECKED), "WITH fences AS (" + _fence_sql(CHECKED) + ")\n"
+_over("iqr_outliers", lambda m: k.iqr_outliers(m, FENCED), "WITH fences AS (" + _fence_sql(FENCED) + ")\n"
       + "\nUNION ALL\n".join(
     f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE {c} < lower_bound OR {c} > upper_bound) AS outlier_count,
        count(*) FILTER (WHERE {c} < lower_bound OR {c} > upper_bound) * 100e0 / count({c}) AS outlier_percentage,
        min(lower_bound) AS lower_bound, min(upper_bound) AS upper_bound
-FROM readings, (SELECT * FROM fences WHERE "column" = '{c}')""" for c in CHECKED), "readings",
+FROM readings, (SELECT * FROM fences WHERE "column" = '{c}')""" for c in FENCED), "readings",
       "outlier_percentage lower_bound upper_bound")
 _over("temperature_outliers", q.outlying_rows, "WITH fences AS (" + _fence_sql(["temperature"]) + """)
 SELECT r.* FROM readings r, fences WHERE temperature < lower_bound OR temperature > upper_bound""", "readings",
@@ -187,7 +188,7 @@ def recent_region_bgc(spark, folder):
     return q.recent_region_bgc(view(spark, folder, "measurements"), "Arabian Sea", AS_OF)
 
 
-@query("quality_issues", views="readings", sql="WITH fences AS (" + _fence_sql(CHECKED) + """),
+@query("quality_issues", views="readings", sql="WITH fences AS (" + _fence_sql(FENCED) + """),
 s AS (SELECT count(*) AS n, count(*) FILTER (WHERE quality_flag = 4) * 100e0 / count(*) AS bad,
              count(*) FILTER (WHERE quality_flag IN (1, 2)) * 100e0 / count(*) AS good,
              """ + ", ".join(f"(count(*) - count({c})) * 100e0 / count(*) AS gaps_{c}" for c in CHECKED) + """ FROM readings),
@@ -198,7 +199,7 @@ issues AS (
        + "".join(f"""
   UNION ALL SELECT 'issue', printf('High outlier percentage in {c}: %.1f%%', share) FROM (
     SELECT count(*) FILTER (WHERE {c} < lower_bound OR {c} > upper_bound) * 100e0 / count({c}) AS share
-    FROM readings, (SELECT * FROM fences WHERE "column" = '{c}')) WHERE share > 5""" for c in CHECKED) + """)
+    FROM readings, (SELECT * FROM fences WHERE "column" = '{c}')) WHERE share > 5""" for c in FENCED) + """)
 SELECT * FROM issues
 UNION ALL SELECT 'recommendation', 'Consider filtering out bad quality data before analysis' FROM s WHERE good < 70
 UNION ALL SELECT 'recommendation', 'Data quality appears good for analysis' FROM (SELECT count(*) AS c FROM issues)
