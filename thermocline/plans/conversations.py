@@ -10,6 +10,7 @@ from ..functions import text as t
 from ..operators import joins as j
 from ..operators import retrieval as r
 from ..operators import routing as ro
+from ..session import scratch
 from ..sources.binding import chat_log, table, view
 from .registry import query, _rounded
 from .templates import PROFILE_SUMMARY_SQL
@@ -136,6 +137,15 @@ def measurement_metadata(spark, folder):
     return r.measurement_metadata(_context(spark, folder))
 
 
+@query("stored_documents", views="measurements profiles floats",
+       sql=f"WITH {CONTEXT}\nSELECT id, {MEASURED_TEXT} AS document FROM ctx")
+def stored_documents(spark, folder):
+    """All documents written with their ids and read again."""
+    path = scratch(spark)
+    r.write_documents(r.measurement_documents(_context(spark, folder)), path)
+    return spark.read.parquet(path)
+
+
 AVERAGES = ("avg_temp", "avg_sal", "avg_oxygen", "avg_ph", "avg_chlorophyll")
 
 

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import scratch, staged
 from ..sources import grids as g
 from ..sources import profiles as p
 from ..sources import sinks as x
@@ -193,3 +193,26 @@ SELECT CAST(to_json(r) AS VARCHAR) AS record
 FROM (SELECT * REPLACE ({", ".join(f"round({c} + 1e-9, 3) + 0.0 AS {c}" for c in _SHORT)}) FROM readings) r""")
 def export_json(spark, folder):
     return x.json_records(view(spark, folder, "readings").withColumns({c: F.round(F.col(c) + 1e-9, 3) + 0.0 for c in _SHORT}))
+
+
+@query("columnar_round_trip", views="measurements",
+       sql="SELECT temperature, salinity, lat AS latitude, lon AS longitude, depth, time FROM measurements",
+       doubles="temperature salinity latitude longitude depth")
+def columnar_round_trip(spark, folder):
+    """The columnar export of all measurements, written and read again."""
+    path = scratch(spark)
+    x.export_columnar(view(spark, folder, "measurements"), path)
+    return spark.read.parquet(path)
+
+
+@query("grid_rows", sql="""
+SELECT vec_id AS time, CAST(i // 16 * 10 AS DOUBLE) AS depth, CAST(i // 4 % 4 AS DOUBLE) AS lat, CAST(i % 4 AS DOUBLE) AS lon,
+       CAST(embedding[i + 1] AS DOUBLE) AS temperature
+FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings)""", doubles="depth lat lon temperature")
+def grid_rows(spark, folder):
+    """Each vector of the embedding table as a grid of four levels, latitudes and longitudes, cell by cell."""
+    axis = lambda step: F.array(*(F.lit(float(k * step)) for k in range(4)))
+    cells = F.expr("transform(sequence(0, 3), z -> transform(sequence(0, 3), y -> slice(embedding, z * 16 + y * 4 + 1, 4)))")
+    slabs = table(spark, folder, "embeddings").select(F.col("vec_id").alias("TAXIS"), axis(10).alias("ZAX"), axis(1).alias("YAXIS"),
+                                                      axis(1).alias("XAXIS"), cells.alias("TEMP"))
+    return g.grid_to_rows(slabs)

@@ -65,6 +65,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below the shared folder; ``release`` removes what is written there."""
+    path = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
@@ -72,8 +79,7 @@ def staged(df: DataFrame) -> DataFrame:
     columns they need, and the optimizer knows the size of what it reads.  ``release`` removes the copy.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged/{uuid.uuid4().hex}"
-    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
