@@ -170,11 +170,11 @@ def test_hits(spark):
 def test_ascii_export(filter_rows, spark, tmp_path):
     rows = filter_rows.withColumn("salinity", F.when(F.col("id") != 3, F.col("salinity")))
     ids = spark.createDataFrame([(3,), (1,)], "id bigint")
-    lines = [l["value"] for l in x.export_ascii(rows, ids, dt.datetime(2024, 6, 30)).collect()]
+    lines = [l["value"] for l in x.export_ascii(rows, dt.datetime(2024, 6, 30), ids).collect()]
     assert lines[2] == "# Number of profiles: 2" and lines[5] == "#" + "=" * 70
     assert lines[6:] == ["2024-06-15 00:00:00   15.200   80.100    100.0   22.100      NaN",
                          "2024-06-20 00:00:00   10.500   75.300     10.0   28.500   35.200"]
-    x.write_ascii(x.export_ascii(rows, ids, dt.datetime(2024, 6, 30)), str(tmp_path / "a"), "gzip")
+    x.write_ascii(x.export_ascii(rows, dt.datetime(2024, 6, 30), ids), str(tmp_path / "a"), "gzip")
     assert spark.read.text(str(tmp_path / "a")).count() == 8
 
 

@@ -32,6 +32,8 @@ DEPTH_BANDS = ((100.0, "Surface (0-100m)"), (500.0, "Intermediate (100-500m)"),
 DEEPEST_BAND = "Very Deep (>1000m)"
 OCEAN_ZONES = ((200.0, "Euphotic Zone"), (1000.0, "Mesopelagic Zone"))
 DEEPEST_ZONE = "Bathypelagic Zone"
+INDIAN = ((20, 120), (-70, 30))  # longitudes, latitudes; tested first
+PACIFIC, ATLANTIC = ((-180, -70), (120, 180)), (-70, 20)  # longitudes
 QUALITY_LEVELS = ((0.95, "Excellent"), (0.85, "Good"), (0.70, "Fair"), (0.50, "Poor"))
 # ----------------------------------------------------------------------------------------------------------
 
@@ -39,9 +41,9 @@ QUALITY_LEVELS = ((0.95, "Excellent"), (0.85, "Good"), (0.70, "Fair"), (0.50, "P
 def basin(lat: Column, lon: Column) -> Column:
     """Four-way ocean label; the Indian box is tested before the Pacific and Atlantic strips."""
     return (
-        F.when(lon.between(20, 120) & lat.between(-70, 30), "Indian Ocean")
-        .when(lon.between(-180, -70) | lon.between(120, 180), "Pacific Ocean")
-        .when(lon.between(-70, 20), "Atlantic Ocean")
+        F.when(lon.between(*INDIAN[0]) & lat.between(*INDIAN[1]), "Indian Ocean")
+        .when(lon.between(*PACIFIC[0]) | lon.between(*PACIFIC[1]), "Pacific Ocean")
+        .when(lon.between(*ATLANTIC), "Atlantic Ocean")
         .otherwise("Other")
     )
 

@@ -43,11 +43,6 @@ INTENTS = (
     ("temporal_trends", (("time", "temporal", "trend", "month", "year"),)),
     ("bgc_analysis", (("oxygen", "ph", "chlorophyll", "bgc", "biogeochemical"),)),
 )
-SECOND_CHANCE = (
-    ("avg_by_depth", (("average temperature",), ("depth",))),
-    ("regional_comparison", (("compare",), ("region", "hemisphere"))),
-    ("float_summary", (("float",), ("summary", "count"))),
-)
 CUSTOM = "custom"
 FORBIDDEN_SQL = ("drop", "delete", "truncate", "alter", "create", "insert", "update")
 SHORT_CHAT_WORDS = 3
@@ -84,7 +79,7 @@ def _matches(low: Column, groups) -> Column:
 def question_intent(text: Column) -> Column:
     """First intent whose words occur anywhere in the text, also inside longer words."""
     low, chain = F.lower(text), F
-    for name, groups in (*INTENTS, *SECOND_CHANCE):
+    for name, groups in INTENTS:
         chain = chain.when(_matches(low, groups), name)
     return chain.otherwise(CUSTOM)
 

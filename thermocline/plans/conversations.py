@@ -54,7 +54,7 @@ LABEL_SQL = f"""CASE WHEN regexp_matches(trim(text, E' \\n\\t\\r'), '{t.GREETING
 ANALYTICAL_SQL = "(" + " OR ".join(f"regexp_matches(lower(text), '{p}')" for p in t.ANALYTICAL) + ")"
 INTENT_SQL = "CASE " + " ".join(
     f"WHEN {' AND '.join(_sql_any('lower(text)', g) for g in groups)} THEN '{name}'"
-    for name, groups in (*t.INTENTS, *t.SECOND_CHANCE)) + " ELSE 'custom' END"
+    for name, groups in t.INTENTS) + " ELSE 'custom' END"
 
 
 @query("classify_questions", sql=f"WITH {ASKED}\nSELECT *, {LABEL_SQL} AS label FROM qs")

@@ -65,8 +65,7 @@ def ascii_header(count: int, as_of: dt.datetime) -> list[str]:
     ]
 
 
-def export_ascii(m: DataFrame, ids: DataFrame | None = None, as_of: dt.datetime | None = None,
-                 tie_key: str = "id") -> DataFrame:
+def export_ascii(m: DataFrame, as_of: dt.datetime, ids: DataFrame | None = None, tie_key: str = "id") -> DataFrame:
     """All lines of the text export in order: six comment lines, then the data.
 
     Lines are written out after the sort, so the sort moves numbers instead of text.
@@ -74,7 +73,7 @@ def export_ascii(m: DataFrame, ids: DataFrame | None = None, as_of: dt.datetime
     rows = m if ids is None else m.join(ids.select("id").distinct(), "id", "left_semi")
     rows = rows.select(tie_key, *CSV_COLUMNS)
     count = (ids if ids is not None else rows).count()
-    header = ascii_header(count, as_of or dt.datetime.now(dt.UTC))
+    header = ascii_header(count, as_of)
     head = m.sparkSession.createDataFrame(list(enumerate(header)), "line int, comment string")
     for field in rows.schema.fields:
         head = head.withColumn(field.name, F.lit(None).cast(field.dataType))
