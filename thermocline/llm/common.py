@@ -49,6 +49,16 @@ def remainder(key: Column, by: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % by
 
 
+BROADCAST_ROWS = 500_000  # narrow rows: some tens of MB as a hash table
+
+
+def counted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, narrow rows, written once and counted: broadcast if they are few, so that the texts they are joined with
+    stay where they are; otherwise joined in a shuffle."""
+    kept = durable(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def components(nodes: DataFrame, links: DataFrame, node: str = "node") -> DataFrame:
     """The smallest node each node reaches: (node, component), one row per distinct node.
 

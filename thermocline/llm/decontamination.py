@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BETWEEN_WORDS_AS_WRITTEN, table, text_key, words
+from .common import BETWEEN_WORDS_AS_WRITTEN, BROADCAST_ROWS, counted, table, text_key, words
 
 WINDOW = 10
 BROADCAST_WINDOWS = 500_000  # windows of ten short words: about 100 MB as a hash table
@@ -117,7 +117,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     if action not in ("documents", "spans"):
         raise ValueError(f"unknown action {action!r}")
     bad = hits(docs, benchmark, window).filter(F.size("spans") > 0)
-    bad = bad.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"), F.col("spans").alias("bad_spans"))
+    spans = [F.col("spans").alias("bad_spans")] if action == "spans" else []
+    bad = counted(bad.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"), *spans),
+                  BROADCAST_ROWS // 10 if spans else BROADCAST_ROWS)
     same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & (text_key(docs["text"]) == bad["bad_hash"])
     if action == "documents":
         return docs.join(bad, same, "left_anti")

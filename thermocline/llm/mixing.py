@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import TOKEN, table
+from .common import TOKEN, counted, table
 
 MOST = 3  # no source is repeated more often
 SEED = "mix"
@@ -76,8 +76,8 @@ def copies(docs: DataFrame, most: float = MOST, seed: str = SEED) -> DataFrame:
     of its id: the same in every run and for every partitioning.  Rows repeating an id decide alike.  A source without
     tokens has rate 0.  The text is tokenised once for the sums and once here; nothing is shuffled but the sums.
     """
-    found = rates(docs, most).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"),
-                                     F.col("target").alias("mix_target"))
+    found = counted(rates(docs, most).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"),
+                                             F.col("target").alias("mix_target")))
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     extra = (draw(docs["doc_id"], seed) < rate - F.floor(rate)).cast("int")
     number = F.least(F.floor(rate) + extra, F.lit(most)).cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import components, table, word_bytes
+from .common import components, counted, table, word_bytes
 
 SHINGLE = 5  # words
 SIMILARITY = 0.8  # probability Jaccard of shingle counts
@@ -314,6 +314,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
 def dedup(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class of near-duplicates, the one with the smallest id; all columns stay."""
     gone = classes(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = counted(gone)
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
