@@ -18,6 +18,7 @@ SIMILARITY = 0.8  # probability Jaccard of shingle counts
 BANDS, ROWS = 32, 7  # a pair at 0.8 is missed with probability (1 - 0.8**7)**32 < 1e-3, one at 0.85 with 2e-5
 BATCH_ELEMENTS, BATCH_DOCUMENTS = 400_000, 2_000
 BROADCAST_IDS = 500_000
+BROADCAST_ELEMENTS = 2_000_000  # of eight bytes
 REMEMBERED = 300_000  # words whose hash a task remembers before it starts afresh
 ROUNDING = 1e-9
 SKETCH_BITS = 4  # of each register, kept to estimate the similarity of a pair before its sets are fetched
@@ -232,8 +233,18 @@ def _open(members: DataFrame) -> DataFrame:
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, distance) of each pair (a, b)."""
-    left, right = sets.toDF("a", "a_set", "a_count"), sets.toDF("b", "b_set", "b_count")
+    """(a, b, distance) of each pair (a, b).
+
+    Many pairs of few sets, as in a large group of copies, stay where they are: the sets are broadcast if their counted
+    elements are few.  Otherwise pairs meet their sets in two shuffles.
+    """
+    pairs = durable(pairs)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    used = durable(sets.join(ids, "id", "left_semi").select("id", "set", "count"))
+    elements = used.agg(F.sum(F.size("set") + F.size("count"))).first()[0] or 0
+    left, right = (used.select(F.col("id").alias(x), F.col("set").alias(f"{x}_set"), F.col("count").alias(f"{x}_count")) for x in "ab")
+    if elements <= BROADCAST_ELEMENTS:
+        left, right = F.broadcast(left), F.broadcast(right)
     compared = pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "a_count", "b_set", "b_count")
     return durable(compared.mapInArrow(_compare, "a long, b long, distance double"))
 
