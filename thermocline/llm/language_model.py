@@ -19,17 +19,19 @@ from .common import remainder, table, text_key
 
 FOLDS = 10
 SMOOTHING = 0.1
-VOCABULARY = 1_024  # words with an output of their own, the end of a text among them
 HOT_WORDS = 200_000  # words whose counts travel to the tasks; the rest meet theirs in a join
-HIDDEN = 12
+VOCABULARY = HOT_WORDS + 1  # words with an output of their own at most, the end of a text among them: all that travel
+HIDDEN = 16
 WINDOW_TOKENS = 16_384  # a window has about as many tokens, and so more steps when few lanes are left,
-SHORTEST, LONGEST = 16, 64  # but in training, where it also truncates backpropagation, between so many steps
+SHORTEST, LONGEST = 16, 512  # but in training, where it also truncates backpropagation, between so many steps
 LANES = 512  # texts processed side by side
 GROUP_TOKENS = 1_500_000  # tokens gathered before they are laid out in lanes
 ROUNDS = 2  # averagings in the one pass over the training texts
 RATE = 0.08
+FLAT = np.float32(1e-8)  # squared gradients far below it bring small steps
 FLUSH = 200_000  # different words a task counts before it hands them on
 BLOCK = 8_192  # parameters averaged by one group
+CACHED = 65_536  # parameters updated, or logits computed, at a time
 SEED = 5
 STEEPEST = np.float32(60)  # no logit is above it; shares are normalised, so sums stay finite without looking for the largest
 END = ""  # stands for the end of a text; no word is empty
@@ -74,8 +76,12 @@ class Vocabulary:
     outputs: int  # the first so many words have outputs of their own
 
     @property
-    def classes(self) -> int:
-        return math.ceil(math.sqrt(self.outputs))
+    def edges(self) -> np.ndarray:
+        """Where the classes of words with outputs start, and the end.  A word of share p is in a class of about 1 / sqrt(p)
+        words, which makes the sum of the number of classes and of the expected size of a word's class smallest."""
+        share = (self.counts[:self.outputs] + SMOOTHING) / max(self.counts[:self.outputs].sum() + self.rare_total, SMOOTHING)
+        before = np.cumsum(np.append(0.0, np.sqrt(np.minimum(share, 1.0))[:-1])).astype(np.int64)
+        return np.append(np.flatnonzero(np.diff(before, prepend=-1)), self.outputs)
 
     @property
     def rare_total(self) -> float:
@@ -118,29 +124,39 @@ def _softmax(logits, rows, picked):
 class Network:
     """Gated recurrent units over word inputs; class of the next word, then the word within its class.
 
-    Word i belongs to class i // size; class ``classes`` stands for all words without an output.  As inputs are single
-    words, the product of embedding and input weights is one row of ``table`` per word.
+    Class c holds the words from ``edges[c]`` up to ``edges[c + 1]``; the class after the last stands for all words without
+    an output.  As inputs are single words, the product of embedding and input weights is one row of ``table`` per word.
     """
 
-    def __init__(self, outputs: int, classes: int, arrays: dict[str, np.ndarray]):
-        self.outputs, self.classes, self.size = outputs, classes, math.ceil(outputs / classes)
+    def __init__(self, edges: np.ndarray, arrays: dict[str, np.ndarray]):
+        self.edges, self.outputs, self.classes = edges, int(edges[-1]), len(edges) - 1
+        self.class_of = np.repeat(np.arange(len(edges)), np.append(np.diff(edges), 1))
         self.p = arrays
+        self.moved = np.zeros(0, np.float16)  # what training has added to the initial parameters, in their order
 
     @classmethod
     def initial(cls, v: Vocabulary, hidden: int = HIDDEN) -> Network:
         """Small random weights and biases that state the counts: before training the model is the smoothed unigram."""
-        rng, size = np.random.default_rng(SEED), math.ceil(v.outputs / v.classes)
-        share = np.zeros(v.classes * size)
-        share[:v.outputs] = v.counts[:v.outputs] + SMOOTHING
-        share = share.reshape(v.classes, size)
-        sums = np.append(share.sum(axis=1), v.rare_total)
-        within = np.log(np.maximum(share, 1e-26) / np.maximum(sums[:-1, None], SMOOTHING))
+        rng, edges = np.random.default_rng(SEED), v.edges
+        share, sizes = v.counts[:v.outputs] + SMOOTHING, np.diff(edges)
+        sums = np.append(np.add.reduceat(share, edges[:-1]), v.rare_total)
+        within = np.log(share / np.repeat(sums[:-1], sizes))
         of_class = np.log(np.maximum(sums, SMOOTHING) / sums.sum())
         draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        return cls(v.outputs, v.classes, {
+        return cls(edges, {
             "table": draw(v.outputs + 1, 3 * hidden), "gates": draw(hidden, 2 * hidden), "new": draw(hidden, hidden),
-            "class_w": np.zeros((hidden, v.classes + 1), np.float32), "class_b": of_class.astype(np.float32),
-            "word_w": np.zeros((v.classes, hidden, size), np.float32), "word_b": within.astype(np.float32)})
+            "class_w": np.zeros((hidden, len(edges)), np.float32), "class_b": of_class.astype(np.float32),
+            "word_w": np.zeros((v.outputs, hidden), np.float32), "word_b": within.astype(np.float32)})
+
+    @classmethod
+    def restored(cls, v: Vocabulary, moved: np.ndarray) -> Network:
+        """The initial network after training has added ``moved``: half the size to send, and nothing before training."""
+        net, at = cls.initial(v), 0
+        net.moved = moved
+        for k, a in net.p.items() if len(moved) else ():
+            a += moved[at:at + a.size].reshape(a.shape)
+            at += a.size
+        return net
 
     def run(self, inputs, fresh, h, keep=None):
         """Hidden states (steps, lanes, hidden) after reading ``inputs``; ``fresh`` marks the first word of a text."""
@@ -163,32 +179,39 @@ class Network:
 
         With ``grad`` its entries for the output weights are filled, and d(-sum)/d(states) is returned too.
         """
-        p, classes = self.p, np.minimum(targets // self.size, self.classes)
-        classes = np.where(targets >= self.outputs, self.classes, classes)
-        rows = np.arange(len(targets))
-        e = states @ p["class_w"] + p["class_b"]
-        found, total = _softmax(e, rows, classes)
-        back = None
+        p, classes = self.p, self.class_of[np.minimum(targets, self.outputs)]
+        found, back = np.empty(len(targets), np.result_type(states, np.float32)), None
         if grad is not None:
-            e /= total[:, None]
-            e[rows, classes] -= 1
-            grad["class_w"], grad["class_b"], back = states.T @ e, np.ones(len(e), np.float32) @ e, e @ p["class_w"].T
-            grad["word_w"], grad["word_b"] = np.zeros_like(p["word_w"]), np.zeros_like(p["word_b"])
+            back = np.empty_like(states)
+            grad.update((k, np.zeros_like(p[k])) for k in ("class_w", "class_b", "word_w", "word_b"))
+        step = max(CACHED // len(self.edges), 1)
+        for i in range(0, len(targets), step):
+            s, picked = states[i:i + step], classes[i:i + step]
+            rows = np.arange(len(s))
+            e = s @ p["class_w"] + p["class_b"]
+            found[i:i + step], total = _softmax(e, rows, picked)
+            if grad is not None:
+                e /= total[:, None]
+                e[rows, picked] -= 1
+                grad["class_w"] += s.T @ e
+                grad["class_b"] += np.ones(len(e), np.float32) @ e
+                back[i:i + step] = e @ p["class_w"].T
         order = np.argsort(classes, kind="stable")
         ends = np.searchsorted(classes[order], np.arange(self.classes + 1))
         for c in range(self.classes):
             here = order[ends[c]:ends[c + 1]]
             if not len(here):
                 continue
-            s, inside, k = states[here], targets[here] - c * self.size, np.arange(len(here))
-            e = s @ p["word_w"][c] + p["word_b"][c]
+            own = slice(self.edges[c], self.edges[c + 1])
+            s, inside, k = states[here], targets[here] - own.start, np.arange(len(here))
+            e = s @ p["word_w"][own].T + p["word_b"][own]
             log, total = _softmax(e, k, inside)
             found[here] += log
             if grad is not None:
                 e /= total[:, None]
                 e[k, inside] -= 1
-                grad["word_w"][c], grad["word_b"][c] = s.T @ e, np.ones(len(e), np.float32) @ e
-                back[here] += e @ p["word_w"][c].T
+                grad["word_w"][own], grad["word_b"][own] = e.T @ s, np.ones(len(e), np.float32) @ e
+                back[here] += e @ p["word_w"][own]
         return found, back
 
     def gradients(self, inputs, fresh, targets, real, h):
@@ -217,7 +240,7 @@ class Network:
             later = (d * z + d_gate @ p["gates"].T + d_past @ p["new"].T) * going[t]
         grad["gates"], grad["new"] = d_gates, d_new
         for k in grad:
-            grad[k] = grad[k] / max(len(flat), 1)
+            grad[k] /= max(len(flat), 1)
         words, d_rows = inputs.ravel(), d_rows.reshape(-1, 3 * n) / max(len(flat), 1)
         order = np.argsort(words, kind="stable")
         used, starts = np.unique(words[order], return_index=True)
@@ -291,6 +314,17 @@ def _groups(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], unknown
         yield rows, texts
 
 
+def _step(values: np.ndarray, memory: np.ndarray, g: np.ndarray, rate: float) -> None:
+    """One step of Adagrad in place, a cached piece at a time; ``g`` is used up."""
+    values, memory, g = values.reshape(-1), memory.reshape(-1), g.reshape(-1)
+    for i in range(0, len(g), CACHED):
+        x, m = g[i:i + CACHED], memory[i:i + CACHED]
+        m += x * x
+        x /= np.sqrt(m + FLAT)
+        x *= np.float32(rate)
+        values[i:i + CACHED] -= x
+
+
 def fit(net: Network, texts: list[np.ndarray], memory: dict[str, np.ndarray], rate: float = RATE) -> int:
     """One pass of truncated backpropagation over the texts, in place; ``memory`` holds squared gradients (Adagrad)."""
     h, seen = None, 0
@@ -298,12 +332,14 @@ def fit(net: Network, texts: list[np.ndarray], memory: dict[str, np.ndarray], ra
         lanes_here = inputs.shape[1]
         h = np.zeros((lanes_here, net.p["new"].shape[0]), np.float32) if h is None else h[:lanes_here]
         grad, used, d_rows, h = net.gradients(inputs, fresh, targets, real, h)
-        seen += int(real.sum())
+        here = int(real.sum())
+        seen, part = seen + here, np.float32(here / WINDOW_TOKENS)  # a token counts the same in a short window
+        d_rows *= part
         for k, g in grad.items():
-            memory[k] += g * g
-            net.p[k] -= rate * g / np.sqrt(memory[k] + 1e-6)
+            g *= part
+            _step(net.p[k], memory[k], g, rate)
         memory["table"][used] += d_rows * d_rows
-        net.p["table"][used] -= rate * d_rows / np.sqrt(memory["table"][used] + 1e-6)
+        net.p["table"][used] -= rate * d_rows / np.sqrt(memory["table"][used] + FLAT)
     return seen
 
 
@@ -311,45 +347,39 @@ def train(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
     """A network trained on all of ``texts`` (doc_id, text).
 
     The texts are split into ``rounds`` parts.  In each round every task trains a copy of the network on its texts of that
-    part, and the copies are averaged by their numbers of tokens, a block of parameters per group; only the averages,
-    whose size is fixed, reach the driver.
+    part, and what the copies changed is averaged by their numbers of tokens, a block of parameters per group; it travels as
+    half floats, in which rows of words a task has not met are zeros.  Only the averages, some tens of MB, reach the driver.
     """
     net = Network.initial(v)
-    number = {w: i for i, w in enumerate(v.words[:v.outputs])}
     names = list(net.p)
     for part in range(rounds):
-        state = net
-
-        def learn(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
-            copy = Network(state.outputs, state.classes, {k: a.copy() for k, a in state.p.items()})
+        def learn(batches: Iterator[pa.RecordBatch], moved=net.moved) -> Iterator[pa.RecordBatch]:
+            state, copy = Network.restored(v, moved), Network.restored(v, moved)
+            number = {w: i for i, w in enumerate(v.words[:v.outputs])}
             memory, seen = {k: np.zeros_like(a) for k, a in copy.p.items()}, 0
             for _, texts_here in _groups(batches, number, state.outputs):
                 seen += fit(copy, texts_here, memory)
             if seen:
-                flat = np.concatenate([copy.p[k].ravel() for k in names])
-                blocks = [flat[i:i + BLOCK] for i in range(0, len(flat), BLOCK)]
+                flat = np.concatenate([(copy.p[k] - state.p[k]).ravel().astype(np.float16) for k in names])
+                blocks = [flat[i:i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([float(seen)] * len(blocks)),
-                                                  pa.array(blocks, pa.list_(pa.float32()))], ["block", "weight", "values"])
+                                                  pa.array(blocks, pa.binary())], ["block", "weight", "values"])
 
         def average(groups: Iterator[pa.Table]) -> pa.Table:
             total, weight = None, 0.0
             for row in groups.to_batches():
-                for w, values in zip(row.column("weight").to_pylist(), row.column("values")):
-                    part_of = w * np.asarray(values.values, dtype=np.float64)
+                for w, values in zip(row.column("weight").to_pylist(), row.column("values").to_pylist()):
+                    part_of = w * np.frombuffer(values, np.float16).astype(np.float64)
                     total, weight = part_of if total is None else total + part_of, weight + w
-            return pa.table({"block": groups.column("block")[:1], "values": pa.array([total / weight], pa.list_(pa.float64()))})
+            return pa.table({"block": groups.column("block")[:1], "values": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
 
         here = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == part).select("text")
-        copies = here.mapInArrow(learn, "block int, weight double, values array<float>")
-        blocks = copies.groupBy("block").applyInArrow(average, "block int, values array<double>").collect()
+        copies = here.mapInArrow(learn, "block int, weight double, values binary")
+        blocks = copies.groupBy("block").applyInArrow(average, "block int, values binary").collect()
         if not blocks:
             continue
-        flat = np.concatenate([np.array(b["values"]) for b in sorted(blocks, key=lambda b: b["block"])]).astype(np.float32)
-        arrays, at = {}, 0
-        for k in names:
-            arrays[k] = flat[at:at + net.p[k].size].reshape(net.p[k].shape)
-            at += net.p[k].size
-        net = Network(net.outputs, net.classes, arrays)
+        flat = np.concatenate([np.frombuffer(b["values"], np.float32) for b in sorted(blocks, key=lambda b: b["block"])])
+        net = Network.restored(v, (flat + (net.moved if len(net.moved) else np.float32(0))).astype(np.float16))
     return net
 
 
@@ -371,9 +401,9 @@ def text_log10(net: Network, v: Vocabulary, texts: list[np.ndarray]) -> np.ndarr
     return found / math.log(10)
 
 
-def _score(net: Network, v: Vocabulary, doc_type: pa.DataType):
+def _score(moved: np.ndarray, v: Vocabulary, doc_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(v.words)}
+        net, number = Network.restored(v, moved), {w: i for i, w in enumerate(v.words)}
         logs = np.append(np.log10(v.counts + SMOOTHING), 0.0)
         unknown = len(v.words)
         for rows, texts in _groups(batches, number, unknown, ("doc_id", "text_hash")):
@@ -401,7 +431,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     net = train(training, v)
     read = docs.select("doc_id", text_key(F.col("text")).alias("text_hash"), "text")
     kind = read.schema["doc_id"].dataType.simpleString()
-    parts = durable(read.mapInArrow(_score(net, v, to_arrow_type(read.schema["doc_id"].dataType)), f"doc_id {kind}, text_hash long, n_tokens long, hot_known long, hot_base double, "
+    parts = durable(read.mapInArrow(_score(net.moved, v, to_arrow_type(read.schema["doc_id"].dataType)), f"doc_id {kind}, text_hash long, n_tokens long, hot_known long, hot_base double, "
                                                     "hot_score double, tail map<string,long>").dropDuplicates(["doc_id", "text_hash"]))
     tails = parts.select("doc_id", "text_hash", F.explode("tail").alias("word", "n")).join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
