@@ -49,6 +49,17 @@ def remainder(key: Column, by: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % by
 
 
+# CRC-32 in the SQL checks: the table by its rule, and the fold over the UTF-8 bytes of a text.
+CRC_TABLE_SQL = """crc_table AS (SELECT list(list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crcs FROM range(256) r(i))"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the CRC-32 of ``text``, next to ``crc_table``."""
+    codes = f"list_transform(string_split(regexp_replace(hex(encode({text})), '(..)', '0x\\1,', 'g'), ',')[:-2], lambda h: h::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 BROADCAST_ROWS = 500_000  # narrow rows: some tens of MB as a hash table
 
 
