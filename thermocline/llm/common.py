@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,14 @@ def crc_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"
 
 
+def free_name(taken: Iterable[str], name: str) -> str:
+    """``name`` with as many ``_`` in front as it takes to differ from the names in ``taken``, capitals or not."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 BROADCAST_ROWS = 500_000  # narrow rows: some tens of MB as a hash table
 
 
