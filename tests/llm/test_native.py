@@ -25,7 +25,7 @@ def over(monkeypatch, spark, name, **tables):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, folder, name):
     duck = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "embeddings"):
+    for t in ("documents", "benchmark", "labels", "embeddings", "conversations"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     assert same(QUERIES[name](spark, folder).toPandas(), duck.execute(SQL[name]).df()) is None
 

@@ -68,36 +68,33 @@ def _signature(repeated: Column) -> Column:
     return F.substring(F.lit(SIGNATURES), (role * 4 + fault + 1).cast("int"), F.lit(1))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(limit: int):
     """Sorted rows to pieces of words: neighbours of one conversation, with the place of the first of them."""
     names = ["conv_id", "turn", "role", "digest", "seen"]
-    out, first, letters = [], None, []
-
-    def close():
-        out.append((*first, "".join(letters)))
-
-    def flushed():
-        columns = list(zip(*out))
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], [*names, "word"])
-
-    for batch in batches:
-        for *place, letter in zip(*[batch.column(n).to_pylist() for n in (*names, "letter")]):
-            if first is None or place[0] != first[0] or len(letters) >= PIECE:
-                if first is not None:
-                    close()
-                first, letters = place, []
-                if len(out) >= 5_000:
-                    yield flushed()
-                    out.clear()
-            letters.append(letter)
-    if first is not None:
-        close()
-    if out:
-        yield flushed()
-
-
-def words(convs: DataFrame) -> DataFrame:
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], [*names, "word"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, first, letters = [], None, []
+        for batch in batches:
+            for *place, letter in zip(*[batch.column(n).to_pylist() for n in (*names, "letter")]):
+                if first is None or place[0] != first[0] or len(letters) >= limit:
+                    if first is not None:
+                        out.append((*first, "".join(letters)))
+                    first, letters = place, []
+                letters.append(letter)
+            if out:
+                yield batch_of(out)
+                out = []
+        if first is not None:
+            yield batch_of([(*first, "".join(letters))])
+
+    return rows
+
+
+def words(convs: DataFrame, piece: int = PIECE) -> DataFrame:
     """The signature word of every conversation that has rows: ``conv_id, word``.
 
     Rows go by turn, nulls first; rows of one turn by role and digest of the text.  A conversation of any length is spread over
@@ -114,7 +111,7 @@ def words(convs: DataFrame) -> DataFrame:
     letter = F.when(again, F.substring(F.lit(SIGNATURES), (place - place % 4 + 3).cast("int"), F.lit(1))).otherwise(F.col("alone"))
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "digest", "seen")]
     sorted_ = seen.withColumn("letter", letter).drop("alone").repartitionByRange(*order).sortWithinPartitions(*order)
-    found = sorted_.mapInArrow(_pieces, "conv_id long, turn long, role string, digest string, seen long, word string")
+    found = sorted_.mapInArrow(_pieces(piece), "conv_id long, turn long, role string, digest string, seen long, word string")
     pieces = F.array_sort(F.collect_list(F.struct("turn", "role", "digest", "seen", "word")), _sooner)
     return found.groupBy("conv_id").agg(F.array_join(F.transform(pieces, lambda p: p["word"]), "").alias("word"))
 

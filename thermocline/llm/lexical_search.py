@@ -151,7 +151,7 @@ class Block:
         return held
 
 
-def _searcher(shared, docs: int, terms: int, k: int):
+def _searcher(shared, docs: int, terms: int, k: int, block_postings: int):
     """Best k documents of a task's part of the index for every item."""
     def norms(n: np.ndarray) -> np.ndarray:
         if len(n) and 90 * int(n.max()) * docs >= 1 << 63:
@@ -185,7 +185,7 @@ def _searcher(shared, docs: int, terms: int, k: int):
                           np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy(),
                           batch.column("counts").flatten().to_numpy()))
             postings, number = postings + int(sizes.sum()), number + len(sizes)
-            if postings >= BLOCK_POSTINGS or number >= BLOCK_DOCS:
+            if postings >= block_postings or number >= BLOCK_DOCS:
                 close(parts)
                 parts, postings, number = [], 0, 0
         if parts:
@@ -207,7 +207,8 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= k).drop("salt")
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = K, item_bytes: int = ITEM_BYTES) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = K, item_bytes: int = ITEM_BYTES,
+           block_postings: int = BLOCK_POSTINGS) -> DataFrame:
     """The k best documents of each item: item_id, rank (from 1), doc_id, score.
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are ignored, whatever their names.  A null or
@@ -236,7 +237,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, item_bytes: int = ITEM
         weights = np.array([math.floor(1000 * math.log((2 * total["docs"] + 2) / (2 * held.get(i, 0) + 1))) for i in range(len(known))], np.int64)
         wanted = [(no, np.array([known[t] for t in terms], np.int64)) for no, terms in chunk if terms]
         shared = spark.sparkContext.broadcast((wanted, weights))
-        parts.append(index.mapInArrow(_searcher(shared, total["docs"], total["terms"], k), "item_no long, doc_id long, score long"))
+        parts.append(index.mapInArrow(_searcher(shared, total["docs"], total["terms"], k, block_postings), "item_no long, doc_id long, score long"))
     if not parts:
         found = spark.createDataFrame([], "item_no long, doc_id long, score long")
     else:
