@@ -1,10 +1,12 @@
 import datetime as dt
+import types
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from thermocline.operators import events as e
-from thermocline.streaming import activity, failures, intake
+from thermocline.streaming import activity, failures, intake, replay
 
 NOW = dt.datetime(2024, 6, 30, 12)
 SCHEMA = "event_id bigint, ts timestamp_ntz, service string, event_type string, value double"
@@ -129,19 +131,66 @@ def test_stream_recent_metrics(spark, tmp_path):
     assert len([r for r in rows.values() if r["operations"] == 1]) == 6
 
 
+def follow_failures(spark, path, delay):
+    q = failures.run(follow(spark, path / "in"), failed(), str(path / "sink"), str(path / "cp"), delay)
+    replay.finish(q)
+    return failures.current(spark, str(path / "sink"))
+
+
 def test_stream_failure_runs(spark, tmp_path, log):
     for i in range(0, len(EVENTS), 2):
         write(spark, EVENTS[i:i + 2], tmp_path / "in")
-    q = failures.run(follow(spark, tmp_path / "in"), failed(), str(tmp_path / "state"), str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir())
-    got = failures.read_state(spark, str(tmp_path / "state"), last)
+    got = follow_failures(spark, tmp_path, "365 days")
     assert runs(got) == {"a": 2, "b": 0, "c": 3}
     want = {r["service"]: (r["events"], r["failures"], r["last_event"], r["failing_since"])
             for r in e.failure_runs(log, failed()).collect()}
     assert {r["service"]: (r["events"], r["failures"], r["last_event"], r["failing_since"]) for r in got.collect()} == want
 
 
+def test_stream_failures_late_and_repeated(spark, tmp_path):
+    """Out of order within the delay, delivered twice, and too late; one drain per delivery, so the state goes through the checkpoint."""
+    at = lambda m: dt.datetime(2024, 6, 1) + dt.timedelta(minutes=m)
+    deliveries = [
+        [(1, at(0), "a", "error", 1.0), (2, at(10), "a", "error", 1.0), (3, at(5), "b", "error", 1.0)],
+        [(2, at(10), "a", "error", 1.0), (4, at(200), "a", "error", 1.0)],  # 2 again
+        [(5, at(500), "c", "ok", 1.0)],  # moves the watermark: a's failures are settled
+        [(6, at(20), "a", "ok", 1.0), (7, at(510), "a", "error", 1.0)],  # 6 is too late
+        [(8, at(505), "b", "error", 1.0), (9, at(502), "b", "ok", 1.0), (10, at(900), "c", "error", 1.0)],  # 9 comes before 8
+        [(11, at(2000), "a", "ok", 1.0), (12, at(2001), "a", "error", 1.0)],
+    ]
+    seen = []
+    for rows in deliveries:
+        write(spark, rows, tmp_path / "in")
+        got = follow_failures(spark, tmp_path, "60 minutes")
+        seen.append({r["service"]: (r["events"], r["consecutive_failures"], r["failing_since"]) for r in got.collect()})
+    assert seen[0] == {"a": (2, 2, at(0)), "b": (1, 1, at(5))}
+    assert seen[1]["a"] == (3, 3, at(0))
+    assert seen[3] == {"a": (4, 4, at(0)), "b": (1, 1, at(5)), "c": (1, 0, None)}
+    assert seen[4]["b"] == (3, 1, at(505)) and seen[4]["c"] == (2, 1, at(900))
+    assert seen[5]["a"] == (6, 1, at(2001))
+
+
+def test_failure_state_does_not_grow():
+    """Many batches of a service that fails all the time: the state holds what is newer than the watermark."""
+    class Held:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    runs_ = failures.Runs()
+    runs_.state = held = Held()
+    for batch in range(200):
+        at = [batch * 60_000_000 + i for i in range(50)]
+        part = next(failures._reduced(iter([pd.DataFrame({"service": "a", "at": at, "event_id": range(50), "failed": True})])))
+        timer = types.SimpleNamespace(getCurrentWatermarkInMs=lambda b=batch: (b - 3) * 60_000)
+        row = next(runs_.handleInputRows(("a",), iter([part]), timer)).iloc[0]
+        assert row["consecutive_failures"] == 50 * (batch + 1) and row["failing_since"] == 0 and len(held.value[8]) <= 200
+
+
 def test_stream_intake(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     fields = len(intake.PROFILE_FILE)
@@ -154,6 +203,13 @@ def test_stream_intake(spark, tmp_path):
     write(spark, [one(1, 3, 20, 7.0)], tmp_path / "in", intake.PROFILE_FILE)
     stream().awaitTermination(120)
     m = spark.read.parquet(str(tmp_path / "t/measurements"))
-    assert sorted(r["profile_id"] for r in m.collect()) == [1, 2, 3]
-    f = spark.read.parquet(str(tmp_path / "t/floats/batch=1")).collect()
-    assert [(r["float_id"], r["deployment_date"], r["deployment_lat"]) for r in f] == [("ARGO_77", dt.date(2024, 1, 21), 7.0)]
+    assert sorted(r["profile_id"] for r in m.collect()) == [1, 2, intake.IDS_OF_A_BATCH + 1]
+    want = [("ARGO_77", dt.date(2024, 1, 21), 7.0)]
+    rows = lambda: [(r["float_id"], r["deployment_date"], r["deployment_lat"]) for r in intake.current_floats(spark, str(tmp_path / "t")).collect()]
+    assert rows() == want
+    intake.compact(spark, str(tmp_path / "t"), 1)
+    assert rows() == want
+    write(spark, [(*one(1, 4, 30, 8.0)[:1], "b'78'", *one(1, 4, 30, 8.0)[2:])], tmp_path / "in", intake.PROFILE_FILE)
+    stream().awaitTermination(120)
+    assert sorted(rows()) == [*want, ("ARGO_78", dt.date(2024, 1, 31), 8.0)]
+    assert spark.read.parquet(str(tmp_path / "t/floats/batch=2")).count() == 1  # what is written follows the batch

@@ -1,56 +1,114 @@
 """Consecutive failures per service over a stream.
 
-Each micro-batch is reduced to one row per service by aggregates alone, and only these rows meet the state.  A
-keyed state operator would send all events of a busy service to one task instead.  The state is a table with one
-version per micro-batch in a shared folder: a replayed batch starts from the version before it and writes the same
-rows again, so nothing is counted twice.
+Tasks reduce their rows to one per service first: what happened before a service's last success needs no place of its
+own any more.  The rest meets keyed state.  Failures older than the watermark are settled into a number and a first time,
+as no success before them can arrive; so a service's state is a few numbers and the failures within the watermark,
+however many batches there were.  Deliveries that repeat an event within the watermark count once, later ones are late.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from .activity import deduplicated
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = ("version bigint, events bigint, failures bigint, last_event bigint, ok_at bigint, ok_id bigint, settled bigint, "
+         "settled_since bigint, open_at array<bigint>, open_id array<bigint>")
+NEVER = -(1 << 62)
+
+
+def _reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a column batch to one per service: counts, the last success and the failures after it."""
+    for batch in batches:
+        rows = batch.sort_values(["at", "event_id"], kind="stable")
+        ok = ~rows["failed"]
+        after = ok[::-1].groupby(rows["service"][::-1], dropna=False).cumsum()[::-1]
+        rows = rows.assign(ok_at=rows["at"].where(ok, NEVER), ok_id=rows["event_id"].where(ok, NEVER), open=rows["failed"] & (after == 0))
+        groups = rows.groupby("service", dropna=False, sort=False)
+        out = groups.agg(events=("at", "size"), failures=("failed", "sum"), last_event=("at", "max"), ok_at=("ok_at", "max"))
+        last = rows[ok].groupby("service", dropna=False)["event_id"].last()
+        out["ok_id"] = last.reindex(out.index).fillna(NEVER).astype("int64")
+        still = rows[rows["open"]].groupby("service", dropna=False)
+        for name, source in (("open_at", "at"), ("open_id", "event_id")):
+            lists = still[source].agg(list).reindex(out.index)
+            out[name] = [x if isinstance(x, list) else [] for x in lists]
+        yield out.reset_index()
+
 
-from ..operators.events import failure_runs
+class Runs(StatefulProcessor):
+    """Merges partial rows of a service into its state and hands on where it stands."""
 
-STATE = ("service string, events bigint, failures bigint, last_event timestamp_ntz, consecutive_failures bigint, "
-         "failing_since timestamp_ntz")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("run", STATE)
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        version, events, failures, last, ok_at, ok_id, settled, since, at, ids = self.state.get() or (0, 0, 0, NEVER, NEVER, NEVER, 0, NEVER, [], [])
+        parts = pd.concat(list(rows))
+        events, failures = events + int(parts["events"].sum()), failures + int(parts["failures"].sum())
+        last = max(last, int(parts["last_event"].max()))
+        newest = max([(ok_at, ok_id), *zip(parts["ok_at"].tolist(), parts["ok_id"].tolist())])
+        if newest > (ok_at, ok_id):  # whatever was settled is older than any success that can still arrive
+            settled, since = 0, NEVER
+        at = np.concatenate([np.array(at, np.int64), *[np.array(x, np.int64) for x in parts["open_at"]]])
+        ids = np.concatenate([np.array(ids, np.int64), *[np.array(x, np.int64) for x in parts["open_id"]]])
+        later = (at > newest[0]) | ((at == newest[0]) & (ids > newest[1]))
+        at, ids = at[later], ids[later]
+        old = at < timerValues.getCurrentWatermarkInMs() * 1000
+        if old.any():
+            since = int(at[old].min()) if not settled else min(since, int(at[old].min()))
+            settled += int(old.sum())
+            at, ids = at[~old], ids[~old]
+        self.state.update((version + 1, events, failures, last, int(newest[0]), int(newest[1]), settled, since, at.tolist(), ids.tolist()))
+        first = min([since] if settled else [], default=None)
+        if len(at):
+            first = int(at.min()) if first is None else min(first, int(at.min()))
+        yield pd.DataFrame({"service": [key[0]], "version": [version + 1], "events": [events], "failures": [failures], "last_event": [last],
+                            "consecutive_failures": [settled + len(at)], "failing_since": pd.array([first], "Int64")})
 
-def _version(folder: str, batch: int) -> str:
-    return f"{folder}/batch={batch}"
+    def close(self) -> None:
+        pass
 
 
-def read_state(spark: SparkSession, folder: str, batch: int) -> DataFrame:
-    """The state after a micro-batch; empty before the first."""
-    if batch < 0:
-        return spark.createDataFrame([], STATE)
-    return spark.read.schema(STATE).parquet(_version(folder, batch))
+def followed(events: DataFrame, failed: Column, delay: str = "1 hour") -> DataFrame:
+    """A row per service and micro-batch with events: service, version, events, failures, last_event, consecutive_failures, failing_since.
 
+    ``events`` is a stream of service, ts, event_id and what ``failed`` asks for.  Rows later than ``delay`` behind the newest are left
+    out; within it, order and repeats of deliveries don't matter.
+    """
+    kind = events.schema["service"].dataType.simpleString()
+    marked = deduplicated(events, delay=delay).select("service", F.unix_micros("ts").alias("at"), "event_id", F.coalesce(failed, F.lit(False)).alias("failed"))
+    parts = marked.mapInPandas(_reduced, f"service {kind}, events bigint, failures bigint, last_event bigint, ok_at bigint, ok_id bigint, "
+                                         "open_at array<bigint>, open_id array<bigint>")
+    states = parts.groupBy("service").transformWithStateInPandas(
+        Runs(), f"service {kind}, version bigint, events bigint, failures bigint, last_event bigint, consecutive_failures bigint, failing_since bigint",
+        "Append", "EventTime")
+    time = lambda c: F.timestamp_micros(c).cast("timestamp_ntz").alias(c)
+    return states.select("service", "version", "events", "failures", time("last_event"), "consecutive_failures", time("failing_since"))
 
-def advance(state: DataFrame, events: DataFrame, failed: Column) -> DataFrame:
-    """State after more events: a success among them starts the count anew, otherwise it goes on."""
-    new = failure_runs(events, failed).withColumn("service", F.col("service").cast("string"))
-    o, n = state.alias("o"), new.alias("n")
-    count = lambda c: F.coalesce(F.col(c), F.lit(0))
-    kept = count("n.failures") == count("n.events")  # no success among the new events
-    carried = F.when(kept, count("o.consecutive_failures")).otherwise(0)
-    total = carried + count("n.consecutive_failures")
-    return o.join(n, "service", "full").select(
-        "service", (count("o.events") + count("n.events")).alias("events"),
-        (count("o.failures") + count("n.failures")).alias("failures"),
-        F.greatest("o.last_event", "n.last_event").alias("last_event"), total.alias("consecutive_failures"),
-        F.when(carried > 0, F.col("o.failing_since")).otherwise(F.col("n.failing_since")).alias("failing_since"),
-    )
 
+def run(events: DataFrame, failed: Column, sink: str, checkpoint: str, delay: str = "1 hour", **trigger) -> StreamingQuery:
+    """Follow a stream; ``current`` reads where each service stands.  Keyed state needs the store that keeps it on disk."""
+    spark = events.sparkSession
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        writer = followed(events, failed, delay).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+        return writer.outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        spark.conf.set(STORE, before)
 
-def run(events: DataFrame, failed: Column, state_folder: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Follow a stream of events (service, ts, event_id, …); the newest version of the state is the result."""
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        after = advance(read_state(spark, state_folder, number - 1), batch, failed)
-        after.write.mode("overwrite").parquet(_version(state_folder, number))
 
-    writer = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+def current(spark: SparkSession, sink: str) -> DataFrame:
+    """The newest row of each service."""
+    rows = spark.read.parquet(sink)
+    newest = rows.groupBy("service").agg(F.max("version").alias("version"))
+    return rows.join(newest, [rows["service"].eqNullSafe(newest["service"]), rows["version"] == newest["version"]], "left_semi").drop("version")
