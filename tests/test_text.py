@@ -148,7 +148,7 @@ def test_incomplete_vectors_are_never_neighbours(spark):
 def test_many_query_vectors(spark):
     docs = spark.range(60).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("embedding"))
     asked = spark.range(1500).select(F.col("id").alias("query_id"), F.array((F.col("id") % 60).cast("double")).alias("vector"))
-    best = r.vector_topk_batch(docs, asked, 1, block=400)
+    best = r.vector_topk_batch(docs, asked, 1, block_bytes=4000)
     assert best.count() == 1500 and best.filter("vec_id <> query_id % 60").count() == 0
 
 

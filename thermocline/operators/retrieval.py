@@ -9,7 +9,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.columns import fixed_text, n_rows
 
 TOP = 20
-BLOCK = 1000  # query vectors compared in one pass over the documents
+BLOCK_BYTES = 8 << 20  # query vectors compared in one pass over the documents
 ABSENT = "not available"
 
 
@@ -134,16 +134,16 @@ def vector_topk(documents: DataFrame, vector: list[float], k: int = TOP, key: st
     return near.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))  # k rows
 
 
-def _nearest_of_partition(asked: list[tuple], k: int, query_type):
+def _nearest_of_partition(shared, k: int, query_type):
     """A task's k nearest documents of every query, from column batches of (key, vector)."""
     import numpy as np
     import pyarrow as pa
 
-    by_size: dict[int, list] = {}
-    for i, (_, vector) in enumerate(asked):
-        by_size.setdefault(len(vector), []).append((i, np.array(vector, dtype="float64")))
-
     def run(batches):
+        asked = shared.value
+        by_size: dict[int, list] = {}
+        for i, (_, vector) in enumerate(asked):
+            by_size.setdefault(len(vector), []).append((i, np.array(vector, dtype="float64")))
         best: list = [None] * len(asked)
         for batch in batches:
             sizes = np.diff(batch.column(1).offsets.to_numpy())
@@ -174,12 +174,12 @@ def _nearest_of_partition(asked: list[tuple], k: int, query_type):
 
 
 def vector_topk_batch(documents: DataFrame, queries: DataFrame, k: int = TOP, key: str = "vec_id",
-                      embedding: str = "embedding", query_key: str = "query_id", block: int = BLOCK) -> DataFrame:
+                      embedding: str = "embedding", query_key: str = "query_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The k nearest documents of every query vector.
 
-    The queries are dealt by a hash of their key into blocks of about ``block`` vectors.  A block travels with the tasks
-    of one pass over the documents: a task compares its column batches with all of it and hands on k rows per query,
-    so the shuffle carries k rows per task and query.  A query meets the documents with a complete vector of its own
+    The queries are dealt by a hash of their key into blocks of about ``block_bytes``, so passes follow the bytes of the queries.  A
+    block is broadcast to the tasks of one pass over the documents: a task compares its column batches with all of it and
+    hands on k rows per query, so the shuffle carries k rows per task and query.  A query meets the documents with a complete vector of its own
     length; a query whose vector is missing or incomplete has no neighbours.
     """
     kinds = {c: df.schema[c].dataType.simpleString() for c, df in ((query_key, queries), (key, documents))}
@@ -187,13 +187,14 @@ def vector_topk_batch(documents: DataFrame, queries: DataFrame, k: int = TOP, ke
     query_type = to_arrow_type(queries.schema[query_key].dataType)
     wanted = usable_vectors(queries, None, "vector").select(query_key, "vector")
     whole = usable_vectors(documents, None, embedding).select(key, embedding)
-    blocks = -(-wanted.count() // block)
+    asked_bytes = wanted.agg(F.sum(F.size("vector") * 8)).first()[0] or 0
+    blocks = -(-asked_bytes // block_bytes)
     near = documents.sparkSession.createDataFrame([], schema)
     for number in range(blocks):
-        asked = wanted.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == number).collect()  # about ``block`` rows
+        asked = wanted.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == number).collect()  # about ``block_bytes``
         if asked:
-            near = near.union(whole.mapInArrow(
-                _nearest_of_partition([(q[query_key], list(q["vector"])) for q in asked], k, query_type), schema))
+            shared = documents.sparkSession.sparkContext.broadcast([(q[query_key], list(q["vector"])) for q in asked])
+            near = near.union(whole.mapInArrow(_nearest_of_partition(shared, k, query_type), schema))
     spot = F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))
     best = near.withColumn("rank", spot).filter(F.col("rank") <= k)
     return best.withColumnsRenamed({"query": query_key, "key": key})

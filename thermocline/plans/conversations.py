@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..functions import text as t
 from ..operators import joins as j
+from ..operators import neighbours as n
 from ..operators import retrieval as r
 from ..operators import routing as ro
 from ..session import scratch
@@ -246,6 +247,30 @@ def vector_rejects(spark, folder):
     return r.rejected_vectors(_faulty(spark, folder), 64).withColumn("components", F.coalesce("components", F.lit(-1)))
 
 
+def _asked(spark, folder):
+    """Every tenth vector."""
+    return table(spark, folder, "embeddings").filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query("vector_topk_approx", sql="""
+SELECT vec_id AS query_id, CAST(20 AS BIGINT) AS neighbours, CAST(0 AS DOUBLE) AS nearest, TRUE AS itself
+FROM embeddings WHERE vec_id % 10 = 0""", doubles="nearest")
+def vector_topk_approx(spark, folder):
+    """The index finds 20 neighbours of every tenth vector, the vector itself first."""
+    near = n.vector_topk_approx(table(spark, folder, "embeddings"), _asked(spark, folder))
+    return near.groupBy("query_id").agg(F.count("*").alias("neighbours"), F.min("distance").alias("nearest"),
+                                        F.bool_or((F.col("vec_id") == F.col("query_id")) & (F.col("distance") == 0)).alias("itself"))
+
+
+@query("vector_recall", sql="""
+SELECT count(*) AS queries, 20 * count(*) AS neighbours, TRUE AS enough FROM embeddings WHERE vec_id % 10 = 0""")
+def vector_recall(spark, folder):
+    """At least 0.95 of the 20 exact neighbours of every tenth vector are among those that the index finds."""
+    vectors, asked = table(spark, folder, "embeddings"), _asked(spark, folder)
+    found = n.recall_of(n.vector_topk_approx(vectors, asked), r.vector_topk_batch(vectors, asked))
+    return found.select("queries", "neighbours", (F.col("recall") >= 0.95).alias("enough"))
+
+
 HIT_SQL = """SELECT h.rank, m.* FROM hits h JOIN (
   SELECT p.profile_id AS vec, p.float_id, strftime(p.profile_date, '%Y-%m-%d') AS date, p.profile_lat AS latitude,
          p.profile_lon AS longitude, max(r.depth) AS depth, arg_min(temperature, id) AS temperature,
