@@ -64,9 +64,25 @@ def test_hash_order_takes_exactly_n(table, n):
     assert keys(s.take_by_hash(table, n, "id")) == sorted(got)
 
 
-def test_border_bucket_is_cut_exactly(table):
-    everything_in_one = s.smallest(table, 123, F.lit(0), [s.hash_text("id"), "id"])
-    assert keys(everything_in_one) == keys(s.take_by_hash(table, 123, "id"))
+def of_strata(whole, divisions):
+    """Keys among the smallest hashes of their stratum in any division, in plain pandas."""
+    chosen = set()
+    for column, quota in divisions:
+        for _, rows in whole.dropna(subset=[column]).groupby(column):
+            chosen |= set(rows.sort_values(["h", "id"])["id"][:quota])
+    return sorted(chosen)
+
+
+@pytest.mark.parametrize("band", [s.BAND, 0.0, 0.05])
+def test_strata_are_cut_exactly(monkeypatch, table, band):
+    """With the usual band, and with bands so narrow that they must be widened."""
+    monkeypatch.setattr(s, "BAND", band or 1e-9)
+    marked = table.withColumns({"a": F.when(F.col("id") % 50 > 0, F.floor(F.col("latitude") / 15).cast("int")), "b": (F.col("id") % 3 == 0).cast("int")})
+    whole = marked.withColumn("h", s.hash_text("id")).toPandas()
+    for quotas in ((37, 900), (1, 20_000), (5000, 0)):
+        got = s.take_by_strata(marked, [(F.col("a"), lambda _: quotas[0]), (F.col("b"), lambda n: quotas[1] // n)], "id")
+        assert keys(got) == of_strata(whole, [("a", quotas[0]), ("b", quotas[1] // 2)])
+    assert s.take_by_strata(marked.limit(0), [(F.col("a"), lambda _: 5)], "id").count() == 0
 
 
 def test_importance_prefers_far_values_and_skips_weight_zero(spark, table):

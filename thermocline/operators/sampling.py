@@ -1,9 +1,9 @@
 """Exact, repeatable samples of large tables, seven strategies, with a fidelity score.
 
 Every choice is "the n rows with the smallest score in this stratum", where the score is a hash of the row's key and
-a seed.  A histogram over the leading hash digits tells which buckets lie wholly inside the quota; only the one
-bucket on the border is ordered.  No stratum is ever sorted in one task, the sample size is exact, and the result
-does not depend on how the table is partitioned.
+a seed.  The size of a stratum tells where its n-th smallest score must lie but for a narrow band: rows below the band are
+taken in the scan, rows above it are left there, and only the band is ordered.  No stratum is ever sorted in one task, the
+sample size is exact, and the result does not depend on how the table is partitioned.
 
 Departures: the key decides instead of a generator's state; rows kept on purpose (extremes, recent rows) are
 reserved before the rest is drawn, so a final cut cannot lose them; the least latitude and longitude belong to the
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import left_closed_bin, n_rows, right_closed_bin, seconds
-from ..session import staged
+from ..session import durable
 from .analytics import numeric_columns
 from .order import every_nth, head_rows
 
@@ -70,39 +70,68 @@ def hash_unit(key: str, seed: int = SEED) -> Column:
     return (digits + 1).cast("double") / F.lit(float(1 << 52))
 
 
-def smallest(df: DataFrame, quota, bucket: Column, order, by=()) -> DataFrame:
-    """The ``quota`` rows with the smallest ``order`` of every group, exactly.
+BAND = 6.0  # half width of the band in standard deviations of the number of scores below it
+BAND_LEAST = 20
 
-    Without groups every task keeps its ``quota`` first rows, in one scan.  With groups ``bucket``, which must rise with
-    ``order``, gives a histogram (groups x at most 65,536 buckets), and rows beyond the border bucket are dropped in the
-    scan.  ``by`` is a bin number, so there are few groups.
-    """
-    by = list(by)
-    if not by:
-        return df.orderBy(*order).limit(quota)
-    marked = df.withColumn("_b", bucket)
-    histogram = marked.groupBy(*by, "_b").agg(n_rows().alias("_c"))
-    rising = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    border = (
-        histogram.withColumn("_upto", F.sum("_c").over(rising))
-        .filter(F.col("_upto") - F.col("_c") < F.lit(quota))
-        .groupBy(*by)
-        .agg(F.max_by(F.struct("_b", (F.lit(quota) - (F.col("_upto") - F.col("_c"))).alias("need"),
-                               (F.col("_upto") <= F.lit(quota)).alias("whole")), "_b").alias("_cut"))
-    )
-    cut = marked.join(F.broadcast(border), by)  # bound: one row per bin
-    # The rest is numbered bucket by bucket, which only matters in the border bucket; buckets are small and spread over
-    # all tasks.
-    rest = cut.filter(F.col("_b") <= F.col("_cut._b"))
-    spot = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
-    keep = (F.col("_b") < F.col("_cut._b")) | F.col("_cut.whole") | (F.col("_r") <= F.col("_cut.need"))
-    return rest.withColumn("_r", spot).filter(keep).drop("_b", "_cut", "_r")
 
+def _cuts(n: int, rows: int, width: float) -> tuple[float, float]:
+    """Scores between which the n-th smallest of ``rows`` uniform ones lies."""
+    if n >= rows:
+        return 1.0, 1.0
+    reach = width * (math.sqrt(n) + BAND_LEAST)
+    return max(0.0, (n - reach) / rows), min(1.0, (n + reach) / rows)
 
-def take_by_hash(df: DataFrame, n: int, key: str, by=(), seed: int = SEED) -> DataFrame:
-    """Exactly n rows (per group) by hash order, or all there are."""
-    order = hash_text(key, seed)
-    return smallest(df, n, F.substring(order, 1, 4), [order, F.col(key)], by)
+
+def take_by_strata(df: DataFrame, strata, key: str, seed: int = SEED) -> DataFrame:
+    """Rows that are among the smallest hashes of their stratum in any of several divisions of the table.
+
+    ``strata`` lists (stratum, quota): a column of few values, null for rows that belong nowhere, and a function of the
+    number of occupied strata.  One scan counts the strata, one takes what can matter: a sample's worth of rows, which is
+    kept.  Should a band miss its border, which its width makes rare, it is widened and the scan repeated.
+    """
+    marked = df.withColumns({f"_s{i}": stratum.cast("int") for i, (stratum, _) in enumerate(strata)})
+    each = [F.struct(F.lit(i).alias("division"), F.col(f"_s{i}").alias("stratum")) for i in range(len(strata))]
+    counts = marked.select(F.inline(F.array(*each))).filter("stratum IS NOT NULL").groupBy("division", "stratum").count()
+    sizes = {(r["division"], r["stratum"]): r["count"] for r in counts.collect()}  # a row per stratum
+    occupied = [sum(d == i for d, _ in sizes) for i in range(len(strata))]
+    if not sizes:
+        return df.limit(0)
+    wanted = {s: min(n, strata[s[0]][1](occupied[s[0]])) for s, n in sizes.items()}
+    width = {s: BAND for s in sizes}
+    unit = F.col("_u")
+
+    def of(i: int, values: dict) -> Column:
+        known = [x for (d, s), v in values.items() if d == i for x in (F.lit(s), F.lit(v))]
+        return F.element_at(F.create_map(*known), F.col(f"_s{i}")) if known else F.lit(None)
+
+    while True:
+        cuts = {s: _cuts(wanted[s], sizes[s], width[s]) for s in sizes}
+        low, high = ({s: c[k] for s, c in cuts.items()} for k in (0, 1))
+        near = [F.coalesce(unit <= of(i, high), F.lit(False)) for i in range(len(strata))]
+        sure = [F.coalesce(unit <= of(i, low), F.lit(False)) for i in range(len(strata))]
+        drawn = durable(marked.withColumn("_u", hash_unit(key, seed)).filter(F.greatest(*near, F.lit(False))))
+        found = drawn.select(F.inline(F.array_compact(F.array(*(F.when(near[i], F.struct(
+            F.lit(i).alias("division"), F.col(f"_s{i}").alias("stratum"), sure[i].alias("sure"))) for i in range(len(strata)))))))
+        got = {(r["division"], r["stratum"]): (r["n"], r["sure"]) for r in found.groupBy("division", "stratum").agg(
+            n_rows().alias("n"), F.count_if("sure").alias("sure")).collect()}  # a row per stratum
+        short = [s for s in sizes if got.get(s, (0, 0))[0] < wanted[s] or got.get(s, (0, 0))[1] > wanted[s]]
+        if not short:
+            break
+        for s in short:
+            width[s] *= 4
+    need = {s: wanted[s] - got.get(s, (0, 0))[1] for s in sizes}
+    band = [near[i] & ~sure[i] for i in range(len(strata))]
+    edge = F.greatest(*band, F.lit(False))
+    places = {f"_r{i}": F.row_number().over(Window.partitionBy(f"_s{i}", band[i]).orderBy(hash_text(key, seed), key)) for i in range(len(strata))}
+    ranked = drawn.filter(edge).withColumns(places)
+    keep = F.greatest(*[sure[i] | (band[i] & (F.col(f"_r{i}") <= of(i, need))) for i in range(len(strata))], F.lit(False))
+    whole = drawn.filter(~edge).select(*df.columns)
+    return whole.unionAll(ranked.filter(keep).select(*df.columns))
+
+
+def take_by_hash(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFrame:
+    """The n rows of smallest hashes, or all there are: every task keeps its n first ones, in one scan."""
+    return df.orderBy(hash_text(key, seed), key).limit(n)
 
 
 def sample_random(df: DataFrame, c: SamplingConfig) -> DataFrame:
@@ -129,52 +158,60 @@ def sample_stratified(df: DataFrame, c: SamplingConfig, bins: int = STRATA) -> D
     if low is None:
         return sample_random(df, c)
     stratum = right_closed_bin(F.col(column), F.lit(float(low)), F.lit(float(high)), bins)
-    marked = df.withColumn("_s", stratum).filter(F.col("_s").isNotNull())
-    return take_by_hash(marked, c.target_size // bins, c.key, ["_s"], c.seed).drop("_s")
+    return take_by_strata(df, [(stratum, lambda _: c.target_size // bins)], c.key, c.seed)
 
 
-def sample_temporal(df: DataFrame, c: SamplingConfig) -> DataFrame:
+def _time_strata(column: str, c: SamplingConfig, low, high, target: int):
     """Equal-time bins, target // bins rows of each."""
-    column, bins = _name(df, DATE_NAMES), max(1, c.temporal_bins)
+    bins = max(1, c.temporal_bins)
+    return left_closed_bin(seconds(F.col(column)), F.lit(low), F.lit(high), bins), lambda _: target // bins
+
+
+def _place_strata(lat: str, lon: str, c: SamplingConfig, ends, target: int):
+    """A square grid of int(sqrt(bins)) cells a side; target // occupied cells rows of each, at least one."""
+    side = max(1, int(math.sqrt(c.spatial_bins)))
+    (south, north), (west, east) = ends
+    row = right_closed_bin(F.col(lat), F.lit(float(south)), F.lit(float(north)), side)
+    column = right_closed_bin(F.col(lon), F.lit(float(west)), F.lit(float(east)), side)
+    return row * side + column, lambda occupied: max(1, target // occupied)
+
+
+def sample_temporal(df: DataFrame, c: SamplingConfig) -> DataFrame:
+    column = _name(df, DATE_NAMES)
     if column is None:
         return sample_random(df, c)
-    at = seconds(F.col(column))
-    ((low, high),) = _bounds(df, at)
+    ((low, high),) = _bounds(df, seconds(F.col(column)))
     if low is None:
         return sample_random(df, c)
-    marked = df.withColumn("_s", left_closed_bin(at, F.lit(low), F.lit(high), bins)).filter(F.col("_s").isNotNull())
-    return take_by_hash(marked, c.target_size // bins, c.key, ["_s"], c.seed).drop("_s")
+    return take_by_strata(df, [_time_strata(column, c, low, high, c.target_size)], c.key, c.seed)
 
 
 def sample_spatial(df: DataFrame, c: SamplingConfig) -> DataFrame:
-    """A square grid of int(sqrt(bins)) cells a side; target // occupied cells rows of each, at least one."""
     lat, lon = _name(df, LAT_NAMES), _name(df, LON_NAMES)
     if lat is None or lon is None:
         return sample_random(df, c)
-    side = max(1, int(math.sqrt(c.spatial_bins)))
-    (south, north), (west, east) = _bounds(df, F.col(lat), F.col(lon))
-    if south is None or west is None:
+    ends = _bounds(df, F.col(lat), F.col(lon))
+    if any(low is None for low, _ in ends):
         return sample_random(df, c)
-    row = right_closed_bin(F.col(lat), F.lit(float(south)), F.lit(float(north)), side)
-    column = right_closed_bin(F.col(lon), F.lit(float(west)), F.lit(float(east)), side)
-    marked = df.withColumn("_s", row * side + column).filter(F.col("_s").isNotNull())
-    occupied = marked.select(F.countDistinct("_s")).first()[0]
-    return take_by_hash(marked, max(1, c.target_size // occupied), c.key, ["_s"], c.seed).drop("_s")
+    return take_by_strata(df, [_place_strata(lat, lon, c, ends, c.target_size)], c.key, c.seed)
 
 
 def sample_adaptive(df: DataFrame, c: SamplingConfig) -> DataFrame:
-    """Half by place and half by time where both exist, otherwise the best single strategy."""
-    timed = _name(df, DATE_NAMES) is not None
-    placed = _name(df, LAT_NAMES) is not None and _name(df, LON_NAMES) is not None
-    if placed and timed:
-        half = replace(c, target_size=c.target_size // 2)
-        both = sample_spatial(df, half).unionByName(sample_temporal(df, half)).dropDuplicates([c.key])
-        return take_by_hash(both, c.target_size, c.key, seed=c.seed)
+    """Half by place and half by time where both exist, in the same scans; otherwise the best single strategy."""
+    date, lat, lon = _name(df, DATE_NAMES), _name(df, LAT_NAMES), _name(df, LON_NAMES)
+    if date and lat and lon:
+        half = c.target_size // 2
+        *ends, (first, last) = _bounds(df, F.col(lat), F.col(lon), seconds(F.col(date)))
+        if first is None or any(low is None for low, _ in ends):
+            parts = sample_spatial(df, replace(c, target_size=half)).unionByName(sample_temporal(df, replace(c, target_size=half)))
+        else:
+            parts = take_by_strata(df, [_place_strata(lat, lon, c, ends, half), _time_strata(date, c, first, last, half)], c.key, c.seed)
+        return take_by_hash(parts.dropDuplicates([c.key]), c.target_size, c.key, c.seed)
     if "depth" in df.columns:
         return sample_stratified(df, c)
-    if timed:
+    if date:
         return sample_temporal(df, c)
-    return sample_spatial(df, c) if placed else sample_random(df, c)
+    return sample_spatial(df, c) if lat and lon else sample_random(df, c)
 
 
 def sample_importance(df: DataFrame, c: SamplingConfig) -> DataFrame:
@@ -186,20 +223,16 @@ def sample_importance(df: DataFrame, c: SamplingConfig) -> DataFrame:
     column = c.importance_column
     if column is None or column not in df.columns:
         return sample_random(df, c)
-    # one over a typical weight: it only spreads the buckets evenly
     if column in numeric_columns(df):
-        mean, deviation = df.select(F.avg(column), F.stddev_samp(column)).first()
+        mean = df.select(F.avg(column)).first()[0]
         if mean is None:
             return df.limit(0)
         weighted = df.withColumn("_w", F.abs(F.col(column) - F.lit(mean)))
-        typical = 1.0 / deviation if deviation else 1.0
     else:
-        counts = staged(df.groupBy(column).agg(n_rows().alias("_f")))
-        typical = counts.select(F.try_divide(F.sum(F.col("_f") * F.col("_f")), F.sum("_f"))).first()[0] or 1.0
+        counts = df.groupBy(column).agg(n_rows().alias("_f"))
         weighted = df.join(counts, column).withColumn("_w", 1.0 / F.col("_f")).drop("_f").select(*df.columns, "_w")
     scored = weighted.filter(F.col("_w") > 0).withColumn("_e", -F.log(hash_unit(c.key, c.seed)) / F.col("_w"))
-    bucket = F.floor(F.col("_e") / (F.col("_e") + F.lit(float(typical))) * 65535).cast("int")
-    return smallest(scored, c.target_size, bucket, ["_e", c.key]).drop("_w", "_e")
+    return scored.orderBy("_e", c.key).limit(c.target_size).drop("_w", "_e")
 
 
 STRATEGIES = {
@@ -266,9 +299,7 @@ def sample(df: DataFrame, c: SamplingConfig) -> DataFrame:
     rest = [n for n in df.columns if n != c.key]
     once = drawn.groupBy(c.key).agg(F.min("_kept").alias("_kept"), F.any_value(F.struct(*rest)).alias("_row"))
     once = once.select(c.key, "_row.*", "_kept").select(*df.columns, "_kept")
-    order = hash_text(c.key, c.seed)
-    line = F.concat(F.col("_kept").cast("string"), F.substring(order, 1, 4))
-    return smallest(once, c.target_size, line, ["_kept", order, c.key]).drop("_kept")
+    return once.orderBy("_kept", hash_text(c.key, c.seed), c.key).limit(c.target_size).drop("_kept")
 
 
 def sample_quality(df: DataFrame, sampled: DataFrame, columns=None) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import order as o
 from ..operators import sampling as s
-from ..session import staged
 from ..sources.binding import view
 from .registry import query
 
@@ -20,10 +19,10 @@ def _readings(spark, folder):
 
 
 def _placed(spark, folder):
-    """Measurements with place and time, joined once for the several passes of a sample."""
-    return staged(view(spark, folder, "measurements").select(
+    """Measurements with place and time; each pass of a sample reads the columns it needs."""
+    return view(spark, folder, "measurements").select(
         "id", "depth", "temperature", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
-        F.col("time").alias("date")))
+        F.col("time").alias("date"))
 
 
 R = "SELECT id, depth, temperature, salinity, dataset_type FROM readings"
