@@ -50,6 +50,33 @@ def with_group_rank(df: DataFrame, group, order, name: str = "rank") -> DataFram
     return same.withColumn(name, F.col("_at") - F.col("_first")).drop("_at", "_first")
 
 
+def key_positions(df: DataFrame, order, by=()) -> DataFrame:
+    """The columns ``by`` and ``order`` of every row with its position ``_r`` in its group, from 0, and the group's size ``_n``.
+
+    Only these columns are range-partitioned, sorted and kept, so that both passes see the same partitions.  A group may
+    spread over many ranges: its position there is the number of its rows in earlier ranges plus the place inside.
+    """
+    by, spot = list(by), F.monotonically_increasing_id()
+    columns = [*by, *order]
+    placed = durable(df.select(*columns).repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_spot", spot)).withColumn(
+        "_part", F.shiftright("_spot", _BITS))
+    counts = placed.groupBy(*by, "_part").agg(F.count("*").alias("_c"), F.min("_spot").alias("_first"))  # a row per range and group in it
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_part").alias("_range"), "_first",
+                           F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_start"), F.sum("_c").over(whole).alias("_n"))
+    same = [placed["_part"] == starts["_range"], *(placed[c].eqNullSafe(starts[f"_by{i}"]) for i, c in enumerate(by))]
+    return placed.join(starts, same).select(*columns, (F.col("_start") + F.col("_spot") - F.col("_first")).alias("_r"), "_n")
+
+
+def rows_of_keys(df: DataFrame, keys: DataFrame, columns) -> DataFrame:
+    """The rows of ``df`` whose ``columns`` are among ``keys``, as often as there; of equal keys any."""
+    wanted = keys.groupBy(*columns).agg(F.count("*").alias("_times")).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(columns)], "_times")
+    found = df.join(wanted, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(columns)])
+    spot = F.row_number().over(Window.partitionBy(*columns).orderBy(F.lit(0)))
+    return found.withColumn("_spot", spot).filter(F.col("_spot") <= F.col("_times")).select(*df.columns)
+
+
 def head_rows(df: DataFrame, order, n: int) -> DataFrame:
     """The first n rows: every task keeps n of them."""
     return df.orderBy(*order).limit(n)
@@ -62,9 +89,9 @@ def page_of_rows(df: DataFrame, order, page: int, size: int, total: int | None =
     """
     offset = page * size
     rows = df.orderBy(*order).offset(offset).limit(size)
-    filled = rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("_n"))))  # one row
-    more = (F.lit(offset) + F.col("_n") < total) if total is not None else (F.col("_n") == size)
-    return filled.withColumn("has_more", more).drop("_n")
+    filled = F.count("*").over(Window.partitionBy(F.lit(0)))  # of a page, not of the table
+    more = (F.lit(offset) + filled < total) if total is not None else (filled == size)
+    return rows.withColumn("has_more", more)
 
 
 def page_after(df: DataFrame, key: str, last, size: int) -> DataFrame:
@@ -76,32 +103,29 @@ def page_after(df: DataFrame, key: str, last, size: int) -> DataFrame:
 def decimate_even(df: DataFrame, order, k: int) -> DataFrame:
     """k rows at evenly spaced positions, the first and the last included; all rows when there are no more than k.
 
-    Position i is floor(i * (n-1)/(k-1)) in double arithmetic, the last forced to n-1.
+    Position i is floor(i * (n-1)/(k-1)) in double arithmetic, the last forced to n-1.  Keys alone are ordered; the
+    rows of the chosen keys come from a second scan.
     """
-    ranked = with_rank(df, order, "_r")
-    n = ranked.count()
+    n = df.count()
     if n <= k:
-        return ranked.drop("_r")
+        return df
     step = (n - 1) / (k - 1) if k > 1 else 0.0
     at = F.when((F.col("id") == k - 1) & F.lit(k > 1), F.lit(n - 1)).otherwise(
         F.floor(F.col("id").cast("double") * F.lit(step))
     )
     wanted = df.sparkSession.range(k).select(at.cast("bigint").alias("_r"))
-    return ranked.join(wanted, "_r", "left_semi").drop("_r")
+    return rows_of_keys(df, key_positions(df, order).join(wanted, "_r", "left_semi").select(*order), order)
 
 
 def every_nth(df: DataFrame, order, target: int, by=()) -> DataFrame:
     """Rows at positions 0, step, 2 step … with step = n // target, at most ``target`` of them, per group.
 
-    Groups no larger than the target are kept whole.
+    Groups no larger than the target are kept whole.  Keys alone are ordered, as in ``decimate_even``.
     """
-    by = list(by)
-    ranked = with_group_rank(df, by, order, "_r")
-    sizes = ranked.groupBy(*by).agg((F.max("_r") + 1).alias("_n"))
-    sized = ranked.join(sizes, by) if by else ranked.withColumn("_n", F.lit(ranked.count()))
+    columns = [*by, *order]
     step = F.greatest(F.floor(F.col("_n") / F.lit(target)), F.lit(1))
     keep = (F.col("_n") <= target) | ((F.col("_r") % step == 0) & (F.col("_r") < step * target))
-    return sized.filter(keep).drop("_r", "_n")
+    return rows_of_keys(df, key_positions(df, order, by).filter(keep).select(*columns), columns)
 
 
 def last_per_key(df: DataFrame, key: str, newest_first, n: int = 10) -> DataFrame:
