@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import table, text_key
+from .common import free_name, table, text_key
 
 SHORTEST_NEAR = 20  # characters; shorter lines are compared for equality only
 SECTIONS = 8
@@ -140,24 +140,25 @@ def removed_by_document(docs: DataFrame) -> DataFrame:
         F.count_if("near").alias("gone_near")).withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"})
 
 
-def _joined(docs: DataFrame) -> DataFrame:
-    gone = removed_by_document(docs)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (text_key(docs["text"]) == gone["gone_hash"]), "left")
-
-
 def dedup_lines(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``; all columns stay.
+    """``docs`` with repeated lines taken out of ``text``; all columns stay, whatever their names.
 
-    With ``drop_emptied`` a document that had lines and keeps none goes; a document that was blank before stays as it is.
+    With ``drop_emptied`` a document that had lines and keeps none goes; a document that was blank before stays as it is,
+    a null text too.  Rows that repeat id and text are cut alike; an empty table stays empty.
     """
-    joined = _joined(docs)
+    gone = removed_by_document(docs)
+    names = [free_name(docs.columns, c) for c in gone.columns]
+    gone = gone.toDF(*names)
+    key, hashed, lost = (gone[c] for c in names[:3])
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(key) & (text_key(docs["text"]) == hashed), "left")
     split = F.split(docs["text"], "\n")
     places = F.sequence(F.lit(0), F.size(split) - 1)
-    kept = F.transform(F.array_except(places, F.col("gone")), lambda i: F.element_at(split, i + 1))
-    text = F.when(F.col("gone").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
-    out = joined.select(*[docs[c] for c in docs.columns if c != "text"], text.alias("text"), F.col("gone").isNotNull().alias("_cut"))
+    kept = F.transform(F.array_except(places, lost), lambda i: F.element_at(split, i + 1))
+    text = F.when(lost.isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    cut = free_name(docs.columns, "cut")
+    out = joined.select(*[docs[c] for c in docs.columns if c != "text"], text.alias("text"), lost.isNotNull().alias(cut))
     if drop_emptied:
-        out = out.filter(~F.col("_cut") | (F.btrim(F.col("text"), F.lit(BLANK + "\n")) != ""))
+        out = out.filter(~F.col(cut) | (F.btrim(F.col("text"), F.lit(BLANK + "\n")) != ""))
     return out.select(*docs.columns)
 
 

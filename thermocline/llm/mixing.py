@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import TOKEN, counted, table
+from .common import TOKEN, counted, free_name, table
 
 MOST = 3  # no source is repeated more often
 SEED = "mix"
@@ -69,27 +69,36 @@ def rates(docs: DataFrame, most: float = MOST) -> DataFrame:
     return fill(durable(cyclic_weights(sources)), most)
 
 
+def _added(docs: DataFrame) -> list[str]:
+    """Names of the columns that ``copies`` adds: ``mix_...``, with ``_`` in front if ``docs`` has such a column."""
+    return [free_name(docs.columns, n) for n in ("mix_size", "mix_source_size", "mix_target", "mix_copies")]
+
+
 def copies(docs: DataFrame, most: float = MOST, seed: str = SEED) -> DataFrame:
     """Every row of ``docs`` with mix_size, mix_source_size, mix_target and mix_copies.
 
     A document gets floor(rate) copies and one more with the probability of the remaining fraction, decided by a hash
     of its id: the same in every run and for every partitioning.  Rows repeating an id decide alike.  A source without
     tokens has rate 0.  The text is tokenised once for the sums and once here; nothing is shuffled but the sums.
+    A null source is a source, a null text has size 0, an empty table stays empty.  An added column whose name ``docs`` holds gets
+    ``_`` in front.
     """
-    found = counted(rates(docs, most).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"),
-                                             F.col("target").alias("mix_target")))
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
+    size, source_size, target, times = _added(docs)
+    source = free_name([*docs.columns, source_size, target], "mix_source")
+    found = counted(rates(docs, most).select(F.col("source").alias(source), F.col("source_size").alias(source_size),
+                                             F.col("target").alias(target)))
+    rate = F.when(found[source_size] > 0, found[target] / found[source_size]).otherwise(F.lit(0.0))
     extra = (draw(docs["doc_id"], seed) < rate - F.floor(rate)).cast("int")
     number = F.least(F.floor(rate) + extra, F.lit(most)).cast("int")
-    return docs.join(found, docs["source"].eqNullSafe(found["mix_source"]), "left").select(
-        *[docs[c] for c in docs.columns], text_size(docs["text"]).alias("mix_size"), "mix_source_size", "mix_target",
-        number.alias("mix_copies"))
+    return docs.join(found, docs["source"].eqNullSafe(found[source]), "left").select(
+        *[docs[c] for c in docs.columns], text_size(docs["text"]).alias(size), found[source_size], found[target], number.alias(times))
 
 
 def mix(docs: DataFrame, most: float = MOST, seed: str = SEED) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, with all its columns."""
-    counted = copies(docs, most, seed).filter("mix_copies > 0")
-    repeated = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    times = _added(docs)[-1]
+    taken = copies(docs, most, seed).filter(F.col(times) > 0)
+    repeated = taken.withColumn(free_name(taken.columns, "mix_copy"), F.explode(F.sequence(F.lit(1), F.col(times))))
     return repeated.select(*docs.columns)
 
 

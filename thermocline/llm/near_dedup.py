@@ -15,7 +15,7 @@ from .common import components, counted, table, word_bytes
 
 SHINGLE = 5  # words
 SIMILARITY = 0.8  # probability Jaccard of shingle counts
-BANDS, ROWS = 32, 7  # a pair at 0.8 is missed with probability (1 - 0.8**7)**32 < 1e-3, one at 0.85 with 2e-5
+BANDS, ROWS = 40, 7  # a pair at 0.8 is missed with probability (1 - 0.8**7)**40 < 1e-4, one at 0.85 with 1e-6
 BATCH_ELEMENTS, BATCH_DOCUMENTS = 400_000, 2_000
 BROADCAST_IDS = 500_000
 BROADCAST_ELEMENTS = 2_000_000  # of eight bytes
@@ -188,7 +188,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, h1, h2, set, count) of each text; ``count`` is empty if every run of words occurs once."""
+    """(first_id, h1, h2, set, count) of each text; ``count`` is empty if every run of words occurs once."""
     hashes_of = _WordHashes()
     for batch in batches:
         rows = []
@@ -199,7 +199,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((doc_id, *_identity(hashes), elements.view(np.int64), counts if counts.max() > 1 else counts[:0]))
         columns = list(zip(*rows)) if rows else [[]] * 5
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "h1", "h2", "set", "count"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["first_id", "h1", "h2", "set", "count"])
 
 
 def shares(sets: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return durable(compared.mapInArrow(_compare, "a long, b long, distance double"))
 
 
-def links(members: DataFrame, sets: DataFrame, drawn: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def links(members: DataFrame, sets: DataFrame, drawn: DataFrame, threshold: float = SIMILARITY, estimate: bool = True) -> DataFrame:
     """Verified links (a, b); what chains of links inside buckets connect is connected here too.
 
     ``members``: (bucket, id); ``sets``: (id, set, count); ``drawn``: (id, sketch).  First every bucket is compared with its member that has most
@@ -257,7 +257,7 @@ def links(members: DataFrame, sets: DataFrame, drawn: DataFrame, threshold: floa
     in the first bucket both are in, except for pairs that cannot matter:
     - both are in one component already, or neither is outside of the bucket's largest component;
     - one of them, or the pair, has too little in common with any other set (``_may_link``);
-    - their signatures agree far too rarely (``_alike``);
+    - their signatures agree far too rarely (``_alike``), unless ``estimate`` is off;
     - their distances to the bucket's first member differ by more than the link distance: 1 - similarity is the
       probability of two hash values being different, so it obeys the triangle inequality.
     """
@@ -289,42 +289,57 @@ def links(members: DataFrame, sets: DataFrame, drawn: DataFrame, threshold: floa
     near = F.abs(F.col("a.distance") - F.col("b.distance")) <= reach
     here = F.array_min(F.array_intersect("a.buckets", "b.buckets")) == F.col("a.bucket")
     pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component"))
-                   & once & near & _may_link(threshold) & _alike(F.col("a.sketch"), F.col("b.sketch"), threshold) & here)
+                   & once & near & _may_link(threshold) & here
+                   & (_alike(F.col("a.sketch"), F.col("b.sketch"), threshold) if estimate else F.lit(True)))
     pairs = pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
     more = _distances(pairs.join(known, ["a", "b"], "left_anti"), sets)
     return durable(linked.union(more.filter(F.col("distance") <= reach).select("a", "b")))
 
 
-def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def _same_document(keyed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between different texts of one doc_id."""
+    spread = keyed.groupBy("doc_id").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("h1", "h2")))
+    several = counted(spread.filter("min_h1 <> max_h1 or min_h2 <> max_h2").select("doc_id"))
+    rows = keyed.select("doc_id", "h1", "h2").join(several, "doc_id", "left_semi").distinct().join(
+        texts.select("h1", "h2", "id"), ["h1", "h2"]).select("doc_id", "id")
+    return rows.join(rows.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").filter("a <> id").select("a", F.col("id").alias("b"))
+
+
+def classes(docs: DataFrame, threshold: float = SIMILARITY, estimate: bool = True) -> DataFrame:
     """(doc_id, class_id, copies): the class of near-duplicates of every document, named after its smallest doc_id.
 
     Two documents are linked at a probability Jaccard of ``threshold`` or more between the counts of their runs of five
     words; a class is what links connect.  ``copies`` is the number of rows with the same words.  Documents without
-    words and null ids are left out.  Rows that repeat an id share its class.
+    words and null ids are left out.  The texts of an id that repeats are linked with each other.
 
-    Equal texts are folded first, by a hash of their words; signatures, buckets and links concern different texts only.
+    Equal texts are folded first, by a hash of their words, and numbered; signatures, buckets and links concern the numbers of
+    different texts only, and doc_ids come back at the end.  Without ``estimate`` every pair that the buckets bring together and
+    whose similarity is open is verified, however rarely its signatures agree.
     """
     read = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = durable(read.mapInArrow(_sign, "doc_id long, h1 long, h2 long, bands array<long>, sketch array<long>"))
-    texts = durable(keyed.groupBy("h1", "h2", "bands", "sketch").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
+    texts = durable(keyed.groupBy("h1", "h2", "bands", "sketch").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+                    .withColumn("id", F.monotonically_increasing_id()))
     members = texts.select(F.explode("bands").alias("bucket"), "id").distinct()
     several = members.groupBy("bucket").count().filter("count > 1").select("bucket")
     members = durable(members.join(several, "bucket", "left_semi"))
-    wanted = durable(members.select("id").distinct().join(texts, "id").select("id", "h1", "h2"))
+    wanted = durable(members.select("id").distinct().join(texts, "id").select("id", "first_id", "h1", "h2"))
     small = wanted.count() <= BROADCAST_IDS
-    ids = wanted.select(F.col("id").alias("doc_id")).distinct()
+    ids = wanted.select(F.col("first_id").alias("doc_id")).distinct()
     chosen = read.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    sets = chosen.mapInArrow(_sets, "id long, h1 long, h2 long, set array<long>, count array<int>")
-    sets = durable(sets.join(wanted, ["id", "h1", "h2"], "left_semi").select("id", "set", "count").dropDuplicates(["id"]))
-    drawn = texts.join(wanted, ["id", "h1", "h2"], "left_semi").select("id", "sketch").dropDuplicates(["id"])
-    found = components(texts.select("id"), links(members, sets, drawn, threshold), "id")
-    named = texts.join(found, "id").select("h1", "h2", "component", "copies")
-    return keyed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", F.col("component").alias("class_id"), "copies")
+    sets = chosen.mapInArrow(_sets, "first_id long, h1 long, h2 long, set array<long>, count array<int>")
+    sets = durable(sets.join(wanted, ["first_id", "h1", "h2"]).select("id", "set", "count").dropDuplicates(["id"]))
+    drawn = texts.join(wanted.select("id"), "id", "left_semi").select("id", "sketch")
+    linked = links(members, sets, drawn, threshold, estimate).union(_same_document(keyed, texts))
+    found = texts.select("id", "h1", "h2", "first_id", "copies").join(components(texts.select("id"), linked, "id"), "id")
+    names = found.groupBy("component").agg(F.min("first_id").alias("class_id"))
+    named = found.join(names, "component").select("h1", "h2", "class_id", "copies")
+    return keyed.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "class_id", "copies")
 
 
-def dedup(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def dedup(docs: DataFrame, threshold: float = SIMILARITY, estimate: bool = True) -> DataFrame:
     """``docs`` with one document of each class of near-duplicates, the one with the smallest id; all columns stay."""
-    gone = classes(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = classes(docs, threshold, estimate).filter("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct()
     gone = counted(gone)
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
@@ -332,7 +347,7 @@ def dedup(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near-duplicates, its number of equal texts, and whether it stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = classes(docs).withColumnRenamed("doc_id", "found_id").distinct()
+    found = classes(docs).groupBy(F.col("doc_id").alias("found_id")).agg(F.min("class_id").alias("class_id"), F.max("copies").alias("copies"))
     joined = docs.select("doc_id").join(found, F.col("doc_id") == F.col("found_id"), "left")
     class_id = F.coalesce("class_id", F.col("doc_id").cast("long"))
     return joined.select("doc_id", class_id.alias("class_id"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies"),

@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, remainder, table, words
+from .common import LOWER, UPPER, free_name, remainder, table, words
 
 FOLDS = 5
 FEATURES = 1024  # words and beginnings of words the sentence model looks at
@@ -189,16 +190,25 @@ def _scored(text: str, model: Model, weights: list[float], lookup: _Lookup, plai
         if z >= 0:
             hits.append((number, start, stop, 1.0 / (1.0 + math.exp(-z))))
     if hits:
-        raw = text.encode("utf-8", "replace")
-        place = lambda b: len(raw[:b].decode("utf-8", "ignore"))
-        hits = [(n, place(a), place(b), p) for n, a, b, p in hits]
+        raw, at, points = text.encode("utf-8", "replace"), 0, 0
+        for i, (n, *ends, p) in enumerate(hits):
+            for k, end in enumerate(ends):  # in order, so that each byte is decoded once
+                points, at = points + len(raw[at:end].decode("utf-8", "ignore")), end
+                ends[k] = points
+            hits[i] = (n, *ends, p)
     return -math.expm1(clean), hits
 
 
+def _added(docs: DataFrame) -> tuple[str, str]:
+    """Names of the columns that ``score`` adds, with ``_`` in front if ``docs`` has such a column."""
+    return free_name(docs.columns, "tox_score"), free_name(docs.columns, "tox_sentences")
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with tox_score and tox_sentences (number, start, stop, score of each sentence scored 0.5 or more).
 
-    One scan, no shuffle; the model is a few kilobytes.  Null texts are empty, empty texts get the leak.
+    One scan, no shuffle; the model is a few kilobytes.  Null texts are empty, empty texts get the leak.  Rows are scored one by
+    one; an added column whose name ``docs`` holds gets ``_`` in front.
     """
     others = [c for c in docs.columns if c != "text"]
     read = docs.select(F.struct(*others).alias("row"), "text")
@@ -213,18 +223,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column("row"), batch.column("text"), pa.array([s for s, _ in found], pa.float64()),
                 pa.array([[dict(zip(keys, h)) for h in hits] for _, hits in found], kind)],
-                ["row", "text", "tox_score", "tox_sentences"])
+                ["row", "text", "score", "sentences"])
 
-    spans = "array<struct<number:int,start:int,stop:int,score:double>>"
-    schema = f"row {read.schema['row'].dataType.simpleString()}, text string, tox_score double, tox_sentences {spans}"
+    spans = T.ArrayType(T.StructType([T.StructField("number", T.IntegerType()), T.StructField("start", T.IntegerType()),
+                                      T.StructField("stop", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+    schema = T.StructType([*read.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("sentences", spans)])
     scored = read.mapInArrow(apply, schema)
+    names = _added(docs)
     return scored.select(*["text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns],
-                         "tox_score", "tox_sentences")
+                         F.col("score").alias(names[0]), F.col("sentences").alias(names[1]))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents scored 0.5 or more; all columns stay, null and empty texts pass."""
-    return score(docs, train(docs, labels)).filter(F.col("tox_score") < THRESHOLD).select(*docs.columns)
+    return score(docs, train(docs, labels)).filter(F.col(_added(docs)[0]) < THRESHOLD).select(*docs.columns)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
