@@ -53,6 +53,27 @@ def test_hot_place_and_a_chain(spark):
     check(spark, hot, 2.0)
 
 
+def test_long_chain_in_few_rounds(spark, monkeypatch):
+    """A thousand floats, each within reach of the next: rounds do not follow the chain."""
+    rounds, one = [], g._round
+    monkeypatch.setattr(g, "_round", lambda *a: rounds.append(1) or one(*a))
+    chain = pd.DataFrame({"float_id": np.arange(1000), "lat": np.arange(1000) * 0.17 - 85, "lon": np.arange(1000) * 0.3})
+    check(spark, chain, 0.5)
+    assert len(rounds) <= 6
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_many_blocks_and_crowded_cells(spark, monkeypatch, seed):
+    """Small blocks and cells that send few of their points give the same centres, in more rounds."""
+    monkeypatch.setattr(g, "BLOCK_POINTS", 1)
+    monkeypatch.setattr(g, "LEAST_BITS", 2)
+    monkeypatch.setattr(g, "CELL_POINTS", 2)
+    r = np.random.default_rng(seed)
+    n = 400
+    check(spark, pd.DataFrame({"float_id": r.permutation(n), "lat": np.where(np.arange(n) % 3 == 0, r.normal(0, 0.3, n), r.uniform(-9, 9, n)),
+                               "lon": np.where(np.arange(n) % 3 == 0, r.normal(0, 0.3, n), r.uniform(-9, 9, n))}), 1.0)
+
+
 def test_grid_ties_at_exactly_the_threshold(spark):
     xs, ys = np.meshgrid(np.arange(8) * 1.0, np.arange(6) * 1.0)
     check(spark, pd.DataFrame({"float_id": np.arange(48), "lat": ys.ravel(), "lon": xs.ravel()}), 2.0)

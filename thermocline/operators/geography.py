@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -23,6 +25,11 @@ REFERENCE_LINES = (
 SERIES = ("temperature", "salinity", "oxygen", "ph", "chlorophyll")
 # ----------------------------------------------------------------------------------------------------------
 
+UNDECIDED, CENTRE, COVERED = 0, 1, 2
+CELL_POINTS = 64  # points of a cell that a round looks at
+BLOCK_POINTS = 50_000  # points that a task holds
+LEAST_BITS, MOST_BITS = 4, 30
+
 
 def region_outlines(m: DataFrame, names=labels.OUTLINED) -> DataFrame:
     """Closed five-point ring of every region that has measurements, with their number."""
@@ -61,32 +68,79 @@ def _apart(a_lat: str, a_lon: str, b_lat: str, b_lon: str) -> Column:
     return F.sqrt(lat * lat + lon * lon)
 
 
+def _block_bits(spots: DataFrame) -> int:
+    """Blocks are squares of 2^bits cells a side: the largest that hold at most about ``BLOCK_POINTS`` points each."""
+    if spots.count() <= BLOCK_POINTS:
+        return MOST_BITS
+    cells = spots.groupBy("cx", "cy").agg(F.least(F.count("*"), F.lit(CELL_POINTS + 1)).alias("n"))
+    levels = cells.select("n", "cx", "cy", F.explode(F.sequence(F.lit(LEAST_BITS), F.lit(MOST_BITS))).alias("bits"))
+    blocks = levels.groupBy("bits", F.expr("shiftright(cx, bits)"), F.expr("shiftright(cy, bits)")).agg(F.sum("n").alias("n"))
+    fitting = blocks.groupBy("bits").agg(F.max("n").alias("n")).filter(F.col("n") <= BLOCK_POINTS)
+    return fitting.agg(F.max("bits")).first()[0] or LEAST_BITS
+
+
+def _decide(threshold: float):
+    """The greedy loop inside one block, as far as it can be known there.
+
+    Points come in key order.  A point near a centre is covered.  A point with an earlier undecided point nearby, one of
+    another block or one beyond the part of a cell that was sent, stays undecided; any other becomes a centre.
+    """
+    def solve(points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values("ord", kind="stable")
+        centres, undecided = defaultdict(list), defaultdict(list)
+        beyond = {(x, y): o for x, y, o, over in zip(points["cx"], points["cy"], points["ord"], points["over"]) if over}
+        states = []
+        for o, lat, lon, cx, cy, own in zip(*(points[c].tolist() for c in ("ord", "lat", "lon", "cx", "cy", "own"))):
+            around = [(x, y) for x in range(cx - 2, cx + 3) for y in range(cy - 2, cy + 3)]
+
+            def near(found) -> bool:
+                return any(math.sqrt((lat - a) * (lat - a) + (lon - b) * (lon - b)) <= threshold for c in around if c in found for a, b in found[c])  # noqa: B023
+
+            state = COVERED if near(centres) else UNDECIDED
+            if state != COVERED:
+                if not own or near(undecided) or any(c in beyond and beyond[c] < o for c in around):
+                    undecided[cx, cy].append((lat, lon))
+                else:
+                    state = CENTRE
+                    centres[cx, cy].append((lat, lon))
+            states.append(state)
+        return points.assign(state=states)[points["own"]][["ord", "lat", "lon", "cx", "cy", "state"]]
+
+    return solve
+
+
+def _round(undecided: DataFrame, threshold: float, bits: int) -> DataFrame:
+    """Points sent to the task of their block, with what was decided there.
+
+    A cell sends its first ``CELL_POINTS`` points and the next one, which tells where its knowledge ends: two points of one cell
+    are always within the threshold, so a cell has one centre at most.  Points near a border go to the blocks behind it too.
+    """
+    place = F.row_number().over(Window.partitionBy("cx", "cy").orderBy("ord"))
+    first = undecided.withColumn("_n", place).filter(F.col("_n") <= CELL_POINTS + 1).withColumn("over", F.col("_n") > CELL_POINTS)
+    block = lambda x, y: F.struct(F.shiftright(F.col("cx") + x, bits).alias("bx"), F.shiftright(F.col("cy") + y, bits).alias("by"))
+    reach = F.array_distinct(F.array(block(0, 0), *(block(x, y) for x in (-2, 2) for y in (-2, 2))))
+    sent = first.select("ord", "lat", "lon", "cx", "cy", "over", block(0, 0).alias("home"), F.explode(reach).alias("block"))
+    sent = sent.select("ord", "lat", "lon", "cx", "cy", "over", "block", (F.col("home") == F.col("block")).alias("own"))
+    kind = undecided.schema["ord"].dataType.simpleString()
+    return staged(sent.groupBy("block").applyInPandas(_decide(threshold), f"ord {kind}, lat double, lon double, cx long, cy long, state int"))
+
+
 def _leaders(spots: DataFrame, threshold: float, side: float) -> DataFrame:
     """Points the greedy loop would make cluster centres.
 
-    Two points of one cell are always within the threshold, so only the first undecided point of a cell can become
-    a centre, and it does once no reachable cell holds an earlier undecided point.  Each round works on one
-    candidate per cell, then removes what the new centres cover.  Pairs of points are never formed: a point meets at
-    most the 25 centres of the cells around it.
+    Every round solves blocks of cells inside tasks and exchanges only what happens at their borders, so rounds follow how often
+    a chain of dependent points crosses a border, not its length.  Pairs of points are never formed: a point meets at most
+    the centres of the 25 cells around it.
     """
-    undecided, chosen = spots.select("ord", "lat", "lon", "cx", "cy"), None
+    undecided, chosen, bits = spots.select("ord", "lat", "lon", "cx", "cy"), None, _block_bits(spots)
     while True:
-        first = staged(
-            undecided.groupBy("cx", "cy").agg(F.min(F.struct("ord", "lat", "lon")).alias("p")).select("cx", "cy", "p.*")
-        )
-        if first.isEmpty():
-            return chosen
-        # a neighbour cell matters only if its rectangle comes within the threshold of the candidate
-        reach = first.select("ord", "lat", "lon", _around())
-        gap_lat = F.greatest(F.col("cy") * side - F.col("lat"), F.col("lat") - (F.col("cy") + 1) * side, F.lit(0.0))
-        gap_lon = F.greatest(F.col("cx") * side - F.col("lon"), F.col("lon") - (F.col("cx") + 1) * side, F.lit(0.0))
-        near = reach.filter(F.sqrt(gap_lat * gap_lat + gap_lon * gap_lon) <= threshold * (1 + 1e-9))
-        rivals = first.select(F.col("ord").alias("rival"), "cx", "cy")
-        blocked = near.join(rivals, ["cx", "cy"]).filter("rival < ord").select("ord").distinct()
-        found = staged(first.join(blocked, "ord", "left_anti"))
+        decided = _round(undecided, threshold, bits)
+        found = decided.filter(F.col("state") == CENTRE).drop("state")
         chosen = found if chosen is None else chosen.unionByName(found)
-        cover = found.select(F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"),
-                             _around())
+        counts = decided.agg(F.count_if(F.col("state") == UNDECIDED).alias("open"), n_rows().alias("sent")).first()
+        if not counts["open"] and counts["sent"] == undecided.count():
+            return chosen
+        cover = found.select(F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"), _around())
         a, b = undecided.alias("a"), cover.alias("b")
         same = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
         undecided = staged(
@@ -111,8 +165,6 @@ def cluster_floats(points: DataFrame, threshold: float = 2.0, key: str = "float_
         .withColumn("cy", F.floor(F.col("lat") / side))
     )
     centres = _leaders(spots, threshold, side) if threshold > 0 else spots.select("cx", "cy", "ord", "lat", "lon")
-    if centres is None:
-        centres = spots.select("cx", "cy", "ord", "lat", "lon")
     cover = centres.select("ord", F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"),
                            _around())
     near = _apart("lat", "lon", "l_lat", "l_lon") <= threshold
