@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,3 +131,19 @@ def seconds(ts: Column) -> Column:
     """A zone-less timestamp as seconds since 1970, whatever the session zone."""
     day = F.unix_date(F.to_date(ts)).cast("double") * 86400
     return day + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.date_part(F.lit("SECOND"), ts).cast("double")
+
+
+def micros(time: Column) -> Column:
+    """A time with or without zone as microseconds."""
+    return F.unix_micros(time.cast("timestamp"))
+
+
+def packed_order(first: Column, second: Column) -> Column:
+    """Two whole numbers as a decimal that sorts like the pair, nulls first: a key of fixed width, over which aggregates
+    hash instead of sorting.
+
+    ``first`` has up to 18 digits, which covers microseconds of all dates; ``second`` is any bigint.
+    """
+    high = F.coalesce(first, F.lit(-10 ** 18)).cast("decimal(19,0)") * F.lit(Decimal(2 * 10 ** 19)).cast("decimal(20,0)")
+    low = F.coalesce(second, F.lit(-(1 << 63))).cast("decimal(20,0)") + F.lit(Decimal(1 << 63)).cast("decimal(20,0)")
+    return (high.cast("decimal(38,0)") + low).cast("decimal(38,0)")

@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import n_rows, safe_divide
+from ..functions.columns import micros, n_rows, packed_order, safe_divide
 from .order import last_per_key
 
 # --- fixed values -----------------------------------------------------------------------------------------
@@ -61,14 +61,19 @@ def last_events(log: DataFrame, as_of: dt.datetime, hours: int = 24, n: int = LA
     return newest.join(counts, "service")
 
 
+def _when() -> Column:
+    """Order of a log's rows as one number."""
+    return packed_order(micros(F.col("ts")), F.col("event_id").cast("bigint"))
+
+
 def failure_runs(log: DataFrame, failed: Column) -> DataFrame:
     """Failures since the last success, per service.
 
-    The last success of each service is one aggregate; what came after it is counted by another.  No window runs
-    over a service, so a service with most of the events is no slower than others.
+    The last success of each service is one aggregate; what came after it is counted by another.  Both hash.  No window
+    runs over a service, so a service with most of the events is no slower than others.
     """
-    at = F.struct("ts", "event_id")
-    marked = log.select("service", "ts", "event_id", failed.alias("_failed"))
+    marked = log.select("service", "ts", failed.alias("_failed"), _when().alias("_at"))
+    at = F.col("_at")
     success = marked.groupBy("service").agg(
         F.max(F.when(~F.col("_failed"), at)).alias("_ok"), F.max("ts").alias("last_event"),
         F.count_if("_failed").alias("failures"), n_rows().alias("events"),
@@ -85,10 +90,15 @@ def failure_runs(log: DataFrame, failed: Column) -> DataFrame:
 
 
 def latest_status(log: DataFrame, status: Column) -> DataFrame:
-    """The newest status of each service."""
-    return log.groupBy("service").agg(
-        F.max_by(status, F.struct("ts", "event_id")).alias("status")
-    )
+    """The newest status of each service.
+
+    Texts can't be held in a hash aggregate, so the newest row is found by the hash of its status, which the few different
+    ones are looked up by.
+    """
+    marked = log.select("service", status.alias("status"), _when().alias("_at"))
+    newest = marked.groupBy("service").agg(F.max_by(F.xxhash64("status"), "_at").alias("_code"))
+    known = marked.groupBy("status").agg(n_rows().alias("_n")).select("status", F.xxhash64("status").alias("_code"))
+    return newest.join(known, "_code").select("service", "status")
 
 
 def overall_status(latest: DataFrame) -> DataFrame:
@@ -113,7 +123,7 @@ def recent_metrics(log: DataFrame, as_of: dt.datetime, hit: Column, size: Column
         .agg(
             n_rows().alias("operations"), F.avg("value").alias("avg_time"),
             safe_divide(F.count_if(hit) * 100.0, n_rows()).alias("cache_hit_rate"), F.sum(size).alias("volume"),
-            F.max_by("value", F.struct("ts", "event_id")).alias("latest_value"),
+            F.max_by("value", _when()).alias("latest_value"),
         )
         .filter("operations > 0")
     )

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import micros, packed_order
 from ..functions.predicates import valid_place
 from ..session import durable
 
@@ -142,18 +143,29 @@ def first_distinct(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return df.groupBy(key).agg(F.min(order).alias("first_seen")).orderBy("first_seen", key).limit(n)
 
 
+def extreme_rows(df: DataFrame, by, value: str, tie: Column) -> DataFrame:
+    """The row of each group with the greatest ``value``, a column of fixed width; among equals the first by ``tie``.
+
+    The greatest values, one number a group, are hashed together and meet the rows again; few rows are left to be ordered.  A
+    group without values keeps the first row by ``tie``.
+    """
+    ends = df.groupBy(*by).agg(F.max(value).alias("_end")).select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_end")
+    near = df.join(ends, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)] + [F.col(value).eqNullSafe(F.col("_end"))])
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(tie))
+    return near.withColumn("_n", place).filter("_n = 1").select(*df.columns)
+
+
 def latest_positions(df: DataFrame, tie_key: str) -> DataFrame:
     """Newest row of every float that has coordinates; a missing descriptive column becomes null.
 
-    Null times never win unless a float has nothing else.  One aggregation, no sort.
+    Null times never win unless a float has nothing else.  The newest time of each float comes from a hash aggregate; only
+    rows that share it are ordered by ``tie_key``.
     """
     for name, kind in (("wmo_id", "bigint"), ("cycle_number", "int"), ("profile_date", "timestamp_ntz")):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast(kind))
-    rest = [c for c in df.columns if c != "float_id"]
-    newest = F.max_by(F.struct(*rest), F.struct(F.col("time"), F.col(tie_key)))
-    found = df.groupBy("float_id").agg(newest.alias("_row")).select("float_id", "_row.*")
-    return found.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    found = extreme_rows(df, ["float_id"], "time", F.col(tie_key).desc())
+    return found.select("float_id", *(c for c in df.columns if c != "float_id")).filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
 def float_trajectory(df: DataFrame, order, columns=("time", "lat", "lon")) -> DataFrame:
@@ -183,14 +195,11 @@ def trajectories(points: DataFrame, float_ids=None, first_floats: int | None = N
 
 
 def trajectory_endpoints(paths: DataFrame, order) -> DataFrame:
-    """Start and end point of every trajectory, as two aggregates per float."""
-    key, place = F.struct(*order), F.struct("lat", "lon", "time")
-    ends = paths.groupBy("float_id").agg(F.min_by(place, key).alias("a"), F.max_by(place, key).alias("b"))
-    return ends.select(
-        "float_id",
-        F.col("a.lat").alias("start_lat"), F.col("a.lon").alias("start_lon"), F.col("a.time").alias("start_time"),
-        F.col("b.lat").alias("end_lat"), F.col("b.lon").alias("end_lon"), F.col("b.time").alias("end_time"),
-    )
+    """Start and end point of every trajectory, one hash aggregate over ``order``, a time and a whole number."""
+    time, number = order
+    key = packed_order(micros(F.col(time)), F.col(number).cast("bigint"))
+    return paths.groupBy("float_id").agg(*(
+        f(c, key).alias(f"{end}_{c}") for end, f in (("start", F.min_by), ("end", F.max_by)) for c in ("lat", "lon", "time")))
 
 
 def depth_ordered(df: DataFrame, tie_key: str) -> DataFrame:

@@ -11,15 +11,14 @@ from ..functions import labels
 from ..functions import predicates as p
 from ..functions.columns import month_of, n_rows
 from .analytics import avg, mean_of, partial_sums, total_rows
+from .order import extreme_rows
 from .quality import iqr_fences
 from .quantiles import quantiles
 
 
 def deepest_per_float(m: DataFrame) -> DataFrame:
     """The deepest measurement of each float; among equals the smallest id."""
-    row = F.struct("depth", "id", "time", "temperature", "salinity")
-    deepest = m.groupBy("float_id").agg(F.min_by(row, F.struct(-F.col("depth"), F.col("id"))).alias("r"))
-    return deepest.select("float_id", "r.*")
+    return extreme_rows(m.select("float_id", "depth", "id", "time", "temperature", "salinity"), ["float_id"], "depth", F.col("id").asc())
 
 
 # The next four take measurements, or readings and their profiles: then readings are summed per profile first.

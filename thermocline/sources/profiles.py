@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import n_rows, nan_to_null
+from ..functions.columns import n_rows, nan_to_null, packed_order
 
 # --- fixed values: variable names of the profile files, with what stands in when the first is absent -------
 LEVEL_VARIABLES = {
@@ -107,12 +107,15 @@ def float_dimension(profiles: DataFrame, as_of: dt.date) -> DataFrame:
     missing time becomes ``as_of``.
     """
     day = F.coalesce(F.to_date("time"), F.lit(as_of.isoformat()).cast("date"))
-    row = F.struct("wmo_id", day.alias("day"), "lat", "lon")
-    first = F.max_by(row, F.struct(F.col("file_seq"), -F.col("profile_seq")))
-    return profiles.groupBy("float_id").agg(first.alias("r")).select(
-        "float_id", "r.wmo_id", F.col("r.day").alias("deployment_date"), F.col("r.lat").alias("deployment_lat"),
-        F.col("r.lon").alias("deployment_lon"), F.lit("ACTIVE").alias("status"), F.col("r.day").alias("last_contact"),
-    )
+    whole = profiles.schema["file_seq"].dataType.typeName() in ("byte", "short", "integer", "long")
+    # numbers make a key of fixed width, over which the aggregate hashes; file names are compared as they are
+    place = (packed_order(F.col("file_seq").cast("bigint"), -F.col("profile_seq")) if whole
+             else F.struct(F.col("file_seq"), -F.col("profile_seq")))
+    last = lambda value: F.max_by(value, "_place")
+    return profiles.select("float_id", "wmo_id", day.alias("_day"), "lat", "lon", place.alias("_place")).groupBy("float_id").agg(
+        last("wmo_id").alias("wmo_id"), last("_day").alias("deployment_date"), last("lat").alias("deployment_lat"),
+        last("lon").alias("deployment_lon"),
+    ).select("*", F.lit("ACTIVE").alias("status"), F.col("deployment_date").alias("last_contact"))
 
 
 def merge_floats(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import n_rows, safe_divide
+from ..functions.columns import micros, n_rows, packed_order, safe_divide
 
 
 def _timed(events: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -43,7 +43,7 @@ def recent_metrics(events: DataFrame, hit: Column, size: Column, ts: str = "ts",
         .agg(
             n_rows().alias("operations"), F.avg("value").alias("avg_time"),
             safe_divide(F.count_if(hit) * 100.0, n_rows()).alias("cache_hit_rate"), F.sum(size).alias("volume"),
-            F.max_by("value", F.struct(ts, "event_id")).alias("latest_value"),
+            F.max_by("value", packed_order(micros(F.col(ts)), F.col("event_id"))).alias("latest_value"),
         )
         .select("window.start", "window.end", "operations", "avg_time", "cache_hit_rate", "volume", "latest_value")
     )
