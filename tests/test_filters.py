@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from thermocline.functions import predicates as p
 from thermocline.functions.labels import quality_level
 from thermocline.operators import filters as f
+from thermocline.operators import regions
 from thermocline.operators.filters import Filters
 
 AS_OF = dt.datetime(2024, 6, 30)
@@ -92,3 +94,18 @@ def test_pushed_to_the_scan(spark, folder):
     df = f.apply_filters(view(spark, folder, "casts"), Filters(dates=(dt.date(1998, 1, 1), dt.date(1998, 2, 1))))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan
+
+
+def test_boxes_of_all_sizes(spark):
+    r = random.Random(3)
+    boxes = [(i, s + h, s, w + b, w) for i in range(300) for s, w, h, b in [(r.uniform(-80, 60), r.uniform(-170, 150), r.choice([0, 1e-7, 0.5, 9, 60]), r.choice([0, 1e-3, 2, 40, 340]))]]
+    boxes += [(900, None, 1.0, 2.0, 3.0), (901, 1.0, 5.0, 2.0, 1.0), (902, 90.0, -90.0, 180.0, -180.0), (903, 10.0, 10.0, 20.0, 20.0)]
+    points = [(i, r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(500)] + [(1000, 10.0, 20.0), (1001, None, 3.0), (1002, -80.0, -180.0)]
+    points += [(2000 + i, b[2], b[4]) for i, b in enumerate(boxes[:40])]
+    got = regions.in_regions(spark.createDataFrame(points, "id long, lat double, lon double"),
+                             spark.createDataFrame(boxes, "region long, north double, south double, east double, west double"))
+    want = sorted((i, n) for i, lat, lon in points for n, north, south, east, west in boxes
+                  if lat is not None and north is not None and south <= lat <= north and west <= lon <= east)
+    assert sorted((x["id"], x["region"]) for x in got.collect()) == want
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert regions.in_regions(got.select("id", "lat", "lon"), spark.createDataFrame([], "region long, north double, south double, east double, west double")).count() == 0

@@ -114,6 +114,23 @@ def test_rebuild_and_append(spark, filter_rows, tmp_path):
     assert files.read_table(spark, str(tmp_path / "floats")).count() == 1
 
 
+def test_months_are_sized_by_the_engine(spark, tmp_path):
+    """A month with nearly all rows becomes several files; a repeated load replaces its months only."""
+    at = F.when(F.col("id") % 100 < 97, F.lit("2024-03-05")).otherwise(F.concat(F.lit("2024-0"), F.col("id") % 100 - 92, F.lit("-01")))
+    rows = spark.range(200_000).select("id", at.cast("timestamp_ntz").alias("time"), F.md5(F.col("id").cast("string")).alias("noise"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        files.write_table(rows, str(tmp_path / "t"), by_month="time", sort=("id",))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    number = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "t").glob("month=*")}
+    assert number["month=2024-03"] > 3 and len(number) == 4
+    files.write_table(rows.filter("time = '2024-05-01'").limit(7), str(tmp_path / "t"), "replace", by_month="time")
+    back = {r["month"]: r["count"] for r in files.read_table(spark, str(tmp_path / "t")).groupBy("month").count().collect()}
+    assert back == {"2024-03": 194_000, "2024-05": 7, "2024-06": 2000, "2024-07": 2000}
+
+
 def grid(spark):
     slab = lambda base: [[[base, base + 1], [base + 2, base + 3]], [[base + 4, None], [base + 6, base + 7]]]
     return spark.createDataFrame(

@@ -238,6 +238,14 @@ def data_summary(df: DataFrame, columns=SUMMARY_COLUMNS) -> DataFrame:
     )
 
 
+def data_totals(df: DataFrame, time: str = "time") -> DataFrame:
+    """Records, columns, numeric columns and the range of times (null without such a column); no row for an empty table."""
+    ends = [F.min(time), F.max(time)] if time in df.columns else [F.lit(None).cast("timestamp_ntz")] * 2
+    return df.agg(n_rows().alias("total_records"), F.lit(len(df.columns)).alias("total_columns"),
+                  F.lit(len(numeric_columns(df))).alias("numeric_columns"), ends[0].alias("first_time"), ends[1].alias("last_time")
+                  ).filter("total_records > 0")
+
+
 def flag_distribution(df: DataFrame) -> DataFrame:
     """Rows per quality flag with its label."""
     counts = df.groupBy("quality_flag").agg(n_rows().alias("flag_count"))

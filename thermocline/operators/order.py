@@ -195,9 +195,9 @@ def trajectories(points: DataFrame, float_ids=None, first_floats: int | None = N
 
 
 def trajectory_endpoints(paths: DataFrame, order) -> DataFrame:
-    """Start and end point of every trajectory, one hash aggregate over ``order``, a time and a whole number."""
-    time, number = order
-    key = packed_order(micros(F.col(time)), F.col(number).cast("bigint"))
+    """Start and end point of every trajectory, one hash aggregate over ``order``, a time and perhaps a whole number."""
+    time, *number = order
+    key = packed_order(micros(F.col(time)), F.col(number[0]).cast("bigint") if number else F.lit(0))
     return paths.groupBy("float_id").agg(*(
         f(c, key).alias(f"{end}_{c}") for end, f in (("start", F.min_by), ("end", F.max_by)) for c in ("lat", "lon", "time")))
 

@@ -6,8 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions import labels
 from ..functions import predicates as p
 from ..operators import filters as f
+from ..operators import regions as rg
 from ..operators.filters import Filters
 from ..sources.binding import event_log, table, view
 from .registry import query
@@ -70,7 +72,26 @@ SELECT m.*, r.region FROM measurements m JOIN (VALUES
   r(region, north, south, east, west)
   ON m.lat BETWEEN r.south AND r.north AND m.lon BETWEEN r.west AND r.east""", doubles=EVERY)
 def filter_named_region(spark, folder):
-    return f.in_named_regions(view(spark, folder, "measurements"))
+    return rg.measurements_in_regions(view(spark, folder, "readings"), view(spark, folder, "casts"), labels.region_table(spark))
+
+
+# A box per customer, of sides from a hundredth of a degree to sixty degrees, some of them without area.
+BOXES = """SELECT c_custkey AS region, south + height AS north, south, west + width AS east, west FROM (
+  SELECT c_custkey, CAST((c_custkey * 37) % 121 - 70 AS DOUBLE) - 0.5e0 AS south, CAST((c_custkey * 53) % 361 - 180 AS DOUBLE) - 0.5e0 AS west,
+         CASE c_custkey % 5 WHEN 0 THEN 0e0 WHEN 1 THEN 0.01e0 WHEN 2 THEN 1e0 WHEN 3 THEN 7.5e0 ELSE 60e0 END AS height,
+         CASE c_custkey % 3 WHEN 0 THEN 0.5e0 WHEN 1 THEN 2e0 ELSE 30e0 END AS width FROM {customer})"""
+
+
+@query("casts_in_boxes", views="casts", sql=f"""
+SELECT region, count(*) AS profiles, count(DISTINCT float_id) AS floats, min(profile_id) AS first_profile
+FROM casts JOIN ({BOXES.format(customer='customer')}) ON profile_lat BETWEEN south AND north AND profile_lon BETWEEN west AND east
+GROUP BY region""")
+def casts_in_boxes(spark, folder):
+    """Profiles in each of as many boxes as there are customers."""
+    boxes = spark.sql(BOXES, customer=table(spark, folder, "customer"))
+    tagged = rg.in_regions(view(spark, folder, "casts"), boxes, "profile_lat", "profile_lon")
+    return tagged.groupBy("region").agg(F.count("*").alias("profiles"), F.count_distinct("float_id").alias("floats"),
+                                        F.min("profile_id").alias("first_profile"))
 
 
 @query("filter_float_ids", views="measurements float_cards", sql="""

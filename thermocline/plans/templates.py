@@ -209,6 +209,13 @@ def data_summary(spark, folder):
     return a.data_summary(view(spark, folder, "readings"))
 
 
+@query("data_totals", views="measurements", sql="""
+SELECT count(*) AS total_records, 15 AS total_columns, 12 AS numeric_columns, min(time) AS first_time, max(time) AS last_time
+FROM measurements""", dates="first_time last_time")
+def data_totals(spark, folder):
+    return a.data_totals(view(spark, folder, "measurements"))
+
+
 @query("flag_distribution", views="readings", sql="""
 SELECT quality_flag, count(*) AS flag_count,
        CASE quality_flag WHEN 1 THEN 'Good data' WHEN 2 THEN 'Probably good data' WHEN 4 THEN 'Bad data'

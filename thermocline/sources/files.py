@@ -97,17 +97,18 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", by_month: str
                 sort: tuple[str, ...] = ()) -> None:
     """A table laid out by month, sorted inside its files so that readers can skip row groups.
 
-    Rows are range-partitioned by month and a hash: tasks get equal shares, small months share a task, and a month
-    that holds most rows is written by many.
+    The engine sizes the files: rows are rebalanced by month, small months share a task, and a month that holds most rows
+    is split among many.  Mode ``replace`` overwrites the months that ``df`` has and leaves the others, so a load can be repeated.
     """
     if by_month is None:
         rows = df.sortWithinPartitions(*sort) if sort else df
-        rows.write.mode(mode).parquet(path)
+        rows.write.mode("overwrite" if mode == "replace" else mode).parquet(path)
         return
-    monthly = df.withColumn("month", F.date_format(month_of(F.col(by_month)), "yyyy-MM"))
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = monthly.repartitionByRange(spread, "month", F.xxhash64(*df.columns)).sortWithinPartitions("month", *sort)
-    rows.write.mode(mode).partitionBy("month").parquet(path)
+    rows = df.withColumn("month", F.date_format(month_of(F.col(by_month)), "yyyy-MM")).hint("rebalance", "month")
+    writer = rows.sortWithinPartitions("month", *sort).write.partitionBy("month")
+    if mode == "replace":
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.mode("overwrite" if mode == "replace" else mode).parquet(path)
 
 
 def write_database(df: DataFrame, url: str, table: str, batch: int = 5000, mode: str = "append", **options: str) -> None:
