@@ -1,6 +1,6 @@
 """All registered queries; importing the modules fills the registry."""
 
-from . import conversations, filtering, logs, ordering, questions, samples, streams, tables, templates  # noqa: F401
+from . import conversations, deliveries, filtering, logs, ordering, questions, samples, streams, tables, templates  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
