@@ -78,6 +78,17 @@ def measurement_context(measurements: DataFrame, profiles: DataFrame, floats: Da
     )
 
 
+def readings_context(readings: DataFrame, profiles: DataFrame, floats: DataFrame) -> DataFrame:
+    """The same from readings that carry no place or time of their own: these come with the profile.
+
+    Profiles get their float's fields first, so the big table is joined once.
+    """
+    told = profiles.select("profile_id", "float_id", F.col("profile_date").alias("time"), F.col("profile_lat").alias("lat"),
+                           F.col("profile_lon").alias("lon"), "cycle_number", "profile_date", "n_levels").join(
+        floats.select("float_id", "wmo_id", "deployment_date"), "float_id")
+    return readings.select("id", "profile_id", "depth", "temperature", "salinity", "oxygen", "ph", "chlorophyll").join(told, "profile_id")
+
+
 def profile_summary(profiles: DataFrame, floats: DataFrame, measurements: DataFrame) -> DataFrame:
     """One row per profile with ranges and averages of its measurements.
 

@@ -117,8 +117,7 @@ CONTEXT = """ctx AS (SELECT m.*, p.cycle_number, p.profile_date, p.n_levels, f.w
 
 
 def _context(spark, folder):
-    return j.measurement_context(view(spark, folder, "measurements"), view(spark, folder, "profiles"),
-                                 view(spark, folder, "floats"))
+    return j.readings_context(view(spark, folder, "readings"), view(spark, folder, "profiles"), view(spark, folder, "floats"))
 
 
 @query("measurement_documents", views="measurements profiles floats",

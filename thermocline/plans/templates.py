@@ -53,8 +53,7 @@ SELECT m.profile_id, m.float_id, m.id, m.time, m.lat, m.lon, m.depth, m.temperat
 FROM measurements m JOIN profiles p ON m.profile_id = p.profile_id JOIN floats f ON m.float_id = f.float_id""",
        doubles="temperature salinity oxygen ph chlorophyll lat lon", dates="deployment_date")
 def measurement_context(spark, folder):
-    return j.measurement_context(view(spark, folder, "measurements"), view(spark, folder, "profiles"),
-                                 view(spark, folder, "floats"))
+    return j.readings_context(view(spark, folder, "readings"), view(spark, folder, "profiles"), view(spark, folder, "floats"))
 
 
 PROFILE_SUMMARY_SQL = """
