@@ -37,9 +37,13 @@ CLASSES = (
 )
 KINDS = [k for k, *_ in PATTERNS] + [c.kind for c in CLASSES]
 
-# Runs that look random and are not: only digits or no digit at all, UUIDs, words of documentation, ordered alphabets.
-ALLOWED = (r"^([0-9+/_-]+|[^0-9]+|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|"
-           r".*(?i:example|placeholder|dummy|changeme|abcdefghij|0123456789).*)$")
+# Whole runs that look random and are not: numbers, UUIDs.
+PLAIN_RUN = r"^([0-9+/_-]+|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
+# Dense stretches that are not secrets: words of documentation and ordered alphabets, and letters that read as words, without a
+# digit and without capitals strewn in between.
+ALLOWED = r"(?i)example|placeholder|dummy|changeme|abcdefghij|0123456789"
+STREWN = r"[0-9]|[A-Z][a-z]{1,2}[A-Z]"
+PIECE = 256  # windows that one fold goes through
 
 
 def _places(text: Column, pattern: str, group: int = 0) -> Column:
@@ -74,13 +78,12 @@ def _weight(n: Column) -> Column:
     return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
 
-def dense_windows(word: Column, of: CharacterClass) -> Column:
-    """Stretches of ``word`` covered by windows above the class's entropy: array of (start, stop).
+def _dense_piece(codes: Column, of: CharacterClass) -> Column:
+    """Stretches of a short array of letter numbers covered by windows above the class's entropy: array of (start, stop).
 
     The counts of the window's characters and the sum of n log n over them move along with the window: one character
-    enters and one leaves, everything else stays.  Characters are numbers into the class's letters.
+    enters and one leaves, everything else stays.
     """
-    codes = F.transform(F.array_remove(F.split(word, ""), ""), lambda c: F.instr(F.lit(of.letters), c) - 1)
     most = math.log2(of.window)
 
     def move(acc, i):
@@ -108,16 +111,50 @@ def dense_windows(word: Column, of: CharacterClass) -> Column:
 
     begin = F.struct(codes.alias("codes"), F.array_repeat(F.lit(0), len(of.letters)).alias("counts"),
                      F.lit(0.0).alias("total"), F.expr("cast(array() as array<struct<start:int,stop:int>>)").alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(word) - 1), begin, step, lambda acc: acc["out"])
+    return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), begin, step, lambda acc: acc["out"])
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often it is used inside."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def dense_windows(word: Column, of: CharacterClass) -> Column:
+    """Stretches of ``word`` covered by windows above the class's entropy: array of (start, stop).
+
+    A fold copies what it carries at every step, so a run is cut into pieces that overlap by a window less one character: every
+    window lies in one piece.  Stretches of neighbouring pieces that touch are joined, so the cost follows the length.
+    """
+    codes = F.transform(F.array_remove(F.split(word, ""), ""), lambda c: F.instr(F.lit(of.letters), c) - 1)
+
+    def pieces(all_codes):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(all_codes) - of.window, F.lit(0)), F.lit(PIECE))
+        return F.flatten(F.transform(starts, lambda at: F.transform(
+            _dense_piece(F.slice(all_codes, at + 1, PIECE + of.window - 1), of),
+            lambda s: F.struct((at + s["start"]).alias("start"), (at + s["stop"]).alias("stop")))))
+
+    def joined(found):
+        first = F.filter(found, lambda s, i: (i == 0) | (F.get(found, i - 1)["stop"] < s["start"]))
+        last = F.filter(found, lambda s, i: (i == F.size(found) - 1) | (F.get(found, i + 1)["start"] > s["stop"]))
+        return F.zip_with(first, last, lambda a, b: F.struct(a["start"].alias("start"), b["stop"].alias("stop")))
+
+    return _once(_once(codes, pieces), joined)
 
 
 def _entropy_spans(text: Column, of: CharacterClass, allowed: str) -> Column:
-    candidates = F.filter(_places(text, of.pattern), lambda p: ~F.rlike(p["word"], F.lit(allowed)))
-    found = F.transform(candidates, lambda p: F.transform(
-        dense_windows(F.lower(p["word"]) if of.kind == "entropy_hex" else p["word"], of),
-        lambda w: F.struct((p["start"] + w["start"]).alias("start"), F.lit(KINDS.index(of.kind)).alias("kind"),
-                           (p["start"] + w["stop"]).alias("stop"))))
-    return F.flatten(found)
+    """Dense stretches of all runs, but for those that the allow-list knows; it is asked about the stretch, not its surroundings."""
+    candidates = F.filter(_places(text, of.pattern), lambda p: ~F.rlike(p["word"], F.lit(PLAIN_RUN)))
+
+    def secret(word: Column) -> Column:
+        return F.rlike(word, F.lit(STREWN)) & ~F.rlike(word, F.lit(allowed))
+
+    def spans(p):
+        found = F.transform(dense_windows(F.lower(p["word"]) if of.kind == "entropy_hex" else p["word"], of), lambda w: F.struct(
+            w["start"].alias("start"), w["stop"].alias("stop"), F.substring(p["word"], w["start"] + 1, w["stop"] - w["start"]).alias("word")))
+        return F.transform(F.filter(found, lambda w: secret(w["word"])), lambda w: F.struct(
+            (p["start"] + w["start"]).alias("start"), F.lit(KINDS.index(of.kind)).alias("kind"), (p["start"] + w["stop"]).alias("stop")))
+
+    return F.flatten(F.transform(candidates, spans))
 
 
 def scan(docs: DataFrame, classes: tuple[CharacterClass, ...] = CLASSES, allowed: str = ALLOWED) -> DataFrame:
@@ -165,10 +202,9 @@ def _sql_places(name: str, pattern: str, group: int, kept: str) -> str:
 def _sql() -> str:
     """Windows are counted one by one here, without carrying anything over."""
     parts = [_sql_places(kind, pattern, group, f"length(word) >= {least}") for kind, pattern, group, least in PATTERNS]
-    allowed = ALLOWED.replace("'", "''")
     for c in CLASSES:
         letter = "lower(ch)" if c.kind == "entropy_hex" else "ch"
-        parts.append(_sql_places(c.kind, c.pattern, 0, f"NOT regexp_matches(found, '{allowed}')"))
+        parts.append(_sql_places(c.kind, c.pattern, 0, f"NOT regexp_matches(found, '{PLAIN_RUN}')"))
         parts.append(f"""
 {c.kind}_window AS (SELECT doc_id, start AS run_start, start + k AS start, found[k + 1:k + {c.window}] AS part
   FROM (SELECT *, unnest(range(0, length(found) - {c.window} + 1)) AS k FROM {c.kind})),
@@ -179,7 +215,10 @@ def _sql() -> str:
 {c.kind}_fresh AS (SELECT *, CASE WHEN start <= lag(start) OVER (PARTITION BY doc_id, run_start ORDER BY start) + {c.window}
                                   THEN 0 ELSE 1 END AS fresh FROM {c.kind}_high),
 {c.kind}_run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, run_start ORDER BY start) AS run FROM {c.kind}_fresh),
-{c.kind}_span AS (SELECT doc_id, min(start) AS start, max(start) + {c.window} AS stop FROM {c.kind}_run GROUP BY doc_id, run_start, run)""")
+{c.kind}_stretch AS (SELECT doc_id, run_start, min(start) AS start, max(start) + {c.window} AS stop FROM {c.kind}_run GROUP BY doc_id, run_start, run),
+{c.kind}_text AS (SELECT s.*, substr(found, CAST(s.start - run_start + 1 AS BIGINT), CAST(s.stop - s.start AS BIGINT)) AS stretch
+  FROM {c.kind}_stretch s JOIN {c.kind} r ON r.doc_id = s.doc_id AND r.start = s.run_start),
+{c.kind}_span AS (SELECT doc_id, start, stop FROM {c.kind}_text WHERE regexp_matches(stretch, '{STREWN}') AND NOT regexp_matches(stretch, '{ALLOWED}'))""")
     base = " UNION ALL ".join(f"SELECT doc_id, start, {i} AS kind, start + length(found) AS stop FROM {kind}"
                               for i, (kind, *_) in enumerate(PATTERNS))
     dense = " UNION ALL ".join(f"SELECT doc_id, start, {KINDS.index(c.kind)} AS kind, stop FROM {c.kind}_span" for c in CLASSES)
