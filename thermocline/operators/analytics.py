@@ -198,6 +198,24 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     ).filter("total_measurements > 0")
 
 
+def coverage_of_readings(readings: DataFrame, casts: DataFrame) -> DataFrame:
+    """``dataset_summary`` of all measurements from readings summed per profile, which then meet their profiles."""
+    per_profile = readings.groupBy("profile_id").agg(
+        n_rows().alias("n"), F.min("depth").alias("lo"), F.max("depth").alias("hi"), F.sum("depth").alias("sum"), F.count("depth").alias("deep"),
+        F.count_if(F.col("quality_flag").isin(1, 2)).alias("good"))
+    both = per_profile.join(casts.select("profile_id", "float_id", "profile_date", "profile_lat", "profile_lon"), "profile_id")
+    low, high = lambda c, name: F.min(c).alias(name), lambda c, name: F.max(c).alias(name)
+    rows = both.agg(F.count_distinct("float_id").alias("total_floats"), n_rows().alias("total_profiles"), F.sum("n").cast("long").alias("total_measurements"),
+                    low("profile_date", "start"), high("profile_date", "end"), low("profile_lat", "lat_min"), high("profile_lat", "lat_max"),
+                    low("profile_lon", "lon_min"), high("profile_lon", "lon_max"), low("lo", "min_depth"), high("hi", "max_depth"),
+                    F.try_divide(F.sum("sum"), F.sum("deep")).alias("mean_depth"), F.sum("good").alias("good"))
+    return rows.filter("total_profiles > 0").select(
+        "total_floats", "total_profiles", "total_measurements", "start", "end", F.datediff("end", "start").alias("span_days"),
+        "lat_min", "lat_max", (F.col("lat_max") - F.col("lat_min")).alias("lat_span"), "lon_min", "lon_max", (F.col("lon_max") - F.col("lon_min")).alias("lon_span"),
+        "min_depth", "max_depth", (F.col("max_depth") - F.col("min_depth")).alias("depth_span"), "mean_depth",
+        (F.col("good") * 100.0 / F.col("total_measurements")).alias("good_data_percentage"))
+
+
 def _moments(df: DataFrame, columns, by=()) -> DataFrame:
     """count, mean, std, min and max of many columns in one pass, turned into one row per column."""
     wide = df.groupBy(*by).agg(
@@ -293,6 +311,25 @@ def profile_sigma_band(m: DataFrame, by: str = "float_id", columns=("temperature
     return stats
 
 
+def sigma_band_of_readings(readings: DataFrame, casts: DataFrame, columns=("temperature", "salinity")) -> DataFrame:
+    """The same band per float from readings and profiles: numbers, means and squared deviations per profile are put together."""
+    def parts(c: str) -> list[Column]:
+        return [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"), (F.var_pop(c) * F.count(c)).alias(f"d_{c}")]
+
+    per_profile = readings.groupBy("profile_id").agg(*(p for c in columns for p in parts(c)))
+    weighted = lambda c, power: F.sum(F.col(f"n_{c}") * F.pow(f"m_{c}", F.lit(power)))
+    stats = per_profile.join(casts.select("profile_id", "float_id"), "profile_id").groupBy("float_id").agg(*(
+        p for c in columns for p in (F.sum(f"n_{c}").alias(f"n_{c}"), weighted(c, 1.0).alias(f"s_{c}"), weighted(c, 2.0).alias(f"q_{c}"),
+                                     F.sum(f"d_{c}").alias(f"d_{c}"))))
+    out = [F.col("float_id")]
+    for c in columns:
+        n, mean = F.col(f"n_{c}"), F.try_divide(F.col(f"s_{c}"), F.col(f"n_{c}"))
+        between = F.greatest(F.col(f"q_{c}") - n * mean * mean, F.lit(0.0))
+        spread = F.when(n > 1, F.sqrt((F.col(f"d_{c}") + between) / (n - 1)))
+        out += [mean.alias(f"mean_{c}"), spread.alias(f"std_{c}"), (mean - spread).alias(f"{c}_low"), (mean + spread).alias(f"{c}_high")]
+    return stats.select(*out)
+
+
 def selection_metrics(m: DataFrame, casts: DataFrame | None = None) -> DataFrame:
     return partial_sums(m, (), casts).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("row_count"),
                                           F.countDistinct("float_id").alias("float_count"), F.max("max_depth").alias("max_depth"))

@@ -16,6 +16,12 @@ from .quantiles import quantiles
 
 PLACES = ("latitude", "longitude", "depth")
 CHECKED = ("temperature", "salinity", "depth")
+# --- fixed values: the messages of the assessment ---------------------------------------------------------------
+NO_DATA, BAD_DATA = "No data available for quality assessment", "High percentage of bad data: {:.1f}%"
+GONE_DATA, GAPS = "High percentage of missing values: {:.1f}%", "High missing data in {}: {:.1f}%"
+OUTLIERS = "High outlier percentage in {}: {:.1f}%"
+FILTER_FIRST, ALL_GOOD = "Consider filtering out bad quality data before analysis", "Data quality appears good for analysis"
+# ----------------------------------------------------------------------------------------------------------
 SCORES, LOWEST_SCORE = ((90, 5), (80, 4), (70, 3), (60, 2)), 1  # least share of good flags, score
 
 
@@ -32,6 +38,18 @@ def _score(good: Column) -> Column:
     return chain.otherwise(LOWEST_SCORE)
 
 
+def quality_by_float(readings: DataFrame, casts: DataFrame) -> DataFrame:
+    """The score of each float; flags are counted per profile before these meet their floats."""
+    flag = F.col("quality_flag")
+    per_profile = readings.groupBy("profile_id").agg(
+        n_rows().alias("n"), F.count_if(flag.isin(1, 2)).alias("good"), F.count_if(flag.isin(3, 4)).alias("bad"))
+    sums = per_profile.join(casts.select("profile_id", "float_id"), "profile_id").groupBy("float_id").agg(
+        *(F.sum(c).cast("long").alias(c) for c in ("n", "good", "bad")))
+    share = lambda c: (F.col(c) * 100.0 / F.col("n")).alias(f"{c}_data_percentage")
+    shares = sums.select("float_id", F.col("n").alias("total_records"), share("good"), share("bad"))
+    return shares.withColumn("overall_score", _score(F.col("good_data_percentage")))
+
+
 def quality_score(df: DataFrame, by=()) -> DataFrame:
     """Score 1 to 5 by the share of good flags; 0 without a flag column or without rows."""
     if "quality_flag" not in df.columns:
@@ -117,24 +135,24 @@ def quality_issues(df: DataFrame) -> DataFrame:
     total, issues, advice = row["n"], [], []
     score = 0
     if total == 0:
-        issues.append("No data available for quality assessment")
+        issues.append(NO_DATA)
     else:
         share = lambda count: count / total * 100
         if flagged:
             score = next((s for least, s in SCORES if share(row["good"]) >= least), LOWEST_SCORE)
             if row["bad"] > total * 0.1:
-                issues.append(f"High percentage of bad data: {share(row['bad']):.1f}%")
+                issues.append(BAD_DATA.format(share(row["bad"])))
             if row["gone"] > total * 0.2:
-                issues.append(f"High percentage of missing values: {share(row['gone']):.1f}%")
+                issues.append(GONE_DATA.format(share(row["gone"])))
         for c in columns:
             if share(total - row[f"_{c}"]) > 50:
-                issues.append(f"High missing data in {c}: {share(total - row[f'_{c}']):.1f}%")
+                issues.append(GAPS.format(c, share(total - row[f"_{c}"])))
         for r in iqr_outliers(df, columns).filter("outlier_percentage > 5").collect():  # a row per column
-            issues.append(f"High outlier percentage in {r['column']}: {r['outlier_percentage']:.1f}%")
+            issues.append(OUTLIERS.format(r["column"], r["outlier_percentage"]))
         if score < 3:
-            advice.append("Consider filtering out bad quality data before analysis")
+            advice.append(FILTER_FIRST)
         if not issues:
-            advice.append("Data quality appears good for analysis")
+            advice.append(ALL_GOOD)
     rows = [("issue", text) for text in issues] + [("recommendation", text) for text in advice]
     return df.sparkSession.createDataFrame(rows, "kind string, message string")
 

@@ -101,6 +101,7 @@ def chat_statistics(spark, folder):
     return ro.chat_statistics(chat_log(spark, folder), F.length("text") < 100)
 
 
+# --- fixed values: the wording of the documents ---------------------------------------------------------------
 MEASURED_TEXT = """concat('ARGO float ', float_id, ' (WMO ID: ', wmo_id, ') recorded measurements on ',
   strftime(time, '%Y-%m-%d'), ' during cycle ', cycle_number, '. The float was located at latitude ',
   printf('%.3f', lat), '° and longitude ', printf('%.3f', lon), '°. At a depth of ', printf('%.1f', depth),
@@ -112,6 +113,7 @@ MEASURED_TEXT = """concat('ARGO float ', float_id, ' (WMO ID: ', wmo_id, ') reco
        ELSE '' END,
   ' This measurement was part of a profile with ', n_levels, ' depth levels. The float was deployed on ',
   CAST(deployment_date AS VARCHAR), '.')"""
+# ----------------------------------------------------------------------------------------------------------
 CONTEXT = """ctx AS (SELECT m.*, p.cycle_number, p.profile_date, p.n_levels, f.wmo_id, f.deployment_date
   FROM measurements m JOIN profiles p ON m.profile_id = p.profile_id JOIN floats f ON m.float_id = f.float_id)"""
 

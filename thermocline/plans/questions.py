@@ -122,14 +122,14 @@ _over("salinity_depth_ranges", q.salinity_depth_ranges, f"""
 SELECT {BAND_SQL} AS depth_range, avg(salinity) AS avg_salinity, min(salinity) AS min_salinity,
        max(salinity) AS max_salinity, count(*) AS measurement_count
 FROM readings WHERE salinity IS NOT NULL GROUP BY 1""", "readings", "avg_salinity min_salinity max_salinity")
-_over("quality_by_float", lambda m: k.quality_score(m, ["float_id"]), """
+_over("quality_by_float", k.quality_by_float, """
 SELECT float_id, total_records, good AS good_data_percentage, bad AS bad_data_percentage,
        CASE WHEN good >= 90 THEN 5 WHEN good >= 80 THEN 4 WHEN good >= 70 THEN 3 WHEN good >= 60 THEN 2 ELSE 1 END
        AS overall_score
 FROM (SELECT float_id, count(*) AS total_records,
              count(*) FILTER (WHERE quality_flag IN (1, 2)) * 100e0 / count(*) AS good,
              count(*) FILTER (WHERE quality_flag IN (3, 4)) * 100e0 / count(*) AS bad
-      FROM measurements GROUP BY float_id)""", doubles="good_data_percentage bad_data_percentage")
+      FROM measurements GROUP BY float_id)""", doubles="good_data_percentage bad_data_percentage", takes="readings casts")
 _over("quality_score", k.quality_score, """
 SELECT total_records, good AS good_data_percentage, bad AS bad_data_percentage,
        CASE WHEN good >= 90 THEN 5 WHEN good >= 80 THEN 4 WHEN good >= 70 THEN 3 WHEN good >= 60 THEN 2 ELSE 1 END

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..session import scratch, staged
+from ..session import scratch
 from ..sources import grids as g
 from ..sources import profiles as p
 from ..sources import sinks as x
@@ -126,13 +126,13 @@ SELECT concat('ARGO_', CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0')
        lon AS deployment_lon, 'ACTIVE' AS status, CAST(b AS DATE) AS last_contact FROM vf""",
        doubles="deployment_lat deployment_lon", dates="deployment_date last_contact")
 def virtual_floats(spark, folder):
-    return g.virtual_floats(view(spark, folder, "measurements"), None)
+    return g.virtual_floats(g.placed(view(spark, folder, "readings"), view(spark, folder, "casts")), None)
 
 
 @query("virtual_profiles", views="measurements", sql=f"WITH {VIRTUAL_PROFILES}\nSELECT * FROM vp",
        doubles="profile_lat profile_lon")
 def virtual_profiles(spark, folder):
-    rows = staged(view(spark, folder, "measurements").select("lat", "lon", "time"))
+    rows = g.placed(view(spark, folder, "readings"), view(spark, folder, "casts"))
     return g.virtual_profiles(rows, g.virtual_floats(rows, None))
 
 
@@ -141,8 +141,9 @@ SELECT vp.profile_id, vp.float_id, time, lat, lon, depth, depth * 1.025e0 AS pre
        ph, chlorophyll, CAST(NULL AS DOUBLE) AS nitrate
 FROM measurements m JOIN vp ON m.lat = profile_lat AND m.lon = profile_lon AND m.time = profile_date""", doubles=EVERY)
 def virtual_measurements(spark, folder):
-    rows = staged(view(spark, folder, "measurements").drop("id", "profile_id", "float_id"))
-    return g.virtual_measurements(rows, g.virtual_profiles(rows, g.virtual_floats(rows, None)))
+    places = g.placed(view(spark, folder, "readings"), view(spark, folder, "casts"))
+    rows = view(spark, folder, "measurements").drop("id", "profile_id", "float_id")
+    return g.virtual_measurements(rows, g.virtual_profiles(places, g.virtual_floats(places, None)))
 
 
 @query("bgc_presence", views="readings", sql="SELECT bool_or(oxygen IS NOT NULL) AS has_bgc FROM readings")

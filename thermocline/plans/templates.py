@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import labels
 from ..operators import analytics as a
 from ..operators import joins as j
 from ..sources.binding import view
@@ -11,13 +12,22 @@ from .registry import query
 
 PARAMETERS = ("temperature", "salinity", "oxygen", "ph", "chlorophyll", "pressure")
 
-BASIN_SQL = """CASE WHEN lon BETWEEN 20 AND 120 AND lat BETWEEN -70 AND 30 THEN 'Indian Ocean'
-            WHEN lon BETWEEN -180 AND -70 OR lon BETWEEN 120 AND 180 THEN 'Pacific Ocean'
-            WHEN lon BETWEEN -70 AND 20 THEN 'Atlantic Ocean' ELSE 'Other' END"""
-BAND_SQL = """CASE WHEN depth < 100 THEN 'Surface (0-100m)' WHEN depth < 500 THEN 'Intermediate (100-500m)'
-            WHEN depth < 1000 THEN 'Deep (500-1000m)' ELSE 'Very Deep (>1000m)' END"""
-ZONE_SQL = """CASE WHEN depth < 200 THEN 'Euphotic Zone' WHEN depth < 1000 THEN 'Mesopelagic Zone'
-            ELSE 'Bathypelagic Zone' END"""
+
+
+def _between(column: str, bounds) -> str:
+    return f"{column} BETWEEN {bounds[0]} AND {bounds[1]}"
+
+
+def _ladder_sql(column: str, steps, last: str) -> str:
+    """The first step whose bound is above the value; a null falls through."""
+    return "CASE " + " ".join(f"WHEN {column} < {bound} THEN '{name}'" for bound, name in steps) + f" ELSE '{last}' END"
+
+
+BASIN_SQL = f"""CASE WHEN {_between('lon', labels.INDIAN[0])} AND {_between('lat', labels.INDIAN[1])} THEN 'Indian Ocean'
+            WHEN {' OR '.join(_between('lon', strip) for strip in labels.PACIFIC)} THEN 'Pacific Ocean'
+            WHEN {_between('lon', labels.ATLANTIC)} THEN 'Atlantic Ocean' ELSE 'Other' END"""
+BAND_SQL = _ladder_sql("depth", labels.DEPTH_BANDS, labels.DEEPEST_BAND)
+ZONE_SQL = _ladder_sql("depth", labels.OCEAN_ZONES, labels.DEEPEST_ZONE)
 
 
 @query("profiles_by_ids", views="measurements casts float_cards", sql="""
@@ -33,14 +43,13 @@ def profiles_by_ids(spark, folder):
                              view(spark, folder, "float_cards"), wanted)
 
 
-@query("float_summary", views="measurements casts floats", sql="""
-SELECT f.float_id, f.wmo_id, f.deployment_date, count(DISTINCT p.profile_id) AS total_profiles,
-       count(m.id) AS total_measurements, avg(m.temperature) AS avg_temperature, avg(m.salinity) AS avg_salinity,
-       min(m.depth) AS min_depth, max(m.depth) AS max_depth
-FROM floats f JOIN casts p ON f.float_id = p.float_id JOIN measurements m ON p.profile_id = m.profile_id
-WHERE m.temperature IS NOT NULL
-GROUP BY f.float_id, f.wmo_id, f.deployment_date
-ORDER BY total_measurements DESC, f.float_id LIMIT 50""",
+@query("float_summary", views="readings casts floats", sql="""
+WITH warm AS (SELECT float_id, profile_id, depth, temperature, salinity FROM readings JOIN casts USING (profile_id) WHERE temperature IS NOT NULL),
+totals AS (SELECT float_id, count(DISTINCT profile_id) AS total_profiles, count(*) AS total_measurements,
+                  sum(temperature) / count(*) AS avg_temperature, sum(salinity) / count(salinity) AS avg_salinity,
+                  min(depth) AS min_depth, max(depth) AS max_depth FROM warm GROUP BY float_id)
+SELECT float_id, wmo_id, deployment_date, totals.* EXCLUDE (float_id) FROM totals JOIN floats USING (float_id)
+QUALIFY row_number() OVER (ORDER BY total_measurements DESC, float_id) <= 50""",
        doubles="avg_temperature avg_salinity min_depth max_depth", dates="deployment_date")
 def float_summary(spark, folder):
     return j.float_summary(view(spark, folder, "floats"), view(spark, folder, "casts"),
@@ -121,9 +130,10 @@ def regional_comparison(spark, folder):
 
 
 @query("depth_ranges", views="readings", sql=f"""
-SELECT {BAND_SQL} AS depth_range, avg(temperature) AS avg_temperature, avg(salinity) AS avg_salinity,
-       avg(oxygen) AS avg_oxygen, count(*) AS measurement_count
-FROM readings WHERE temperature IS NOT NULL GROUP BY 1""", doubles="avg_temperature avg_salinity avg_oxygen")
+WITH banded AS (SELECT *, {BAND_SQL} AS depth_range FROM readings)
+SELECT depth_range, sum(temperature) / count(*) AS avg_temperature, sum(salinity) / count(salinity) AS avg_salinity,
+       sum(oxygen) / nullif(count(oxygen), 0) AS avg_oxygen, count(*) AS measurement_count
+FROM banded WHERE temperature IS NOT NULL GROUP BY depth_range""", doubles="avg_temperature avg_salinity avg_oxygen")
 def depth_ranges(spark, folder):
     return a.depth_ranges(view(spark, folder, "readings"))
 
@@ -138,9 +148,10 @@ def temporal_trends(spark, folder):
 
 
 @query("bgc_zones", views="readings", sql=f"""
-SELECT {ZONE_SQL} AS ocean_zone, avg(oxygen) AS avg_oxygen, avg(ph) AS avg_ph, avg(chlorophyll) AS avg_chlorophyll,
-       count(*) AS measurement_count
-FROM readings WHERE oxygen IS NOT NULL AND ph IS NOT NULL GROUP BY 1""", doubles="avg_oxygen avg_ph avg_chlorophyll")
+WITH known AS (SELECT {ZONE_SQL} AS ocean_zone, oxygen, ph, chlorophyll FROM readings WHERE oxygen + ph IS NOT NULL)
+SELECT ocean_zone, sum(oxygen) / count(*) AS avg_oxygen, sum(ph) / count(*) AS avg_ph,
+       sum(chlorophyll) / nullif(count(chlorophyll), 0) AS avg_chlorophyll, count(*) AS measurement_count
+FROM known GROUP BY ocean_zone""", doubles="avg_oxygen avg_ph avg_chlorophyll")
 def bgc_zones(spark, folder):
     return a.bgc_zones(view(spark, folder, "readings"))
 
@@ -183,8 +194,7 @@ SELECT count(DISTINCT float_id) AS total_floats, count(DISTINCT profile_id) AS t
 FROM measurements""", doubles="lat_min lat_max lat_span lon_min lon_max lon_span min_depth max_depth depth_span "
                               "mean_depth good_data_percentage")
 def dataset_summary(spark, folder):
-    m = view(spark, folder, "measurements")
-    return a.dataset_summary(m.withColumnsRenamed({"time": "date", "lat": "latitude", "lon": "longitude"}))
+    return a.coverage_of_readings(view(spark, folder, "readings"), view(spark, folder, "casts"))
 
 
 def _statistics_sql(parameters) -> str:
@@ -246,7 +256,7 @@ FROM (SELECT float_id, avg(temperature) AS mt, avg(salinity) AS ms, stddev_samp(
        doubles="mean_temperature mean_salinity std_temperature std_salinity temperature_low temperature_high "
                "salinity_low salinity_high")
 def profile_sigma_band(spark, folder):
-    return a.profile_sigma_band(view(spark, folder, "measurements"))
+    return a.sigma_band_of_readings(view(spark, folder, "readings"), view(spark, folder, "casts"))
 
 
 @query("selection_metrics", views="measurements", sql="""

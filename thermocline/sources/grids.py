@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import n_rows, nan_to_null
 from ..operators.order import with_rank
+from ..session import durable
 from .profiles import FLOAT_PREFIX
 
 # --- fixed values -----------------------------------------------------------------------------------------
@@ -71,6 +72,14 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
     return df.na.drop("any")
 
 
+def placed(readings: DataFrame, casts: DataFrame) -> DataFrame:
+    """Places and times with their number of readings: counted per profile before these meet, and kept, as it is a small
+    part of the readings and read several times."""
+    counts = readings.groupBy("profile_id").agg(n_rows().alias("n"))
+    both = casts.select("profile_id", F.col("profile_lat").alias("lat"), F.col("profile_lon").alias("lon"), F.col("profile_date").alias("time")).join(counts, "profile_id")
+    return durable(both.groupBy("lat", "lon", "time").agg(F.sum("n").cast("long").alias("n_levels")))
+
+
 def virtual_floats(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Each distinct place, in latitude and longitude order, is a float.
 
@@ -92,11 +101,12 @@ def virtual_floats(df: DataFrame, limit: int | None = None) -> DataFrame:
 def virtual_profiles(df: DataFrame, floats: DataFrame) -> DataFrame:
     """Each distinct time of a float is a profile; ids run over all floats, cycles within one.
 
-    Rows are aggregated to (place, time) first.  Ranges of that table are numbered, so a place with very many times
+    ``df`` has rows of a place and time, or of ``placed``, which are counted already.  Rows are aggregated to (place, time) first.  Ranges of that table are numbered, so a place with very many times
     is spread over several tasks; the cycle is the distance from the place's first number.
     """
     own = floats.select("float_id", F.col("deployment_lat").alias("lat"), F.col("deployment_lon").alias("lon"))
-    casts = df.groupBy("lat", "lon", "time").agg(n_rows().alias("n_levels")).join(own, ["lat", "lon"])
+    levels = F.sum("n_levels").cast("long") if "n_levels" in df.columns else n_rows()
+    casts = df.groupBy("lat", "lon", "time").agg(levels.alias("n_levels")).join(own, ["lat", "lon"])
     ranked = with_rank(casts, ["lat", "lon", "time"], "_n").withColumn("profile_id", F.col("_n") + 1)
     first = ranked.groupBy("float_id").agg(F.min("profile_id").alias("_first"))
     return ranked.join(first, "float_id").select(

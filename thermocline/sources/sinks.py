@@ -29,6 +29,15 @@ ATTRIBUTES = {
         "valid_min": 0.0, "valid_max": 50.0,
     },
 }
+# comment lines of the text export
+ASCII_HEADER = (
+    "# ARGO Float Data Export",
+    "# Generated: {time} UTC",
+    "# Number of profiles: {count}",
+    "# Format: DATE TIME LAT LON DEPTH TEMP SALINITY",
+    "# Units: YYYY-MM-DD HH:MM:SS degrees degrees meters celsius psu",
+    "#" + "=" * 70,
+)
 # ----------------------------------------------------------------------------------------------------------
 
 
@@ -55,14 +64,7 @@ def ascii_line() -> Column:
 
 
 def ascii_header(count: int, as_of: dt.datetime) -> list[str]:
-    return [
-        "# ARGO Float Data Export",
-        f"# Generated: {as_of:%Y-%m-%d %H:%M:%S} UTC",
-        f"# Number of profiles: {count}",
-        "# Format: DATE TIME LAT LON DEPTH TEMP SALINITY",
-        "# Units: YYYY-MM-DD HH:MM:SS degrees degrees meters celsius psu",
-        "#" + "=" * 70,
-    ]
+    return [line.format(count=count, time=f"{as_of:%Y-%m-%d %H:%M:%S}") for line in ASCII_HEADER]
 
 
 def export_ascii(m: DataFrame, as_of: dt.datetime, ids: DataFrame | None = None, tie_key: str = "id") -> DataFrame:
