@@ -1,5 +1,10 @@
 """Documents from raw to mixed: toxic ones go, repeated lines go, one of each near-duplicate group stays, benchmark
-passages go, and sources are mixed to their target weights."""
+passages go, and sources are mixed to their target weights.
+
+Every stage takes any columns beside doc_id, text and source.  Null and empty texts are not toxic, have no lines, words or
+passages, and so pass; null sources are a source.  Rows that repeat an id and a text are judged alike; what repeats an id with
+another text is one near-duplicate class.  An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -52,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The first stage is a trained model, which SQL has no words for; tests compare the other four with plain Python.
+#: The first stage is a trained model, which SQL has no words for; tests compare every stage and ``run`` with plain Python.
 ORACLE_SQL = None
