@@ -51,6 +51,18 @@ def test_windows_and_short_items(spark):
         assert [(s["start"], s["length"]) for s in rows[3]["spans"]] == [(1, 2), (4, 2)] and rows[3]["items"] == ["", "10"]
 
 
+def test_decontamination_of_odd_documents(spark, monkeypatch, odd_docs, no_docs):
+    """A row per row, also for repeated ones; empty tables on either side."""
+    bench = items(spark)
+    got, want = over(monkeypatch, spark, "op1_decontamination", documents=odd_docs.filter("doc_id is not null"), benchmark=bench)
+    assert len(got) == 8 and same(got.drop_duplicates(), want.drop_duplicates()) is None
+    query = QUERIES["op1_decontamination"]
+    for docs, rows in ((no_docs, 0), (odd_docs, 9)):
+        for grams in (bench, bench.limit(0)):
+            monkeypatch.setitem(query.__globals__, "table", lambda _s, _d, t: docs if t == "documents" else grams)
+            assert query(spark, "").count() == rows
+
+
 def test_overlapping_windows_count_words_once(spark):
     docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "doc_id long, text string")
     row = decontamination.hits(docs, items(spark)).select(decontamination.covered(F.col("spans")).alias("n"), "items").first()

@@ -129,8 +129,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its words inside occurrences of benchmark windows."""
-    found = hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Every document with its words inside occurrences of benchmark windows; rows that repeat are answered one by one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = hits(docs, table(spark, sf_dir, "benchmark")).withColumnsRenamed({"doc_id": "found_id", "text_hash": "found_hash"})
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_hash"))
+    found = rows.join(found, rows["doc_id"].eqNullSafe(found["found_id"]) & (rows["text_hash"] == found["found_hash"]))
     return found.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), covered(F.col("spans")).cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
