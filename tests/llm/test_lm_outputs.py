@@ -40,3 +40,33 @@ def test_classes_cover_the_words_and_probabilities_sum_to_one():
     net.p = {k: a + np.random.default_rng(3).standard_normal(a.shape).astype(np.float32) * 0.1 for k, a in net.p.items()}
     logs, _ = net.log_probabilities(np.tile(np.linspace(-1, 1, 16, dtype=np.float32), (3_001, 1)), np.arange(3_001))
     assert abs(np.exp(logs.astype(np.float64)).sum() - 1) < 1e-3
+
+
+def test_odd_tables_and_repeated_rows(spark, odd_docs, no_docs):
+    """A row per row, also for repeated ids and texts; empty tables; columns with names used inside."""
+    training = odd_docs.filter("doc_id < 5")
+    got = language_model.score(odd_docs, training).toPandas()
+    assert len(got) == 9 and got["score"].notna().all() and (got["n_tokens"] >= 1).all() and got["doc_id"].isna().sum() == 1
+    assert (got.groupby("text_hash")["score"].nunique() == 1).all() and (got[got.doc_id == 4]["n_tokens"] == 12_001).all()
+    assert language_model.score(no_docs, training).count() == 0
+    alone = language_model.score(odd_docs, no_docs).toPandas()
+    assert len(alone) == 9 and (alone["n_known"] == 0).all() and (alone["train_tokens"] == 0).all()
+
+
+def test_pieces_step_as_whole_gradients_do():
+    """Weights that step piece by piece end where one step with the whole gradient brings them."""
+    rng = np.random.default_rng(4)
+    counts = np.array([90, *(5_000 // k for k in range(1, 400))])
+    v = language_model.Vocabulary([b"", *(f"w{i}".encode() for i in range(399))], counts, int(counts.sum()), 400, 400)
+    one, two = language_model.Network.initial(v), language_model.Network.initial(v)
+    texts = [np.append(rng.integers(1, 400, n), 0).astype(np.int32) for n in (50, 90, 31, 7)]
+    memory = {k: np.zeros_like(a) for k, a in one.p.items()}
+    language_model.fit(one, texts, memory)
+    assert len(list(language_model.windows(texts, language_model.LONGEST))) == 1
+    (inputs, fresh, targets, real, _), = language_model.windows(texts, language_model.LONGEST)
+    grad, used, rows, _ = two.gradients(inputs, fresh, targets, real, np.zeros((inputs.shape[1], language_model.HIDDEN), np.float32),
+                                        1.0 / language_model.WINDOW_TOKENS)
+    for k, g in grad.items():
+        two.p[k] -= language_model.FIRST_RATE * g / np.sqrt(g * g + language_model.FLAT)
+    two.p["table"][used] -= language_model.FIRST_RATE * rows / np.sqrt(rows * rows + language_model.FLAT)
+    assert all(np.allclose(one.p[k], two.p[k], atol=1e-5) for k in one.p)

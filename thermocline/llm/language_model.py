@@ -22,12 +22,13 @@ SMOOTHING = 0.1
 HOT_WORDS = 200_000  # words whose counts travel to the tasks; the rest meet theirs in a join
 VOCABULARY = HOT_WORDS + 1  # words with an output of their own at most, the end of a text among them: all that travel
 HIDDEN = 16
-WINDOW_TOKENS = 16_384  # a window has about as many tokens, and so more steps when few lanes are left,
+WINDOW_TOKENS = 32_768  # a window has about as many tokens, and so more steps when few lanes are left,
 SHORTEST, LONGEST = 16, 512  # but in training, where it also truncates backpropagation, between so many steps
 LANES = 512  # texts processed side by side
 GROUP_TOKENS = 1_500_000  # tokens gathered before they are laid out in lanes
 ROUNDS = 2  # averagings in the one pass over the training texts
-RATE = 0.08
+FIRST_RATE, RATE, WARM = 0.08, 0.25, 16  # the rate of Adagrad rises over so many windows: its first steps are the largest
+PASSES, LEAST_WINDOW = 64, 4_096  # few texts are cut into more windows in training, of so many tokens at least
 FLAT = np.float32(1e-8)  # squared gradients far below it bring small steps
 FLUSH = 200_000  # different words a task counts before it hands them on
 BLOCK = 8_192  # parameters averaged by one group
@@ -112,25 +113,43 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-x))
 
 
-def _softmax(logits, rows, picked):
-    """Log probability of one entry per row, and the sums; ``logits`` become their exponentials."""
-    np.minimum(logits, STEEPEST, out=logits)
-    chosen = logits[rows, picked]
-    np.exp(logits, out=logits)
-    total = logits @ np.ones(logits.shape[1], np.float32)
-    return chosen - np.log(total), total
+def _layer(s, w, b, picked, scale=None):
+    """Log probability of one entry per row among the softmax of ``s @ w.T + b``.
+
+    With ``scale`` also the gradients of -scale times their sum: by ``s``, by ``w`` and by ``b``.
+    """
+    e, rows, ones = s @ w.T, np.arange(len(s)), np.ones(max(s.shape[0], w.shape[0]), s.dtype)
+    e += b
+    np.minimum(e, STEEPEST, out=e)
+    chosen = e[rows, picked]
+    np.exp(e, out=e)
+    total = e @ ones[:e.shape[1]]
+    log = chosen - np.log(total)
+    if scale is None:
+        return log, None, None, None
+    e *= (scale / total)[:, None]
+    e[rows, picked] -= scale
+    return log, e @ w, e.T @ s, ones[:len(e)] @ e
+
+
+def group_edges(classes: int) -> np.ndarray:
+    """Where the groups of classes start, and the end."""
+    size = math.ceil(math.sqrt(classes))
+    return np.append(np.arange(0, classes, size), classes)
 
 
 class Network:
-    """Gated recurrent units over word inputs; class of the next word, then the word within its class.
+    """Gated recurrent units over word inputs; group of classes of the next word, class in its group, word in its class.
 
     Class c holds the words from ``edges[c]`` up to ``edges[c + 1]``; the class after the last stands for all words without
-    an output.  As inputs are single words, the product of embedding and input weights is one row of ``table`` per word.
+    an output.  Groups are neighbouring classes, about as many as a group has.  As inputs are single words, the product of embedding and input weights is one row of ``table`` per word.
     """
 
     def __init__(self, edges: np.ndarray, arrays: dict[str, np.ndarray]):
         self.edges, self.outputs, self.classes = edges, int(edges[-1]), len(edges) - 1
-        self.class_of = np.repeat(np.arange(len(edges)), np.append(np.diff(edges), 1))
+        self.class_of = np.repeat(np.arange(len(edges), dtype=np.int16), np.append(np.diff(edges), 1))
+        self.groups = group_edges(len(edges))
+        self.group_of = np.repeat(np.arange(len(self.groups) - 1), np.diff(self.groups))
         self.p = arrays
         self.moved = np.zeros(0, np.float16)  # what training has added to the initial parameters, in their order
 
@@ -141,11 +160,14 @@ class Network:
         share, sizes = v.counts[:v.outputs] + SMOOTHING, np.diff(edges)
         sums = np.append(np.add.reduceat(share, edges[:-1]), v.rare_total)
         within = np.log(share / np.repeat(sums[:-1], sizes))
-        of_class = np.log(np.maximum(sums, SMOOTHING) / sums.sum())
+        sums, groups = np.maximum(sums, SMOOTHING), group_edges(len(edges))
+        of_group = np.add.reduceat(sums, groups[:-1])
+        of_class = np.log(sums / np.repeat(of_group, np.diff(groups)))
         draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
         return cls(edges, {
             "table": draw(v.outputs + 1, 3 * hidden), "gates": draw(hidden, 2 * hidden), "new": draw(hidden, hidden),
-            "class_w": np.zeros((hidden, len(edges)), np.float32), "class_b": of_class.astype(np.float32),
+            "group_w": np.zeros((len(groups) - 1, hidden), np.float32), "group_b": np.log(of_group / of_group.sum()).astype(np.float32),
+            "class_w": np.zeros((len(edges), hidden), np.float32), "class_b": of_class.astype(np.float32),
             "word_w": np.zeros((v.outputs, hidden), np.float32), "word_b": within.astype(np.float32)})
 
     @classmethod
@@ -174,74 +196,88 @@ class Network:
             states[t] = h
         return states, h
 
-    def log_probabilities(self, states, targets, grad=None):
+    def log_probabilities(self, states, targets, grad=None, scale=1.0, learn=None):
         """Natural log probability of each target (up to the share among words without an output).
 
-        With ``grad`` its entries for the output weights are filled, and d(-sum)/d(states) is returned too.
+        With ``grad`` its entries for the output weights are filled with the gradients of -scale times the sum, and that by the
+        states is returned too.  ``learn`` is called with the name, place and gradient of each piece of the output weights
+        instead, as soon as the piece is done with; classes that no target is in have no gradient.
         """
-        p, classes = self.p, self.class_of[np.minimum(targets, self.outputs)]
-        found, back = np.empty(len(targets), np.result_type(states, np.float32)), None
+        p, learning = self.p, grad is not None or learn is not None
+        classes = self.class_of[np.minimum(targets, self.outputs)]
+        order = np.argsort(classes, kind="stable")  # so that the targets of a class, and of a group, are neighbours
+        s, classes, words = states[order], classes[order], targets[order]
+        ends = np.searchsorted(classes, np.arange(self.classes + 2)).tolist()
+        found = np.zeros(len(s), np.result_type(states, np.float32))
+        back = np.zeros_like(s) if learning else None
         if grad is not None:
-            back = np.empty_like(states)
-            grad.update((k, np.zeros_like(p[k])) for k in ("class_w", "class_b", "word_w", "word_b"))
-        step = max(CACHED // len(self.edges), 1)
-        for i in range(0, len(targets), step):
-            s, picked = states[i:i + step], classes[i:i + step]
-            rows = np.arange(len(s))
-            e = s @ p["class_w"] + p["class_b"]
-            found[i:i + step], total = _softmax(e, rows, picked)
-            if grad is not None:
-                e /= total[:, None]
-                e[rows, picked] -= 1
-                grad["class_w"] += s.T @ e
-                grad["class_b"] += np.ones(len(e), np.float32) @ e
-                back[i:i + step] = e @ p["class_w"].T
-        order = np.argsort(classes, kind="stable")
-        ends = np.searchsorted(classes[order], np.arange(self.classes + 1))
+            grad.update((k, np.zeros_like(p[k])) for k in ("group_w", "group_b", "class_w", "class_b", "word_w", "word_b"))
+
+        def layer(weights, biases, low, high, start, stop, picked):
+            log, by_s, by_w, by_b = _layer(s[start:stop], p[weights][low:high], p[biases][low:high], picked, scale if learning else None)
+            found[start:stop] += log
+            if learning:
+                back[start:stop] += by_s
+                for name, piece in ((weights, by_w), (biases, by_b)):
+                    if grad is None:
+                        learn(name, slice(low, high), piece)
+                    else:
+                        grad[name][low:high] = piece
+
+        if len(s):
+            layer("group_w", "group_b", 0, len(self.groups) - 1, 0, len(s), self.group_of[classes])
+        for low, high in zip(self.groups[:-1].tolist(), self.groups[1:].tolist()):
+            if ends[high] > ends[low] and high - low > 1:
+                layer("class_w", "class_b", low, high, ends[low], ends[high], classes[ends[low]:ends[high]] - low)
+        edges = self.edges.tolist()
         for c in range(self.classes):
-            here = order[ends[c]:ends[c + 1]]
-            if not len(here):
-                continue
-            own = slice(self.edges[c], self.edges[c + 1])
-            s, inside, k = states[here], targets[here] - own.start, np.arange(len(here))
-            e = s @ p["word_w"][own].T + p["word_b"][own]
-            log, total = _softmax(e, k, inside)
-            found[here] += log
-            if grad is not None:
-                e /= total[:, None]
-                e[k, inside] -= 1
-                grad["word_w"][own], grad["word_b"][own] = e.T @ s, np.ones(len(e), np.float32) @ e
-                back[here] += e @ p["word_w"][own]
-        return found, back
-
-    def gradients(self, inputs, fresh, targets, real, h):
-        """Gradients of the mean cost of one window, truncated at its start, and the state after it."""
+            if ends[c + 1] > ends[c] and edges[c + 1] - edges[c] > 1:
+                layer("word_w", "word_b", edges[c], edges[c + 1], ends[c], ends[c + 1], words[ends[c]:ends[c + 1]] - edges[c])
+        placed = np.empty_like(found)
+        placed[order] = found
+        if learning:
+            by_state = np.empty_like(back)
+            by_state[order] = back
+        return placed, by_state if learning else None
+
+    def gradients(self, inputs, fresh, targets, real, h, scale=None, learn=None):
+        """Gradients of the mean cost of one window, or of ``scale`` times its sum, truncated at its start, and the state after it.
+
+        With ``learn`` the output weights are left to it, see ``log_probabilities``.
+        """
         p, n, kept, grad = self.p, h.shape[1], [], {}
         states, last = self.run(inputs, fresh, h, kept)
         flat = np.flatnonzero(real.ravel())
         picked = states.reshape(-1, n)[flat]
-        _, back = self.log_probabilities(picked, targets.ravel()[flat], grad)
+        scale = np.float32(1 / max(len(flat), 1) if scale is None else scale)
+        _, back = self.log_probabilities(picked, targets.ravel()[flat], grad if learn is None else None, scale, learn)
         outer = np.zeros((inputs.size, n), np.float32)
         outer[flat] = back
         outer = outer.reshape(states.shape)
-        d_gates, d_new = np.zeros_like(p["gates"]), np.zeros_like(p["new"])
-        d_rows = np.empty((*inputs.shape, 3 * n), np.float32)
-        later, going = np.zeros_like(h), (~fresh).astype(np.float32)[:, :, None]
+        before, gates, past, new = (np.stack(x) for x in zip(*kept))
+        z, r = gates[:, :, :n], gates[:, :, n:]
+        slope, squash = gates * (1 - gates), (1 - z) * (1 - new * new)
+        slope[:, :, :n] *= before - new
+        slope[:, :, n:] *= squash * past
+        squash_r, back_w = squash * r, np.concatenate([p["gates"], p["new"]], axis=1).T
+        d_rows, d_past = np.empty((*inputs.shape, 3 * n), states.dtype), np.empty_like(new)
+        later, going, d_all = np.zeros_like(h), (~fresh).astype(states.dtype)[:, :, None], np.empty((inputs.shape[1], 3 * n), states.dtype)
         for t in range(len(inputs) - 1, -1, -1):
-            before, gates, past, new = kept[t]
-            z, r = gates[:, :n], gates[:, n:]
             d = outer[t] + later
-            d_tanh = d * (1 - z) * (1 - new * new)
-            d_gate = np.concatenate([d * (before - new), d_tanh * past], axis=1) * gates * (1 - gates)
-            d_past = d_tanh * r
-            d_rows[t, :, :2 * n], d_rows[t, :, 2 * n:] = d_gate, d_tanh
-            d_gates += before.T @ d_gate
-            d_new += before.T @ d_past
-            later = (d * z + d_gate @ p["gates"].T + d_past @ p["new"].T) * going[t]
-        grad["gates"], grad["new"] = d_gates, d_new
-        for k in grad:
-            grad[k] /= max(len(flat), 1)
-        words, d_rows = inputs.ravel(), d_rows.reshape(-1, 3 * n) / max(len(flat), 1)
+            d_all[:, :n] = d
+            d_all[:, n:2 * n] = d
+            d_all[:, :2 * n] *= slope[t]
+            d_rows[t, :, :2 * n] = d_all[:, :2 * n]
+            d_rows[t, :, 2 * n:] = d * squash[t]
+            d_all[:, 2 * n:] = d * squash_r[t]
+            d_past[t] = d_all[:, 2 * n:]
+            d *= z[t]
+            d += d_all @ back_w
+            d *= going[t]
+            later = d
+        flat_before = before.reshape(-1, n).T
+        grad["gates"], grad["new"] = flat_before @ d_rows.reshape(-1, 3 * n)[:, :2 * n], flat_before @ d_past.reshape(-1, n)
+        words, d_rows = inputs.ravel(), d_rows.reshape(-1, 3 * n)
         order = np.argsort(words, kind="stable")
         used, starts = np.unique(words[order], return_index=True)
         return grad, used, np.add.reduceat(d_rows[order], starts, axis=0), last
@@ -258,7 +294,7 @@ def lanes(lengths: list[int], width: int = LANES) -> list[list[int]]:
     return sorted(dealt, key=lambda lane: -sum(lengths[i] for i in lane))
 
 
-def windows(texts: list[np.ndarray], longest: int | None = None):
+def windows(texts: list[np.ndarray], longest: int | None = None, size: int | None = None):
     """(inputs, fresh, targets, real, owner) of consecutive windows over the lanes, each (steps, lanes).
 
     ``texts`` are word numbers ending with the end, 0, which is also what the first word follows.  Lanes that have run
@@ -278,7 +314,7 @@ def windows(texts: list[np.ndarray], longest: int | None = None):
     start = 0
     while start < steps:
         live = int((sizes > start).sum())
-        stop = min(steps, start + min(max(WINDOW_TOKENS // live, SHORTEST), longest or steps))
+        stop = min(steps, start + min(max((size or WINDOW_TOKENS) // live, SHORTEST), longest or steps))
         here, own = targets[start:stop, :live], owner[start:stop, :live]
         before = np.zeros_like(here)
         before[1:] = here[:-1]
@@ -326,20 +362,28 @@ def _step(values: np.ndarray, memory: np.ndarray, g: np.ndarray, rate: float) ->
 
 
 def fit(net: Network, texts: list[np.ndarray], memory: dict[str, np.ndarray], rate: float = RATE) -> int:
-    """One pass of truncated backpropagation over the texts, in place; ``memory`` holds squared gradients (Adagrad)."""
-    h, seen = None, 0
-    for inputs, fresh, targets, real, _ in windows(texts, LONGEST):
+    """One pass of truncated backpropagation over the texts, in place; ``memory`` holds squared gradients (Adagrad).
+
+    Weights without a gradient are left alone, which is what Adagrad does with them; the others step as soon as their
+    gradient is known.
+    """
+    h, seen, first = None, 0, min(FIRST_RATE, rate)
+    size = min(WINDOW_TOKENS, max(LEAST_WINDOW, sum(map(len, texts)) // PASSES))
+    for number, (inputs, fresh, targets, real, _) in enumerate(windows(texts, LONGEST, size)):
+        now = first + (rate - first) * min(number / WARM, 1.0)
+
+        def learn(name: str, place: slice, g: np.ndarray, now=now) -> None:
+            _step(net.p[name][place], memory[name][place], g, now)
+
         lanes_here = inputs.shape[1]
         h = np.zeros((lanes_here, net.p["new"].shape[0]), np.float32) if h is None else h[:lanes_here]
-        grad, used, d_rows, h = net.gradients(inputs, fresh, targets, real, h)
-        here = int(real.sum())
-        seen, part = seen + here, np.float32(here / WINDOW_TOKENS)  # a token counts the same in a short window
-        d_rows *= part
+        # a token counts the same in a short window
+        grad, used, d_rows, h = net.gradients(inputs, fresh, targets, real, h, 1.0 / WINDOW_TOKENS, learn)
+        seen += int(real.sum())
         for k, g in grad.items():
-            g *= part
-            _step(net.p[k], memory[k], g, rate)
+            learn(k, slice(None), g)
         memory["table"][used] += d_rows * d_rows
-        net.p["table"][used] -= rate * d_rows / np.sqrt(memory["table"][used] + FLAT)
+        net.p["table"][used] -= now * d_rows / np.sqrt(memory["table"][used] + FLAT)
     return seen
 
 
@@ -350,10 +394,13 @@ def train(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
     part, and what the copies changed is averaged by their numbers of tokens, a block of parameters per group; it travels as
     half floats, in which rows of words a task has not met are zeros.  Only the averages, some tens of MB, reach the driver.
     """
-    net = Network.initial(v)
+    context, net = texts.sparkSession.sparkContext, Network.initial(v)
     names = list(net.p)
     for part in range(rounds):
-        def learn(batches: Iterator[pa.RecordBatch], moved=net.moved) -> Iterator[pa.RecordBatch]:
+        sent = context.broadcast((v, net.moved))
+
+        def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            v, moved = sent.value
             state, copy = Network.restored(v, moved), Network.restored(v, moved)
             number = {w: i for i, w in enumerate(v.words[:v.outputs])}
             memory, seen = {k: np.zeros_like(a) for k, a in copy.p.items()}, 0
@@ -371,15 +418,15 @@ def train(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
                 for w, values in zip(row.column("weight").to_pylist(), row.column("values").to_pylist()):
                     part_of = w * np.frombuffer(values, np.float16).astype(np.float64)
                     total, weight = part_of if total is None else total + part_of, weight + w
-            return pa.table({"block": groups.column("block")[:1], "values": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
+            return pa.table({"block": groups.column("block")[:1], "values": pa.array([(total / weight).astype(np.float16).tobytes()], pa.binary())})
 
         here = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == part).select("text")
         copies = here.mapInArrow(learn, "block int, weight double, values binary")
         blocks = copies.groupBy("block").applyInArrow(average, "block int, values binary").collect()
         if not blocks:
             continue
-        flat = np.concatenate([np.frombuffer(b["values"], np.float32) for b in sorted(blocks, key=lambda b: b["block"])])
-        net = Network.restored(v, (flat + (net.moved if len(net.moved) else np.float32(0))).astype(np.float16))
+        flat = np.concatenate([np.frombuffer(b["values"], np.float16) for b in sorted(blocks, key=lambda b: b["block"])])
+        net = Network.restored(v, flat + net.moved if len(net.moved) else flat)
     return net
 
 
@@ -401,8 +448,9 @@ def text_log10(net: Network, v: Vocabulary, texts: list[np.ndarray]) -> np.ndarr
     return found / math.log(10)
 
 
-def _score(moved: np.ndarray, v: Vocabulary, doc_type: pa.DataType):
+def _score(sent, doc_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, moved = sent.value
         net, number = Network.restored(v, moved), {w: i for i, w in enumerate(v.words)}
         logs = np.append(np.log10(v.counts + SMOOTHING), 0.0)
         unknown = len(v.words)
@@ -419,27 +467,29 @@ def _score(moved: np.ndarray, v: Vocabulary, doc_type: pa.DataType):
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_tokens, n_known, train_tokens, base_score, score), one row per distinct (doc_id, text).
+    """(doc_id, text_hash, n_tokens, n_known, train_tokens, base_score, score), one row per row of ``docs``.
 
-    ``training`` (doc_id, text) is what the counts and the network are learned from, all of it.  Null texts are empty.
-    ``base_score`` is the smoothed unigram's log10 probability.  ``score`` is the network's: class of the next word,
+    ``training`` (doc_id, text) is what the counts and the network are learned from, all of it.  Null texts are empty, null ids
+    stay, other columns are ignored; an empty table gives an empty result, and without training texts every token is unknown.
+    ``base_score`` is the smoothed unigram's log10 probability.  ``score`` is the network's: group and class of the next word,
     then the word within its class; for words without an output the class of such words times their smoothed
-    share among them.  Counts of frequent words travel with the model; those of the others are joined.
+    share among them.  Counts of frequent words are broadcast with the model; those of the others are joined.
     """
     counts = durable(word_counts(training))
     v = vocabulary(counts)
     net = train(training, v)
     read = docs.select("doc_id", text_key(F.col("text")).alias("text_hash"), "text")
     kind = read.schema["doc_id"].dataType.simpleString()
-    parts = durable(read.mapInArrow(_score(net.moved, v, to_arrow_type(read.schema["doc_id"].dataType)), f"doc_id {kind}, text_hash long, n_tokens long, hot_known long, hot_base double, "
-                                                    "hot_score double, tail map<string,long>").dropDuplicates(["doc_id", "text_hash"]))
-    tails = parts.select("doc_id", "text_hash", F.explode("tail").alias("word", "n")).join(counts, "word", "left")
+    sent = docs.sparkSession.sparkContext.broadcast((v, net.moved))
+    parts = read.mapInArrow(_score(sent, to_arrow_type(read.schema["doc_id"].dataType)), f"doc_id {kind}, text_hash long, n_tokens long, hot_known long, "
+                                                                                         "hot_base double, hot_score double, tail map<string,long>")
+    parts = durable(parts.withColumn("row", F.monotonically_increasing_id()))
+    tails = parts.select("row", F.explode("tail").alias("word", "n")).join(counts, "word", "left")
     c = F.coalesce("c", F.lit(0))
-    tails = tails.groupBy(F.col("doc_id").alias("tail_id"), F.col("text_hash").alias("tail_hash")).agg(
+    tails = tails.groupBy(F.col("row").alias("tail_row")).agg(
         F.sum("n").alias("tail_n"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("tail_known"),
         F.sum(F.col("n") * F.log10(c + SMOOTHING)).alias("tail_log"))
-    same = F.col("doc_id").eqNullSafe(F.col("tail_id")) & (F.col("text_hash") == F.col("tail_hash"))
-    whole = parts.drop("tail").join(tails, same, "left").fillna(0, ["tail_n", "tail_known", "tail_log"])
+    whole = parts.drop("tail").join(tails, F.col("row") == F.col("tail_row"), "left").fillna(0, ["tail_n", "tail_known", "tail_log"])
     base = F.lit(math.log10(v.total + SMOOTHING * (v.distinct + 1)))
     return whole.select(
         "doc_id", "text_hash", "n_tokens", (F.col("hot_known") + F.col("tail_known")).alias("n_known"),
