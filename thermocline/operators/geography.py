@@ -6,7 +6,7 @@ import math
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -68,9 +68,16 @@ def _apart(a_lat: str, a_lon: str, b_lat: str, b_lon: str) -> Column:
     return F.sqrt(lat * lat + lon * lon)
 
 
-def _block_bits(spots: DataFrame) -> int:
+def _written(df: DataFrame, **numbers: Column) -> tuple[DataFrame, dict]:
+    """``df`` written to the shared folder, and sums over its rows that are taken as they pass."""
+    seen = Observation()
+    kept = staged(df.observe(seen, *(number.alias(name) for name, number in numbers.items())))
+    return kept, seen.get
+
+
+def _block_bits(spots: DataFrame, points: int) -> int:
     """Blocks are squares of 2^bits cells a side: the largest that hold at most about ``BLOCK_POINTS`` points each."""
-    if spots.count() <= BLOCK_POINTS:
+    if points <= BLOCK_POINTS:
         return MOST_BITS
     cells = spots.groupBy("cx", "cy").agg(F.least(F.count("*"), F.lit(CELL_POINTS + 1)).alias("n"))
     levels = cells.select("n", "cx", "cy", F.explode(F.sequence(F.lit(LEAST_BITS), F.lit(MOST_BITS))).alias("bits"))
@@ -109,8 +116,8 @@ def _decide(threshold: float):
     return solve
 
 
-def _round(undecided: DataFrame, threshold: float, bits: int) -> DataFrame:
-    """Points sent to the task of their block, with what was decided there.
+def _round(undecided: DataFrame, threshold: float, bits: int) -> tuple[DataFrame, dict]:
+    """Points sent to the task of their block, with what was decided there, and how many were sent and left open.
 
     A cell sends its first ``CELL_POINTS`` points and the next one, which tells where its knowledge ends: two points of one cell
     are always within the threshold, so a cell has one centre at most.  Points near a border go to the blocks behind it too.
@@ -122,30 +129,30 @@ def _round(undecided: DataFrame, threshold: float, bits: int) -> DataFrame:
     sent = first.select("ord", "lat", "lon", "cx", "cy", "over", block(0, 0).alias("home"), F.explode(reach).alias("block"))
     sent = sent.select("ord", "lat", "lon", "cx", "cy", "over", "block", (F.col("home") == F.col("block")).alias("own"))
     kind = undecided.schema["ord"].dataType.simpleString()
-    return staged(sent.groupBy("block").applyInPandas(_decide(threshold), f"ord {kind}, lat double, lon double, cx long, cy long, state int"))
+    decided = sent.groupBy("block").applyInPandas(_decide(threshold), f"ord {kind}, lat double, lon double, cx long, cy long, state int")
+    return _written(decided, sent=n_rows(), open=F.count_if(F.col("state") == UNDECIDED))
 
 
-def _leaders(spots: DataFrame, threshold: float, side: float) -> DataFrame:
+def _leaders(spots: DataFrame, threshold: float, points: int) -> DataFrame:
     """Points the greedy loop would make cluster centres.
 
     Every round solves blocks of cells inside tasks and exchanges only what happens at their borders, so rounds follow how often
     a chain of dependent points crosses a border, not its length.  Pairs of points are never formed: a point meets at most
     the centres of the 25 cells around it.
     """
-    undecided, chosen, bits = spots.select("ord", "lat", "lon", "cx", "cy"), None, _block_bits(spots)
+    undecided, chosen, bits = spots.select("ord", "lat", "lon", "cx", "cy"), None, _block_bits(spots, points)
     while True:
-        decided = _round(undecided, threshold, bits)
+        decided, counts = _round(undecided, threshold, bits)
         found = decided.filter(F.col("state") == CENTRE).drop("state")
         chosen = found if chosen is None else chosen.unionByName(found)
-        counts = decided.agg(F.count_if(F.col("state") == UNDECIDED).alias("open"), n_rows().alias("sent")).first()
-        if not counts["open"] and counts["sent"] == undecided.count():
+        if not counts["open"] and counts["sent"] == points:
             return chosen
         cover = found.select(F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"), _around())
         a, b = undecided.alias("a"), cover.alias("b")
         same = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
-        undecided = staged(
-            a.join(b, same & (_apart("a.lat", "a.lon", "b.l_lat", "b.l_lon") <= threshold), "left_anti")
-        )
+        left = a.join(b, same & (_apart("a.lat", "a.lon", "b.l_lat", "b.l_lon") <= threshold), "left_anti")
+        undecided, counts = _written(left, points=n_rows())
+        points = counts["points"]
 
 
 def cluster_floats(points: DataFrame, threshold: float = 2.0, key: str = "float_id") -> DataFrame:
@@ -157,14 +164,13 @@ def cluster_floats(points: DataFrame, threshold: float = 2.0, key: str = "float_
     points without a place take no part.
     """
     side = threshold / 1.4143 if threshold > 0 else 1.0
-    spots = staged(
+    spots, counts = _written(
         points.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
         .groupBy("lat", "lon")
         .agg(F.min(key).alias("ord"), n_rows().alias("weight"))
         .withColumn("cx", F.floor(F.col("lon") / side))
-        .withColumn("cy", F.floor(F.col("lat") / side))
-    )
-    centres = _leaders(spots, threshold, side) if threshold > 0 else spots.select("cx", "cy", "ord", "lat", "lon")
+        .withColumn("cy", F.floor(F.col("lat") / side)), points=n_rows())
+    centres = _leaders(spots, threshold, counts["points"]) if threshold > 0 else spots.select("cx", "cy", "ord", "lat", "lon")
     cover = centres.select("ord", F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"),
                            _around())
     near = _apart("lat", "lon", "l_lat", "l_lon") <= threshold
