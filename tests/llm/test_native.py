@@ -144,7 +144,7 @@ def test_secrets(spark, monkeypatch, odd_docs):
 def test_allow_list(spark):
     word = secret(40, 6)
     docs = spark.createDataFrame([(1, word)], "doc_id long, text string")
-    assert secret_scan.scan(docs).first()["spans"] and not secret_scan.scan(docs, allowed=f"^{word}$").first()["spans"]
+    assert secret_scan.scan(docs).first()["spans"] and not secret_scan.scan(docs, allowed=word[8:20]).first()["spans"]
 
 
 def test_lines(spark, monkeypatch):
