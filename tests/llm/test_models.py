@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -204,7 +205,7 @@ def test_toxicity_on_held_out_documents(spark, monkeypatch):
     assert row["text"][hit["start"]:hit["stop"]] == " w1 vilest w2" and hit["number"] == 1 and row["tox_score"] > 0.5
 
 
-def test_toxicity_of_odd_documents(spark, odd_docs, no_docs):
+def test_toxicity_of_odd_documents(spark, monkeypatch, odd_docs, no_docs):
     docs, labels = labelled(200)
     d = spark.createDataFrame(docs, "doc_id long, text string")
     y = spark.createDataFrame(labels + [(5, None), (None, 1), (7, 1), (7, 0)], "doc_id long, toxic int")
@@ -215,12 +216,11 @@ def test_toxicity_of_odd_documents(spark, odd_docs, no_docs):
     assert toxicity.score(no_docs, model).count() == 0
     assert toxicity.train(d, y.limit(0)).leak == 0.0 and toxicity.train(no_docs, y).leak == 0.0
     assert toxicity.train(d, y.filter("toxic = 1")).leak == 1.0
-    monkey = toxicity.BROADCAST_LABELS
-    try:
-        toxicity.BROADCAST_LABELS = 0
-        assert toxicity.labelled(d, y).count() == sum(1 for _ in toxicity.labelled(d, y).collect())
-    finally:
-        toxicity.BROADCAST_LABELS = monkey
+    broadcast = sorted(map(tuple, toxicity.labelled(d, y).collect()))
+    known = {i: max(t for j, t in (*labels, (7, 1), (7, 0)) if j == i) for i, _ in labels}
+    assert broadcast == sorted((i, text, known[i]) for i, text in docs if i in known and zlib.crc32(str(i).encode()) % 5)
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
+    assert sorted(map(tuple, toxicity.labelled(d, y).collect())) == broadcast  # met in a shuffle
 
 
 def unigram(texts, training):
