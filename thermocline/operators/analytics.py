@@ -231,12 +231,16 @@ def _moments(df: DataFrame, columns, by=()) -> DataFrame:
     return wide.select(*by, F.inline(cells)).select(*by, "parameter", "s.*").filter(F.col("count") > 0)
 
 
+#: What the quantile pass takes along of each column.
+MOMENTS = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+
+
 def parameter_statistics(df: DataFrame, columns=None) -> DataFrame:
     """count, mean, median, std, min, max, quartiles, range and variation of each column that has a value."""
     columns = [c for c in (columns or parameter_columns(df)) if c in df.columns]
-    q = quantiles(df, columns, (0.25, 0.5, 0.75), ("q25", "median", "q75"))
+    q = quantiles(df, columns, (0.25, 0.5, 0.75), ("q25", "median", "q75"), besides=MOMENTS)
     variation = F.when(F.col("mean") != 0, F.col("std") / F.col("mean")).otherwise(0.0)
-    return _moments(df, columns).join(q, "parameter").select(
+    return q.select(
         "parameter", "count", "mean", "median", "std", "min", "max", "q25", "q75",
         (F.col("max") - F.col("min")).alias("range"), variation.alias("coefficient_of_variation"),
     )
@@ -250,8 +254,7 @@ def summary_table(df: DataFrame, columns) -> DataFrame:
 def data_summary(df: DataFrame, columns=SUMMARY_COLUMNS) -> DataFrame:
     """Mean, median, std, min, max and count of the listed columns that exist."""
     columns = [c for c in columns if c in df.columns]
-    q = quantiles(df, columns, (0.5,), ("median",))
-    return _moments(df, columns).join(q, "parameter").select(
+    return quantiles(df, columns, (0.5,), ("median",), besides=MOMENTS).select(
         "parameter", "mean", "median", "std", "min", "max", "count"
     )
 

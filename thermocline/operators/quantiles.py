@@ -96,25 +96,33 @@ def _narrowed(work: DataFrame, at: _Brackets, cells, most: int) -> _Brackets:
     return _Brackets(work, at.by, grids.select(*at.by, *moved))
 
 
-def quantiles(df: DataFrame, columns, probs, names, by=(), accuracy: int = 20_000, inside: int = INSIDE) -> DataFrame:
-    """One row per group and column (``parameter``) with one output column per probability; nulls are left out."""
-    columns, by = list(columns), list(by)
+def quantiles(df: DataFrame, columns, probs, names, by=(), accuracy: int = 20_000, inside: int = INSIDE, besides=None) -> DataFrame:
+    """One row per group and column (``parameter``) with one output column per probability; nulls are left out.
+
+    ``besides`` names other aggregates of each column, functions of the column, that the first pass takes along; only without
+    groups.
+    """
+    columns, by, besides = list(columns), list(by), besides or {}
+    if by and besides:
+        raise ValueError("other aggregates are taken along only without groups")
     if not columns:
-        empty = df.select(*by, F.lit("").alias("parameter"), *(F.lit(None).cast("double").alias(name) for name in names))
-        return empty.limit(0)
+        nothing = [F.lit(None).cast("double").alias(name) for name in (*names, *besides)]
+        return df.select(*by, F.lit("").alias("parameter"), *nothing).limit(0)
     cells = [(j, i) for j in range(len(columns)) for i in range(len(probs))]
     work = df.select(*by, *[(F.lit(0.0) + F.col(c).cast("double")).alias(f"_v{j}") for j, c in enumerate(columns)])
     slack = 2.0 / accuracy
     marks = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
     summary = work.groupBy(*by).agg(*[f.alias(f"{name}_{j}") for j in range(len(columns)) for name, f in (
         ("n", F.count(f"_v{j}")), ("m", F.percentile_approx(f"_v{j}", F.array(*map(F.lit, marks)), accuracy)),
-        ("least", F.min(f"_v{j}")), ("most", F.max(f"_v{j}")))])
-    bounds = []
+        ("least", F.min(f"_v{j}")), ("most", F.max(f"_v{j}")), *((f"also_{k}", f(F.col(f"_v{j}"))) for k, f in enumerate(besides.values())))])
+    bounds = [F.col(f"also_{k}_{j}") for j in range(len(columns)) for k in range(len(besides))]
     for j, i in cells:
         low = F.col(f"least_{j}") if marks[i] == 0.0 else F.col(f"m_{j}")[i]
         high = F.col(f"most_{j}") if marks[len(probs) + i] == 1.0 else F.col(f"m_{j}")[len(probs) + i]
         bounds += [(F.lit(float(probs[i])) * (F.col(f"n_{j}") - 1)).alias(f"at_{j}_{i}"), low.alias(f"lo_{j}_{i}"), high.alias(f"hi_{j}_{i}")]
-    at = _counted(work, _Brackets(work, by, summary.select(*by, *bounds)), cells, inside)
+    at = _Brackets(work, by, summary.select(*by, *bounds))
+    also = [F.element_at(F.array(*(at[f"also_{k}_{j}"] for j in range(len(columns)))), F.col("j") + 1).alias(name) for k, name in enumerate(besides)]
+    at = _counted(work, at, cells, inside)
     while at.wide:
         before = at
         at = _counted(work, _narrowed(work, at, cells, inside), cells, inside)
@@ -132,4 +140,4 @@ def quantiles(df: DataFrame, columns, probs, names, by=(), accuracy: int = 20_00
         F.max(F.when(covers(F.ceil("at")), F.col("value"))).alias("b"))
     value = F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a"))
     wide = ends.withColumn("value", value).groupBy(*by, "j").agg(*(F.max(F.when(F.col("i") == i, F.col("value"))).alias(name) for i, name in enumerate(names)))
-    return wide.select(*by, F.element_at(F.array(*map(F.lit, columns)), F.col("j") + 1).alias("parameter"), *names)
+    return wide.select(*by, F.element_at(F.array(*map(F.lit, columns)), F.col("j") + 1).alias("parameter"), *names, *also)
