@@ -89,9 +89,8 @@ GROUP BY region""")
 def casts_in_boxes(spark, folder):
     """Profiles in each of as many boxes as there are customers."""
     boxes = spark.sql(BOXES, customer=table(spark, folder, "customer"))
-    tagged = rg.in_regions(view(spark, folder, "casts"), boxes, "profile_lat", "profile_lon")
-    return tagged.groupBy("region").agg(F.count("*").alias("profiles"), F.count_distinct("float_id").alias("floats"),
-                                        F.min("profile_id").alias("first_profile"))
+    counts = rg.counts_in_regions(view(spark, folder, "casts"), boxes, "profile_id", "float_id", "profile_lat", "profile_lon")
+    return counts.select("region", F.col("points").alias("profiles"), F.col("labels").alias("floats"), F.col("first").alias("first_profile"))
 
 
 @query("filter_float_ids", views="measurements float_cards", sql="""
