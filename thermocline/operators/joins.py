@@ -15,14 +15,28 @@ def rows_by_ids(measurements: DataFrame, ids: DataFrame) -> DataFrame:
     return measurements.join(ids.select("id").distinct(), "id", "left_semi")
 
 
+def placed_readings(readings: DataFrame, casts: DataFrame) -> DataFrame:
+    """Readings with the float, time and place of their profile: measurements.
+
+    For a choice of readings or profiles that is made before the big tables meet.
+    """
+    places = casts.select("profile_id", "float_id", F.col("profile_date").alias("time"), F.col("profile_lat").alias("lat"),
+                          F.col("profile_lon").alias("lon"))
+    return readings.join(places, "profile_id")
+
+
 def profiles_by_ids(measurements: DataFrame, profiles: DataFrame, floats: DataFrame, ids: DataFrame) -> DataFrame:
     """Listed measurements with cycle number and WMO number, in float, cycle, depth order.
 
     The id list cuts the measurements down first; only what is left is joined.
     """
+    return with_numbers(rows_by_ids(measurements, ids), profiles, floats)
+
+
+def with_numbers(measurements: DataFrame, profiles: DataFrame, floats: DataFrame) -> DataFrame:
+    """Measurements with cycle number and WMO number, in float, cycle, depth order."""
     return (
-        rows_by_ids(measurements, ids)
-        .join(profiles.select("profile_id", "cycle_number"), "profile_id")
+        measurements.join(profiles.select("profile_id", "cycle_number"), "profile_id")
         .join(floats.select("float_id", "wmo_id"), "float_id")
         .select("id", "time", "lat", "lon", "depth", "temperature", "salinity", "oxygen", "ph", "chlorophyll",
                 "float_id", "profile_id", "cycle_number", "wmo_id")
