@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions import predicates as p
 from ..operators import filters as f
+from ..operators import joins as j
 from ..operators import regions as rg
 from ..operators.filters import Filters
 from ..sources.binding import event_log, table, view
@@ -110,8 +111,8 @@ SELECT m.* FROM measurements m WHERE m.float_id IN (SELECT float_id FROM floats
 def filter_wmo_active(spark, folder):
     """Active floats heard of within a year whose WMO number is in a list, here one taken from another table."""
     wanted = table(spark, folder, "supplier").selectExpr("5900000 + s_suppkey AS wmo_id")
-    return f.by_fleet(view(spark, folder, "measurements"), view(spark, folder, "floats"), wanted, active_only=True,
-                      recent_days=365, as_of=AS_OF).select(view(spark, folder, "measurements").columns)
+    casts = f.by_fleet(view(spark, folder, "casts"), view(spark, folder, "floats"), wanted, active_only=True, recent_days=365, as_of=AS_OF)
+    return j.placed_readings(view(spark, folder, "readings"), casts).select(view(spark, folder, "measurements").columns)
 
 
 SHARE_SQL = ("(count(temperature) + count(salinity) + count(oxygen) + count(ph) + count(chlorophyll)) "
