@@ -70,6 +70,7 @@ def hash_unit(key: str, seed: int = SEED) -> Column:
     return (digits + 1).cast("double") / F.lit(float(1 << 52))
 
 
+BROADCAST_CATEGORIES = 500_000  # categories up to which their frequencies are broadcast
 BAND = 6.0  # half width of the band in standard deviations of the number of scores below it
 BAND_LEAST = 20
 
@@ -229,7 +230,9 @@ def sample_importance(df: DataFrame, c: SamplingConfig) -> DataFrame:
             return df.limit(0)
         weighted = df.withColumn("_w", F.abs(F.col(column) - F.lit(mean)))
     else:
-        counts = df.groupBy(column).agg(n_rows().alias("_f"))
+        counts = durable(df.groupBy(column).agg(n_rows().alias("_f")))
+        # a join by few categories would send each of them to one task
+        counts = F.broadcast(counts) if counts.count() <= BROADCAST_CATEGORIES else counts
         weighted = df.join(counts, column).withColumn("_w", 1.0 / F.col("_f")).drop("_f").select(*df.columns, "_w")
     scored = weighted.filter(F.col("_w") > 0).withColumn("_e", -F.log(hash_unit(c.key, c.seed)) / F.col("_w"))
     return scored.orderBy("_e", c.key).limit(c.target_size).drop("_w", "_e")
