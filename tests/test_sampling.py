@@ -163,3 +163,19 @@ def test_temporal_bins_of_one(table):
     assert s.sample_temporal(table, c).count() == 100
     assert replace(c, seed=7) != c
     assert keys(s.sample_random(table, replace(c, seed=7))) != keys(s.sample_random(table, c))
+
+
+def test_frequencies_of_few_categories_are_broadcast(spark, monkeypatch):
+    """Joined by category, each would go to one task; with very many the join is shuffled, and the sample is the same."""
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN 'a' ELSE 'b' END AS kind")
+    config = SamplingConfig(target_size=50, importance_column="kind")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        drawn = s.sample_importance(rows, config)
+        assert "BroadcastHashJoin" in drawn._jdf.queryExecution().toString()
+        monkeypatch.setattr(s, "BROADCAST_CATEGORIES", 1)
+        shuffled = s.sample_importance(rows, config)
+        assert "BroadcastHashJoin" not in shuffled._jdf.queryExecution().toString()
+        assert sorted(drawn.collect()) == sorted(shuffled.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
