@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -10,6 +15,8 @@ from ..functions.columns import fixed_text, n_rows
 
 TOP = 20
 BLOCK_BYTES = 8 << 20  # query vectors compared in one pass over the documents
+PAIRS = 1 << 22  # products at a time: 32 MB
+MEASURED = 50_000  # gaps at a time: 25 MB of vectors of 64 components
 ABSENT = "not available"
 
 
@@ -134,41 +141,76 @@ def vector_topk(documents: DataFrame, vector: list[float], k: int = TOP, key: st
     return near.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))  # k rows
 
 
-def _nearest_of_partition(shared, k: int, query_type):
+class Nearest:
+    """The k nearest of each query among vectors that come a piece at a time.
+
+    Matrix products give all squared distances up to rounding, and what they rule out against a query's k-th nearest so
+    far is left.  The others are measured as sums of squared gaps, so that the result does not depend on the products.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.norms = np.einsum("ij,ij->i", queries, queries)
+        self.limits = np.full(len(queries), np.inf)  # distance of the k-th nearest
+        self.found, self.waiting = [], 0  # (number of the query, distance, key) in pieces; rows since the last cut
+
+    def add(self, keys: pa.Array, rows: np.ndarray, which: np.ndarray | None = None) -> None:
+        """Compare ``rows`` with all queries, or with those numbered ``which``."""
+        which = np.arange(len(self.queries)) if which is None else which
+        norms = np.einsum("ij,ij->i", rows, rows)
+        step = max(1, PAIRS // max(len(rows), 1))
+        for start in range(0, len(which) if len(rows) else 0, step):
+            mine = which[start:start + step]
+            asked = self.queries[mine]
+            with np.errstate(all="ignore"):  # what is not finite rules nothing out
+                about = asked @ rows.T
+                about *= -2
+                about += norms
+                unsure = 16 * (rows.shape[1] + 4) * np.finfo(float).eps * (self.norms[mine] + norms.max())
+                limits = self.limits[mine] - self.norms[mine]
+                first = np.flatnonzero(np.isinf(limits))
+                if len(rows) > self.k and len(first):
+                    limits[first] = np.partition(about[first], self.k - 1, axis=1)[:, self.k - 1]
+                query, row = np.nonzero(~(about > (limits + unsure)[:, None]))
+            for i in range(0, len(query), MEASURED):
+                q, r = query[i:i + MEASURED], row[i:i + MEASURED]
+                gap = rows[r] - asked[q]
+                self.found.append((mine[q], np.einsum("ij,ij->i", gap, gap), keys.take(pa.array(r))))
+            self.waiting += len(query)
+            if self.waiting > max(MEASURED, self.k * len(self.queries)):
+                self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The k nearest of each query so far, equal distances by key."""
+        which, distance = (np.concatenate([f[i] for f in self.found]) for i in (0, 1))
+        keys = pa.concat_arrays([f[2] for f in self.found])
+        order = np.lexsort((pc.rank(keys, null_placement="at_start", tiebreaker="dense").to_numpy(), distance, which))
+        place = np.arange(len(order)) - np.searchsorted(which[order], which[order])
+        order, place = order[place < self.k], place[place < self.k]
+        which, distance, keys = which[order], distance[order], keys.take(pa.array(order))
+        self.limits[which[place == self.k - 1]] = distance[place == self.k - 1]
+        self.found, self.waiting = [(which, distance, keys)], 0
+        return which, distance, keys
+
+    def rows(self, names: pa.Array) -> Iterator[pa.RecordBatch]:
+        if self.found:
+            which, distance, keys = self.cut()
+            for i in range(0, len(which), MEASURED):
+                part = slice(i, i + MEASURED)
+                yield pa.record_batch([names.take(pa.array(which[part])), keys[part], pa.array(distance[part])], ["query", "key", "distance"])
+
+
+def _nearest_of_partition(shared, k: int):
     """A task's k nearest documents of every query, from column batches of (key, vector)."""
-    import numpy as np
-    import pyarrow as pa
-
-    def run(batches):
-        asked = shared.value
-        by_size: dict[int, list] = {}
-        for i, (_, vector) in enumerate(asked):
-            by_size.setdefault(len(vector), []).append((i, np.array(vector, dtype="float64")))
-        best: list = [None] * len(asked)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_size = {queries.shape[1]: (names, Nearest(queries, k)) for names, queries in shared.value}
         for batch in batches:
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            for size, queries in by_size.items():
-                mine = np.flatnonzero(sizes == size)
-                if not len(mine):
-                    continue
-                part = batch.take(pa.array(mine))
-                keys, rows = part.column(0), np.asarray(part.column(1).flatten(), dtype="float64").reshape(len(mine), -1)
-                for i, query in queries:
-                    gap = rows - query
-                    distance = np.einsum("ij,ij->i", gap, gap)
-                    near = pa.table({"key": keys, "distance": pa.array(distance)})
-                    if len(near) > k:
-                        near = near.filter(pa.array(distance <= np.partition(distance, k - 1)[k - 1]))
-                    if best[i] is not None:
-                        near = pa.concat_tables([best[i], near])
-                    best[i] = near.sort_by([("distance", "ascending"), ("key", "ascending")]).slice(0, k)
-        for (name, _), near in zip(asked, best):
-            if near is not None:
-                near = near.combine_chunks()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(near), type=query_type), *(near[c].combine_chunks() if near[c].num_chunks != 1
-                                                     else near[c].chunk(0) for c in ("key", "distance"))],
-                    names=["query", "key", "distance"])
+            sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for size, (_, nearest) in by_size.items():
+                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                nearest.add(part.column(0), np.asarray(part.column(1).flatten(), dtype="float64").reshape(part.num_rows, size))
+        for names, nearest in by_size.values():
+            yield from nearest.rows(names)
 
     return run
 
@@ -178,23 +220,28 @@ def vector_topk_batch(documents: DataFrame, queries: DataFrame, k: int = TOP, ke
     """The k nearest documents of every query vector.
 
     The queries are dealt by a hash of their key into blocks of about ``block_bytes``, so passes follow the bytes of the queries.  A
-    block is broadcast to the tasks of one pass over the documents: a task compares its column batches with all of it and
-    hands on k rows per query, so the shuffle carries k rows per task and query.  A query meets the documents with a complete vector of its own
+    block is broadcast to the tasks of one pass over the documents, which are dealt to as many tasks as run at once, however
+    few files hold them: a task compares its column batches with all of it and hands on k rows per query, so the shuffle carries
+    k rows per task and query.  A query meets the documents with a complete vector of its own
     length; a query whose vector is missing or incomplete has no neighbours.
     """
     kinds = {c: df.schema[c].dataType.simpleString() for c, df in ((query_key, queries), (key, documents))}
     schema = f"query {kinds[query_key]}, key {kinds[key]}, distance double"
     query_type = to_arrow_type(queries.schema[query_key].dataType)
     wanted = usable_vectors(queries, None, "vector").select(query_key, "vector")
-    whole = usable_vectors(documents, None, embedding).select(key, embedding)
+    context = documents.sparkSession.sparkContext
+    whole = usable_vectors(documents, None, embedding).select(key, embedding).repartition(context.defaultParallelism, key)
     asked_bytes = wanted.agg(F.sum(F.size("vector") * 8)).first()[0] or 0
     blocks = -(-asked_bytes // block_bytes)
     near = documents.sparkSession.createDataFrame([], schema)
     for number in range(blocks):
         asked = wanted.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == number).collect()  # about ``block_bytes``
         if asked:
-            shared = documents.sparkSession.sparkContext.broadcast([(q[query_key], list(q["vector"])) for q in asked])
-            near = near.union(whole.mapInArrow(_nearest_of_partition(shared, k, query_type), schema))
+            sizes = sorted({len(q["vector"]) for q in asked})
+            alike = [[q for q in asked if len(q["vector"]) == size] for size in sizes]
+            shared = context.broadcast([(pa.array([q[query_key] for q in part], query_type), np.array([q["vector"] for q in part], dtype="float64"))
+                                        for part in alike])
+            near = near.union(whole.mapInArrow(_nearest_of_partition(shared, k), schema))
     spot = F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))
     best = near.withColumn("rank", spot).filter(F.col("rank") <= k)
     return best.withColumnsRenamed({"query": query_key, "key": key})
