@@ -1,6 +1,7 @@
 import datetime as dt
 import types
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -213,3 +214,37 @@ def test_stream_intake(spark, tmp_path):
     stream().awaitTermination(120)
     assert sorted(rows()) == [*want, ("ARGO_78", dt.date(2024, 1, 31), 8.0)]
     assert spark.read.parquet(str(tmp_path / "t/floats/batch=2")).count() == 1  # what is written follows the batch
+
+
+def test_services_share_a_state():
+    """A call of the state takes all services of a bucket, a missing one among them, through settled failures and late successes."""
+    class Held:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    g = np.random.default_rng(6)
+    runs_ = failures.Runs("bigint")
+    runs_.state = Held()
+    seen, stands = [], {}
+    for batch in range(12):
+        rows = pd.DataFrame({"service": pd.array(g.choice([1, 2, 3, None, 5, 6], 9).tolist(), "Int64").astype(object), "at": batch * 100 + g.integers(-90, 100, 9),
+                             "event_id": batch * 9 + np.arange(9), "failed": g.random(9) < 0.8})
+        rows["service"] = rows["service"].map(lambda x: None if x is pd.NA else x)
+        seen.append(rows)
+        parts = pd.concat(failures._reduced(iter([rows[:4], rows[4:]])))
+        timer = types.SimpleNamespace(getCurrentWatermarkInMs=lambda b=batch: (b * 100 - 150) / 1000)
+        (out,) = runs_.handleInputRows((0,), iter([parts]), timer)
+        assert len(out) == rows["service"].nunique(dropna=False)
+        stands.update({r.service: r for r in out.itertuples()})
+    every = pd.concat(seen)
+    for service, row in stands.items():
+        mine = every[every["service"].isna() if service is None else every["service"] == service].sort_values(["at", "event_id"])
+        run = mine[mine["failed"][::-1].cummin()[::-1].to_numpy()]
+        assert (row.events, row.failures, row.last_event, row.consecutive_failures) == (len(mine), mine["failed"].sum(), mine["at"].max(), len(run))
+        assert row.failing_since is pd.NA if run.empty else row.failing_since == run["at"].min()
+    assert len(stands) == 6
