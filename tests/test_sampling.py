@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 from dataclasses import replace
 
 import numpy as np
@@ -179,3 +180,31 @@ def test_frequencies_of_few_categories_are_broadcast(spark, monkeypatch):
         assert sorted(drawn.collect()) == sorted(shuffled.collect())
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_whole_procedure_reads_the_table_in_few_passes(spark):
+    """Rows and time span in one pass, extremes and recent rows in one job, drawn rows and those of the extremes in one pass."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(3000).select("id", (F.col("id") % 97).cast("double").alias("depth"), F.expr("timestamp_seconds(id * 7919 % 3000)").alias("date"))
+    table = rows.mapInArrow(counted, rows.schema)
+    c = s.SamplingConfig(target_size=100, preserve_recent=True)
+    got = {r["id"] for r in s.sample(table, c).collect()}
+    assert read.value == 4 * 3000  # before: 6
+    digest = lambda i: (hashlib.md5(f"{i}|42".encode()).hexdigest(), i)
+    recent = [i for i in range(3000) if i * 7919 % 3000 >= 2999 - 299.9][:5]
+    want = list(dict.fromkeys(sorted({0, 96, 2999, *recent}, key=digest) + sorted(range(3000), key=digest)))[:100]
+    assert got == set(want)
+
+
+def test_hashes_of_many_equal_keys(spark):
+    """Keys that repeat share a hash: the band can hold too few rows and is widened."""
+    rows = spark.range(50_000).select((F.col("id") % 4).alias("id"), F.col("id").cast("double").alias("depth"))
+    near, low = s._near_hash(rows, 60, 50_000, "id", 42, [])
+    assert near.filter(low).count() >= 60
+    assert s.sample(rows, s.SamplingConfig(target_size=60, preserve_extremes=False)).count() == 1

@@ -18,6 +18,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.columns import left_closed_bin, n_rows, right_closed_bin, seconds
 from ..session import durable
@@ -130,6 +131,20 @@ def take_by_strata(df: DataFrame, strata, key: str, seed: int = SEED) -> DataFra
     return whole.unionAll(ranked.filter(keep).select(*df.columns))
 
 
+def _near_hash(df: DataFrame, n: int, rows: int, key: str, seed: int, keys: list) -> tuple[DataFrame, Column]:
+    """Rows among which are the n of smallest hashes, with those that have one of ``keys``, kept; and which of them are the former.
+
+    The condition asks for the key only, so that it comes before joins that others of the columns need.
+    """
+    width = BAND
+    while True:
+        low = hash_unit(key, seed) <= F.lit(_cuts(n, rows, width)[1])
+        near = durable(df.filter(low | F.col(key).isin(keys) if keys else low))
+        if near.filter(low).count() >= min(n, rows):
+            return near, low
+        width *= 4
+
+
 def take_by_hash(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFrame:
     """The n rows of smallest hashes, or all there are: every task keeps its n first ones, in one scan."""
     return df.orderBy(hash_text(key, seed), key).limit(n)
@@ -249,23 +264,26 @@ STRATEGIES = {
 }
 
 
+def _extremes(df: DataFrame, c: SamplingConfig, columns=None) -> list[Column]:
+    """Aggregates: the keys of the least and greatest row of each numeric column."""
+    key, ends = F.col(c.key), []
+    for i, name in enumerate(columns or numeric_columns(df)):
+        value = F.col(name).cast("double")
+        there = F.col(name).isNotNull()
+        ends.append(F.min_by(key, F.when(there, F.struct(value, key))).alias(f"lo{i}"))
+        ends.append(F.min_by(key, F.when(there, F.struct(-value, key))).alias(f"hi{i}"))
+    return ends
+
+
 def extreme_keys(df: DataFrame, c: SamplingConfig, columns=None, most: int | None = None) -> list:
     """Keys of the least and greatest row of each numeric column; one aggregation.
 
     Among equal values the smallest key wins.  ``most`` keeps the first so many, in column order.
     """
-    columns = list(columns or numeric_columns(df))
-    if not columns:
+    ends = _extremes(df, c, columns)
+    if not ends:
         return []
-    key = F.col(c.key)
-    ends = []
-    for i, name in enumerate(columns):
-        value = F.col(name).cast("double")
-        there = F.col(name).isNotNull()
-        ends.append(F.min_by(key, F.when(there, F.struct(value, key))).alias(f"lo{i}"))
-        ends.append(F.min_by(key, F.when(there, F.struct(-value, key))).alias(f"hi{i}"))
-    row = df.agg(*ends).first()
-    kept = list(dict.fromkeys(k for k in row if k is not None))
+    kept = list(dict.fromkeys(k for k in df.agg(*ends).first() if k is not None))
     return kept if most is None else kept[:most]
 
 
@@ -273,31 +291,50 @@ def preserve_extremes(df: DataFrame, c: SamplingConfig, columns=None) -> DataFra
     return df.filter(F.col(c.key).isin(extreme_keys(df, c, columns)))
 
 
+def _newest(df: DataFrame, c: SamplingConfig, column: str, low, high) -> DataFrame:
+    recent = df.filter(seconds(F.col(column)) >= F.lit(high - (high - low) * 0.1))
+    return head_rows(recent, [c.key], max(1, int(c.target_size * 0.05)))
+
+
 def preserve_recent(df: DataFrame, c: SamplingConfig) -> DataFrame:
     """Rows of the last tenth of the time span in key order, at most max(1, target // 20)."""
     column = _name(df, DATE_NAMES)
     if column is None:
         return df.limit(0)
-    at = seconds(F.col(column))
-    ((low, high),) = _bounds(df, at)
-    if low is None:
-        return df.limit(0)
-    recent = df.filter(at >= F.lit(high - (high - low) * 0.1))
-    return head_rows(recent, [c.key], max(1, int(c.target_size * 0.05)))
+    ((low, high),) = _bounds(df, seconds(F.col(column)))
+    return df.limit(0) if low is None else _newest(df, c, column, low, high)
 
 
 def sample(df: DataFrame, c: SamplingConfig) -> DataFrame:
     """The whole procedure: strategy, rows kept on purpose, no duplicates, never more than the target.
 
-    A table no larger than the target comes back unchanged.
+    A table no larger than the target comes back unchanged.  A first pass needs the time only and counts the rows; extremes and recent
+    rows are found in one job, where a joined table is shuffled once; a random sample and the rows of the extremes are read
+    in one pass, which leaves out by key what cannot be among them.
     """
-    if df.count() <= c.target_size:
+    date = _name(df, DATE_NAMES) if c.preserve_recent else None
+    ends = _extremes(df, c) if c.preserve_extremes else []
+    span = [f(seconds(F.col(date))) for f in (F.min, F.max)] if date else []
+    rows, *bounds = df.agg(n_rows(), *span).first()
+    if rows <= c.target_size:
         return df
-    drawn = STRATEGIES[c.strategy](df, c).withColumn("_kept", F.lit(1))
-    if c.preserve_recent:
-        drawn = preserve_recent(df, c).withColumn("_kept", F.lit(0)).unionByName(drawn)
-    if c.preserve_extremes:
-        drawn = preserve_extremes(df, c).withColumn("_kept", F.lit(0)).unionByName(drawn)
+    newest = _newest(df, c, date, *bounds) if span and bounds[0] is not None else df.limit(0)
+    row = F.struct(*df.columns)
+    found = newest.select(F.lit(None).cast(ArrayType(df.schema[c.key].dataType)).alias("_keys"), row.alias("_row"))
+    if ends:
+        found = found.unionAll(df.agg(F.array(*ends).alias("_keys")).select("_keys", F.lit(None).cast(df.schema).alias("_row")))
+    found = durable(found)
+    keys = [k for r in found.filter("_keys IS NOT NULL").collect() for k in dict.fromkeys(r["_keys"]) if k is not None]  # two a column
+    if c.strategy is Strategy.RANDOM or (c.strategy is Strategy.IMPORTANCE and c.importance_column not in df.columns):
+        near, unit = _near_hash(df, c.target_size, rows, c.key, c.seed, keys)
+        drawn, extremes = take_by_hash(near.filter(unit), c.target_size, c.key, c.seed), near.filter(F.col(c.key).isin(keys))
+    else:
+        drawn, extremes = STRATEGIES[c.strategy](df, c), df.filter(F.col(c.key).isin(keys))
+    drawn = drawn.withColumn("_kept", F.lit(1))
+    if span:
+        drawn = found.filter("_row IS NOT NULL").select("_row.*").withColumn("_kept", F.lit(0)).unionByName(drawn)
+    if keys:
+        drawn = extremes.withColumn("_kept", F.lit(0)).unionByName(drawn)
     # one row per key, those kept on purpose first in line for the cut
     rest = [n for n in df.columns if n != c.key]
     once = drawn.groupBy(c.key).agg(F.min("_kept").alias("_kept"), F.any_value(F.struct(*rest)).alias("_row"))
