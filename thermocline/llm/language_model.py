@@ -5,8 +5,9 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ HIDDEN = 16
 WINDOW_TOKENS = 32_768  # a window has about as many tokens, and so more steps when few lanes are left,
 SHORTEST, LONGEST = 16, 512  # but in training, where it also truncates backpropagation, between so many steps
 LANES = 512  # texts processed side by side
+PART = 16  # neighbouring words of a class, of which one softmax tells one from the others
+STACKED = 4  # runs of rows are stacked with others of about their length, those up to so long with each other
 GROUP_TOKENS = 1_500_000  # tokens gathered before they are laid out in lanes
 ROUNDS = 2  # averagings in the one pass over the training texts
 FIRST_RATE, RATE, WARM = 0.08, 0.25, 16  # the rate of Adagrad rises over so many windows: its first steps are the largest
@@ -32,6 +35,8 @@ PASSES, LEAST_WINDOW = 64, 4_096  # few texts are cut into more windows in train
 FLAT = np.float32(1e-8)  # squared gradients far below it bring small steps
 FLUSH = 200_000  # different words a task counts before it hands them on
 BLOCK = 8_192  # parameters averaged by one group
+HANDED_ON = 256  # such blocks in a batch
+TOGETHER = 512  # runs of such rows in one product
 CACHED = 65_536  # parameters updated, or logits computed, at a time
 SEED = 5
 STEEPEST = np.float32(60)  # no logit is above it; shares are normalised, so sums stay finite without looking for the largest
@@ -43,11 +48,14 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def _strings(words: Iterable[bytes]) -> pa.Array:
+    return pa.array(list(words), pa.binary()).cast(pa.string())
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of words, the end counted once per text."""
     def rows(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in counts], pa.string()),
-                                           pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        return pa.RecordBatch.from_arrays([_strings(counts), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     counts = Counter()
     for batch in batches:
@@ -109,27 +117,127 @@ def vocabulary(counts: DataFrame, hot: int = HOT_WORDS, outputs: int = VOCABULAR
                       levels["total"] or 0, levels["distinct"] or 0, min(outputs, len(rows)))
 
 
-def _sigmoid(x):
-    return 1.0 / (1.0 + np.exp(-x))
+def _order(words: np.ndarray) -> np.ndarray:
+    """Positions of ``words`` in ascending order, of equal ones in theirs: whole numbers sort faster than positions by them."""
+    keys = words.astype(np.int64) << 32 | np.arange(len(words))
+    keys.sort()
+    return keys & 0xFFFFFFFF
 
 
-def _layer(s, w, b, picked, scale=None):
-    """Log probability of one entry per row among the softmax of ``s @ w.T + b``.
+def _levels(s, w, visits, picked, scale=None):
+    """Log probabilities of chosen rows of ``w`` among their neighbours, each in a softmax of products with rows of ``s``.
 
-    With ``scale`` also the gradients of -scale times their sum: by ``s``, by ``w`` and by ``b``.
+    A visit (start, stop, low, high) takes rows from ``start`` up to ``stop`` of ``s`` and from ``low`` up to ``high`` of ``w``;
+    ``picked`` holds the chosen row of ``w`` for each row of ``s`` in each visit.  Returned is the sum by row of ``s``, and with
+    ``scale`` also the gradients of -scale times the sum of all: by ``s`` and by ``w``.
     """
-    e, rows, ones = s @ w.T, np.arange(len(s)), np.ones(max(s.shape[0], w.shape[0]), s.dtype)
-    e += b
-    np.minimum(e, STEEPEST, out=e)
-    chosen = e[rows, picked]
-    np.exp(e, out=e)
-    total = e @ ones[:e.shape[1]]
-    log = chosen - np.log(total)
+    counts, widths = np.array([v[1] - v[0] for v in visits]), np.array([v[3] - v[2] for v in visits])
+    ends = np.cumsum(counts * widths)
+    products = np.empty(int(ends[-1]), np.result_type(s, w))
+    views = [products[end - m * n:end].reshape(m, n) for end, m, n in zip(ends.tolist(), counts.tolist(), widths.tolist())]
+    for e, (start, stop, low, high) in zip(views, visits):
+        np.matmul(s[start:stop], w[low:high].T, out=e)
+    np.minimum(products, STEEPEST, out=products)
+    width = np.repeat(widths, counts)
+    first = np.cumsum(width) - width
+    chosen = first + picked - np.repeat([v[2] for v in visits], counts)
+    log = products[chosen]
+    np.exp(products, out=products)
+    total, last = np.empty(len(log), products.dtype), np.cumsum(counts).tolist()
+    ones = np.ones(widths.max(), products.dtype)
+    for e, m, n in zip(views, counts.tolist(), last):
+        np.matmul(e, ones[:e.shape[1]], out=total[n - m:n])
+    log -= np.log(total)
+    rows = np.arange(counts.sum()) + np.repeat([v[0] for v in visits] - np.cumsum(counts) + counts, counts)
+    found = np.bincount(rows, weights=log, minlength=len(s))
     if scale is None:
-        return log, None, None, None
-    e *= (scale / total)[:, None]
-    e[rows, picked] -= scale
-    return log, e @ w, e.T @ s, ones[:len(e)] @ e
+        return found, None, None
+    products *= np.repeat(scale / total, width)
+    products[chosen] -= scale
+    by_s, by_w = np.zeros_like(s), np.zeros_like(w)
+    for e, (start, stop, low, high) in zip(views, visits):
+        by_s[start:stop] += e @ w[low:high]
+        np.matmul(e.T, s[start:stop], out=by_w[low:high])
+    return found, by_s, by_w
+
+
+def _stacks(starts: np.ndarray, size: int):
+    """Runs of neighbours among ``size`` rows, given where each starts, by their lengths: (runs, places, real, rows).
+
+    ``places`` (runs, longest) are row numbers, ``real`` the flat ones among them that belong to the run, ``rows`` their rows.
+    """
+    counts = np.diff(np.append(starts, size))
+    level = np.ceil(np.log2(np.maximum(counts / STACKED, 1)))
+    for at in np.unique(level):
+        alike = np.flatnonzero(level == at)
+        for i in range(0, len(alike), TOGETHER):
+            runs = alike[i:i + TOGETHER]
+            along = np.arange(counts[runs].max())
+            places = starts[runs][:, None] + along
+            real = np.flatnonzero(along < counts[runs][:, None])
+            rows = places.reshape(-1)[real]
+            yield runs, np.minimum(places, size - 1), real, rows
+
+
+def _sums(values: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over runs of rows that are neighbours in ``order``."""
+    found = np.empty((len(starts), values.shape[1]), values.dtype)
+    for runs, places, real, rows in _stacks(starts, len(values)):
+        stacked = np.zeros((places.size, values.shape[1]), values.dtype)
+        stacked[real] = values[order[rows]]
+        found[runs] = np.ones(places.shape[1], values.dtype) @ stacked.reshape(*places.shape, -1)
+    return found
+
+
+def _runs(a: np.ndarray) -> np.ndarray:
+    """A view of ``a``: from each row on, PART rows."""
+    return np.lib.stride_tricks.as_strided(a, (max(len(a) - PART + 1, 0), PART, *a.shape[1:]), (a.strides[0], *a.strides))
+
+
+def _leaves(s, w, b, words, first, size, scale=None):
+    """Log probabilities of ``words`` in their parts: ``size`` rows of ``w`` from ``first`` on, given for each row of ``s``.
+
+    Rows of the same part are neighbours.  Parts met about as often are one product of stacks.  With ``scale`` also the gradient
+    by ``s``, and as (rows, by ``w``, by ``b``) those of the parts met: whole parts by their first rows, others row by row.
+    """
+    starts = np.flatnonzero(np.diff(first, prepend=-1))
+    found, by_s, pieces = np.empty(len(s), s.dtype), np.zeros_like(s) if scale is not None else None, []
+    whole, among = size[starts] == PART, words - first
+    ends = np.append(starts, len(s))
+    for kind in (True, False):
+        mine = np.flatnonzero(whole == kind)
+        if not len(mine):
+            continue
+        counts = ends[mine + 1] - ends[mine]
+        own = np.repeat(ends[mine] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        for runs, places, real, rows in _stacks(np.cumsum(counts) - counts, len(own)):
+            places, rows, begin = own[places], own[rows], first[starts[mine[runs]]]
+            stacked = s[places]
+            if kind:
+                weights, bias = _runs(w)[begin], _runs(b)[begin]
+            else:
+                inside = np.arange(PART) < size[starts[mine[runs]]][:, None]
+                all_rows = np.where(inside, begin[:, None] + np.arange(PART), begin[:, None])
+                weights, bias = w[all_rows], np.where(inside, b[all_rows], -np.inf).astype(b.dtype)
+            e = stacked @ weights.transpose(0, 2, 1)
+            e += bias[:, None, :]
+            np.minimum(e, STEEPEST, out=e)
+            flat = e.reshape(-1, PART)
+            chosen = real * PART + among[rows]
+            log = flat.reshape(-1)[chosen]
+            np.exp(e, out=e)
+            total = (flat @ np.ones(PART, e.dtype))[real]
+            found[rows] = log - np.log(total)
+            if scale is None:
+                continue
+            share = np.zeros(len(flat), e.dtype)
+            share[real] = scale / total
+            flat *= share[:, None]
+            flat.reshape(-1)[chosen] -= scale
+            by_s[rows] = (e @ weights).reshape(-1, s.shape[1])[real]
+            by_w, by_b = e.transpose(0, 2, 1) @ stacked, np.ones(e.shape[1], e.dtype) @ e
+            pieces.append((begin, by_w, by_b) if kind else (all_rows[inside], by_w[inside], by_b[inside]))
+    return found, by_s, pieces
 
 
 def group_edges(classes: int) -> np.ndarray:
@@ -138,18 +246,38 @@ def group_edges(classes: int) -> np.ndarray:
     return np.append(np.arange(0, classes, size), classes)
 
 
+def part_edges(edges: np.ndarray) -> np.ndarray:
+    """Where the parts of classes start, and the end: every PART words from the start of a class on."""
+    sizes = np.diff(edges)
+    parts = -(-sizes // PART)
+    place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.append(np.repeat(edges[:-1], parts) + place * PART, edges[-1])
+
+
+def _begins(fresh: np.ndarray) -> list[np.ndarray]:
+    """For each step the lanes in which a text begins."""
+    steps, begins = np.nonzero(fresh)
+    return np.split(begins, np.searchsorted(steps, np.arange(1, len(fresh))))
+
+
 class Network:
-    """Gated recurrent units over word inputs; group of classes of the next word, class in its group, word in its class.
+    """Gated recurrent units over word inputs; group of classes of the next word, class in its group, part of its class, word in its part.
 
     Class c holds the words from ``edges[c]`` up to ``edges[c + 1]``; the class after the last stands for all words without
-    an output.  Groups are neighbouring classes, about as many as a group has.  As inputs are single words, the product of embedding and input weights is one row of ``table`` per word.
+    an output.  Groups are neighbouring classes, about as many as a group has; parts are neighbouring words of a class.  As
+    inputs are single words, the product of embedding and input weights is one row of ``table`` per word.
     """
 
+    inner = ("group_w", "group_b", "class_w", "class_b", "part_w", "part_b")
+
     def __init__(self, edges: np.ndarray, arrays: dict[str, np.ndarray]):
         self.edges, self.outputs, self.classes = edges, int(edges[-1]), len(edges) - 1
         self.class_of = np.repeat(np.arange(len(edges), dtype=np.int16), np.append(np.diff(edges), 1))
         self.groups = group_edges(len(edges))
         self.group_of = np.repeat(np.arange(len(self.groups) - 1), np.diff(self.groups))
+        self.parts = part_edges(edges)
+        self.part_of = np.repeat(np.arange(len(self.parts) - 1, dtype=np.int32), np.diff(self.parts))
+        self.class_parts = np.searchsorted(self.parts, edges)  # the first part of each class, and the number of parts
         self.p = arrays
         self.moved = np.zeros(0, np.float16)  # what training has added to the initial parameters, in their order
 
@@ -159,15 +287,24 @@ class Network:
         rng, edges = np.random.default_rng(SEED), v.edges
         share, sizes = v.counts[:v.outputs] + SMOOTHING, np.diff(edges)
         sums = np.append(np.add.reduceat(share, edges[:-1]), v.rare_total)
-        within = np.log(share / np.repeat(sums[:-1], sizes))
+        parts = part_edges(edges)
+        of_part = np.add.reduceat(share, parts[:-1])
+        within = np.log(share / np.repeat(of_part, np.diff(parts)))
+        in_class = np.log(of_part / np.repeat(sums[:-1], -(-sizes // PART)))
         sums, groups = np.maximum(sums, SMOOTHING), group_edges(len(edges))
         of_group = np.add.reduceat(sums, groups[:-1])
         of_class = np.log(sums / np.repeat(of_group, np.diff(groups)))
-        draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
+
+        def draw(*shape: int) -> np.ndarray:
+            drawn = rng.standard_normal(shape, np.float32)
+            drawn *= np.float32(0.1)
+            return drawn
+
         return cls(edges, {
             "table": draw(v.outputs + 1, 3 * hidden), "gates": draw(hidden, 2 * hidden), "new": draw(hidden, hidden),
             "group_w": np.zeros((len(groups) - 1, hidden), np.float32), "group_b": np.log(of_group / of_group.sum()).astype(np.float32),
             "class_w": np.zeros((len(edges), hidden), np.float32), "class_b": of_class.astype(np.float32),
+            "part_w": np.zeros((len(of_part), hidden), np.float32), "part_b": in_class.astype(np.float32),
             "word_w": np.zeros((v.outputs, hidden), np.float32), "word_b": within.astype(np.float32)})
 
     @classmethod
@@ -180,21 +317,43 @@ class Network:
             at += a.size
         return net
 
+    @property
+    def recurrent(self) -> np.ndarray:
+        """Weights of the update gate, the reset gate and the new state, one matrix each."""
+        n = len(self.p["new"])
+        return np.stack([self.p["gates"][:, :n], self.p["gates"][:, n:], self.p["new"]])
+
     def run(self, inputs, fresh, h, keep=None):
-        """Hidden states (steps, lanes, hidden) after reading ``inputs``; ``fresh`` marks the first word of a text."""
-        p, n = self.p, h.shape[1]
-        states = np.empty((*inputs.shape, n), np.float32)
-        rows, going = p["table"][inputs], (~fresh).astype(np.float32)[:, :, None]
-        for t in range(len(inputs)):
-            h = h * going[t]
-            gates = _sigmoid(rows[t, :, :2 * n] + h @ p["gates"])
-            past = h @ p["new"]
-            new = np.tanh(rows[t, :, 2 * n:] + gates[:, n:] * past)
-            if keep is not None:
-                keep.append((h, gates, past, new))
-            h = new + gates[:, :n] * (h - new)
-            states[t] = h
-        return states, h
+        """Hidden states (steps, lanes, hidden) after reading ``inputs``; ``fresh`` marks the first word of a text.
+
+        ``keep`` gets for each step the state before it, the two gates, the product behind the reset gate and the new state.
+        """
+        (steps, width), n, weights = inputs.shape, h.shape[1], self.recurrent
+        weights[:2] *= -1  # the gates are 1 / (1 + exp(-x))
+        table, begins, kind = self.p["table"], _begins(fresh), self.p["table"].dtype
+        row = np.empty((3, width, n), kind)
+        states, parts = np.empty((steps, width, n), kind), np.empty((steps if keep is not None else 1, 5, width, n), kind)
+        for t in range(steps):
+            part = parts[t if keep is not None else 0]
+            before, gates, past, new = part[0], part[1:3], part[3], part[4]
+            row[...] = table[inputs[t]].reshape(width, 3, n).transpose(1, 0, 2)
+            before[...] = h
+            before[begins[t]] = 0
+            np.matmul(before, weights[:2], out=gates)
+            np.matmul(before, weights[2], out=past)
+            gates -= row[:2]
+            np.exp(gates, out=gates)
+            gates += 1
+            np.divide(1, gates, out=gates)
+            np.multiply(gates[1], past, out=new)
+            new += row[2]
+            np.tanh(new, out=new)
+            h = np.subtract(before, new, out=states[t])
+            h *= gates[0]
+            h += new
+        if keep is not None:
+            keep.append(parts)
+        return states, h.copy()
 
     def log_probabilities(self, states, targets, grad=None, scale=1.0, learn=None):
         """Natural log probability of each target (up to the share among words without an output).
@@ -203,36 +362,52 @@ class Network:
         states is returned too.  ``learn`` is called with the name, place and gradient of each piece of the output weights
         instead, as soon as the piece is done with; classes that no target is in have no gradient.
         """
-        p, learning = self.p, grad is not None or learn is not None
-        classes = self.class_of[np.minimum(targets, self.outputs)]
-        order = np.argsort(classes, kind="stable")  # so that the targets of a class, and of a group, are neighbours
-        s, classes, words = states[order], classes[order], targets[order]
+        p, learning, scale = self.p, grad is not None or learn is not None, np.float32(scale)
+        order = _order(targets)  # so that the targets of a part, a class and a group are neighbours
+        s, words = states[order], targets[order]
+        classes = self.class_of[np.minimum(words, self.outputs)].astype(np.int64)
         ends = np.searchsorted(classes, np.arange(self.classes + 2)).tolist()
-        found = np.zeros(len(s), np.result_type(states, np.float32))
-        back = np.zeros_like(s) if learning else None
-        if grad is not None:
-            grad.update((k, np.zeros_like(p[k])) for k in ("group_w", "group_b", "class_w", "class_b", "word_w", "word_b"))
-
-        def layer(weights, biases, low, high, start, stop, picked):
-            log, by_s, by_w, by_b = _layer(s[start:stop], p[weights][low:high], p[biases][low:high], picked, scale if learning else None)
-            found[start:stop] += log
-            if learning:
-                back[start:stop] += by_s
-                for name, piece in ((weights, by_w), (biases, by_b)):
-                    if grad is None:
-                        learn(name, slice(low, high), piece)
-                    else:
-                        grad[name][low:high] = piece
-
-        if len(s):
-            layer("group_w", "group_b", 0, len(self.groups) - 1, 0, len(s), self.group_of[classes])
+        if not len(s):
+            if grad is not None:
+                grad.update((k, np.zeros_like(p[k])) for k in (*self.inner, "word_w", "word_b"))
+            return np.zeros(0, np.result_type(states, np.float32)), np.zeros_like(s) if learning else None
+        # The upper levels stand below each other in one matrix, with their biases as a column that meets ones.
+        upper = [np.column_stack([p[w], p[b]]) for w, b in zip(self.inner[::2], self.inner[1::2])]
+        below = np.cumsum([0, *map(len, upper)]).tolist()
+        visits, picked = [(0, len(s), 0, below[1])], [self.group_of[classes]]
         for low, high in zip(self.groups[:-1].tolist(), self.groups[1:].tolist()):
             if ends[high] > ends[low] and high - low > 1:
-                layer("class_w", "class_b", low, high, ends[low], ends[high], classes[ends[low]:ends[high]] - low)
-        edges = self.edges.tolist()
+                visits.append((ends[low], ends[high], below[1] + low, below[1] + high))
+                picked.append(below[1] + classes[ends[low]:ends[high]])
+        own = ends[self.classes]  # so many have an output of their own
+        parts, first = self.part_of[words[:own]].astype(np.int64), self.class_parts.tolist()
         for c in range(self.classes):
-            if ends[c + 1] > ends[c] and edges[c + 1] - edges[c] > 1:
-                layer("word_w", "word_b", edges[c], edges[c + 1], ends[c], ends[c + 1], words[ends[c]:ends[c + 1]] - edges[c])
+            if ends[c + 1] > ends[c] and first[c + 1] - first[c] > 1:
+                visits.append((ends[c], ends[c + 1], below[2] + first[c], below[2] + first[c + 1]))
+                picked.append(below[2] + parts[ends[c]:ends[c + 1]])
+        ones = np.column_stack([s, np.ones(len(s), s.dtype)])
+        found, by_s, by_upper = _levels(ones, np.concatenate(upper), visits, np.concatenate(picked), scale if learning else None)
+        found = found.astype(np.result_type(states, np.float32))
+        back = by_s[:, :-1] if learning else None
+        if own:
+            log, by_s, leaves = _leaves(s[:own], p["word_w"], p["word_b"], words[:own], self.parts[parts],
+                                          np.diff(self.parts)[parts], scale if learning else None)
+            found[:own] += log
+            if learning:
+                back[:own] += by_s
+        pieces = []
+        if learning:
+            for k, low, high in zip(self.inner[::2], below[:-1], below[1:]):
+                pieces += [(k, slice(None), by_upper[low:high, :-1]), (k[:-1] + "b", slice(None), by_upper[low:high, -1])]
+            for rows, by_w, by_b in leaves if own else ():
+                pieces += [("word_w", rows, by_w), ("word_b", rows, by_b)]
+            if grad is not None:
+                grad.update((k, np.zeros_like(p[k])) for k in (*self.inner, "word_w", "word_b"))
+        for name, place, piece in pieces:
+            if grad is None:
+                learn(name, place, piece)
+            else:
+                (_runs(grad[name]) if piece.ndim > p[name].ndim else grad[name])[place] = piece
         placed = np.empty_like(found)
         placed[order] = found
         if learning:
@@ -245,42 +420,42 @@ class Network:
 
         With ``learn`` the output weights are left to it, see ``log_probabilities``.
         """
-        p, n, kept, grad = self.p, h.shape[1], [], {}
+        n, kept, grad = h.shape[1], [], {}
         states, last = self.run(inputs, fresh, h, kept)
         flat = np.flatnonzero(real.ravel())
         picked = states.reshape(-1, n)[flat]
         scale = np.float32(1 / max(len(flat), 1) if scale is None else scale)
         _, back = self.log_probabilities(picked, targets.ravel()[flat], grad if learn is None else None, scale, learn)
-        outer = np.zeros((inputs.size, n), np.float32)
+        outer = np.zeros((inputs.size, n), states.dtype)
         outer[flat] = back
         outer = outer.reshape(states.shape)
-        before, gates, past, new = (np.stack(x) for x in zip(*kept))
-        z, r = gates[:, :, :n], gates[:, :, n:]
-        slope, squash = gates * (1 - gates), (1 - z) * (1 - new * new)
-        slope[:, :, :n] *= before - new
-        slope[:, :, n:] *= squash * past
-        squash_r, back_w = squash * r, np.concatenate([p["gates"], p["new"]], axis=1).T
-        d_rows, d_past = np.empty((*inputs.shape, 3 * n), states.dtype), np.empty_like(new)
-        later, going, d_all = np.zeros_like(h), (~fresh).astype(states.dtype)[:, :, None], np.empty((inputs.shape[1], 3 * n), states.dtype)
+        (parts,), back_w = kept, np.ascontiguousarray(self.recurrent.transpose(0, 2, 1))
+        before, gates, past, new = parts[:, 0], parts[:, 1:3], parts[:, 3], parts[:, 4]
+        # What a change of the state brings to the update gate, the reset gate, the product behind it and the new state.
+        slopes = np.empty((len(parts), 4, *before.shape[1:]), states.dtype)
+        np.multiply(gates, 1 - gates, out=slopes[:, :2])
+        np.multiply(1 - gates[:, 0], 1 - new * new, out=slopes[:, 3])
+        np.multiply(slopes[:, 3], gates[:, 1], out=slopes[:, 2])
+        slopes[:, 0] *= before - new
+        slopes[:, 1] *= slopes[:, 3] * past
+        changes, products = np.empty_like(slopes), np.empty_like(slopes[0, :3])
+        later, begins = np.zeros(h.shape, states.dtype), _begins(fresh)
         for t in range(len(inputs) - 1, -1, -1):
             d = outer[t] + later
-            d_all[:, :n] = d
-            d_all[:, n:2 * n] = d
-            d_all[:, :2 * n] *= slope[t]
-            d_rows[t, :, :2 * n] = d_all[:, :2 * n]
-            d_rows[t, :, 2 * n:] = d * squash[t]
-            d_all[:, 2 * n:] = d * squash_r[t]
-            d_past[t] = d_all[:, 2 * n:]
-            d *= z[t]
-            d += d_all @ back_w
-            d *= going[t]
+            np.multiply(d, slopes[t], out=changes[t])
+            np.matmul(changes[t, :3], back_w, out=products)
+            d *= gates[t, 0]
+            for product in products:
+                d += product
+            d[begins[t]] = 0
             later = d
-        flat_before = before.reshape(-1, n).T
-        grad["gates"], grad["new"] = flat_before @ d_rows.reshape(-1, 3 * n)[:, :2 * n], flat_before @ d_past.reshape(-1, n)
-        words, d_rows = inputs.ravel(), d_rows.reshape(-1, 3 * n)
-        order = np.argsort(words, kind="stable")
-        used, starts = np.unique(words[order], return_index=True)
-        return grad, used, np.add.reduceat(d_rows[order], starts, axis=0), last
+        by_w = (before.transpose(0, 2, 1)[:, None] @ changes[:, :3]).sum(axis=0)
+        grad["gates"], grad["new"] = np.concatenate([by_w[0], by_w[1]], axis=1), by_w[2]
+        words, d_rows = inputs.ravel(), changes[:, [0, 1, 3]].transpose(0, 2, 1, 3).reshape(-1, 3 * n)
+        order = _order(words)
+        sorted_words = words[order]
+        starts = np.flatnonzero(np.diff(sorted_words, prepend=-1))
+        return grad, sorted_words[starts], _sums(d_rows, order, starts), last
 
 
 def lanes(lengths: list[int], width: int = LANES) -> list[list[int]]:
@@ -329,19 +504,18 @@ def windows(texts: list[np.ndarray], longest: int | None = None, size: int | Non
 def _groups(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], unknown: int, columns: tuple[str, ...] = ()):
     """Texts as word numbers, gathered over batches up to GROUP_TOKENS: (rows, texts).
 
-    With ``columns`` a row holds their values and the counts of the text's words without a number.
+    With ``columns`` a row holds their values and the counts of the text's words without a number, which is not 0.
     """
     rows, texts, size, get = [], [], 0, number.get
     for batch in batches:
         values = zip(*(batch.column(c).to_pylist() for c in columns)) if columns else iter(lambda: (), None)
         for text, row in zip(batch.column("text").to_pylist(), values):
             words = tokens(text)
-            ids = [get(w, unknown) for w in words]
+            ids = np.zeros(len(words) + 1, np.int32)  # the last one is the end
+            ids[:-1] = np.fromiter(map(get, words, repeat(unknown)), np.int32, len(words))
             if columns:
-                tail = Counter(w for w, i in zip(words, ids) if i == unknown)
-                rows.append((*row, [(w.decode("utf-8", "replace"), n) for w, n in tail.items()]))
-            ids.append(0)
-            texts.append(np.array(ids, dtype=np.int32))
+                rows.append((*row, Counter([words[i] for i in np.flatnonzero(ids == unknown).tolist()])))
+            texts.append(ids)
             size += len(ids)
             if size >= GROUP_TOKENS:
                 yield rows, texts
@@ -361,6 +535,21 @@ def _step(values: np.ndarray, memory: np.ndarray, g: np.ndarray, rate: float) ->
         values[i:i + CACHED] -= x
 
 
+def _step_rows(values: np.ndarray, memory: np.ndarray, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
+    """One step of Adagrad of some rows, each given once, a cached piece at a time."""
+    piece = max(CACHED * len(g) // max(g.size, 1), 1)
+    for i in range(0, len(g), piece):
+        here, x = rows[i:i + piece], g[i:i + piece]
+        squares = memory[here]
+        squares += x * x
+        memory[here] = squares
+        squares += FLAT
+        np.sqrt(squares, out=squares)
+        np.divide(x, squares, out=squares)
+        squares *= np.float32(rate)
+        values[here] -= squares
+
+
 def fit(net: Network, texts: list[np.ndarray], memory: dict[str, np.ndarray], rate: float = RATE) -> int:
     """One pass of truncated backpropagation over the texts, in place; ``memory`` holds squared gradients (Adagrad).
 
@@ -372,8 +561,13 @@ def fit(net: Network, texts: list[np.ndarray], memory: dict[str, np.ndarray], ra
     for number, (inputs, fresh, targets, real, _) in enumerate(windows(texts, LONGEST, size)):
         now = first + (rate - first) * min(number / WARM, 1.0)
 
-        def learn(name: str, place: slice, g: np.ndarray, now=now) -> None:
-            _step(net.p[name][place], memory[name][place], g, now)
+        def learn(name: str, place: slice | np.ndarray, g: np.ndarray, now=now) -> None:
+            if isinstance(place, slice):
+                _step(net.p[name][place], memory[name][place], g, now)
+            elif g.ndim > net.p[name].ndim:
+                _step_rows(_runs(net.p[name]), _runs(memory[name]), place, g, now)
+            else:
+                _step_rows(net.p[name], memory[name], place, g, now)
 
         lanes_here = inputs.shape[1]
         h = np.zeros((lanes_here, net.p["new"].shape[0]), np.float32) if h is None else h[:lanes_here]
@@ -382,11 +576,20 @@ def fit(net: Network, texts: list[np.ndarray], memory: dict[str, np.ndarray], ra
         seen += int(real.sum())
         for k, g in grad.items():
             learn(k, slice(None), g)
-        memory["table"][used] += d_rows * d_rows
-        net.p["table"][used] -= now * d_rows / np.sqrt(memory["table"][used] + FLAT)
+        _step_rows(net.p["table"], memory["table"], used, d_rows, now)
     return seen
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Half floats without loss: upper bytes, which are much alike, and lower bytes stand together."""
+    return pa.Codec("zstd", 1).compress(values.view(np.uint8).reshape(-1, 2).T.tobytes(), asbytes=True)
+
+
+def _unpacked(packed: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd", 1).decompress(packed, 2 * size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(2, -1).T).view(np.float16).reshape(-1)
+
+
 def train(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
     """A network trained on all of ``texts`` (doc_id, text).
 
@@ -401,27 +604,33 @@ def train(texts: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Network:
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             v, moved = sent.value
-            state, copy = Network.restored(v, moved), Network.restored(v, moved)
+            copy = Network.restored(v, moved)
             number = {w: i for i, w in enumerate(v.words[:v.outputs])}
             memory, seen = {k: np.zeros_like(a) for k, a in copy.p.items()}, 0
-            for _, texts_here in _groups(batches, number, state.outputs):
+            for _, texts_here in _groups(batches, number, copy.outputs):
                 seen += fit(copy, texts_here, memory)
+            memory.clear()
             if seen:
-                flat = np.concatenate([(copy.p[k] - state.p[k]).ravel().astype(np.float16) for k in names])
-                blocks = [flat[i:i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([float(seen)] * len(blocks)),
-                                                  pa.array(blocks, pa.binary())], ["block", "weight", "values"])
+                state = Network.restored(v, moved)  # again, instead of being held all the time
+                for k in names:
+                    copy.p[k] -= state.p[k]
+                flat = np.concatenate([copy.p.pop(k).ravel().astype(np.float16) for k in names])
+                for at in range(0, len(flat), BLOCK * HANDED_ON):
+                    pieces = [flat[i:i + BLOCK] for i in range(at, min(at + BLOCK * HANDED_ON, len(flat)), BLOCK)]
+                    blocks, sizes, first = [_packed(p) for p in pieces], [len(p) for p in pieces], at // BLOCK
+                    yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(blocks)), pa.int32()), pa.array([float(seen)] * len(blocks)),
+                                                      pa.array(sizes, pa.int32()), pa.array(blocks, pa.binary())], ["block", "weight", "size", "values"])
 
         def average(groups: Iterator[pa.Table]) -> pa.Table:
             total, weight = None, 0.0
             for row in groups.to_batches():
-                for w, values in zip(row.column("weight").to_pylist(), row.column("values").to_pylist()):
-                    part_of = w * np.frombuffer(values, np.float16).astype(np.float64)
+                for w, size, values in zip(*(row.column(c).to_pylist() for c in ("weight", "size", "values"))):
+                    part_of = w * _unpacked(values, size).astype(np.float64)
                     total, weight = part_of if total is None else total + part_of, weight + w
             return pa.table({"block": groups.column("block")[:1], "values": pa.array([(total / weight).astype(np.float16).tobytes()], pa.binary())})
 
         here = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == part).select("text")
-        copies = here.mapInArrow(learn, "block int, weight double, values binary")
+        copies = here.mapInArrow(learn, "block int, weight double, size int, values binary")
         blocks = copies.groupBy("block").applyInArrow(average, "block int, values binary").collect()
         if not blocks:
             continue
@@ -460,7 +669,8 @@ def _score(sent, doc_type: pa.DataType):
                 pa.array(doc_ids, doc_type), pa.array(hashes, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
                 pa.array([int((v.counts[t[t < unknown]] > 0).sum()) for t in texts], pa.int64()),
                 pa.array([float(logs[t].sum()) for t in texts]), pa.array(text_log10(net, v, texts)),
-                pa.array(tails, pa.map_(pa.string(), pa.int64()))],
+                pa.MapArray.from_arrays(pa.array(np.cumsum([0, *map(len, tails)]), pa.int32()), _strings(chain.from_iterable(tails)),
+                                        pa.array([n for tail in tails for n in tail.values()], pa.int64()))],
                 ["doc_id", "text_hash", "n_tokens", "hot_known", "hot_base", "hot_score", "tail"])
 
     return run
